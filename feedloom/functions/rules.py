@@ -24,8 +24,9 @@ def is_http_uri(url: Column) -> Column:
 
 
 def feed_name(given: Column, discovered: Column, url: Column) -> Column:
-    """The given name, else the document's own title, else the URL."""
-    return F.coalesce(F.nullif(trim_space(given), F.lit("")), F.nullif(discovered, F.lit("")), trim_space(url))
+    """The given name, else the document's own title, else the URL; trimmed last,
+    so that a title of nothing but white space leaves no name at all."""
+    return trim_space(F.coalesce(F.nullif(trim_space(given), F.lit("")), F.nullif(discovered, F.lit("")), url))
 
 
 def feed_error(url: Column, name: Column) -> Column:
