@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions import rules
+from feedloom.functions.binding import computed_once
 from feedloom.functions.text import EMBED_BYTES, build_prompt, format_summary, is_blank, trim_space, truncate_bytes
 from feedloom.functions.vectors import mrl_reduce
 from feedloom.operators.constraints import split_articles
@@ -46,7 +47,7 @@ def decode_answer(response: Column) -> Column:
 
 def with_answer(rows: DataFrame) -> DataFrame:
     """Decode ``response`` beside a provider ``error`` into the summary columns."""
-    decoded = rows.withColumn("_answer", decode_answer(F.col("response")))
+    decoded = computed_once(rows, _answer=decode_answer(F.col("response")))
     a = F.col("_answer")
     error = F.coalesce(
         F.col("error"),

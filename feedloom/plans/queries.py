@@ -214,7 +214,7 @@ def _feed_requests(spark: SparkSession, folder: str) -> DataFrame:
     fresh = docs.select(
         (F.col("doc_id") + 2000000000).alias("request_no"),
         F.concat(F.lit("https://"), F.col("lang"), F.lit("/"), F.col("source")).alias("url"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("name"),
+        F.substring_index("text", "\n", 1).alias("name"),
         nothing.alias("discovered"),
     )
     junk = tables.read(spark, folder, "nation").select(

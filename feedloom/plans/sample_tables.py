@@ -59,7 +59,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
         uuid_from(feed_url(F.col("source"))).alias("feed_id"),
         F.col("source").alias("feed_name"),
         F.col("doc_id").alias("item_pos"),
-        trim_space(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
+        trim_space(F.substring_index("text", "\n", 1)).alias("title"),
         F.concat(F.lit("https://ex/"), F.md5(F.col("text").cast("binary"))).alias("url"),
         F.col("text").alias("content"),
         after(F.col("doc_id") * 60).alias("published_at"),
@@ -107,7 +107,7 @@ def raw_feeds(documents: DataFrame) -> DataFrame:
     cut off before its end and cannot be read.
     """
     d = documents
-    title = escape_html(trim_space(F.split_part("text", F.lit("\n"), F.lit(1))))
+    title = escape_html(trim_space(F.substring_index("text", "\n", 1)))
     text = escape_html(F.col("text"))
     url = F.concat(F.lit("https://ex/"), F.md5(F.col("text").cast("binary")))
     when = after(F.col("doc_id") * 60)
@@ -138,7 +138,7 @@ def raw_feeds(documents: DataFrame) -> DataFrame:
             F.col("source").alias("title"),
             F.array(
                 F.struct(
-                    trim_space(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"),
+                    trim_space(F.substring_index("text", "\n", 1)).alias("title"),
                     url.alias("url"),
                     F.col("text").alias("content_html"),
                     iso.alias("date_published"),
@@ -148,9 +148,9 @@ def raw_feeds(documents: DataFrame) -> DataFrame:
     )
     lang = F.col("lang")
     body = F.when(lang == "en", rss).when(lang == "fr", dublin).when(lang == "de", atom).otherwise(json)
-    whole = F.when(F.col("text").contains("|"), F.substring(body, F.lit(1), F.length(body) - 9)).otherwise(body)
-    return d.select(
+    cut = F.substring("body", F.lit(1), F.length("body") - 9)
+    return d.withColumn("body", body).select(
         uuid_from(feed_url(F.col("source"))).alias("feed_id"),
         after(F.col("doc_id") * 60).alias("fetched_at"),
-        whole.alias("body"),
+        F.when(F.col("text").contains("|"), cut).otherwise(F.col("body")).alias("body"),
     )

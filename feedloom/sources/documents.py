@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.functions.binding import computed_once
 from feedloom.functions.text import parse_feed_date, trim_space
 
 _S = T.StringType()
@@ -121,21 +122,26 @@ def parse(raw_feeds: DataFrame) -> DataFrame:
     # XML is the only dialect that starts with "<"; the parser is not run on others.
     is_xml = F.substring(trim_space(F.col("body")), 1, 1) == "<"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    parsed = raw_feeds.withColumn("_xml", F.from_xml(F.when(is_xml, F.col("body")), _XML.json(), options)).withColumn(
-        "_json", F.from_json(F.when(~is_xml, F.col("body")), _JSON, options)
+    body = F.col("body")
+    parsed = computed_once(
+        raw_feeds,
+        _xml=F.from_xml(F.when(is_xml, body), _XML.json(), options),
+        _json=F.from_json(F.when(~is_xml, body), _JSON, options),
     )
     x, j = F.col("_xml"), F.col("_json")
-    entries = (
+    no_rss = F.array().cast(_XML["item"].dataType)
+    no_json = F.array().cast(_JSON["items"].dataType)
+    found = (
         F.when(x["_broken"].isNotNull(), None)
         .when(x["entry"].isNotNull(), _atom(x["entry"]))
         .when(x["channel"]["item"].isNotNull(), _rss(x["channel"]["item"]))
-        .when(x["channel"].isNotNull(), _rss(F.coalesce(x["item"], F.array().cast(_XML["item"].dataType))))
+        .when(x["channel"].isNotNull(), _rss(F.coalesce(x["item"], no_rss)))
         .when(x["title"].isNotNull(), F.array().cast(T.ArrayType(_ENTRY)))
-        .when(j["_broken"].isNull() & j["version"].isNotNull(), _json(F.coalesce(j["items"], F.array().cast(_JSON["items"].dataType))))
+        .when(j["_broken"].isNull() & j["version"].isNotNull(), _json(F.coalesce(j["items"], no_json)))
     )
     title = trim_space(F.coalesce(x["channel"]["title"], x["title"]["_VALUE"], j["title"]))
     return (
-        parsed.withColumn("entries", entries)
+        computed_once(parsed, entries=found)
         .withColumn("readable", F.col("entries").isNotNull())
         .withColumn("feed_title", F.when(F.col("readable"), title))
         .drop("_xml", "_json", "body")
@@ -153,7 +159,7 @@ def unreadable(raw_feeds: DataFrame) -> DataFrame:
 
 def entries(raw_feeds: DataFrame) -> DataFrame:
     """One row per entry of each readable document, positions from 0."""
-    rows = parse(raw_feeds).where("readable").drop("readable", "feed_title")
+    rows = parse(raw_feeds).drop("readable", "feed_title")  # no entries, no rows
     kept = [c for c in rows.columns if c != "entries"]
     flat = rows.select(*kept, F.posexplode("entries").alias("item_pos", "entry"))
     return flat.select(
