@@ -11,16 +11,21 @@ from feedloom.functions.text import is_blank, trim_space
 DEFAULT_HITS = 5
 MAX_HITS = 50
 
-# An absolute http(s) URI: no control characters, well-formed percent escapes in
-# the path, and an authority whose host has no blank or delimiter and whose port
-# is numeric.
-_HOST = r"(?:\[[0-9A-Fa-f:.%]*\]|(?:[^\x00-\x20\x7f\\^`{|}#%@:/?\[\]]|%25|%[89A-Fa-f][0-9A-Fa-f])*)"
-_PATH = r"(?:[^?%]|%[0-9A-Fa-f]{2})*(?:\?.*)?"
-HTTP_URI = rf"(?is)^https?:(?:[^/].*|/(?!/){_PATH}|//(?:[^/?@\s]*@)?{_HOST}(?::\d*)?(?:[/?]{_PATH})?)?$"
+_HOST_AND_PORT = r"^(?:\[[0-9A-Za-z:.%]*\]|[^\x00-\x20\x7f\\^`{|}#@:\[\]]*)(?::\d*)?$"
 
 
 def is_http_uri(url: Column) -> Column:
-    return url.rlike(HTTP_URI) & ~url.rlike(r"[\x00-\x1f\x7f]")
+    """An absolute http(s) URI: no control characters, whole percent escapes in
+    the path, no delimiter in the host, a numeric port. Plain character loops
+    only: a regex that loops over alternatives overflows the stack on long input.
+    """
+    before_query = F.substring_index(url, "?", 1)
+    authority = F.regexp_extract(before_query, r"(?is)^https?://([^/]*)", 1)
+    host = F.regexp_replace(authority, r"(?s)^.*@", "")
+    path = F.regexp_replace(before_query, r"(?is)^https?:(?://[^/]*)?", "")
+    opaque = url.rlike(r"(?i)^https?:(?!/)")
+    whole = ~path.rlike("%(?![0-9A-Fa-f]{2})") & ~host.rlike("%(?!25|[89A-Fa-f][0-9A-Fa-f])")
+    return url.rlike("(?i)^https?:") & ~url.rlike(r"[\x00-\x1f\x7f]") & (opaque | (whole & host.rlike(_HOST_AND_PORT)))
 
 
 def feed_name(given: Column, discovered: Column, url: Column) -> Column:
