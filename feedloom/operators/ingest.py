@@ -78,12 +78,12 @@ def new_items(items: DataFrame, articles: DataFrame, feeds: DataFrame) -> DataFr
 def to_articles(items: DataFrame, as_of: Column) -> DataFrame:
     """Enriched items as rows of the articles table, ids derived from the URL."""
     return items.select(
-        uuid_from(F.col("url")).alias("id"),
+        uuid_from(trim_space(F.col("url"))).alias("id"),
         "feed_id",
-        "title",
-        "url",
+        trim_space(F.col("title")).alias("title"),
+        trim_space(F.col("url")).alias("url"),
         F.col("content").alias("raw_content"),
-        "summary",
+        trim_space(F.col("summary")).alias("summary"),
         "quality_score",
         "published_at",
         as_of.alias("created_at"),
