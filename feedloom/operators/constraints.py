@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import schemas as S
@@ -13,8 +13,11 @@ from feedloom.functions.text import is_uuid
 from feedloom.operators.ingest import of_unknown_feeds
 
 
-def _one(frame: DataFrame, rule: str, broken) -> DataFrame:
-    return frame.agg(F.count_if(broken).alias("broken")).select(F.lit(rule).alias("rule"), "broken")
+def _counts(frame: DataFrame, **broken: Column) -> DataFrame:
+    """The rules that one row can break by itself, all in one scan."""
+    counted = frame.agg(*[F.count_if(condition).alias(rule) for rule, condition in broken.items()])
+    pairs = [F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("broken")) for rule in broken]
+    return counted.select(F.inline(F.array(*pairs)))
 
 
 def _surplus(frame: DataFrame, key: str, rule: str) -> DataFrame:
@@ -27,24 +30,34 @@ def _total(frame: DataFrame, rule: str) -> DataFrame:
     return frame.agg(F.count("*").alias("broken")).select(F.lit(rule).alias("rule"), "broken")
 
 
+def _told_apart(articles: DataFrame) -> list[str]:
+    return [c for c in ("url", "item_pos") if c in articles.columns]
+
+
 def rule_report(feeds: DataFrame, articles: DataFrame, embeddings: DataFrame, searches: DataFrame, dim: int) -> DataFrame:
     """One row per rule with the number of rows that break it."""
     col = F.col
     bad_score = ~F.coalesce(col("quality_score").between(S.MIN_SCORE, S.MAX_SCORE), F.lit(False))
     stored = articles.select(col("id").alias("article_id"))
     parts = [
+        _counts(
+            feeds,
+            feed_text_length=(F.length("url") > S.MAX_URL) | (F.length("name") > S.MAX_FEED_NAME),
+            feed_id_uuid=~is_uuid(col("id")),
+        ),
+        _counts(
+            articles,
+            article_text_length=(F.length("url") > S.MAX_URL) | (F.length("title") > S.MAX_TITLE),
+            score_range=bad_score,
+            article_id_uuid=~is_uuid(col("id")) | ~is_uuid(col("feed_id")),
+        ),
+        _counts(embeddings, embedding_dimension=F.size("embedding") != dim),
+        _counts(searches, search_text=rules.query_error(col("query")).isNotNull()),
         _surplus(feeds, "url", "feed_url_unique"),
         _surplus(articles, "url", "article_url_unique"),
-        _one(feeds, "feed_text_length", (F.length("url") > S.MAX_URL) | (F.length("name") > S.MAX_FEED_NAME)),
-        _one(articles, "article_text_length", (F.length("url") > S.MAX_URL) | (F.length("title") > S.MAX_TITLE)),
-        _one(articles, "score_range", bad_score),
-        _total(of_unknown_feeds(articles.select("feed_id", "url"), feeds), "article_feed_exists"),
-        _total(embeddings.select("article_id").join(stored, "article_id", "left_anti"), "embedding_article_exists"),
         _surplus(embeddings, "article_id", "embedding_unique"),
-        _one(embeddings, "embedding_dimension", F.size("embedding") != dim),
-        _one(feeds, "feed_id_uuid", ~is_uuid(col("id"))),
-        _one(articles, "article_id_uuid", ~is_uuid(col("id")) | ~is_uuid(col("feed_id"))),
-        _one(searches, "search_text", rules.query_error(col("query")).isNotNull()),
+        _total(of_unknown_feeds(articles.select("feed_id", *_told_apart(articles)), feeds), "article_feed_exists"),
+        _total(embeddings.select("article_id").join(stored, "article_id", "left_anti"), "embedding_article_exists"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

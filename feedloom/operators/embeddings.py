@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.vectors import mrl_reduce
 from feedloom.operators.enrich import Provider, embed_articles
+from feedloom.operators.joins import if_few
 from feedloom.schemas import EMBEDDINGS
 
 
@@ -14,7 +15,9 @@ def upsert_embeddings(base: DataFrame, updates: DataFrame) -> DataFrame:
     """Replace or add vectors by article; the latest update of an article wins.
 
     Updates shrink to one row per article before the join, so an article that is
-    updated over and over is a hot key nowhere.
+    updated over and over is a hot key nowhere. While the updated articles are
+    few, the stored vectors are not shuffled. ``updates`` is read more than once:
+    write what a provider made before passing it.
     """
     columns = EMBEDDINGS.fieldNames()
     latest = (
@@ -22,7 +25,8 @@ def upsert_embeddings(base: DataFrame, updates: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("embedding", "created_at"), F.col("created_at")).alias("row"))
         .select("article_id", "row.embedding", "row.created_at")
     )
-    return base.select(columns).join(latest.select("article_id"), "article_id", "left_anti").unionByName(latest)
+    replaced = if_few(updates.select("article_id").distinct())
+    return base.select(columns).join(replaced, "article_id", "left_anti").unionByName(latest)
 
 
 def redimension(articles: DataFrame, provider: Provider, dim: int, model: str, as_of: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import rules
 from feedloom.functions.text import is_blank, strip_html, trim_space, uuid_from
-from feedloom.operators.joins import attach, drop_matching, keep_matching
+from feedloom.operators.joins import attach, drop_matching, few, keep_matching
 from feedloom.schemas import ARTICLE_COLUMNS
 
 
@@ -55,6 +55,20 @@ def unseen(items: DataFrame, articles: DataFrame) -> DataFrame:
     return items.join(articles.select("url"), "url", "left_anti").select(items.columns)
 
 
+def unseen_staged(items: DataFrame, articles: DataFrame) -> DataFrame:
+    """``unseen`` for items that were written to a table and may be read twice.
+
+    A usual run brings few items for a long history. Their URLs then go to the
+    scan of the stored URLs, and only those that occur come back: the history is
+    read, one column of it, but not shuffled. A backfill takes the other way.
+    """
+    urls = items.select("url")
+    if not few(urls):
+        return unseen(items, articles)
+    known = articles.select("url").join(F.broadcast(urls), "url", "left_semi").distinct()
+    return items.join(F.broadcast(known), "url", "left_anti").select(items.columns)
+
+
 def _identity(rows: DataFrame) -> tuple[str, ...]:
     return tuple(c for c in ("url", "fetched_at", "item_pos") if c in rows.columns)
 

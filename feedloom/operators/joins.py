@@ -1,25 +1,46 @@
-"""Joins on keys of which one may hold a large share of the rows.
-
-Feed ids are such keys: one busy feed can own a third of all articles. The wide
-side gets a salt computed from its own row, the key side (one row per key) is
-repeated once per salt value, so a hot key is spread over ``SALTS`` tasks. The
-salt is a hash and not a random number: a task that is run again after a lost
-executor must send each row to the same place. ``spread_by`` names the columns
-that tell the rows of one key apart, copies included.
-
-No side is hinted as broadcast. Spark broadcasts a side itself when its size,
-from file statistics or measured at run time, is below the session's threshold.
+"""Joins of wide rows with narrow keys, where one key may hold a large share.
+
+Feed ids are such keys: one busy feed can own a third of all articles. Two ways:
+
+* The key side is counted first. Up to ``BROADCAST_ROWS`` it is broadcast and the
+  wide rows do not move at all. (Spark's own choice goes by estimates, which are
+  far too high for filtered or aggregated keys, and it notices the real size only
+  once the wide side is shuffled.)
+* Beyond that the wide side gets a salt computed from its own row, the key side
+  (one row per key) is repeated once per salt value, and a hot key is spread over
+  ``SALTS`` tasks. The salt is a hash and not a random number: a task that is run
+  again after a lost executor must send each row to the same place. ``spread_by``
+  names the columns that tell the rows of one key apart, copies included.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 _SALT = "_salt"
 
 
+def few(keys: DataFrame) -> bool:
+    """Whether the keys may be broadcast, by their number and the bytes of their
+    texts. The count stops at the bound."""
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in keys.dtypes if kind == "string"]
+    size = reduce(Column.__add__, texts, F.lit(0).cast("long"))
+    seen = keys.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    return seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES
+
+
+def if_few(keys: DataFrame) -> DataFrame:
+    """The keys, marked for broadcast if there are few of them. For joins whose
+    wide side has no hot key; others go through the functions below."""
+    return F.broadcast(keys) if few(keys) else keys
+
+
 def _salted(rows: DataFrame, spread_by: tuple[str, ...]) -> DataFrame:
     return rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
 
@@ -29,6 +50,8 @@ def _repeated(keys: DataFrame) -> DataFrame:
 
 
 def _salted_join(rows: DataFrame, keys: DataFrame, on: str, spread_by: tuple[str, ...], how: str) -> DataFrame:
+    if few(keys):
+        return rows.join(F.broadcast(keys), on, how)
     return _salted(rows, spread_by).join(_repeated(keys), [on, _SALT], how).drop(_SALT)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import rules
 from feedloom.functions.text import canonical_uuid, is_blank, trim_space, uuid_from
-from feedloom.operators.joins import attach, drop_matching, keep_matching
+from feedloom.operators.joins import attach, drop_matching, if_few, keep_matching
 from feedloom.schemas import FEED_COLUMNS
 
 
@@ -45,7 +45,7 @@ def find_feed_by_url(feeds: DataFrame, url: str) -> DataFrame:
 def lookup_by_id(table: DataFrame, wanted: DataFrame, id_column: str = "id") -> DataFrame:
     """Batch form of ``find_by_id``: one row per wanted id that exists."""
     keys = wanted.select(canonical_uuid(F.col(id_column)).alias("id")).where("id IS NOT NULL").distinct()
-    return table.join(keys, "id", "left_semi")
+    return table.join(if_few(keys), "id", "left_semi")
 
 
 def lookup_by_url(feeds: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -139,7 +139,8 @@ def delete_feeds(feeds: DataFrame, articles: DataFrame, embeddings: DataFrame, r
     """Delete feeds by (id), with their articles and those articles' vectors.
 
     Only ids travel: the vectors to drop are found from the dropped articles'
-    ids, and article rows are matched salted because one feed may own many.
+    ids. Tables are left where they are when the ids are few, and a feed that
+    owns a large share of the articles is spread when they are not.
     """
     ids = _by_uuid(requests).select("id").distinct()
     gone = ids.join(feeds.select("id"), "id", "left_semi").withColumnRenamed("id", "feed_id")
@@ -147,6 +148,6 @@ def delete_feeds(feeds: DataFrame, articles: DataFrame, embeddings: DataFrame, r
     return Deletion(
         feeds.join(gone, feeds["id"] == gone["feed_id"], "left_anti"),
         drop_matching(articles, gone, "feed_id", spread_by=("id",)).select(articles.columns),
-        embeddings.join(lost.select(F.col("id").alias("article_id")), "article_id", "left_anti").select(embeddings.columns),
+        embeddings.join(if_few(lost.select(F.col("id").alias("article_id"))), "article_id", "left_anti").select(embeddings.columns),
         _not_found(feeds, ids),
     )

@@ -19,6 +19,7 @@ from feedloom.functions import rules
 from feedloom.functions.text import is_blank
 from feedloom.functions.vectors import distances, matrix
 from feedloom.operators.enrich import Provider
+from feedloom.operators.ranking import fetch
 from feedloom.schemas import ARTICLE_COLUMNS
 
 # A query block of this many values is shipped to every task: 32 MB as doubles.
@@ -46,12 +47,13 @@ def distances_to(embeddings: DataFrame, query: Sequence[float]) -> DataFrame:
 def nearest(embeddings: DataFrame, query: Sequence[float], k: int, articles: DataFrame | None = None) -> DataFrame:
     """The k nearest (article_id, distance).
 
-    With ``articles``, vectors without an article are left out; that join moves
-    ids and distances, never vectors. Leave it away where deletes cascade.
+    With ``articles``, vectors without an article are left out and the article's
+    time is given as well; that join moves ids, times and distances, never
+    vectors. Leave it away where deletes cascade.
     """
     scored = distances_to(embeddings, query)
     if articles is not None:
-        scored = scored.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+        scored = scored.join(articles.select(F.col("id").alias("article_id"), "created_at"), "article_id")
     return scored.orderBy(*_nearest_first()).limit(k)
 
 
@@ -64,14 +66,18 @@ def search(
 ) -> DataFrame:
     """The articles nearest to the query with their ``similarity_score``.
 
-    The ids of the hits, 50 at most, come to the driver and go back as an IN
-    filter, which the parquet reader checks against its row groups: the wide
-    columns of the other articles are not shuffled, and where ids are clustered
-    or carry a bloom filter they are not read.
+    The hits, 50 at most, come to the driver as ids and go back as an IN filter:
+    the wide columns of the other articles are not shuffled. With the times of
+    the articles as a second filter the reader skips most of them unread, as
+    articles are written in order of time.
     """
     k = rules.hit_limit(limit)
     hits = nearest(embeddings, query, k, articles if vectors_may_be_orphaned else None).collect()
-    found = articles.where(F.col("id").isin([h.article_id for h in hits]))
+    ids = [h.article_id for h in hits]
+    if vectors_may_be_orphaned:
+        found = fetch(articles, ids, [h.created_at for h in hits])
+    else:
+        found = articles.where(F.col("id").isin(ids))
     if not hits:
         return found.withColumn("distance", F.lit(None).cast("double")).withColumn("similarity_score", F.col("distance"))
     by_id = F.create_map(*[F.lit(v) for h in hits for v in (h.article_id, h.distance)])

@@ -27,11 +27,16 @@ def items_of(raw_feeds: DataFrame, feeds: DataFrame) -> DataFrame:
     return ingest.normalise_items(entries(named))
 
 
-def fresh_items(items: DataFrame, articles: DataFrame) -> DataFrame:
-    """Storable, first of their URL, not stored yet. One shuffle by URL serves the
-    deduplication and the check against the stored URLs."""
+def candidates(items: DataFrame) -> DataFrame:
+    """Storable, and the first of their URL."""
     storable, _ = ingest.split_storable(items)
-    return ingest.unseen(ingest.first_per_url(storable), articles)
+    return ingest.first_per_url(storable)
+
+
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, written out, so that nothing before them is computed again."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -55,7 +60,8 @@ def run_daily(
     dim: int = EMBEDDING_DIM,
     style: Style = Style(),
 ) -> Run:
-    """Write ``articles``, ``embeddings`` and ``digest_chunks`` below ``out``.
+    """Write ``candidates``, ``articles``, ``embeddings`` and ``digest_chunks``
+    below ``out``.
 
     The provider's answers are written before anything reads them a second time,
     so a lost executor costs no answer twice after that point.
@@ -71,13 +77,10 @@ def run_daily(
         )
         return Run(nothing, empty_vectors, nothing, digest.deliverable(digests, style))
 
-    fresh = fresh_items(items_of(raw_feeds, feeds), stored)
-    valid, _ = enrich_items(fresh, provider, as_of)
-    valid.write.mode("overwrite").parquet(f"{out}/articles")
-    new = spark.read.schema(valid.schema).parquet(f"{out}/articles")
-
-    vectors, _ = embed_articles(new, provider, as_of, dim)
-    vectors.write.mode("overwrite").parquet(f"{out}/embeddings")
+    found = staged(candidates(items_of(raw_feeds, feeds)), f"{out}/candidates")
+    valid, _ = enrich_items(ingest.unseen_staged(found, stored), provider, as_of)
+    new = staged(valid, f"{out}/articles")
+    vectors = staged(embed_articles(new, provider, as_of, dim)[0], f"{out}/embeddings")
 
     everything = stored.unionByName(new)
     today = (F.col("created_at") >= day_start(as_of)) & (F.col("created_at") <= as_of)
@@ -90,7 +93,7 @@ def run_daily(
     digest.write_digest(digests, f"{out}/digest_chunks", style)
     return Run(
         new,
-        spark.read.schema(vectors.schema).parquet(f"{out}/embeddings"),
+        vectors,
         top,
         spark.read.parquet(f"{out}/digest_chunks"),
     )

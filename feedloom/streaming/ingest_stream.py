@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.operators.enrich import Provider, enrich_items
-from feedloom.plans.daily_run import fresh_items, items_of
+from feedloom.operators.ingest import unseen_staged
+from feedloom.plans.daily_run import candidates, items_of, staged
 from feedloom.schemas import ARTICLES
 
 
@@ -37,8 +38,8 @@ def store_batch(
         if batch_id > 0:
             # a pruned partition scan of one column
             known = known.unionByName(written(spark, path).where(F.col("batch_id") < batch_id).select("url"))
-        fresh = fresh_items(items_of(batch, feeds), known)
-        valid, _ = enrich_items(fresh, provider, as_of)
+        found = staged(candidates(items_of(batch, feeds)), f"{path}-candidates/batch_id={batch_id}")
+        valid, _ = enrich_items(unseen_staged(found, known), provider, as_of)
         valid.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return store

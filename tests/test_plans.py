@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import enrich, ingest, ranking, registry, search
+from feedloom.operators import embeddings, enrich, ingest, joins, ranking, registry, search
 from feedloom.plans import daily_run, sample_tables
 from feedloom.plans.queries import registered
 from feedloom.sources import documents
@@ -18,8 +18,9 @@ def plan(frame):
 
 
 @pytest.fixture
-def shuffled(spark):
+def shuffled(spark, monkeypatch):
     """Joins as on tables too large to broadcast, partitions as planned."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -92,11 +93,33 @@ def test_a_body_is_parsed_once(spark):
 def test_dedup_and_existence_check_share_one_shuffle(shuffled):
     items = sample_tables.items(shuffled, FOLDER)
     known = articles(shuffled, (1, 1, "u", 5, at()))
-    text = plan(daily_run.fresh_items(items, known))
+    text = plan(ingest.unseen(daily_run.candidates(items), known))
     assert text.count("Exchange hashpartitioning(url") == 2  # the items, and the stored URLs
     assert text.index("min_by") < text.index("Exchange") < text.index("partial_min_by")
 
 
+def test_few_keys_leave_the_wide_side_in_place(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = sample_tables.items(spark, FOLDER)
+        known = sample_tables.feeds(spark, FOLDER)
+        text = plan(ingest.of_known_feeds(rows, known))
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        stored = sample_tables.embeddings(spark, FOLDER)
+        text = plan(embeddings.upsert_embeddings(stored, stored))
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        found = ingest.first_per_url(rows)
+        text = plan(ingest.unseen_staged(found, articles(spark, (1, 1, "u", 5, at()))))
+        assert text.count("BroadcastHashJoin") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fallback_reads_narrow_then_fetches_by_id_and_time(on_disk):
+    text = plan(ranking.top_or_latest(on_disk, F.lit("2030-01-01").cast("timestamp"), 3))
+    assert "In(id, [" in text and "created_at" in text.split("PushedFilters")[1]
+
+
 def shares(frame):
     """Share of all rows in each partition, largest first."""
     sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
