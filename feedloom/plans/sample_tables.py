@@ -68,11 +68,16 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
-    """What is stored: the storable items with a label, one per URL."""
+    """What is stored: the storable items with a label, one per URL.
+
+    One aggregate per column instead of one over a struct: those a query does not
+    ask for are pruned and their texts stay out of the shuffle.
+    """
     labels = read(spark, folder, "labels").select(F.col("doc_id").alias("item_pos"), "quality")
     storable, _ = split_storable(items(spark, folder))
-    labelled = OfflineProvider().summarise(storable.join(labels, "item_pos").drop("feed_name"))
+    labelled = OfflineProvider().summarise(storable.join(labels, "item_pos"))
     rows = labelled.select(
+        "item_pos",
         numbered_id(F.col("item_pos")).alias("id"),
         "feed_id",
         "title",
@@ -83,9 +88,8 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         "published_at",
         after(F.col("item_pos") * 3600).alias("created_at"),
     )
-    rest = [c for c in ARTICLE_COLUMNS if c != "url"]
-    first = rows.groupBy("url").agg(F.min_by(F.struct(*rest), F.col("id")).alias("a"))
-    return first.select(*[F.col("url") if c == "url" else F.col(f"a.{c}").alias(c) for c in ARTICLE_COLUMNS])
+    first = [F.min_by(c, "item_pos").alias(c) for c in ARTICLE_COLUMNS if c != "url"]
+    return rows.groupBy("url").agg(*first).select(ARTICLE_COLUMNS)
 
 
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:
