@@ -245,10 +245,17 @@ v_cut AS (
     )
 
 
-_ANSWER_SCORE = "CASE lang WHEN 'fr' THEN 0 ELSE n_chars % 15 - 2 END"
+def _prompts() -> tuple[str, ...]:
+    head = _q(INSTRUCTION.format(publication="the daily digest"))
+    return (
+        *_cut(12000),
+        f"""v_prompts AS (
+  SELECT item_pos, title, {head} || title || chr(10) || 'Article Content:' || chr(10) || cut || chr(10) AS prompt
+  FROM v_items JOIN v_cut ON doc_id = item_pos)""",
+    )
 
-_PROMPT_HEAD = INSTRUCTION.format(publication="the daily digest")
 
+_ANSWER_SCORE = "CASE lang WHEN 'fr' THEN 0 ELSE n_chars % 15 - 2 END"
 
 def oracle_sql() -> dict[str, str]:
     """One statement per registered query."""
@@ -367,6 +374,19 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) t""",
             f"""SELECT {_uuid('url')} AS id, url, {_offline_summary('title')} AS summary, 8 AS quality_score, 768 AS dim,
        (SELECT round(sum(CAST(CAST((i % 10) / 10.0 AS FLOAT) AS DOUBLE)), 6) FROM range(768) t(i)) AS total,
        '2024-01-02 12:00:00' AS created_at FROM v_new"""
+        ),
+        "enrich_models": _with(
+            f"""SELECT 'https://item/' || item_pos AS url,
+       CASE WHEN bars = 0 THEN 'first' || chr(10) || chr(10) || '💡 Key Takeaways:' || chr(10) || '• a' || chr(10) || '• b'
+            WHEN bars <= 100 THEN 'second' ELSE 'ValueError: no answer' END AS summary,
+       CASE WHEN bars > 100 THEN 0 ELSE CAST(least(10, greatest(1, length(prompt) % 14)) AS INTEGER) END AS quality_score
+FROM (SELECT *, length(prompt) - length(replace(prompt, '|', '')) AS bars FROM v_prompts) t WHERE length(title) BETWEEN 1 AND 1024""",
+            *_prompts(),
+        ),
+        "embed_models": _with(
+            """SELECT id AS article_id, round(CAST(CAST(n AS FLOAT) / CAST(sqrt(n * n + e * e) AS FLOAT) AS DOUBLE), 6) AS first,
+       round(CAST(CAST(e AS FLOAT) / CAST(sqrt(n * n + e * e) AS FLOAT) AS DOUBLE), 6) AS second
+FROM (SELECT id, CAST(length(summary) AS DOUBLE) AS n, CAST(length(summary) - length(replace(summary, 'e', '')) AS DOUBLE) AS e FROM v_articles) t"""
         ),
         "insert_articles": _with(
             f"""SELECT id, feed_id, title, url, raw_content, quality_score, {_stamp('created_at')} AS created_at FROM v_articles
@@ -407,10 +427,8 @@ FROM v_ranked_days GROUP BY day""",
         "escape_quoted": f"SELECT page_id, {_escape('html')} AS escaped, {_escape('html', True)} AS quoted FROM pages",
         "truncate_text": f"WITH {_cut(8000)[0]}\nSELECT doc_id, cut FROM v_cut",
         "prompt_text": _with(
-            f"""SELECT item_pos, CAST(length(prompt) AS INTEGER) AS size, prompt FROM (
-  SELECT item_pos, {_q(_PROMPT_HEAD)} || title || chr(10) || 'Article Content:' || chr(10) || cut || chr(10) AS prompt
-  FROM v_items JOIN v_cut ON doc_id = item_pos) t""",
-            *_cut(12000),
+            "SELECT item_pos, CAST(length(prompt) AS INTEGER) AS size, prompt FROM v_prompts",
+            *_prompts(),
         ),
         "split_text": """SELECT doc_id, CAST(i AS INTEGER) AS piece_no,
        CASE WHEN strlen(text) <= 3800 THEN text ELSE substring(text, CAST(i * 3800 + 1 AS INTEGER), 3800) END AS piece

@@ -6,6 +6,7 @@ compared between engines.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -434,6 +435,52 @@ def enrich_offline(spark, folder):
     return valid.join(size, "id").select("id", "url", "summary", "quality_score", "dim", "total", _stamp("created_at"))
 
 
+def _first_model(client: str, prompt: str) -> str:
+    """Stands for a model that fails on some prompts and scores by their length."""
+    if "|" in prompt:
+        raise TimeoutError("quota")
+    return json.dumps({"three_line_summary": client, "key_takeaways": ["a", "b"], "quality_score": len(prompt) % 14})
+
+
+def _second_model(client: str, prompt: str) -> str:
+    if prompt.count("|") > 100:
+        raise ValueError("no answer")
+    return json.dumps({"three_line_summary": client, "key_takeaways": [], "quality_score": len(prompt) % 14})
+
+
+def _measure(client: str, words: str) -> list[float]:
+    return [float(len(words)), float(words.count("e")), 1.0]
+
+
+def _models() -> enrich.ModelProvider:
+    return enrich.ModelProvider(
+        (enrich.Model(lambda: "first", _first_model, _measure), enrich.Model(lambda: "second", _second_model, _measure))
+    )
+
+
+@query
+def enrich_models(spark, folder):
+    """Two models in turn over every item: answers, and the items both failed on."""
+    storable, _ = ingest.split_storable(tables.items(spark, folder).drop("url").withColumn("url", _item_url()))
+    valid, failed = enrich.enrich_items(storable, _models(), _as_of())
+    return valid.select("url", "summary", "quality_score").unionByName(
+        failed.select("url", F.col("reason").alias("summary"), F.lit(0).alias("quality_score"))
+    )
+
+
+def _item_url() -> Column:
+    """One URL per item, so that copies stay apart."""
+    return F.concat(F.lit("https://item/"), F.col("item_pos"))
+
+
+@query
+def embed_models(spark, folder):
+    """Vectors of the stored summaries, cut to two dimensions."""
+    made, _ = enrich.embed_articles(tables.articles(spark, folder), _models(), _as_of(), dim=2)
+    first, second = (_six(F.col("embedding")[i].cast("double")) for i in (0, 1))
+    return made.select("article_id", first.alias("first"), second.alias("second"))
+
+
 @query
 def insert_articles(spark, folder):
     valid, _ = enrich.enrich_items(_fresh(spark, folder), enrich.OfflineProvider(), _as_of())
@@ -570,6 +617,7 @@ def daily_run(spark, folder):
 def stream_ingest(spark, folder):
     out = session.shared_folder(spark, "stream")
     schema = tables.read(spark, folder, "documents").schema
+    # a stream reads a folder or a pattern; this pattern matches the one file or folder
     arriving = spark.readStream.schema(schema).parquet(f"{folder}/documents.parque[t]")
     ingest_stream.ingest_available(
         tables.raw_feeds(arriving),

@@ -36,16 +36,16 @@ def test_scans_and_lookups(spark):
 def test_add_given_discovered_conflict(spark):
     table, rejected = add(
         spark, three(spark).limit(0),
-        ("https://news.ycombinator.com/rss", "Hacker News", None),
-        ("https://example.com/rss", "", "Discovered Tech Feed"),
-        (" https://news.ycombinator.com/rss ", "again", None),
+        ("https://news.example.org/rss", "Daily News", None),
+        ("https://example.com/rss", "", "Its Own Title"),
+        (" https://news.example.org/rss ", "again", None),
         ("https://untitled/rss", " ", ""),
         ("not-a-valid-url", "Invalid Feed", None),
         ("  ", "no url", None),
     )
     assert {r.url: r.name for r in table.collect()} == {
-        "https://news.ycombinator.com/rss": "Hacker News",
-        "https://example.com/rss": "Discovered Tech Feed",
+        "https://news.example.org/rss": "Daily News",
+        "https://example.com/rss": "Its Own Title",
         "https://untitled/rss": "https://untitled/rss",
     }
     assert all(r.is_active and str(r.created_at) == NOW for r in table.collect())

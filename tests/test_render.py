@@ -59,7 +59,7 @@ def test_one_article(spark):
 
 
 def test_long_digest_is_split_between_blocks(spark):
-    article = ("Sample Article Title", "https://example.com/test", 7, "This is a detailed summary of a tech article. " * 15)
+    article = ("A Long Story", "https://example.com/test", 7, "One more sentence about the same long story. " * 15)
     (chunks,) = rendered(spark, render.html_chunks, [article] * 15)
     assert len(chunks) > 1
     for chunk in chunks:

@@ -6,8 +6,8 @@ from feedloom.functions import rules
 
 def test_feed_error(spark):
     cases = [
-        ("https://techcrunch.com/feed/", "TechCrunch", None),
-        ("  HTTPS://techcrunch.com/feed/ ", "x", None),
+        ("https://feeds.example.org/all/", "Example", None),
+        ("  HTTPS://feeds.example.org/all/ ", "x", None),
         ("not-a-valid-url", "Invalid Feed", "invalid_url"),
         ("https://example.com/rss", "   ", "empty_name"),
         ("not-a-valid-url", " ", "empty_name"),  # the name is checked first
@@ -50,7 +50,7 @@ def test_scores_and_limits(evaluate):
 
 
 def test_queries_and_names(evaluate):
-    assert rules.clean_query("  autonomous agents in Go ") == "autonomous agents in Go"
+    assert rules.clean_query("  stream joins ") == "stream joins"
     with pytest.raises(ValueError):
         rules.clean_query("   ")
     assert evaluate(rules.query_error, ["x", "   ", None]) == [None, "empty_query", "empty_query"]
