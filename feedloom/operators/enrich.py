@@ -141,8 +141,9 @@ class ModelProvider:
                 yield batch
 
         schema = T.StructType([*rows.schema.fields, target, T.StructField("error", T.StringType())])
-        # by row values, not round robin: a task run again gets the same rows
-        spread = rows.repartition(self.partitions, source) if self.partitions else rows
+        # by the values of the whole row: a task run again gets the same rows, and
+        # equal texts under different URLs do not meet in one task
+        spread = rows.repartition(self.partitions, *rows.columns) if self.partitions else rows
         return spread.mapInPandas(ask, schema)
 
     def summarise(self, items: DataFrame) -> DataFrame:

@@ -28,11 +28,11 @@ _SALT = "_salt"
 
 def few(keys: DataFrame) -> bool:
     """Whether the keys may be broadcast, by their number and the bytes of their
-    texts. The count stops at the bound."""
+    texts. An aggregation and not a limit, which would pull rows into one task."""
     texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, kind in keys.dtypes if kind == "string"]
     size = reduce(Column.__add__, texts, F.lit(0).cast("long"))
-    seen = keys.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
-    return seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES
+    total = keys.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    return total["n"] <= BROADCAST_ROWS and (total["bytes"] or 0) <= BROADCAST_BYTES
 
 
 def if_few(keys: DataFrame) -> DataFrame:

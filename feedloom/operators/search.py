@@ -19,12 +19,16 @@ from feedloom.functions import rules
 from feedloom.functions.text import is_blank
 from feedloom.functions.vectors import distances, matrix
 from feedloom.operators.enrich import Provider
+from feedloom.operators.joins import few
 from feedloom.operators.ranking import fetch
 from feedloom.schemas import ARTICLE_COLUMNS
 
 # A query block of this many values is shipped to every task: 32 MB as doubles.
 BLOCK_VALUES = 4_000_000
 _ROWS_AT_ONCE = 2048
+# How many times k a search looks up before it takes vectors without an article
+# for common.
+SPARE = 4
 
 
 def _nearest_first() -> list[Column]:
@@ -49,7 +53,7 @@ def nearest(embeddings: DataFrame, query: Sequence[float], k: int, articles: Dat
 
     With ``articles``, vectors without an article are left out and the article's
     time is given as well; that join moves ids, times and distances, never
-    vectors. Leave it away where deletes cascade.
+    vectors.
     """
     scored = distances_to(embeddings, query)
     if articles is not None:
@@ -57,30 +61,35 @@ def nearest(embeddings: DataFrame, query: Sequence[float], k: int, articles: Dat
     return scored.orderBy(*_nearest_first()).limit(k)
 
 
-def search(
-    articles: DataFrame,
-    embeddings: DataFrame,
-    query: Sequence[float],
-    limit: object = None,
-    vectors_may_be_orphaned: bool = True,
-) -> DataFrame:
+def _hits(articles: DataFrame, embeddings: DataFrame, query: Sequence[float], k: int) -> list[tuple]:
+    """(id, distance, created_at) of the k nearest vectors that have an article.
+
+    Where deletes cascade every vector has one, so a few more vectors than needed
+    are looked up first, a scan of two columns with an IN filter. Only if too many
+    of them are orphans are all distances joined with the articles.
+    """
+    more = k * SPARE
+    near = nearest(embeddings, query, more).collect()
+    among = articles.where(F.col("id").isin([row["article_id"] for row in near]))
+    created = {row["id"]: row["created_at"] for row in among.select("id", "created_at").collect()}
+    hits = [(row["article_id"], row["distance"], created[row["article_id"]]) for row in near if row["article_id"] in created]
+    if len(hits) < k and len(near) == more:
+        return [tuple(row) for row in nearest(embeddings, query, k, articles).collect()]
+    return hits[:k]
+
+
+def search(articles: DataFrame, embeddings: DataFrame, query: Sequence[float], limit: object = None) -> DataFrame:
     """The articles nearest to the query with their ``similarity_score``.
 
-    The hits, 50 at most, come to the driver as ids and go back as an IN filter:
-    the wide columns of the other articles are not shuffled. With the times of
-    the articles as a second filter the reader skips most of them unread, as
-    articles are written in order of time.
+    The hits, 50 at most, come to the driver as ids and go back as filters on id
+    and time: the wide columns of the other articles are not shuffled, and as
+    articles are written in order of time the reader skips most of them unread.
     """
-    k = rules.hit_limit(limit)
-    hits = nearest(embeddings, query, k, articles if vectors_may_be_orphaned else None).collect()
-    ids = [h.article_id for h in hits]
-    if vectors_may_be_orphaned:
-        found = fetch(articles, ids, [h.created_at for h in hits])
-    else:
-        found = articles.where(F.col("id").isin(ids))
+    hits = _hits(articles, embeddings, query, rules.hit_limit(limit))
+    found = fetch(articles, [h[0] for h in hits], [h[2] for h in hits])
     if not hits:
         return found.withColumn("distance", F.lit(None).cast("double")).withColumn("similarity_score", F.col("distance"))
-    by_id = F.create_map(*[F.lit(v) for h in hits for v in (h.article_id, h.distance)])
+    by_id = F.create_map(*[F.lit(v) for h in hits for v in h[:2]])
     return (
         found.withColumn("distance", by_id[F.col("id")])
         .withColumn("similarity_score", 1 - F.col("distance"))
@@ -190,6 +199,16 @@ def _with_shuffled_blocks(vectors: DataFrame, queries: DataFrame, dim: int, bloc
     return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(meet, _HITS_DDL)
 
 
+def of_articles(embeddings: DataFrame, articles: DataFrame) -> DataFrame:
+    """Vectors that have an article. The orphans are found by id; as long as they
+    are few, no vector moves."""
+    ids = articles.select(F.col("id").alias("article_id"))
+    orphans = embeddings.select("article_id").join(ids, "article_id", "left_anti").distinct()
+    if few(orphans):
+        return embeddings.join(F.broadcast(orphans), "article_id", "left_anti")
+    return embeddings.join(ids, "article_id", "left_semi")
+
+
 def batch_search(
     embeddings: DataFrame,
     queries: DataFrame,
@@ -211,13 +230,13 @@ def batch_search(
     )
     vectors = embeddings.select("article_id", "embedding")
     if articles is not None:
-        vectors = vectors.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+        vectors = of_articles(vectors, articles)
     block_rows = max(1, block_values // dim)
-    first = asked.limit(block_rows + 1).toArrow()
-    if first.num_rows == 0:
+    queries_asked = asked.count()
+    if queries_asked == 0:
         hits = asked.sparkSession.createDataFrame([], _HITS_DDL)
-    elif first.num_rows <= block_rows:
-        hits = _with_shipped_queries(vectors, first, dim)
+    elif queries_asked <= block_rows:
+        hits = _with_shipped_queries(vectors, asked.toArrow(), dim)
     else:
         hits = _with_shuffled_blocks(vectors, asked, dim, block_rows)
     order = Window.partitionBy("query_id").orderBy(*_nearest_first())

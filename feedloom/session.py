@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Runtime-settable. UTC because days and digest dates are UTC by definition;
-# 64 because a search fetches at most 50 articles by id and that IN list should
+# 256 because a search looks up at most 200 articles by id and that IN list should
 # reach the parquet reader whole instead of as a min/max range.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.parquet.pushdown.inFilterThreshold": "64",
+    "spark.sql.parquet.pushdown.inFilterThreshold": "256",
 }
 
 

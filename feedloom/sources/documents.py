@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions.binding import computed_once
-from feedloom.functions.text import parse_feed_date, trim_space
+from feedloom.functions.text import SPACES, parse_feed_date, trim_space
 
 _S = T.StringType()
 
@@ -114,20 +114,39 @@ def _json(items: Column) -> Column:
     )
 
 
+def _plain_ampersands(body: Column) -> Column:
+    """Ampersands that start no XML entity become text, as lenient readers take
+    them: bare ones, and HTML entities. What is marked as CDATA stays."""
+    parts = F.split(body, r"(?=<!\[CDATA\[)|(?<=\]\]>)")
+    return F.array_join(
+        F.transform(
+            parts,
+            lambda p: F.when(p.startswith("<![CDATA["), p).otherwise(
+                F.regexp_replace(p, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+            ),
+        ),
+        "",
+    )
+
+
 def parse(raw_feeds: DataFrame) -> DataFrame:
     """Adds ``feed_title``, ``entries`` (array) and ``readable``; drops the body.
 
-    A body is readable when it is well formed and has the root of a known dialect.
+    A body is readable when it is well formed, loose ampersands aside, and has the
+    root of a known dialect.
     """
+    body = F.ltrim(F.col("body"), F.lit("\ufeff" + SPACES))
     # XML is the only dialect that starts with "<"; the parser is not run on others.
-    is_xml = F.substring(trim_space(F.col("body")), 1, 1) == "<"
+    is_xml = F.col("_body").startswith("<")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    body = F.col("body")
-    parsed = computed_once(
-        raw_feeds,
-        _xml=F.from_xml(F.when(is_xml, body), _XML.json(), options),
-        _json=F.from_json(F.when(~is_xml, body), _JSON, options),
+    first = computed_once(
+        raw_feeds.withColumn("_body", body),
+        _first=F.from_xml(F.when(is_xml, F.col("_body")), _XML.json(), options),
+        _json=F.from_json(F.when(~is_xml, F.col("_body")), _JSON, options),
     )
+    second = F.from_xml(_plain_ampersands(F.col("_body")), _XML.json(), options)
+    broken = F.col("_first._broken").isNotNull() & F.col("_body").contains("&")
+    parsed = computed_once(first, _xml=F.when(broken, second).otherwise(F.col("_first")))
     x, j = F.col("_xml"), F.col("_json")
     no_rss = F.array().cast(_XML["item"].dataType)
     no_json = F.array().cast(_JSON["items"].dataType)
@@ -144,7 +163,7 @@ def parse(raw_feeds: DataFrame) -> DataFrame:
         computed_once(parsed, entries=found)
         .withColumn("readable", F.col("entries").isNotNull())
         .withColumn("feed_title", F.when(F.col("readable"), title))
-        .drop("_xml", "_json", "body")
+        .drop("_first", "_xml", "_json", "_body", "body")
     )
 
 

@@ -6,7 +6,7 @@ from feedloom.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "8")
+    session = local_session("tests", "8", **{"spark.sql.maxMetadataStringLength": "5000"})
     yield session
     session.stop()
 

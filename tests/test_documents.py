@@ -59,3 +59,14 @@ def test_titles(spark):
 def test_a_feed_without_items_is_readable(spark):
     rows = raw(spark, (0, 0, rss(title="Empty")), (1, 0, '<feed xmlns="http://www.w3.org/2005/Atom"><title>E</title></feed>'))
     assert documents.unreadable(rows).isEmpty() and documents.entries(rows).isEmpty()
+
+
+def test_loose_ampersands_and_leading_marks(spark):
+    loose = rss(("Q&nbsp;&amp; A & B", "https://u?a=1&b=2", "<![CDATA[x & <b>y</b> &nbsp;]]> &eacute;"))
+    marked = "\ufeff \n" + rss(("T", "https://marked", "x"))
+    assert items(spark, loose, marked) == {
+        "https://u?a=1&b=2": (0, "Q&nbsp;& A & B", "x & y &nbsp; &eacute;", None),
+        "https://marked": (0, "T", "x", None),
+    }
+    still_broken = rss(("a & b", "https://u", "x"))[:-4]
+    assert documents.unreadable(raw(spark, (0, 0, still_broken))).count() == 1

@@ -46,6 +46,13 @@ def test_search_joins_articles_and_limits(spark, stored, data):
     assert search.search(table.limit(0), stored, data[3].tolist(), 3).collect() == []
 
 
+def test_search_among_many_orphans(spark, stored, data):
+    far = brute(data, data[3], 300)[-6:]
+    table = articles(spark, *[(int(i[-3:]), 1, f"u{i}", 5, at()) for i in far])
+    assert [r.id for r in search.search(table, stored, data[3].tolist(), 5).collect()] == far[:5]
+    assert [r.id for r in search.search(table, stored, data[3].tolist(), 50).collect()] == far
+
+
 def test_ties_zero_vectors_and_wrong_lengths(spark):
     rows = vectors(spark, (4, [1, 0], at()), (2, [2, 0], at()), (3, [0, 0], at()), (1, [-1, 0], at()), (0, [0, 1], at()))
     got = [(r.article_id, r.distance) for r in search.nearest(rows, [1.0, 0.0], 5).collect()]
