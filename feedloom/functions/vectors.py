@@ -58,4 +58,4 @@ def distances(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         out = 1.0 - (rows @ queries.T) / norms
     out[norms == 0] = np.nan
-    return np.round(out, DISTANCE_DECIMALS)
+    return np.round(out, DISTANCE_DECIMALS) + 0.0  # no negative zero

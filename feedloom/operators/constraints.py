@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from feedloom import schemas as S
 from feedloom.functions import rules
 from feedloom.functions.text import is_uuid
-from feedloom.operators.ingest import of_unknown_feeds
 
 
 def _counts(frame: DataFrame, **broken: Column) -> DataFrame:
@@ -26,19 +25,17 @@ def _surplus(frame: DataFrame, key: str, rule: str) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("broken")).select(F.lit(rule).alias("rule"), "broken")
 
 
-def _total(frame: DataFrame, rule: str) -> DataFrame:
-    return frame.agg(F.count("*").alias("broken")).select(F.lit(rule).alias("rule"), "broken")
-
-
-def _told_apart(articles: DataFrame) -> list[str]:
-    return [c for c in ("url", "item_pos") if c in articles.columns]
+def _dangling(frame: DataFrame, key: str, targets: DataFrame, rule: str) -> DataFrame:
+    """Rows whose key is no id of the target; one row per key and task moves."""
+    counts = frame.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"))
+    missing = counts.join(targets.select("id"), "id", "left_anti")
+    return missing.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("broken")).select(F.lit(rule).alias("rule"), "broken")
 
 
 def rule_report(feeds: DataFrame, articles: DataFrame, embeddings: DataFrame, searches: DataFrame, dim: int) -> DataFrame:
     """One row per rule with the number of rows that break it."""
     col = F.col
     bad_score = ~F.coalesce(col("quality_score").between(S.MIN_SCORE, S.MAX_SCORE), F.lit(False))
-    stored = articles.select(col("id").alias("article_id"))
     parts = [
         _counts(
             feeds,
@@ -56,8 +53,8 @@ def rule_report(feeds: DataFrame, articles: DataFrame, embeddings: DataFrame, se
         _surplus(feeds, "url", "feed_url_unique"),
         _surplus(articles, "url", "article_url_unique"),
         _surplus(embeddings, "article_id", "embedding_unique"),
-        _total(of_unknown_feeds(articles.select("feed_id", *_told_apart(articles)), feeds), "article_feed_exists"),
-        _total(embeddings.select("article_id").join(stored, "article_id", "left_anti"), "embedding_article_exists"),
+        _dangling(articles, "feed_id", feeds, "article_feed_exists"),
+        _dangling(embeddings, "article_id", articles, "embedding_article_exists"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -158,7 +158,11 @@ def _with_shipped_queries(vectors: DataFrame, queries: pa.Table, dim: int) -> Da
     names = queries.column("query_id").to_pylist()
     limits = queries.column("k").to_pylist()
     targets = matrix(queries.column("embedding").combine_chunks(), dim)
-    shipped = vectors.sparkSession.sparkContext.broadcast((names, limits, targets))
+    context = vectors.sparkSession.sparkContext
+    shipped = context.broadcast((names, limits, targets))
+    # every task sends on k rows per query, so there should be no more tasks than
+    # keep the cores busy, however many files there are
+    vectors = vectors.coalesce(4 * context.defaultParallelism)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, limits, targets = shipped.value
@@ -203,7 +207,7 @@ def of_articles(embeddings: DataFrame, articles: DataFrame) -> DataFrame:
     """Vectors that have an article. The orphans are found by id; as long as they
     are few, no vector moves."""
     ids = articles.select(F.col("id").alias("article_id"))
-    orphans = embeddings.select("article_id").join(ids, "article_id", "left_anti").distinct()
+    orphans = embeddings.select("article_id").distinct().join(ids, "article_id", "left_anti")
     if few(orphans):
         return embeddings.join(F.broadcast(orphans), "article_id", "left_anti")
     return embeddings.join(ids, "article_id", "left_semi")

@@ -108,7 +108,7 @@ v_ranked AS (
   FROM v_embeddings, v_asked WHERE article_id IN (SELECT id FROM v_articles))"""
 
 _KNN_BATCH = _with(
-    "SELECT CAST(query_id AS VARCHAR) AS query_id, rank, article_id, round(sim, 6) AS similarity_score FROM v_ranked WHERE rank <= k",
+    "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(rank AS INTEGER) AS rank, article_id, round(sim, 6) AS similarity_score FROM v_ranked WHERE rank <= k",
     _LABEL_QUERIES,
 )
 
@@ -410,7 +410,7 @@ FROM v_updates GROUP BY article_id""",
         ),
         "top_today": _with(f"{_TOP} WHERE v_articles.created_at BETWEEN {_DAY} AND {_AS_OF} ORDER BY quality_score DESC, v_articles.created_at DESC, id LIMIT 5"),
         "top_fallback": _with(f"{_TOP} ORDER BY quality_score DESC, v_articles.created_at DESC, id LIMIT 5"),
-        "top_per_day": _with("SELECT CAST(day AS VARCHAR) AS day, rank, id, title, quality_score FROM v_ranked_days", _per_day(3)),
+        "top_per_day": _with("SELECT CAST(day AS VARCHAR) AS day, CAST(rank AS INTEGER) AS rank, id, title, quality_score FROM v_ranked_days", _per_day(3)),
         "digest_html": _with(
             "SELECT CAST(day AS VARCHAR) AS digest_date, array_to_string(chunks, chr(10) || chr(10)) AS body FROM v_finished",
             *_chunked(_per_day(5)), recursive=True,
