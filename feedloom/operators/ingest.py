@@ -108,6 +108,15 @@ def insert_articles(articles: DataFrame, created: DataFrame) -> DataFrame:
     return articles.select(ARTICLE_COLUMNS).unionByName(created.select(ARTICLE_COLUMNS))
 
 
+def write_articles(created: DataFrame, path: str) -> None:
+    """Append to a table partitioned by day, which rankings and fetches prune by.
+    Rows are sent to their day and a hash of their id, so a day with very many
+    articles is written by several tasks."""
+    days = created.select(ARTICLE_COLUMNS).withColumn("day", F.to_date("created_at"))
+    part = F.pmod(F.xxhash64("id"), F.lit(8))
+    days.repartition("day", part).sortWithinPartitions("created_at").write.mode("append").partitionBy("day").parquet(path)
+
+
 def url_counts(articles: DataFrame) -> DataFrame:
     return articles.groupBy("url").agg(F.count("*").alias("n"))
 

@@ -14,21 +14,30 @@ def top_size(requested: int) -> int:
     return requested if requested > 0 else DEFAULT_TOP
 
 
-def _best() -> list[Column]:
+def best_first() -> list[Column]:
     return [F.desc("quality_score"), F.desc("created_at"), F.asc("id")]
 
 
-def fetch(articles: DataFrame, ids: list, created: list) -> DataFrame:
-    """Whole rows of a bounded result, by filters that reach the scan."""
-    times = [F.lit(t) for t in sorted(set(created))]
-    return articles.where(F.col("id").isin(ids) & F.col("created_at").isin(times))
+def fetch(articles: DataFrame, ids: list[str], micros: list[int]) -> DataFrame:
+    """Whole rows of a bounded result by id and creation time (in microseconds).
+
+    The filters are constants and reach the scan; a ``day`` partition column is
+    used where the table has one.
+    """
+    times = [F.timestamp_micros(F.lit(m)) for m in sorted(set(micros))]
+    rows = articles.where(F.col("id").isin(ids) & F.col("created_at").isin(times))
+    if "day" in articles.columns:
+        rows = rows.where(F.col("day").isin([F.to_date(t) for t in times]))
+    return rows
 
 
 def top_of_day(articles: DataFrame, as_of: Column, n: int = DEFAULT_TOP) -> DataFrame:
-    """The day's best. The day filter reaches the scan; on a table partitioned by
-    day only that day is read."""
-    today = (F.col("created_at") >= day_start(as_of)) & (F.col("created_at") <= as_of)
-    return articles.where(today).orderBy(*_best()).limit(top_size(n))
+    """The day's best. The time filter reaches the scan; of a table partitioned by
+    ``day`` only that day is read."""
+    rows = articles.where((F.col("created_at") >= day_start(as_of)) & (F.col("created_at") <= as_of))
+    if "day" in articles.columns:
+        rows = rows.where(F.col("day") == F.to_date(as_of))
+    return rows.orderBy(*best_first()).limit(top_size(n))
 
 
 def top_or_latest(articles: DataFrame, as_of: Column, n: int = DEFAULT_TOP) -> DataFrame:
@@ -42,19 +51,19 @@ def top_or_latest(articles: DataFrame, as_of: Column, n: int = DEFAULT_TOP) -> D
     today = F.col("created_at") >= day_start(as_of)
     best = (
         articles.where(F.col("created_at") <= as_of)
-        .select("id", "quality_score", "created_at", today.alias("today"))
-        .orderBy(F.desc("today"), *_best())
+        .select("id", "quality_score", "created_at", today.alias("today"), F.unix_micros("created_at").alias("micros"))
+        .orderBy(F.desc("today"), *best_first())
         .limit(top_size(n))
         .collect()
     )
     any_today = any(row["today"] for row in best)
     chosen = [row for row in best if row["today"] == any_today]
-    return fetch(articles, [row["id"] for row in chosen], [row["created_at"] for row in chosen]).orderBy(*_best())
+    return fetch(articles, [row["id"] for row in chosen], [row["micros"] for row in chosen]).orderBy(*best_first())
 
 
 def top_per_day(articles: DataFrame, n: int = DEFAULT_TOP) -> DataFrame:
     """The ranking of every day of history. The group limit runs before the
     shuffle, so a day with very many articles sends n rows per task."""
     days = articles.withColumn("day", F.to_date("created_at"))
-    order = Window.partitionBy("day").orderBy(*_best())
+    order = Window.partitionBy("day").orderBy(*best_first())
     return days.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_size(n))

@@ -62,7 +62,7 @@ def nearest(embeddings: DataFrame, query: Sequence[float], k: int, articles: Dat
 
 
 def _hits(articles: DataFrame, embeddings: DataFrame, query: Sequence[float], k: int) -> list[tuple]:
-    """(id, distance, created_at) of the k nearest vectors that have an article.
+    """(id, distance, created) of the k nearest vectors that have an article.
 
     Where deletes cascade every vector has one, so a few more vectors than needed
     are looked up first, a scan of two columns with an IN filter. Only if too many
@@ -71,10 +71,12 @@ def _hits(articles: DataFrame, embeddings: DataFrame, query: Sequence[float], k:
     more = k * SPARE
     near = nearest(embeddings, query, more).collect()
     among = articles.where(F.col("id").isin([row["article_id"] for row in near]))
-    created = {row["id"]: row["created_at"] for row in among.select("id", "created_at").collect()}
+    micros = F.unix_micros("created_at").alias("micros")
+    created = {row["id"]: row["micros"] for row in among.select("id", micros).collect()}
     hits = [(row["article_id"], row["distance"], created[row["article_id"]]) for row in near if row["article_id"] in created]
     if len(hits) < k and len(near) == more:
-        return [tuple(row) for row in nearest(embeddings, query, k, articles).collect()]
+        joined = nearest(embeddings, query, k, articles)
+        return [tuple(row) for row in joined.select("article_id", "distance", micros).collect()]
     return hits[:k]
 
 

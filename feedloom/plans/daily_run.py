@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedloom.functions.render import Style
-from feedloom.functions.text import day_start
 from feedloom.operators import digest, ingest, ranking
 from feedloom.operators.enrich import Provider, embed_articles, enrich_items
 from feedloom.schemas import ARTICLE_COLUMNS, EMBEDDING_DIM
 from feedloom.sources.documents import entries
 
+log = logging.getLogger(__name__)
+
 
 def items_of(raw_feeds: DataFrame, feeds: DataFrame) -> DataFrame:
     """Clean items of the active feeds' readable bodies.
@@ -47,6 +50,8 @@ class Run:
     embeddings: DataFrame  # only the new ones
     top: DataFrame
     chunks: DataFrame  # digest_date, chunk_no, body; no rows when there is nothing to send
+    items_checked: int = 0
+    new_articles: int = 0
 
 
 def run_daily(
@@ -59,9 +64,11 @@ def run_daily(
     top_n: int = ranking.DEFAULT_TOP,
     dim: int = EMBEDDING_DIM,
     style: Style = Style(),
+    send: Callable[[DataFrame], None] | None = None,
 ) -> Run:
     """Write ``candidates``, ``articles``, ``embeddings`` and ``digest_chunks``
-    below ``out``.
+    below ``out``, and hand the chunks to ``send`` unless there are none. A
+    failure to send is logged and the digest returned all the same.
 
     The provider's answers are written before anything reads them a second time,
     so a lost executor costs no answer twice after that point.
@@ -77,23 +84,28 @@ def run_daily(
         )
         return Run(nothing, empty_vectors, nothing, digest.deliverable(digests, style))
 
-    found = staged(candidates(items_of(raw_feeds, feeds)), f"{out}/candidates")
+    # both counts are taken by the writing jobs themselves
+    checked, made = Observation(), Observation()
+    items = items_of(raw_feeds, feeds).observe(checked, F.count(F.lit(1)).alias("n"))
+    found = staged(candidates(items), f"{out}/candidates")
     valid, _ = enrich_items(ingest.unseen_staged(found, stored), provider, as_of)
-    new = staged(valid, f"{out}/articles")
+    new = staged(valid.observe(made, F.count(F.lit(1)).alias("n")), f"{out}/articles")
     vectors = staged(embed_articles(new, provider, as_of, dim)[0], f"{out}/embeddings")
 
-    everything = stored.unionByName(new)
-    today = (F.col("created_at") >= day_start(as_of)) & (F.col("created_at") <= as_of)
-    # history is only read on a day without any article
-    if everything.where(today).select("id").isEmpty():
-        top = ranking.top_or_latest(everything, as_of, top_n)
-    else:
-        top = ranking.top_of_day(everything, as_of, top_n)
+    def best(ranked) -> DataFrame:
+        """The best of the stored and the new articles, each ranked by itself."""
+        both = ranked(articles, as_of, top_n).select(ARTICLE_COLUMNS).unionByName(ranked(new, as_of, top_n))
+        return both.orderBy(*ranking.best_first()).limit(ranking.top_size(top_n))
+
+    top = best(ranking.top_of_day)
+    if top.isEmpty():  # history is only read on a day without any article
+        top = best(ranking.top_or_latest)
     digests = digest.as_digest(top, as_of)
     digest.write_digest(digests, f"{out}/digest_chunks", style)
-    return Run(
-        new,
-        vectors,
-        top,
-        spark.read.parquet(f"{out}/digest_chunks"),
-    )
+    chunks = spark.read.parquet(f"{out}/digest_chunks")
+    if send is not None and not chunks.isEmpty():
+        try:
+            send(chunks)
+        except Exception as failure:
+            log.warning("the digest was not sent: %s", failure)
+    return Run(new, vectors, top, chunks, checked.get["n"], made.get["n"])

@@ -57,10 +57,10 @@ BODIES = (
 AS_OF = "2024-01-03 06:00:00"
 
 
-def run(spark, out, feed_rows=FEEDS, bodies=BODIES, table=None, top_n=5):
+def run(spark, out, feed_rows=FEEDS, bodies=BODIES, table=None, top_n=5, send=None):
     table = stored(spark) if table is None else table
     return daily_run.run_daily(
-        feeds(spark, *feed_rows), table, raw(spark, *bodies), OfflineProvider(), when(AS_OF), str(out), top_n
+        feeds(spark, *feed_rows), table, raw(spark, *bodies), OfflineProvider(), when(AS_OF), str(out), top_n, send=send
     )
 
 
@@ -71,10 +71,22 @@ def test_daily_run(spark, tmp_path):
         ("https://own", "Zeta own", fid(1)),
     }
     assert {r.article_id for r in result.embeddings.collect()} == {r.id for r in result.articles.collect()}
+    assert (result.items_checked, result.new_articles) == (5, 2)
     (chunk,) = result.chunks.collect()
     assert chunk.digest_date == datetime.date(2024, 1, 3) and "Alpha shared" in chunk.body and "#2" in chunk.body
 
 
+def test_a_failure_to_send_does_not_lose_the_digest(spark, tmp_path, caplog):
+    sent = []
+
+    def fail(chunks):
+        sent.append(chunks.count())
+        raise ConnectionError("no network")
+
+    result = run(spark, tmp_path, send=fail)
+    assert sent == [1] and result.chunks.count() == 1 and "no network" in caplog.text
+
+
 def test_nothing_new_still_ranks_and_falls_back(spark, tmp_path):
     result = run(spark, tmp_path, bodies=[(1, 1, rss(("old", "u1", "z")))], top_n=2)
     assert result.articles.isEmpty()
@@ -88,8 +100,9 @@ def test_without_active_feeds_nothing_happens(spark, tmp_path):
 
 
 def test_without_any_article_nothing_is_sent(spark, tmp_path):
-    result = run(spark, tmp_path, bodies=[(1, 1, "junk")], table=stored(spark).limit(0))
-    assert result.chunks.isEmpty()
+    sent = []
+    result = run(spark, tmp_path, bodies=[(1, 1, "junk")], table=stored(spark).limit(0), send=sent.append)
+    assert result.chunks.isEmpty() and sent == []
 
 
 def start(spark, source, out, table):

@@ -121,6 +121,20 @@ def test_fallback_reads_narrow_then_fetches_by_id_and_time(on_disk):
     assert "In(id, [" in text and "created_at" in text.split("PushedFilters")[1]
 
 
+def test_a_table_by_day_is_pruned(spark, tmp_path):
+    rows = articles(spark, *[(i, 1, f"u{i}", 1 + i % 10, at(1 + i % 5, i % 24)) for i in range(40)])
+    ingest.write_articles(rows, str(tmp_path / "articles"))
+    table = spark.read.parquet(str(tmp_path / "articles"))
+    noon = F.lit("2024-01-02 12:00:00").cast("timestamp")
+    day = ranking.top_of_day(table, noon, 3)
+    assert "PartitionFilters: [isnotnull(day" in plan(day) and "2024-01-02" in plan(day)
+    assert [r.id for r in day.collect()] == [r.id for r in ranking.top_of_day(rows, noon, 3).collect()]
+    late = F.lit("2030-01-01").cast("timestamp")
+    latest = ranking.top_or_latest(table, late, 3)
+    assert "PartitionFilters: [" in plan(latest) and "day" in plan(latest).split("PartitionFilters: [")[1][:60]
+    assert [r.id for r in latest.collect()] == [r.id for r in ranking.top_or_latest(rows, late, 3).collect()]
+
+
 def shares(frame):
     """Share of all rows in each partition, largest first."""
     sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
