@@ -49,22 +49,25 @@ def _repeated(keys: DataFrame) -> DataFrame:
     return keys.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def _salted_join(rows: DataFrame, keys: DataFrame, on: str, spread_by: tuple[str, ...], how: str) -> DataFrame:
-    if few(keys):
+def _key_join(rows: DataFrame, keys: DataFrame, on: str, spread_by: tuple[str, ...], how: str, small: bool | None) -> DataFrame:
+    if few(keys) if small is None else small:
         return rows.join(F.broadcast(keys), on, how)
     return _salted(rows, spread_by).join(_repeated(keys), [on, _SALT], how).drop(_SALT)
 
 
-def keep_matching(rows: DataFrame, keys: DataFrame, on: str, spread_by: tuple[str, ...]) -> DataFrame:
+# ``small`` is the answer of ``few`` where the caller has asked already.
+
+
+def keep_matching(rows: DataFrame, keys: DataFrame, on: str, spread_by: tuple[str, ...], small: bool | None = None) -> DataFrame:
     """Rows whose key is in ``keys`` (one row per key)."""
-    return _salted_join(rows, keys.select(on), on, spread_by, "left_semi")
+    return _key_join(rows, keys.select(on), on, spread_by, "left_semi", small)
 
 
-def drop_matching(rows: DataFrame, keys: DataFrame, on: str, spread_by: tuple[str, ...]) -> DataFrame:
+def drop_matching(rows: DataFrame, keys: DataFrame, on: str, spread_by: tuple[str, ...], small: bool | None = None) -> DataFrame:
     """Rows whose key is not in ``keys`` (one row per key)."""
-    return _salted_join(rows, keys.select(on), on, spread_by, "left_anti")
+    return _key_join(rows, keys.select(on), on, spread_by, "left_anti", small)
 
 
 def attach(rows: DataFrame, keys: DataFrame, on: str, spread_by: tuple[str, ...], how: str = "inner") -> DataFrame:
     """Rows with the columns of ``keys`` (one row per key) next to them."""
-    return _salted_join(rows, keys, on, spread_by, how)
+    return _key_join(rows, keys, on, spread_by, how, None)

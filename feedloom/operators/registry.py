@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import rules
 from feedloom.functions.text import canonical_uuid, is_blank, trim_space, uuid_from
-from feedloom.operators.joins import attach, drop_matching, if_few, keep_matching
+from feedloom.operators.joins import attach, drop_matching, few, if_few, keep_matching
 from feedloom.schemas import FEED_COLUMNS
 
 
@@ -144,10 +144,11 @@ def delete_feeds(feeds: DataFrame, articles: DataFrame, embeddings: DataFrame, r
     """
     ids = _by_uuid(requests).select("id").distinct()
     gone = ids.join(feeds.select("id"), "id", "left_semi").withColumnRenamed("id", "feed_id")
-    lost = keep_matching(articles.select("id", "feed_id"), gone, "feed_id", spread_by=("id",))
+    small = few(gone)
+    lost = keep_matching(articles.select("id", "feed_id"), gone, "feed_id", spread_by=("id",), small=small)
     return Deletion(
         feeds.join(gone, feeds["id"] == gone["feed_id"], "left_anti"),
-        drop_matching(articles, gone, "feed_id", spread_by=("id",)).select(articles.columns),
+        drop_matching(articles, gone, "feed_id", spread_by=("id",), small=small).select(articles.columns),
         embeddings.join(if_few(lost.select(F.col("id").alias("article_id"))), "article_id", "left_anti").select(embeddings.columns),
         _not_found(feeds, ids),
     )
