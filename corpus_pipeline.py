@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import quality
+from feedloom.llm import bpe, exact_dedup, mixing, near_join, quality
 from feedloom.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,7 +17,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return quality.kept(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules)]
+def exact_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return exact_dedup.kept(docs, exact_dedup.earlier_half(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return near_join.kept(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return bpe.report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", source_mix),
+    ("byte-level BPE", encoded),
+]
 
 #: Mixing draws by hashes and encoding needs the ranks of a vocabulary: no SQL.
 ORACLE_SQL = None

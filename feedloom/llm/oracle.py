@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express. Constants are written out here, not imported."""
 
+from feedloom.llm import license_rules
+
 QUALITY = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents),
 w AS (SELECT doc_id, t, lang, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -59,5 +61,108 @@ FROM m
 """
 
 
+DEDUP = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+  count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
+
+
+LICENSES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, ' ' || trim(lower(regexp_replace(coalesce(text, ''), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', '  ', 'g')), ' ') || ' ' AS norm
+  FROM documents),
+phrase AS (FROM (VALUES (' mit  license ', 'mit'), (' apache  license ', 'apache'), (' general  public  license ', 'gpl')) v(p, label)),
+cut AS (SELECT rid, label, p, string_split(norm, p) AS gaps FROM d JOIN phrase ON contains(norm, p)),
+place AS (
+  SELECT rid, label, k, sum(length(gaps[k]) - length(replace(gaps[k], ' ', ''))) OVER (PARTITION BY rid, label ORDER BY k) AS gap_spaces,
+    (length(p) - length(replace(p, ' ', ''))) * (k - 1) AS own_spaces
+  FROM (SELECT *, unnest(range(1, len(gaps))) AS k FROM cut)),
+base AS (
+  SELECT rid, count(*) AS n, min((gap_spaces + own_spaces) // 2)::BIGINT AS a, max((gap_spaces + own_spaces) // 2)::BIGINT AS b, list(DISTINCT label) AS ls
+  FROM place GROUP BY rid),
+rule AS (FROM (VALUES {rules}) v(rank, level, label, gate, pattern, weight)),
+likely AS (SELECT * FROM d WHERE regexp_matches(norm, 'licen| under | hereby | fee | redistribution | origin | unencumbered | domain | rights | spdx ')),
+hit AS (
+  SELECT rid, rule.*, regexp_extract_all(norm, pattern) AS ms, string_split_regex(norm, pattern) AS gaps
+  FROM likely JOIN rule ON contains(norm, gate)),
+span AS (
+  SELECT rid, rank, level, label, weight, ends - length(ms[k]) AS s, ends AS e FROM (
+    SELECT *, sum(length(gaps[k]) + length(ms[k])) OVER (PARTITION BY rid, rank ORDER BY k) AS ends
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM hit WHERE len(ms) > 0))),
+left_ AS (
+  SELECT x.* FROM span x WHERE NOT EXISTS (
+    SELECT 1 FROM span y WHERE y.rid = x.rid AND y.s <= x.s AND y.e >= x.e AND y.level <= x.level
+      AND (y.s < x.s OR y.e > x.e OR y.level < x.level OR y.rank < x.rank))),
+own AS (SELECT rid, list(DISTINCT label) AS ls, max(weight) AS w FROM left_ GROUP BY rid)
+SELECT doc_id, CASE WHEN norm = '  ' THEN 0 ELSE (length(norm) - length(replace(norm, ' ', ''))) // 2 END::BIGINT AS n_words,
+  coalesce(base.n, 0)::BIGINT AS n_base, base.a AS first_word, base.b AS last_word,
+  coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(own.ls, [])))), ','), '') AS labels,
+  coalesce(own.w, 0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN own USING (rid)
+"""
+
+
+def _license_values() -> str:
+    # the signature table itself; the matching is written anew above
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = enumerate(license_rules.rules())
+    return ", ".join(f"({k}, {r.level}, {quoted(r.label)}, {quoted(f' {r.keyword} ')}, {quoted(license_rules.spaced(r.pattern))}, {r.weight})" for k, r in rows)
+
+
+URLS = r"""
+WITH u AS (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url,
+    CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT rid, page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+l AS (
+  SELECT *, CASE
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    string_split(host, '.') AS ls, list_filter(string_split(path, '/'), lambda p: p <> '' AND NOT regexp_matches(p, '^[0-9]')) AS ps FROM h),
+t AS (
+  SELECT *, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_filter(list_concat([
+      CASE WHEN starts_with(url, 'https:') THEN 'scheme:https' ELSE 'scheme:other' END,
+      CASE WHEN ls[-1] <> '' THEN 'top:' || ls[-1] END,
+      CASE WHEN len(ls) >= 2 THEN 'domain:' || ls[-2] || '.' || ls[-1] END,
+      CASE WHEN len(ls) >= 3 AND ls[-3] <> '' THEN 'name:' || ls[-3] END,
+      CASE WHEN len(ls) >= 4 AND ls[1] <> '' THEN 'sub:' || ls[1] END,
+      'part:' || ps[1],
+      CASE WHEN regexp_matches(path, '\.[A-Za-z]+$') THEN 'ending:' || regexp_extract(path, '\.([A-Za-z]+)$', 1) END,
+      CASE WHEN contains(url, '?') THEN 'query' END, CASE WHEN contains(url, '#') THEN 'anchor' END],
+    CASE WHEN len(ls) >= 3 AND contains(ls[-3], '-') THEN list_transform(list_slice(string_split(ls[-3], '-'), 1, 3), lambda w: 'word:' || w) ELSE [] END),
+    lambda x: x IS NOT NULL))) END AS items FROM l),
+g AS (SELECT doc_id AS page_id, max(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+tx AS (SELECT row_number() OVER () AS tid, items, bad FROM t JOIN g USING (page_id)),
+c AS (SELECT count(*) AS n, coalesce(sum(bad::INT), 0) AS nb, greatest(5, ceil(count(*) * 0.002)) AS least FROM tx),
+single AS (SELECT item FROM (SELECT unnest(items) AS item, bad FROM tx) GROUP BY item HAVING sum(bad::INT) >= (SELECT least FROM c)),
+known AS (SELECT list(item) AS names FROM single),
+fit AS (SELECT bad, list_filter(items, lambda x: list_contains(names, x)) AS items FROM tx, known),
+kind AS (SELECT items, count(*) AS n, sum(bad::INT) AS nb FROM fit GROUP BY items),
+subset AS (
+  SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS ante, n, nb
+  FROM (SELECT *, unnest(range(1, 1 << len(items))) AS mask FROM kind)),
+r AS (
+  SELECT ante, sum(nb) / sum(n) AS conf FROM subset GROUP BY ante
+  HAVING sum(nb) >= (SELECT least FROM c) AND sum(nb) / sum(n) >= 0.5 AND sum(nb) / sum(n) >= (SELECT 1.2 * nb / n FROM c) AND (SELECT nb FROM c) >= 5)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN EXISTS (SELECT 1 FROM r WHERE list_has_all(t.items, r.ante)) THEN 'block' ELSE 'allow' END AS verdict
+FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": QUALITY}
+    return {
+        "op2_exact_dedup": DEDUP,
+        "op4_url_filter": URLS,
+        "op6_license_scan": LICENSES.replace("{rules}", _license_values()),
+        "op10_quality_rules": QUALITY,
+    }
