@@ -56,7 +56,7 @@ NAMES = (
     ("cc-by", "cc", "cc by(?: [1234] 0)?", "cc by(?: [1234] 0)?"),
     ("cc-by-nc-sa", "sharealike", "creative commons attribution non ?commercial sharealike(?: [1234] 0)?", "cc by nc sa"),
     ("cc-by-nc", "attribution", "creative commons attribution non ?commercial(?: [1234] 0)?", "cc by nc"),
-    ("cc-by-sa", "sharealike", "creative commons attribution share ?alike(?: [1234] 0)?", "cc by sa"),
+    ("cc-by-sa", "attribution", "creative commons attribution share ?alike(?: [1234] 0)?", "cc by sa"),
     ("cc-by", "attribution", "creative commons attribution(?: [1234] 0)?", "cc by"),
     ("ofl", "sil", "sil open font", "ofl(?: 1 [01])?"),
     ("psf", "python", "python software foundation", "psf(?: 2 0)?"),
