@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import staged
-from feedloom.operators.joins import attach
+from feedloom.operators.joins import attach, if_few
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
@@ -274,6 +274,8 @@ def joined(docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: fl
     nodes = staged(prepared.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")), "nodes")
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = nodes.join(met, "node", "left_semi").select(F.col("first_id").alias("__id"))
+    # while the candidates are few, the documents stay where they are
+    ids = if_few(staged(ids, "candidate-ids"))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     links = staged(_verified(pairs, _sets(texts).dropDuplicates(["node"])), "links")
     return prepared.select("doc_id", "node"), nodes, links
