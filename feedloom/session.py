@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime-settable. UTC because days and digest dates are UTC by definition;
 # 256 because a search looks up at most 200 articles by id and that IN list should
@@ -45,12 +46,22 @@ def local_session(app: str, cores: str = "*", **extra: str) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may go
-    without, since there the driver's disk is also the executors' disk.
+    The cluster names it in ``spark.checkpoint.dir``; a folder of one machine is
+    refused there. Only a session of one process, as in tests, may go without.
     """
+    master = spark.sparkContext.master
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="feedloom-")
+    elif root.startswith("file:") and not master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir is {root}, a folder of one machine")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written once below the shared folder and read again."""
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,9 @@ from feedloom.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "8", **{"spark.sql.maxMetadataStringLength": "5000"})
+    session = local_session(
+        "tests", "8", **{"spark.sql.maxMetadataStringLength": "5000", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-")}
+    )
     yield session
     session.stop()
 
