@@ -1,24 +1,40 @@
 """Approximate search: vectors filed by the side of a few fixed planes they lie on.
 
-The bucket is a partition column, so a search reads a few directories only. One
-row per vector, however many buckets are probed, and no bucket is ever gathered
-in one task: a bucket that holds a third of all vectors is just more files.
+The bucket is a partition column, so a search reads a few directories only. The
+number of planes follows from the number of vectors (about its square root of buckets), and
+the sizes of the buckets are stored beside them: a search takes buckets in the
+order of their distance until they hold the wanted number of candidates, a share
+of all vectors that shrinks as there are more of them. One row per vector, however
+many buckets are probed, and no bucket is ever gathered in one task: one that holds a
+third of all vectors is just more files.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.vectors import matrix
 from feedloom.operators.search import nearest
 
-BITS = 8
-PROBES = 64
+#: Directories stay manageable.
+MOST_BITS = 16
+
+
+def bits_for(rows: int) -> int:
+    """Planes for so many vectors: half the binary digits of their number."""
+    return min(MOST_BITS, max(1, math.ceil(math.log2(max(rows, 2)) / 2)))
+
+
+def candidates_for(rows: int, k: int) -> int:
+    """Vectors to look at: 30 % of 2,000, 6 % of a million, 1 % of a billion."""
+    return max(10 * k, math.ceil(2 * rows**0.75))
 
 
 def planes(bits: int, dim: int) -> np.ndarray:
@@ -27,7 +43,7 @@ def planes(bits: int, dim: int) -> np.ndarray:
     return np.sin(n * n * 0.6180339887).reshape(bits, dim)
 
 
-def index_embeddings(embeddings: DataFrame, dim: int, bits: int = BITS) -> DataFrame:
+def index_embeddings(embeddings: DataFrame, dim: int, bits: int) -> DataFrame:
     """(article_id, embedding, bucket)."""
     normals = planes(bits, dim)
     weights = 1 << np.arange(bits)
@@ -43,26 +59,49 @@ def index_embeddings(embeddings: DataFrame, dim: int, bits: int = BITS) -> DataF
     )
 
 
-def write_index(index: DataFrame, path: str) -> None:
+@dataclass(frozen=True)
+class Index:
+    vectors: DataFrame
+    sizes: dict[int, int]  # of the buckets that are not empty
+    bits: int
+
+    @property
+    def rows(self) -> int:
+        return sum(self.sizes.values())
+
+
+def write_index(embeddings: DataFrame, dim: int, path: str) -> None:
     """Partitioned by bucket. The range cut takes the id in, so that a large
     bucket is written by several tasks and a small one into one file."""
-    index.repartitionByRange("bucket", "article_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    spark, bits = embeddings.sparkSession, bits_for(embeddings.count())
+    filed = index_embeddings(embeddings, dim, bits).repartitionByRange("bucket", "article_id")
+    filed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
+    sizes = spark.read.parquet(f"{path}/vectors").groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes.withColumn("bits", F.lit(bits)).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """A written index. The driver keeps one number per bucket, 65,536 at most."""
+    rows = spark.read.parquet(f"{path}/sizes").collect()
+    return Index(spark.read.parquet(f"{path}/vectors"), {r["bucket"]: r["n"] for r in rows}, rows[0]["bits"] if rows else 1)
 
 
-def buckets_to_probe(query: Sequence[float], bits: int = BITS, probes: int = PROBES) -> list[int]:
-    """The query's own bucket first, then those across the planes it is closest to."""
+def buckets_to_probe(index: Index, query: Sequence[float], wanted: int) -> list[int]:
+    """Buckets by the squared distance of the planes between them and the query,
+    until they hold the wanted number of vectors."""
     vector = np.asarray(query, dtype=np.float64)
-    margins = planes(bits, len(vector)) @ vector
-    home = int(((margins >= 0) * (1 << np.arange(bits))).sum())
-    crossed = (np.arange(1 << bits)[:, None] ^ home) >> np.arange(bits) & 1
+    margins = planes(index.bits, len(vector)) @ vector
+    home = int(((margins >= 0) * (1 << np.arange(index.bits))).sum())
+    filled = np.array(sorted(index.sizes), dtype=np.int64)
+    crossed = (filled[:, None] ^ home) >> np.arange(index.bits) & 1
     cost = np.round((crossed * margins**2).sum(axis=1), 12)
-    order = np.lexsort((np.arange(1 << bits), cost))
-    return [int(b) for b in order[:probes]]
+    order = filled[np.lexsort((filled, cost))]
+    before = np.cumsum([0, *(index.sizes[b] for b in order.tolist())])[:-1]
+    return order[before < wanted].tolist()
 
 
-def search_index(index: DataFrame, query: Sequence[float], k: int, bits: int = BITS, probes: int = PROBES) -> DataFrame:
-    """The k nearest (article_id, distance) among the probed buckets, re-ranked
-    exactly. Where those hold fewer than k vectors, all buckets are searched."""
-    near = index.where(F.col("bucket").isin(buckets_to_probe(query, bits, probes)))
-    enough = near.select("bucket").limit(k).count() >= k
-    return nearest(near if enough else index, query, k)
+def search_index(index: Index, query: Sequence[float], k: int, wanted: int | None = None) -> DataFrame:
+    """The k nearest (article_id, distance) among the probed buckets, re-ranked exactly."""
+    wanted = candidates_for(index.rows, k) if wanted is None else max(wanted, k)
+    probed = buckets_to_probe(index, query, wanted)
+    return nearest(index.vectors.where(F.col("bucket").isin(probed)), query, k)

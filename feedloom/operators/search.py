@@ -22,10 +22,13 @@ from feedloom.operators.enrich import Provider
 from feedloom.operators.joins import few
 from feedloom.operators.ranking import fetch
 from feedloom.schemas import ARTICLE_COLUMNS
+from feedloom.session import shared_folder, staged
 
 # A query block of this many values is shipped to every task: 32 MB as doubles.
 BLOCK_VALUES = 4_000_000
 _ROWS_AT_ONCE = 2048
+# Distances held at once by a worker: 32 MB as doubles, and a few copies of them.
+_CELLS = 4_000_000
 # How many times k a search looks up before it takes vectors without an article
 # for common.
 SPARE = 4
@@ -113,35 +116,48 @@ class _Best:
     """The k best of each query so far, ties on distance decided by id."""
 
     def __init__(self, limits: Sequence[int]):
-        self.limits = list(limits)
-        self.rows: list[list[tuple[float, str]]] = [[] for _ in limits]
+        self.limits = np.asarray(limits, np.int64)
+        self.most = int(self.limits.max(initial=0))
         self.worst = np.full(len(self.limits), np.inf)
+        self.queries = np.empty(0, np.int64)
+        self.values = np.empty(0)
+        self.ids = np.empty(0, object)
+
+    def _first(self, queries: np.ndarray, values: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which of these rows are among the first k of their query, in order."""
+        order = np.lexsort((ids, values, queries))
+        starts = np.searchsorted(queries[order], np.arange(len(self.limits)))
+        place = np.arange(len(order)) - starts[queries[order]]
+        return order[place < self.limits[queries[order]]]
 
     def add(self, ids: np.ndarray, found: np.ndarray) -> None:
+        """A block of vectors: their ids, and their distances with a column per query."""
         found = np.where(np.isnan(found), np.inf, found)
-        hit_rows, hit_queries = np.nonzero(found <= self.worst[None, :])
-        order = np.argsort(hit_queries, kind="stable")
-        starts = np.searchsorted(hit_queries[order], np.arange(len(self.limits) + 1))
-        for q, k in enumerate(self.limits):
-            rows = hit_rows[order[starts[q] : starts[q + 1]]]
-            if len(rows) == 0:
-                continue
-            values = found[rows, q]
-            if len(rows) > k:
-                # ties with the k-th value stay until the ids decide
-                chosen = values <= np.partition(values, k - 1)[k - 1]
-                rows, values = rows[chosen], values[chosen]
-            best = sorted(self.rows[q] + list(zip(values.tolist(), ids[rows].tolist())))[:k]
-            self.rows[q] = best
-            self.worst[q] = best[-1][0] if len(best) == k else np.inf
+        bound = self.worst
+        if len(found) > self.most:
+            # ties with the k-th value stay until the ids decide
+            bound = np.minimum(bound, np.partition(found, self.most - 1, axis=0)[self.most - 1])
+        rows, queries = np.nonzero(found <= bound[None, :])
+        by_id = np.argsort(np.argsort(ids, kind="stable"))
+        best = self._first(queries, found[rows, queries], by_id[rows])
+        rows, queries = rows[best], queries[best]
+        self.queries = np.concatenate([self.queries, queries])
+        self.values = np.concatenate([self.values, found[rows, queries]])
+        self.ids = np.concatenate([self.ids, ids[rows]])
+        _, names = np.unique(self.ids, return_inverse=True)
+        best = self._first(self.queries, self.values, names)
+        self.queries, self.values, self.ids = self.queries[best], self.values[best], self.ids[best]
+        counts = np.bincount(self.queries, minlength=len(self.limits))
+        ends = np.cumsum(counts) - 1
+        full = (counts == self.limits) & (counts > 0)
+        self.worst[full] = self.values[ends[full]]
 
     def batch(self, query_ids: Sequence) -> dict[str, list]:
-        flat = [(q, k, i, d) for q, k, rows in zip(query_ids, self.limits, self.rows) for d, i in rows]
         return {
-            "query_id": [f[0] for f in flat],
-            "k": [f[1] for f in flat],
-            "article_id": [f[2] for f in flat],
-            "distance": [math.nan if math.isinf(f[3]) else f[3] for f in flat],
+            "query_id": [query_ids[q] for q in self.queries.tolist()],
+            "k": self.limits[self.queries].astype(np.int32),
+            "article_id": self.ids.tolist(),
+            "distance": np.where(np.isinf(self.values), np.nan, self.values),
         }
 
 
@@ -150,21 +166,20 @@ _HITS_DDL = "query_id string, k int, article_id string, distance double"
 
 
 def _feed(best: _Best, ids: pa.Array, vectors: pa.Array, targets: np.ndarray) -> None:
-    for start in range(0, len(ids), _ROWS_AT_ONCE):
-        block = matrix(vectors.slice(start, _ROWS_AT_ONCE), targets.shape[1])
-        names = np.array(ids.slice(start, _ROWS_AT_ONCE).to_pylist(), dtype=object)
+    """Meets the vectors in blocks of a bounded number of distances."""
+    rows = max(1, min(_ROWS_AT_ONCE, _CELLS // max(1, len(targets))))
+    for start in range(0, len(ids), rows):
+        block = matrix(vectors.slice(start, rows), targets.shape[1])
+        names = np.array(ids.slice(start, rows).to_pylist(), dtype=object)
         best.add(names, distances(block, targets))
 
 
 def _with_shipped_queries(vectors: DataFrame, queries: pa.Table, dim: int) -> DataFrame:
+    """The k best of each query and task; the vectors are read where they lie."""
     names = queries.column("query_id").to_pylist()
     limits = queries.column("k").to_pylist()
     targets = matrix(queries.column("embedding").combine_chunks(), dim)
-    context = vectors.sparkSession.sparkContext
-    shipped = context.broadcast((names, limits, targets))
-    # every task sends on k rows per query, so there should be no more tasks than
-    # keep the cores busy, however many files there are
-    vectors = vectors.coalesce(4 * context.defaultParallelism)
+    shipped = vectors.sparkSession.sparkContext.broadcast((names, limits, targets))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, limits, targets = shipped.value
@@ -176,40 +191,24 @@ def _with_shipped_queries(vectors: DataFrame, queries: pa.Table, dim: int) -> Da
     return vectors.mapInArrow(scan, _HITS_DDL)
 
 
-def _with_shuffled_blocks(vectors: DataFrame, queries: DataFrame, dim: int, block_rows: int) -> DataFrame:
-    """Every block of queries meets every block of vectors in a task of its own.
-
-    Blocks are cut by a hash of unique ids, so all of one side are about equally
-    long whatever the data, and a task sends on k rows per query, not the pairs.
-    """
-    q_blocks = math.ceil(queries.count() / block_rows)
-    v_blocks = max(1, math.ceil(vectors.count() / (BLOCK_VALUES // dim)))
-
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    def block_of(key: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-    left = queries.withColumn("_q", block_of("query_id", q_blocks)).withColumn("_v", every(v_blocks))
-    right = vectors.withColumn("_v", block_of("article_id", v_blocks)).withColumn("_q", every(q_blocks))
-
-    def meet(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        if asked.num_rows == 0 or stored.num_rows == 0:
-            return _HITS.empty_table()
-        best = _Best(asked.column("k").to_pylist())
-        targets = matrix(asked.column("embedding").combine_chunks(), dim)
-        _feed(best, stored.column("article_id").combine_chunks(), stored.column("embedding").combine_chunks(), targets)
-        return pa.Table.from_pydict(best.batch(asked.column("query_id").to_pylist()), schema=_HITS)
-
-    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(meet, _HITS_DDL)
+def _in_query_blocks(vectors: DataFrame, queries: DataFrame, dim: int, blocks: int) -> DataFrame:
+    """One scan of the vectors for each block of queries. The vectors never move, and a
+    block's hits are written before the next one is shipped."""
+    spark = vectors.sparkSession
+    path = shared_folder(spark, "batch-search")
+    cut = staged(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
+    for number in range(blocks):
+        block = cut.where(F.col("_block") == number).drop("_block").toArrow()
+        if block.num_rows:
+            _with_shipped_queries(vectors, block, dim).write.mode("append").parquet(path)
+    return spark.read.schema(_HITS_DDL).parquet(path)
 
 
 def of_articles(embeddings: DataFrame, articles: DataFrame) -> DataFrame:
     """Vectors that have an article. The orphans are found by id; as long as they
     are few, no vector moves."""
     ids = articles.select(F.col("id").alias("article_id"))
-    orphans = embeddings.select("article_id").distinct().join(ids, "article_id", "left_anti")
+    orphans = staged(embeddings.select("article_id").distinct().join(ids, "article_id", "left_anti"), "orphans")
     if few(orphans):
         return embeddings.join(F.broadcast(orphans), "article_id", "left_anti")
     return embeddings.join(ids, "article_id", "left_semi")
@@ -226,8 +225,8 @@ def batch_search(
     (query_id, embedding, requested), exact.
 
     A query table of a size checked against ``block_values`` is shipped to the
-    tasks that scan the vectors, which then do not move. A larger one is met block
-    by block through a shuffle.
+    tasks that scan the vectors, which then do not move. A larger one is cut into
+    blocks of that size, each of which is shipped to a scan of its own.
     """
     asked = queries.select(
         F.col("query_id").cast("string").alias("query_id"),
@@ -244,7 +243,8 @@ def batch_search(
     elif queries_asked <= block_rows:
         hits = _with_shipped_queries(vectors, asked.toArrow(), dim)
     else:
-        hits = _with_shuffled_blocks(vectors, asked, dim, block_rows)
+        # half full on average, as the blocks are cut by a hash
+        hits = _in_query_blocks(vectors, asked, dim, 2 * math.ceil(queries_asked / block_rows))
     order = Window.partitionBy("query_id").orderBy(*_nearest_first())
     return (
         hits.withColumn("rank", F.row_number().over(order))

@@ -2,9 +2,11 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.functions.vectors import distances as search_distances
 from feedloom.operators import ann, enrich, search
 from tests.tables import articles, at, fid, vectors
 
@@ -89,6 +91,18 @@ def test_batch_keeps_ties_until_the_ids_decide(spark, block_values):
     assert got == {0: [fid(i) for i in range(50)], 1: [fid(0), fid(1)]}
 
 
+def test_blocks_of_distances_are_bounded(monkeypatch, data):
+    monkeypatch.setattr(search, "_CELLS", 40)
+    best, seen = search._Best([3, 1, 50]), []
+    monkeypatch.setattr(search, "distances", lambda rows, asked: seen.append(len(rows) * len(asked)) or search_distances(rows, asked))
+    ids = pa.array([fid(i) for i in range(len(data))])
+    search._feed(best, ids, pa.array(data.tolist(), pa.list_(pa.float32())), data[:3].astype(np.float64))
+    found = best.batch(["a", "b", "c"])
+    assert max(seen) <= 40
+    for q, k in (("a", 3), ("b", 1), ("c", 50)):
+        assert [i for i, name in zip(found["article_id"], found["query_id"]) if name == q] == brute(data, data["abc".index(q)], k)
+
+
 def test_batch_with_few_vectors_ranks_zero_vectors_last(spark):
     rows = vectors(spark, (1, [0.0] * DIM, at()), (2, [1.0] * DIM, at()))
     assert batches(spark, rows, [(0, [1.0] * DIM, 5)]) == {0: [fid(2), fid(1)]}
@@ -102,30 +116,38 @@ def test_batch_of_known_articles(spark, stored, data):
 
 
 def test_approximate_search_recall(spark, stored, data, tmp_path):
+    shares = []
+    for size in (300, 6000):
+        path, rows = str(tmp_path / f"index{size}"), np.random.default_rng(size).normal(size=(size, DIM)).astype(np.float32)
+        ann.write_index(vectors(spark, *[(i, v.tolist(), at()) for i, v in enumerate(rows)]), DIM, path)
+        index = ann.open_index(spark, path)
+        assert index.rows == size
+        hits, read = 0, 0
+        for q in range(0, size, size // 10):
+            got = ann.search_index(index, rows[q].tolist(), 10).collect()
+            assert len(got) == 10
+            hits += len({r.article_id for r in got} & set(brute(rows, rows[q], 10)))
+            read += sum(index.sizes[b] for b in ann.buckets_to_probe(index, rows[q], ann.candidates_for(size, 10)))
+        assert hits >= 90  # of 100
+        shares.append(read / size / 10)
+    assert shares[1] < 0.6 * shares[0]
+    exact = ann.search_index(index, rows[5].tolist(), 10, wanted=size).collect()
+    assert [r.article_id for r in exact] == brute(rows, rows[5], 10)
+
+
+def test_buckets_are_taken_until_they_hold_enough(spark, stored, data, tmp_path):
     path = str(tmp_path / "index")
-    ann.write_index(ann.index_embeddings(stored, DIM), path)
-    index = spark.read.parquet(path)
-    assert index.count() == len(data)
-    hits = 0
-    for q in range(0, 300, 30):
-        got = ann.search_index(index, data[q].tolist(), 10).collect()
-        assert len(got) == 10
-        hits += len({r.article_id for r in got} & set(brute(data, data[q], 10)))
-    assert hits >= 80  # of 100, a quarter of the buckets probed
-    exact = ann.search_index(index, data[5].tolist(), 10, probes=1 << ann.BITS).collect()
-    assert [r.article_id for r in exact] == brute(data, data[5], 10)
-
-
-def test_too_few_candidates_fall_back_to_all_buckets(spark, stored, data):
-    index = ann.index_embeddings(stored, DIM)
-    got = ann.search_index(index, data[5].tolist(), 200, probes=1).collect()
-    assert [r.article_id for r in got] == brute(data, data[5], 200)
+    ann.write_index(stored, DIM, path)
+    index = ann.open_index(spark, path)
+    assert len(ann.search_index(index, data[5].tolist(), 200, wanted=1).collect()) == 200
+    few = ann.buckets_to_probe(index, data[5], 20)
+    assert sum(index.sizes[b] for b in few) >= 20 > sum(index.sizes[b] for b in few[:-1])
 
 
 def test_probed_buckets_prune_the_scan(spark, stored, data, tmp_path):
     path = str(tmp_path / "index")
-    ann.write_index(ann.index_embeddings(stored, DIM), path)
-    probed = ann.search_index(spark.read.parquet(path), data[0].tolist(), 3)
+    ann.write_index(stored, DIM, path)
+    probed = ann.search_index(ann.open_index(spark, path), data[0].tolist(), 3)
     plan = probed._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket" in plan and "TakeOrderedAndProject" in plan
 
