@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,12 +71,18 @@ def clamp_score(score: Column) -> Column:
 
 
 def hit_limit(requested) -> int:
-    """The number of hits for one request; accepts what a client may send."""
-    try:
-        value = int(requested)
-    except (TypeError, ValueError):
-        value = 0
-    return min(MAX_HITS, value) if value > 0 else DEFAULT_HITS
+    """The number of hits for one request: a number, or a text of ASCII digits with
+    a sign at most that fits 64 bits. Anything else counts as not given."""
+    if isinstance(requested, str):
+        requested = int(requested) if re.fullmatch("[+-]?[0-9]+", requested) else 0
+    value = requested if isinstance(requested, int) and not isinstance(requested, bool) else 0
+    return min(MAX_HITS, value) if 0 < value < 1 << 63 else DEFAULT_HITS
+
+
+def hit_limit_of_text(requested: Column) -> Column:
+    """``hit_limit`` for a column of texts."""
+    value = F.when(requested.rlike(r"\A[+-]?[0-9]+\z"), requested.try_cast("bigint"))
+    return hit_limit_column(value)
 
 
 def hit_limit_column(requested: Column) -> Column:

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.vectors import mrl_reduce
+from feedloom.operators.constraints import split_embeddings
 from feedloom.operators.enrich import Provider, embed_articles
 from feedloom.operators.joins import if_few
 from feedloom.schemas import EMBEDDINGS
 
 
-def upsert_embeddings(base: DataFrame, updates: DataFrame) -> DataFrame:
-    """Replace or add vectors by article; the latest update of an article wins.
+def upsert_embeddings(base: DataFrame, updates: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Replace or add vectors by article, and the updates that cannot be stored.
+
+    The latest update of an article wins, of equally late ones the larger vector,
+    so that a task run again picks the same.
 
     Updates shrink to one row per article before the join, so an article that is
     updated over and over is a hot key nowhere. While the updated articles are
@@ -20,13 +24,14 @@ def upsert_embeddings(base: DataFrame, updates: DataFrame) -> DataFrame:
     write what a provider made before passing it.
     """
     columns = EMBEDDINGS.fieldNames()
+    good, rejected = split_embeddings(updates.select(columns), dim)
     latest = (
-        updates.groupBy("article_id")
-        .agg(F.max_by(F.struct("embedding", "created_at"), F.col("created_at")).alias("row"))
+        good.groupBy("article_id")
+        .agg(F.max(F.struct("created_at", "embedding")).alias("row"))
         .select("article_id", "row.embedding", "row.created_at")
     )
-    replaced = if_few(updates.select("article_id").distinct())
-    return base.select(columns).join(replaced, "article_id", "left_anti").unionByName(latest)
+    replaced = if_few(good.select("article_id").distinct())
+    return base.select(columns).join(replaced, "article_id", "left_anti").unionByName(latest), rejected
 
 
 def redimension(articles: DataFrame, provider: Provider, dim: int, model: str, as_of: Column) -> DataFrame:

@@ -47,6 +47,10 @@ def test_scores_and_limits(evaluate):
     asked = [None, -2, 0, 1, 5, 50, 51]
     assert evaluate(rules.hit_limit_column, asked, "int") == [5, 5, 5, 1, 5, 50, 50]
     assert [rules.hit_limit(k) for k in [*asked, "abc", "7", ""]] == [5, 5, 5, 1, 5, 50, 50, 5, 7, 5]
+    texts = ["+7", "-7", " 7", "7 ", "1_0", "7\n", "٣", "9223372036854775807", "9223372036854775808", "", None, "0", "51"]
+    want = [7, 5, 5, 5, 5, 5, 5, 50, 5, 5, 5, 5, 50]
+    assert [rules.hit_limit(k) for k in texts] == want and rules.hit_limit(True) == 5 and rules.hit_limit(7.0) == 5
+    assert evaluate(rules.hit_limit_of_text, texts) == want
 
 
 def test_queries_and_names(evaluate):
