@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,24 +36,48 @@ def split_storable(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
 
 
-def first_per_url(items: DataFrame) -> DataFrame:
-    """The first item of each URL, feeds taken by name and items by position.
+PLACE = ("feed_name", "feed_id", "fetched_at", "body_key", "item_pos")
+
+
+def _place(items: DataFrame) -> list[str]:
+    """The columns that say where an item stood; they tell items apart."""
+    return [c for c in PLACE if c in items.columns]
 
-    ``min_by`` aggregates before the shuffle: however many copies a URL has, one
-    row per map task leaves for it.
+
+def first_places(items: DataFrame) -> DataFrame:
+    """URL and place of the first item of each URL, feeds taken by name and items by
+    position, and ``copies`` of that very place.
+
+    No text travels, and the aggregations begin before the shuffle: however many
+    copies a URL has, one row per map task leaves for it.
     """
-    rest = [c for c in items.columns if c != "url"]
-    order = F.struct(*[c for c in ("feed_name", "feed_id", "fetched_at", "item_pos") if c in rest])
-    return (
-        items.groupBy("url")
-        .agg(F.min_by(F.struct(*rest), order).alias("item"))
-        .select(*[F.col(f"item.{c}").alias(c) if c != "url" else F.col("url") for c in items.columns])
-    )
+    place = _place(items)
+    counted = items.groupBy("url", *place).agg(F.count("*").alias("copies"))
+    first = counted.groupBy("url").agg(F.min(F.struct(*place, "copies")).alias("first"))
+    return first.select("url", *[F.col(f"first.{c}").alias(c) for c in [*place, "copies"]])
+
+
+def at_places(items: DataFrame, places: DataFrame) -> DataFrame:
+    """The whole items at these places, one for each. While the places are few, the
+    items stay where they are."""
+    keys = ["url", *_place(items)]
+    wanted = places.select(*[F.col(c).alias(f"_{c}") for c in keys], "copies")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+
+    def of(part: DataFrame) -> DataFrame:
+        return items.join(part, same, "left_semi").select(items.columns)
+
+    # items that stand at one place several times are copies of one item
+    return of(wanted.where("copies = 1")).unionByName(of(wanted.where("copies > 1")).dropDuplicates(["url"]))
+
+
+def first_per_url(items: DataFrame) -> DataFrame:
+    """The first item of each URL, found by place; texts are joined to the winners."""
+    return at_places(items, first_places(items))
 
 
 def unseen(items: DataFrame, articles: DataFrame) -> DataFrame:
-    """Items whose URL is not stored. On the output of ``first_per_url`` the items
-    are already partitioned by URL and only the stored URLs move."""
+    """Items (or places) whose URL is not stored."""
     return items.join(articles.select("url"), "url", "left_anti").select(items.columns)
 
 
@@ -86,7 +112,8 @@ def of_unknown_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
 def new_items(items: DataFrame, articles: DataFrame, feeds: DataFrame) -> DataFrame:
     """Storable, first of their URL, of a known feed and not stored yet."""
     storable, _ = split_storable(items)
-    return unseen(first_per_url(of_known_feeds(storable, feeds)), articles)
+    known = of_known_feeds(storable, feeds)
+    return at_places(known, unseen(first_places(known), articles))
 
 
 def to_articles(items: DataFrame, as_of: Column) -> DataFrame:
@@ -108,13 +135,13 @@ def insert_articles(articles: DataFrame, created: DataFrame) -> DataFrame:
     return articles.select(ARTICLE_COLUMNS).unionByName(created.select(ARTICLE_COLUMNS))
 
 
-def write_articles(created: DataFrame, path: str) -> None:
-    """Append to a table partitioned by day, which rankings and fetches prune by.
-    Rows are sent to their day and a hash of their id, so a day with very many
-    articles is written by several tasks."""
+def write_articles(created: DataFrame, path: str, mode: str = "append") -> None:
+    """Write to a table partitioned by day, which rankings and fetches prune by.
+    Rows are cut by day and id into ranges of about equal size, so a day with very
+    many articles is written by several tasks and a small one into one file."""
     days = created.select(ARTICLE_COLUMNS).withColumn("day", F.to_date("created_at"))
-    part = F.pmod(F.xxhash64("id"), F.lit(8))
-    days.repartition("day", part).sortWithinPartitions("created_at").write.mode("append").partitionBy("day").parquet(path)
+    cut = days.repartitionByRange("day", "id").sortWithinPartitions("day", "created_at")
+    cut.write.mode(mode).partitionBy("day").parquet(path)
 
 
 def url_counts(articles: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import day_start
+from feedloom.operators.joins import if_few
 
 DEFAULT_TOP = 5
 
@@ -62,8 +63,11 @@ def top_or_latest(articles: DataFrame, as_of: Column, n: int = DEFAULT_TOP) -> D
 
 
 def top_per_day(articles: DataFrame, n: int = DEFAULT_TOP) -> DataFrame:
-    """The ranking of every day of history. The group limit runs before the
-    shuffle, so a day with very many articles sends n rows per task."""
-    days = articles.withColumn("day", F.to_date("created_at"))
+    """The ranking of every day of history. Ids, scores and times are ranked; the
+    group limit runs before the shuffle, so a day with very many articles sends n
+    rows per task. The rows themselves are fetched for the n of each day."""
+    days = articles.select("id", "quality_score", "created_at", F.to_date("created_at").alias("day"))
     order = Window.partitionBy("day").orderBy(*best_first())
-    return days.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_size(n))
+    best = days.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_size(n))
+    kept = [c for c in articles.columns if c != "day"]
+    return articles.select(kept).join(if_few(best.select("id", "created_at", "day", "rank")), ["id", "created_at"]).select(*kept, "day", "rank")

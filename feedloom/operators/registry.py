@@ -15,6 +15,7 @@ from feedloom.functions import rules
 from feedloom.functions.text import canonical_uuid, is_blank, trim_space, uuid_from
 from feedloom.operators.joins import attach, drop_matching, few, if_few, keep_matching
 from feedloom.schemas import FEED_COLUMNS
+from feedloom.session import staged
 
 
 @dataclass(frozen=True)
@@ -138,17 +139,19 @@ class Deletion:
 def delete_feeds(feeds: DataFrame, articles: DataFrame, embeddings: DataFrame, requests: DataFrame) -> Deletion:
     """Delete feeds by (id), with their articles and those articles' vectors.
 
-    Only ids travel: the vectors to drop are found from the dropped articles'
-    ids. Tables are left where they are when the ids are few, and a feed that
+    Only ids travel, and they are found once and staged: the vectors to drop are
+    found from the dropped articles' ids. Tables are left where they are when the ids are few, and a feed that
     owns a large share of the articles is spread when they are not.
     """
     ids = _by_uuid(requests).select("id").distinct()
-    gone = ids.join(feeds.select("id"), "id", "left_semi").withColumnRenamed("id", "feed_id")
+    asked = staged(ids.join(feeds.select("id", F.lit(True).alias("found")), "id", "left"), "deleted-feeds")
+    gone = asked.where("found").select(F.col("id").alias("feed_id"))
     small = few(gone)
     lost = keep_matching(articles.select("id", "feed_id"), gone, "feed_id", spread_by=("id",), small=small)
+    lost = staged(lost.select(F.col("id").alias("article_id")), "deleted-articles")
     return Deletion(
         feeds.join(gone, feeds["id"] == gone["feed_id"], "left_anti"),
         drop_matching(articles, gone, "feed_id", spread_by=("id",), small=small).select(articles.columns),
-        embeddings.join(if_few(lost.select(F.col("id").alias("article_id"))), "article_id", "left_anti").select(embeddings.columns),
-        _not_found(feeds, ids),
+        embeddings.join(if_few(lost), "article_id", "left_anti").select(embeddings.columns),
+        asked.where("found IS NULL").select("id", F.lit("not_found").alias("reason")),
     )

@@ -6,34 +6,51 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions.render import Style
+from feedloom.functions.rules import item_error
+from feedloom.functions.text import is_blank, trim_space
 from feedloom.operators import digest, ingest, ranking
 from feedloom.operators.enrich import Provider, embed_articles, enrich_items
-from feedloom.schemas import ARTICLE_COLUMNS, EMBEDDING_DIM
+from feedloom.operators.joins import if_few
+from feedloom.schemas import ARTICLE_COLUMNS, ARTICLES, EMBEDDING_DIM
 from feedloom.sources.documents import entries
 
 log = logging.getLogger(__name__)
 
+REJECTED = T.StructType([T.StructField(name, T.StringType()) for name in ("stage", "feed_id", "url", "reason")])
 
-def items_of(raw_feeds: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Clean items of the active feeds' readable bodies.
+
+def wanted_bodies(raw_feeds: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Bodies of the active feeds, with the feed's name and a key of the body.
 
     Feeds are matched to bodies before these are parsed, salted by the fetch: a
     feed polled far more often than others is spread, and bodies of inactive
     feeds are never parsed.
     """
-    wanted = feeds.where("is_active")
-    named = ingest.with_feed_name(raw_feeds, wanted, spread_by=("fetched_at", "body"))
-    return ingest.normalise_items(entries(named))
+    named = ingest.with_feed_name(raw_feeds, feeds.where("is_active"), spread_by=("fetched_at", "body"))
+    return named.withColumn("body_key", F.xxhash64("body"))
+
 
+def listed(bodies: DataFrame) -> DataFrame:
+    """Where every item stands and why it cannot be stored, if so: no text of it.
+    Unreadable bodies are rows as well; entries without a link are no items."""
+    rows = entries(bodies, keep_unreadable=True)
+    readable = F.col("item_pos").isNotNull()
+    rows = rows.where(~readable | ~is_blank(F.col("link")))
+    url = trim_space(F.col("link"))
+    reason = F.when(~readable, "unreadable").otherwise(item_error(F.coalesce(trim_space(F.col("title")), F.lit("")), url))
+    return rows.select("feed_id", "feed_name", "fetched_at", "body_key", "item_pos", url.alias("url"), reason.alias("reason"))
 
-def candidates(items: DataFrame) -> DataFrame:
-    """Storable, and the first of their URL."""
-    storable, _ = ingest.split_storable(items)
-    return ingest.first_per_url(storable)
+
+def items_at(bodies: DataFrame, places: DataFrame) -> DataFrame:
+    """The whole items at these places. Only bodies that hold one are parsed again."""
+    body = ["feed_id", "fetched_at", "body_key"]
+    some = bodies.join(if_few(places.select(body).distinct()), body, "left_semi")
+    return ingest.at_places(ingest.normalise_items(entries(some)), places)
 
 
 def staged(rows: DataFrame, path: str) -> DataFrame:
@@ -42,12 +59,69 @@ def staged(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """Articles written by day. The schema is given, as a run without any leaves no file."""
+    return spark.read.schema(T.StructType([*ARTICLES.fields, T.StructField("day", T.DateType())])).parquet(path)
+
+
+@dataclass(frozen=True)
+class Curated:
+    """New articles, their vectors and everything that failed, all written."""
+
+    articles: DataFrame
+    embeddings: DataFrame
+    rejected: DataFrame  # stage, feed_id, url, reason
+    items_checked: int
+    new_articles: int
+
+
+def curate(
+    raw_feeds: DataFrame,
+    feeds: DataFrame,
+    stored: DataFrame,
+    provider: Provider,
+    as_of: Column,
+    path: Callable[[str], str],
+    dim: int,
+) -> Curated:
+    """Parse, check, drop known URLs, enrich and embed; ``path`` names where each step is written.
+
+    Places and URLs are staged, not texts: most of what is polled is stored already.
+    ``answers`` and ``vectors_made`` hold what the provider made, so that no answer is
+    asked for twice; like ``listed`` and ``new_places`` they may go after the run.
+    """
+    bodies = wanted_bodies(raw_feeds, feeds)
+    rows = staged(listed(bodies), path("listed"))
+    storable = rows.where("reason IS NULL").drop("reason")
+    places = staged(ingest.unseen_staged(ingest.first_places(storable), stored), path("new_places"))
+
+    valid, failed = enrich_items(items_at(bodies, places), provider, as_of, lambda f: staged(f, path("answers")))
+    ingest.write_articles(valid, path("articles"), "overwrite")
+    new = read_articles(rows.sparkSession, path("articles"))
+    vectors, unembedded = embed_articles(new, provider, as_of, dim, lambda f: staged(f, path("vectors_made")))
+    vectors = staged(vectors, path("embeddings"))
+
+    def of(stage: str, frame: DataFrame) -> DataFrame:
+        return frame.select(F.lit(stage).alias("stage"), "feed_id", "url", "reason")
+
+    unembedded = unembedded.join(new.select(F.col("id").alias("article_id"), "feed_id", "url"), "article_id")
+    lost = rows.where("reason IS NOT NULL")
+    rejected = (
+        of("parse", lost.where("item_pos IS NULL"))
+        .unionByName(of("check", lost.where("item_pos IS NOT NULL")))
+        .unionByName(of("enrich", failed))
+        .unionByName(of("embed", unembedded))
+    )
+    return Curated(new, vectors, staged(rejected, path("rejected")), rows.where("item_pos IS NOT NULL").count(), new.count())
+
+
 @dataclass(frozen=True)
 class Run:
-    """What a run left behind; all frames read written tables or bounded results."""
+    """What a run left behind; all frames read written tables."""
 
-    articles: DataFrame  # only the new ones
+    articles: DataFrame  # only the new ones, by day
     embeddings: DataFrame  # only the new ones
+    rejected: DataFrame
     top: DataFrame
     chunks: DataFrame  # digest_date, chunk_no, body; no rows when there is nothing to send
     items_checked: int = 0
@@ -66,7 +140,7 @@ def run_daily(
     style: Style = Style(),
     send: Callable[[DataFrame], None] | None = None,
 ) -> Run:
-    """Write ``candidates``, ``articles``, ``embeddings`` and ``digest_chunks``
+    """Write ``articles`` (by day), ``embeddings``, ``rejected``, ``top`` and ``digest_chunks``
     below ``out``, and hand the chunks to ``send`` unless there are none. A
     failure to send is logged and the digest returned all the same.
 
@@ -82,24 +156,20 @@ def run_daily(
         empty_vectors = nothing.select(
             F.col("id").alias("article_id"), F.array().cast("array<float>").alias("embedding"), "created_at"
         )
-        return Run(nothing, empty_vectors, nothing, digest.deliverable(digests, style))
+        return Run(nothing, empty_vectors, spark.createDataFrame([], REJECTED), nothing, digest.deliverable(digests, style))
 
-    # both counts are taken by the writing jobs themselves
-    checked, made = Observation(), Observation()
-    items = items_of(raw_feeds, feeds).observe(checked, F.count(F.lit(1)).alias("n"))
-    found = staged(candidates(items), f"{out}/candidates")
-    valid, _ = enrich_items(ingest.unseen_staged(found, stored), provider, as_of)
-    new = staged(valid.observe(made, F.count(F.lit(1)).alias("n")), f"{out}/articles")
-    vectors = staged(embed_articles(new, provider, as_of, dim)[0], f"{out}/embeddings")
+    found = curate(raw_feeds, feeds, stored, provider, as_of, lambda name: f"{out}/{name}", dim)
 
     def best(ranked) -> DataFrame:
         """The best of the stored and the new articles, each ranked by itself."""
-        both = ranked(articles, as_of, top_n).select(ARTICLE_COLUMNS).unionByName(ranked(new, as_of, top_n))
+        both = ranked(articles, as_of, top_n).select(ARTICLE_COLUMNS)
+        both = both.unionByName(ranked(found.articles, as_of, top_n).select(ARTICLE_COLUMNS))
         return both.orderBy(*ranking.best_first()).limit(ranking.top_size(top_n))
 
-    top = best(ranking.top_of_day)
+    top = staged(best(ranking.top_of_day), f"{out}/top")
     if top.isEmpty():  # history is only read on a day without any article
-        top = best(ranking.top_or_latest)
+        top = staged(best(ranking.top_or_latest), f"{out}/top_of_all")
+    top = top.orderBy(*ranking.best_first())
     digests = digest.as_digest(top, as_of)
     digest.write_digest(digests, f"{out}/digest_chunks", style)
     chunks = spark.read.parquet(f"{out}/digest_chunks")
@@ -108,4 +178,4 @@ def run_daily(
             send(chunks)
         except Exception as failure:
             log.warning("the digest was not sent: %s", failure)
-    return Run(new, vectors, top, chunks, checked.get["n"], made.get["n"])
+    return Run(found.articles, found.embeddings, found.rejected, top, chunks, found.items_checked, found.new_articles)

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from feedloom.functions.text import INSTRUCTION, SPACE_CLASS
-from feedloom.operators.ann import BITS, PROBES
-from feedloom.operators.enrich import OfflineProvider
-
+# Written out here and not imported, so that an error in the library's copy shows.
+SPACE_CLASS = r"\t\n\x0B\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_PROMPT_HEAD = """Read the article below for the readers of the daily digest and answer with one JSON object of three fields:
+- three_line_summary: what it says, in three short sentences.
+- key_takeaways: a list of two things a reader can put to use.
+- quality_score: a whole number between 1 and 10, where 1 means empty and 10 means thorough.
+
+Article Title: """
+_OFFLINE_TAIL = (
+    " discusses core concepts.\n2. Deep dive into practical implementation.\n3. Highlights future directions and impact."
+    "\n\n💡 Key Takeaways:\n• Modular architecture improves long-term maintainability."
+    "\n• Vector embeddings enable fast semantic retrieval."
+)
 _AS_OF = "TIMESTAMP '2024-01-02 12:00:00'"
 _DAY = "TIMESTAMP '2024-01-02 00:00:00'"
 
@@ -44,9 +53,7 @@ def _escape(value: str, quotes: bool = False) -> str:
 
 
 def _offline_summary(title: str) -> str:
-    before, after = OfflineProvider.LINES.split("%s")
-    tail = after + "\n\n💡 Key Takeaways:\n" + "\n".join("• " + t for t in OfflineProvider.TAKEAWAYS)
-    return f"({_q(before)} || {title} || {_q(tail)})"
+    return f"('1. ' || {title} || {_q(_OFFLINE_TAIL)})"
 
 
 _FEED_URL = "('https://' || source || '/rss')"
@@ -112,26 +119,28 @@ _KNN_BATCH = _with(
     _LABEL_QUERIES,
 )
 
-# the planes by their rule, the probe order by the squared margins of the planes crossed
+# the planes by their rule and number, buckets by the squared margins of the planes
+# crossed, until the running size reaches the wanted number of candidates
 _KNN_APPROX = _with(
     """SELECT article_id, round(1 - list_cosine_similarity(embedding, q), 6) AS distance
-FROM v_filed, v_first, (SELECT list(bucket) AS probed FROM v_probes WHERE place <= %d) p
-WHERE (SELECT count(*) FROM v_filed, v_probes WHERE v_filed.bucket = v_probes.bucket AND place <= %d) < 10
-   OR list_contains(probed, bucket)
-ORDER BY round(1 - list_cosine_similarity(embedding, q), 12), article_id LIMIT 10"""
-    % (PROBES, PROBES),
-    f"""v_planes AS (
+FROM v_filed JOIN v_probes USING (bucket), v_first, v_size WHERE before < wanted
+ORDER BY round(1 - list_cosine_similarity(embedding, q), 12), article_id LIMIT 10""",
+    """v_size AS (
+  SELECT least(16, greatest(1, CAST(ceil(log2(greatest(count(*), 2)) / 2) AS INTEGER))) AS bits,
+         greatest(100, ceil(2 * pow(count(*), 0.75))) AS wanted FROM v_embeddings),
+v_planes AS (
   SELECT b, list(sin(CAST(b * 64 + d + 1 AS DOUBLE) * CAST(b * 64 + d + 1 AS DOUBLE) * 0.6180339887) ORDER BY d) AS normal
-  FROM range({BITS}) t(b), range(64) u(d) GROUP BY b),
+  FROM range(16) t(b), range(64) u(d) WHERE b < (SELECT bits FROM v_size) GROUP BY b),
 v_filed AS (
   SELECT article_id, embedding, vec_id,
          CAST(sum(CASE WHEN list_dot_product(embedding, normal) >= 0 THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS INTEGER) AS bucket
   FROM v_embeddings, v_planes GROUP BY article_id, embedding, vec_id),
 v_margins AS (SELECT b, list_dot_product(q, normal) AS margin FROM v_first, v_planes),
+v_filled AS (SELECT bucket AS c, count(*) AS n FROM v_filed GROUP BY bucket),
 v_probes AS (
-  SELECT CAST(c AS INTEGER) AS bucket, row_number() OVER (ORDER BY round(cost, 12), c) AS place FROM (
-    SELECT c, sum(CASE WHEN ((c >> CAST(b AS INTEGER)) & 1) <> (CASE WHEN margin >= 0 THEN 1 ELSE 0 END) THEN margin * margin ELSE 0 END) AS cost
-    FROM range({1 << BITS}) t(c), v_margins GROUP BY c) s)""",
+  SELECT c AS bucket, sum(n) OVER (ORDER BY round(cost, 12), c ROWS UNBOUNDED PRECEDING) - n AS before FROM (
+    SELECT c, n, sum(CASE WHEN ((c >> CAST(b AS INTEGER)) & 1) <> (CASE WHEN margin >= 0 THEN 1 ELSE 0 END) THEN margin * margin ELSE 0 END) AS cost
+    FROM v_filled, v_margins GROUP BY c, n) s)""",
 )
 
 _REDUCED = """v_cut AS (
@@ -213,13 +222,22 @@ FROM v_finished"""
 _READABLE = "text NOT LIKE '%|%'"
 # fr bodies carry their text as a description; every dialect ends in the same items
 _PARSED = f"""v_readable AS (
-  SELECT i.*, {_strip("content")} AS clean FROM v_items i JOIN documents d ON d.doc_id = i.item_pos WHERE {_READABLE}),
+  SELECT i.*, {_strip("content")} AS clean, 0 AS pos FROM v_items i JOIN documents d ON d.doc_id = i.item_pos WHERE {_READABLE}
+  UNION ALL
+  SELECT i.* REPLACE ('More' AS title, url || '/more' AS url), 'more', 1 FROM v_items i JOIN documents d ON d.doc_id = i.item_pos
+  WHERE {_READABLE} AND d.lang = 'de'),
 v_fresh AS (
   SELECT * FROM (
-    SELECT r.*, row_number() OVER (PARTITION BY url ORDER BY feed_name, feed_id, item_pos) AS rn FROM v_readable r
+    SELECT r.*, row_number() OVER (PARTITION BY url ORDER BY feed_name, feed_id, item_pos, pos) AS rn FROM v_readable r
     WHERE length(title) BETWEEN 1 AND 1024 AND feed_id IN (SELECT id FROM v_feeds WHERE is_active)) t
   WHERE rn = 1 AND url NOT IN (SELECT url FROM v_articles))"""
 
+_REJECTED = f"""SELECT 'parse' AS stage, feed_id, NULL::VARCHAR AS url, 'unreadable' AS reason
+FROM v_items JOIN documents d ON d.doc_id = item_pos
+WHERE NOT ({_READABLE}) AND feed_id IN (SELECT id FROM v_feeds WHERE is_active)
+UNION ALL SELECT 'check', feed_id, url, CASE WHEN title = '' THEN 'empty_title' ELSE 'title_too_long' END FROM v_readable
+WHERE NOT length(title) BETWEEN 1 AND 1024 AND feed_id IN (SELECT id FROM v_feeds WHERE is_active)"""
+
 _RUN_RANKED = f"""v_ranked_days AS (
   SELECT * FROM (
     SELECT *, DATE '2024-01-02' AS day, row_number() OVER (ORDER BY quality_score DESC, created_at DESC, id) AS rank FROM (
@@ -246,7 +264,7 @@ v_cut AS (
 
 
 def _prompts() -> tuple[str, ...]:
-    head = _q(INSTRUCTION.format(publication="the daily digest"))
+    head = _q(_PROMPT_HEAD)
     return (
         *_cut(12000),
         f"""v_prompts AS (
@@ -255,7 +273,7 @@ def _prompts() -> tuple[str, ...]:
     )
 
 
-_ANSWER_SCORE = "CASE lang WHEN 'fr' THEN 0 ELSE n_chars % 15 - 2 END"
+_ANSWER_SCORE = "CASE lang WHEN 'fr' THEN 0 WHEN 'es' THEN n_chars % 3 * 3000000000 ELSE n_chars % 15 - 2 END"
 
 def oracle_sql() -> dict[str, str]:
     """One statement per registered query."""
@@ -274,6 +292,9 @@ def oracle_sql() -> dict[str, str]:
         "knn_approx": _KNN_APPROX,
         "search_requests": """SELECT conv_id, turn, CAST(least(50, CASE WHEN turn * 30 - 30 > 0 THEN turn * 30 - 30 ELSE 5 END) AS INTEGER) AS k,
        CASE WHEN %s = '' THEN 'empty_query' END AS reason FROM conversations""" % _trim("text"),
+        "search_limits": """SELECT conv_id, turn, CAST(CASE WHEN k > 0 THEN least(50, k) ELSE 5 END AS INTEGER) AS k FROM (
+  SELECT conv_id, turn, CASE turn % 6 WHEN 1 THEN turn WHEN 4 THEN turn * 20
+    WHEN 5 THEN CASE WHEN regexp_full_match(text, '[+-]?[0-9]+') THEN TRY_CAST(text AS BIGINT) END END AS k FROM conversations) t""",
         "search_json": _with(
             f"""SELECT id, title, raw_content, strftime(published_at, {iso}) AS published_at, strftime(created_at, {iso}) AS created_at,
        quality_score, round(1 - distance, 6) AS similarity_score FROM v_top JOIN v_articles ON id = article_id""",
@@ -358,7 +379,7 @@ UNION ALL SELECT 'search_text', count(*) FILTER (WHERE role <> 'user' OR {_trim(
             _RULE_ROWS,
         ),
         "xml_items": _with(
-            f"""SELECT feed_id, {_stamp('published_at')} AS fetched_at, CAST(0 AS BIGINT) AS item_pos, title, url, clean AS content,
+            f"""SELECT feed_id, {_stamp('published_at')} AS fetched_at, CAST(pos AS BIGINT) AS item_pos, title, url, clean AS content,
        {_stamp('published_at')} AS published_at FROM v_readable""",
             _PARSED,
         ),
@@ -367,7 +388,7 @@ UNION ALL SELECT 'search_text', count(*) FILTER (WHERE role <> 'user' OR {_trim(
         "score_clamp": f"""SELECT doc_id, CASE WHEN good THEN text END AS summary,
        CASE WHEN good THEN CAST(least(10, greatest(1, {_ANSWER_SCORE})) AS INTEGER) END AS quality_score,
        CASE WHEN NOT good THEN 'bad_response' END AS error
-FROM (SELECT *, lang <> 'de' AND {_READABLE} AS good FROM documents) t""",
+FROM (SELECT *, lang <> 'de' AND {_READABLE} AND n_chars % 10 <> 3 AS good FROM documents) t""",
         "format_summary": f"""SELECT doc_id, {_trim("CASE WHEN len(lines) > 1 THEN ' ' || chr(10) || lines[1] || chr(10) || chr(10) || '💡 Key Takeaways:' || chr(10) || array_to_string(list_transform(lines[2:], lambda x: '• ' || x), chr(10)) ELSE lines[1] END")} AS summary
 FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) t""",
         "enrich_offline": _with(
@@ -387,6 +408,11 @@ FROM (SELECT *, length(prompt) - length(replace(prompt, '|', '')) AS bars FROM v
             """SELECT id AS article_id, round(CAST(CAST(n AS FLOAT) / CAST(sqrt(n * n + e * e) AS FLOAT) AS DOUBLE), 6) AS first,
        round(CAST(CAST(e AS FLOAT) / CAST(sqrt(n * n + e * e) AS FLOAT) AS DOUBLE), 6) AS second
 FROM (SELECT id, CAST(length(summary) AS DOUBLE) AS n, CAST(length(summary) - length(replace(summary, 'e', '')) AS DOUBLE) AS e FROM v_articles) t"""
+        ),
+        "embed_rejects": _with(
+            """SELECT id AS article_id, CAST(CASE WHEN n % 5 = 0 OR n % 7 = 0 THEN 0 ELSE 2 END AS INTEGER) AS dim,
+       CASE WHEN n % 5 = 0 THEN 'ValueError: no vector' WHEN n % 7 = 0 THEN 'wrong_dimension' END AS reason
+FROM (SELECT id, length(summary) AS n FROM v_articles) t"""
         ),
         "insert_articles": _with(
             f"""SELECT id, feed_id, title, url, raw_content, quality_score, {_stamp('created_at')} AS created_at FROM v_articles
@@ -434,5 +460,18 @@ FROM v_ranked_days GROUP BY day""",
        CASE WHEN strlen(text) <= 3800 THEN text ELSE substring(text, CAST(i * 3800 + 1 AS INTEGER), 3800) END AS piece
 FROM (SELECT doc_id, text, unnest(range(CASE WHEN strlen(text) <= 3800 THEN 1 ELSE (length(text) + 3799) // 3800 END)) AS i FROM documents) t""",
         "daily_run": _with(_CHUNK_ROWS, _PARSED, *_chunked(_RUN_RANKED), recursive=True),
-        "stream_ingest": _with("SELECT url FROM v_fresh", _PARSED),
+        "daily_articles": _with(
+            f"""SELECT {_uuid('url')} AS id, feed_id, title, url, clean AS raw_content, 8 AS quality_score,
+       '2024-01-02 12:00:00' AS created_at FROM v_fresh""",
+            _PARSED,
+        ),
+        "daily_vectors": _with(f"SELECT {_uuid('url')} AS article_id, 768 AS dim, '2024-01-02 12:00:00' AS created_at FROM v_fresh", _PARSED),
+        "daily_rejected": _with(_REJECTED, _PARSED),
+        "daily_counters": _with(
+            """SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM v_fresh) AS new,
+       (SELECT count(*) FROM v_readable WHERE feed_id IN (SELECT id FROM v_feeds WHERE is_active)) AS checked""",
+            _PARSED,
+        ),
+        "stream_ingest": _with(f"SELECT {_uuid('url')} AS id, url, 768 AS dim FROM v_fresh", _PARSED),
+        "stream_rejected": _with(_REJECTED, _PARSED),
     }

@@ -100,8 +100,10 @@ def knn_batch_blocks(spark, folder):
 
 @query
 def knn_approx(spark, folder):
-    index = ann.index_embeddings(tables.embeddings(spark, folder), 64)
-    near = ann.search_index(index, _first_vector(spark, folder), 10)
+    """Over an index that is written first, as it would be used."""
+    path = session.shared_folder(spark, "index")
+    ann.write_index(tables.embeddings(spark, folder), 64, path)
+    near = ann.search_index(ann.open_index(spark, path), _first_vector(spark, folder), 10)
     return near.select("article_id", _six(F.col("distance")).alias("distance"))
 
 
@@ -117,6 +119,22 @@ def search_requests(spark, folder):
     )
 
 
+@query
+def search_limits(spark, folder):
+    """Limits as clients send them, as text."""
+    turn = F.col("turn")
+    asked = (
+        F.when(turn % 6 == 0, F.concat(F.lit(" "), turn.cast("string")))
+        .when(turn % 6 == 1, F.concat(F.lit("+"), turn.cast("string")))
+        .when(turn % 6 == 2, F.lit("99999999999999999999"))
+        .when(turn % 6 == 3, F.concat(turn.cast("string"), F.lit("_0")))
+        .when(turn % 6 == 4, (turn * 20).cast("string"))
+        .otherwise(F.col("text"))
+    )
+    turns = tables.read(spark, folder, "conversations").select("conv_id", "turn", asked.alias("asked"))
+    return turns.select("conv_id", "turn", rules.hit_limit_of_text(F.col("asked")).alias("k"))
+
+
 @query
 def search_json(spark, folder):
     hits = search.search(
@@ -397,13 +415,14 @@ def score_clamp(spark, folder):
     score = (
         F.when(F.col("lang") == "fr", F.lit("null"))
         .when(F.col("lang") == "de", F.concat((n % 12).cast("string"), F.lit(".5")))
+        .when(F.col("lang") == "es", (n % 3 * 3000000000).cast("string"))  # beyond 32 bits
         .otherwise((n % 15 - 2).cast("string"))
     )
     quoted = F.to_json(F.struct(F.col("text").alias("t")))
     response = F.concat(
         F.lit('{"three_line_summary": '), F.substring(quoted, F.lit(6), F.length(quoted) - 6),
         F.lit(', "key_takeaways": ["a"], "quality_score": '), score,
-        F.when(F.col("text").contains("|"), F.lit("")).otherwise(F.lit("}")),
+        F.when(F.col("text").contains("|"), F.lit("")).when(n % 10 == 3, F.lit("} and more")).otherwise(F.lit("}")),
     )
     rows = docs.select("doc_id", response.alias("response"), F.lit(None).cast("string").alias("error"))
     answer = enrich.with_answer(rows)
@@ -452,9 +471,23 @@ def _measure(client: str, words: str) -> list[float]:
     return [float(len(words)), float(words.count("e")), 1.0]
 
 
-def _models() -> enrich.ModelProvider:
+def _measures(client: str, texts: list[str]) -> list[list[float]]:
+    return [_measure(client, words) for words in texts]
+
+
+def _odd_measure(client: str, words: str) -> list[float]:
+    """Stands for a model that fails on some texts and is short of values on others."""
+    if len(words) % 5 == 0:
+        raise ValueError("no vector")
+    return _measure(client, words)[: 1 if len(words) % 7 == 0 else 3]
+
+
+def _models(embed: enrich.Call = _measures) -> enrich.ModelProvider:
     return enrich.ModelProvider(
-        (enrich.Model(lambda: "first", _first_model, _measure), enrich.Model(lambda: "second", _second_model, _measure))
+        (
+            enrich.Model(lambda: "first", enrich.one_by_one(_first_model), embed),
+            enrich.Model(lambda: "second", enrich.one_by_one(_second_model), _measures),
+        )
     )
 
 
@@ -481,6 +514,15 @@ def embed_models(spark, folder):
     return made.select("article_id", first.alias("first"), second.alias("second"))
 
 
+@query
+def embed_rejects(spark, folder):
+    """Vectors by a model that fails at times, and the articles left without one."""
+    provider = _models(enrich.one_by_one(_odd_measure))
+    made, lost = enrich.embed_articles(tables.articles(spark, folder), provider, _as_of(), dim=2)
+    size = made.select("article_id", F.size("embedding").alias("dim"), F.lit(None).cast("string").alias("reason"))
+    return size.unionByName(lost.select("article_id", F.lit(0).alias("dim"), "reason"))
+
+
 @query
 def insert_articles(spark, folder):
     valid, _ = enrich.enrich_items(_fresh(spark, folder), enrich.OfflineProvider(), _as_of())
@@ -497,7 +539,7 @@ def embedding_upsert(spark, folder):
         F.reverse("embedding").alias("embedding"),
         tables.after(F.col("vec_id") * 86400).alias("created_at"),
     )
-    table = embeddings.upsert_embeddings(stored, updates)
+    table, _ = embeddings.upsert_embeddings(stored, updates, 64)
     return table.select("article_id", _six(F.col("embedding")[0].cast("double")).alias("head"), _stamp("created_at"))
 
 
@@ -600,9 +642,8 @@ def split_text(spark, folder):
 # whole jobs
 
 
-@query
-def daily_run(spark, folder):
-    run = daily.run_daily(
+def _run(spark: SparkSession, folder: str) -> daily.Run:
+    return daily.run_daily(
         tables.feeds(spark, folder),
         tables.articles(spark, folder),
         tables.raw_feeds(tables.read(spark, folder, "documents")),
@@ -610,22 +651,67 @@ def daily_run(spark, folder):
         _as_of(),
         session.shared_folder(spark, "daily"),
     )
-    return run.chunks.select(F.col("digest_date").cast("string").alias("digest_date"), "chunk_no", "body")
 
 
 @query
-def stream_ingest(spark, folder):
+def daily_run(spark, folder):
+    chunks = _run(spark, folder).chunks
+    return chunks.select(F.col("digest_date").cast("string").alias("digest_date"), "chunk_no", "body")
+
+
+@query
+def daily_articles(spark, folder):
+    new = _run(spark, folder).articles
+    return new.select("id", "feed_id", "title", "url", "raw_content", "quality_score", _stamp("created_at"))
+
+
+@query
+def daily_vectors(spark, folder):
+    made = _run(spark, folder).embeddings
+    return made.select("article_id", F.size("embedding").alias("dim"), _stamp("created_at"))
+
+
+@query
+def daily_rejected(spark, folder):
+    return _run(spark, folder).rejected
+
+
+@query
+def daily_counters(spark, folder):
+    """Items checked and articles made, with a row of the given table beside them."""
+    run = _run(spark, folder)
+    documents = tables.read(spark, folder, "documents").agg(F.count("*").alias("documents"))
+    return documents.select("documents", F.lit(run.items_checked).alias("checked"), F.lit(run.new_articles).alias("new"))
+
+
+def _stream(spark: SparkSession, folder: str) -> str:
+    """The documents as bodies that arrive in several files, each a batch of its own."""
     out = session.shared_folder(spark, "stream")
-    schema = tables.read(spark, folder, "documents").schema
-    # a stream reads a folder or a pattern; this pattern matches the one file or folder
-    arriving = spark.readStream.schema(schema).parquet(f"{folder}/documents.parque[t]")
+    documents = tables.read(spark, folder, "documents")
+    bodies = tables.raw_feeds(documents)
+    bodies.repartition(3, "fetched_at").write.parquet(f"{out}/arriving")
+    arriving = spark.readStream.schema(bodies.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arriving")
     ingest_stream.ingest_available(
-        tables.raw_feeds(arriving),
+        arriving,
         tables.feeds(spark, folder),
         tables.articles(spark, folder),
         enrich.OfflineProvider(),
         _as_of(),
-        f"{out}/articles",
+        out,
         f"{out}/checkpoint",
     ).awaitTermination()
-    return ingest_stream.written(spark, f"{out}/articles").select("url")
+    return out
+
+
+@query
+def stream_ingest(spark, folder):
+    """Articles of all batches beside their vectors."""
+    out = _stream(spark, folder)
+    made = ingest_stream.written(spark, out, "embeddings").select(F.col("article_id").alias("id"), F.size("embedding").alias("dim"))
+    return ingest_stream.written(spark, out).select("id", "url").join(made, "id", "left")
+
+
+@query
+def stream_rejected(spark, folder):
+    rejected = ingest_stream.written(spark, _stream(spark, folder), "rejected")
+    return rejected.select("stage", "feed_id", "url", "reason")

@@ -106,9 +106,10 @@ def raw_feeds(documents: DataFrame) -> DataFrame:
     """One feed body per document, the language deciding the dialect.
 
     en: RSS 2.0 with full content, and an entry without a link; fr: RSS with a
-    description only and a Dublin Core date; de: Atom with two links and no
-    published date; any other: JSON Feed. A body whose text holds a table bar is
-    cut off before its end and cannot be read.
+    description only and a Dublin Core date, every other one as RSS 1.0; de: Atom with
+    two links, no published date and a second entry, every other one with title
+    and content as XHTML; any other: JSON Feed. A body whose text holds a table bar
+    is cut off before its end and cannot be read.
     """
     d = documents
     title = escape_html(trim_space(F.substring_index("text", "\n", 1)))
@@ -130,11 +131,26 @@ def raw_feeds(documents: DataFrame) -> DataFrame:
         F.lit("</title><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><description>"), text,
         F.lit("</description><dc:date>"), iso, F.lit("</dc:date></item></channel></rss>"),
     )
+    rdf = F.concat(
+        F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" '
+              'xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>'),
+        F.col("source"),
+        F.lit("</title></channel><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><description>"), text,
+        F.lit("</description><dc:date>"), iso, F.lit("</dc:date></item></rdf:RDF>"),
+    )
+    odd = F.col("doc_id") % 2 == 1
+    division = F.lit('<div xmlns="http://www.w3.org/1999/xhtml"><p>')
     atom = F.concat(
         F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title type="text">'),
         F.col("source"),
-        F.lit('</title><entry><title type="html">'), title, F.lit('</title><link rel="self" href="https://self/"/><link href="'),
-        url, F.lit('"/><updated>'), iso, F.lit('</updated><content type="html">'), text, F.lit("</content></entry></feed>"),
+        F.lit("</title><entry>"),
+        F.when(odd, F.concat(F.lit('<title type="xhtml">'), division, title, F.lit("</p></div></title>")))
+        .otherwise(F.concat(F.lit('<title type="html">'), title, F.lit("</title>"))),
+        F.lit('<link rel="self" href="https://self/"/><link href="'), url, F.lit('"/><updated>'), iso, F.lit("</updated>"),
+        F.when(odd, F.concat(F.lit('<content type="xhtml">'), division, text, F.lit("</p></div></content>")))
+        .otherwise(F.concat(F.lit('<content type="html">'), text, F.lit("</content>"))),
+        F.lit('</entry><entry><title>More</title><link href="'), url, F.lit('/more"/><updated>'), iso,
+        F.lit("</updated><summary>more</summary></entry></feed>"),
     )
     json = F.to_json(
         F.struct(
@@ -151,7 +167,7 @@ def raw_feeds(documents: DataFrame) -> DataFrame:
         )
     )
     lang = F.col("lang")
-    body = F.when(lang == "en", rss).when(lang == "fr", dublin).when(lang == "de", atom).otherwise(json)
+    body = F.when(lang == "en", rss).when((lang == "fr") & odd, rdf).when(lang == "fr", dublin).when(lang == "de", atom).otherwise(json)
     cut = F.substring("body", F.lit(1), F.length("body") - 9)
     return d.withColumn("body", body).select(
         uuid_from(feed_url(F.col("source"))).alias("feed_id"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions.binding import computed_once
-from feedloom.functions.text import SPACES, parse_feed_date, trim_space
+from feedloom.functions.text import SPACES, parse_feed_date, strip_html, trim_space
 
 _S = T.StringType()
 
@@ -20,7 +20,6 @@ def _struct(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
-_VALUE = T.StructType([T.StructField("_VALUE", _S)])
 _LINK = _struct(_VALUE=_S, _href=_S, _rel=_S)
 _RSS_ITEM = T.StructType([
     T.StructField("title", _S),
@@ -31,17 +30,18 @@ _RSS_ITEM = T.StructType([
     T.StructField("dc:date", _S),
 ])
 _ATOM_ENTRY = T.StructType([
-    T.StructField("title", _VALUE),
+    # as text, which keeps the markup inside an element of type xhtml
+    T.StructField("title", _S),
     T.StructField("link", T.ArrayType(_LINK)),
-    T.StructField("content", _VALUE),
-    T.StructField("summary", _VALUE),
+    T.StructField("content", _S),
+    T.StructField("summary", _S),
     T.StructField("published", _S),
     T.StructField("updated", _S),
 ])
 _XML = T.StructType([
     T.StructField("channel", T.StructType([T.StructField("title", _S), T.StructField("item", T.ArrayType(_RSS_ITEM))])),
     T.StructField("item", T.ArrayType(_RSS_ITEM)),  # RSS 1.0 keeps its items beside the channel
-    T.StructField("title", _VALUE),
+    T.StructField("title", _S),
     T.StructField("entry", T.ArrayType(_ATOM_ENTRY)),
     T.StructField("_broken", _S),
 ])
@@ -68,6 +68,11 @@ def _plain_link(links: Column) -> Column:
     return F.get(F.filter(links, lambda x: x["_VALUE"].isNotNull()), F.lit(0))["_VALUE"]
 
 
+def _plain_title(title: Column) -> Column:
+    """A title of type xhtml is a division; its markup is left out."""
+    return F.when(title.rlike(r"(?s)^\s*<(?:\w+:)?div[\s>]"), strip_html(title)).otherwise(title)
+
+
 def _entry(**columns: Column) -> Column:
     return F.struct(*[columns[name].alias(name) for name in _ENTRY.fieldNames()])
 
@@ -90,10 +95,10 @@ def _atom(entries: Column) -> Column:
     return F.transform(
         entries,
         lambda e: _entry(
-            title=e["title"]["_VALUE"],
+            title=_plain_title(e["title"]),
             link=_alternate(e["link"]),
-            content=e["content"]["_VALUE"],
-            description=e["summary"]["_VALUE"],
+            content=e["content"],
+            description=e["summary"],
             published=e["published"],
             updated=e["updated"],
         ),
@@ -158,7 +163,7 @@ def parse(raw_feeds: DataFrame) -> DataFrame:
         .when(x["title"].isNotNull(), F.array().cast(T.ArrayType(_ENTRY)))
         .when(j["_broken"].isNull() & j["version"].isNotNull(), _json(F.coalesce(j["items"], no_json)))
     )
-    title = trim_space(F.coalesce(x["channel"]["title"], x["title"]["_VALUE"], j["title"]))
+    title = trim_space(F.coalesce(x["channel"]["title"], _plain_title(x["title"]), j["title"]))
     return (
         computed_once(parsed, entries=found)
         .withColumn("readable", F.col("entries").isNotNull())
@@ -176,11 +181,16 @@ def unreadable(raw_feeds: DataFrame) -> DataFrame:
     return parse(raw_feeds).where("NOT readable").drop("entries", "feed_title", "readable").withColumn("reason", F.lit("unreadable"))
 
 
-def entries(raw_feeds: DataFrame) -> DataFrame:
-    """One row per entry of each readable document, positions from 0."""
-    rows = parse(raw_feeds).drop("readable", "feed_title")  # no entries, no rows
-    kept = [c for c in rows.columns if c != "entries"]
-    flat = rows.select(*kept, F.posexplode("entries").alias("item_pos", "entry"))
+def entries(raw_feeds: DataFrame, keep_unreadable: bool = False) -> DataFrame:
+    """One row per entry of each readable document, positions from 0. On request also
+    one row without a position for each document that cannot be read."""
+    rows = parse(raw_feeds).drop("feed_title")
+    kept = [c for c in rows.columns if c not in ("entries", "readable")]
+    if keep_unreadable:
+        flat = rows.select(*kept, "readable", F.posexplode_outer("entries").alias("item_pos", "entry"))
+        flat = flat.where("item_pos IS NOT NULL OR NOT readable")
+    else:
+        flat = rows.select(*kept, F.posexplode("entries").alias("item_pos", "entry"))
     return flat.select(
         *kept,
         F.col("item_pos").cast("long").alias("item_pos"),

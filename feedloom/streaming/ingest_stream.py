@@ -1,6 +1,6 @@
-"""New feed bodies in, only unseen articles out, safe to run again.
+"""New feed bodies in, only unseen articles and their vectors out, safe to run again.
 
-Each micro-batch overwrites a path of its own, so a batch that is tried again
+Each micro-batch overwrites paths of its own, so a batch that is tried again
 after a failure replaces what it wrote. For that the existence check must not see
 the batch's own earlier attempt: it reads the base articles and the paths of
 *earlier* batches only. There is no watermark: the URL alone decides, for good.
@@ -10,37 +10,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.operators.enrich import Provider, enrich_items
-from feedloom.operators.ingest import unseen_staged
-from feedloom.plans.daily_run import candidates, items_of, staged
-from feedloom.schemas import ARTICLES
+from feedloom.operators.enrich import Provider
+from feedloom.plans.daily_run import REJECTED, curate
+from feedloom.schemas import ARTICLES, EMBEDDING_DIM, EMBEDDINGS
 
+_TABLES = {
+    "articles": T.StructType([*ARTICLES.fields, T.StructField("day", T.DateType())]),
+    "embeddings": EMBEDDINGS,
+    "rejected": REJECTED,
+}
 
-def written(spark, path: str) -> DataFrame:
-    """All batches written so far; the batch id is the partition column."""
-    schema = T.StructType([*ARTICLES.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+def written(spark: SparkSession, out: str, table: str = "articles") -> DataFrame:
+    """All batches of ``articles``, ``embeddings`` or ``rejected`` so far; the batch id
+    is a partition column."""
+    schema = T.StructType([*_TABLES[table].fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).option("basePath", f"{out}/{table}").parquet(f"{out}/{table}")
 
 
 def store_batch(
-    feeds: DataFrame, base: DataFrame, provider: Provider, as_of: Column, path: str
+    feeds: DataFrame, base: DataFrame, provider: Provider, as_of: Column, out: str, dim: int = EMBEDDING_DIM
 ) -> Callable[[DataFrame, int], None]:
-    """The foreachBatch function: parse, clean, drop known URLs, enrich, overwrite."""
+    """The foreachBatch function: parse, check, drop known URLs, enrich, embed, overwrite."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         known = base.select("url")
         if batch_id > 0:
             # a pruned partition scan of one column
-            known = known.unionByName(written(spark, path).where(F.col("batch_id") < batch_id).select("url"))
-        found = staged(candidates(items_of(batch, feeds)), f"{path}-candidates/batch_id={batch_id}")
-        valid, _ = enrich_items(unseen_staged(found, known), provider, as_of)
-        valid.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            earlier = written(batch.sparkSession, out).where(F.col("batch_id") < batch_id)
+            known = known.unionByName(earlier.select("url"))
+        curate(batch, feeds, known, provider, as_of, lambda name: f"{out}/{name}/batch_id={batch_id}", dim)
 
     return store
 
@@ -51,8 +55,9 @@ def ingest_available(
     base: DataFrame,
     provider: Provider,
     as_of: Column,
-    path: str,
+    out: str,
     checkpoint: str,
+    dim: int = EMBEDDING_DIM,
 ) -> StreamingQuery:
     """Work off everything that arrived since the last call, then stop.
 
@@ -60,7 +65,7 @@ def ingest_available(
     scheduler calls this; the checkpoint remembers what was read.
     """
     return (
-        raw_feeds.writeStream.foreachBatch(store_batch(feeds, base, provider, as_of, path))
+        raw_feeds.writeStream.foreachBatch(store_batch(feeds, base, provider, as_of, out, dim))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -70,3 +70,18 @@ def test_loose_ampersands_and_leading_marks(spark):
     }
     still_broken = rss(("a & b", "https://u", "x"))[:-4]
     assert documents.unreadable(raw(spark, (0, 0, still_broken))).count() == 1
+
+
+XHTML = """<feed xmlns="http://www.w3.org/2005/Atom"><title type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">The <i>feed</i></div></title>
+<entry><title type="xhtml">
+  <div xmlns="http://www.w3.org/1999/xhtml">A <b>bold</b> title</div></title><link href="https://x"/>
+<content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>One &amp; two.</p><p>Three.</p></div></content>
+<summary>short</summary><updated>2024-01-03T00:00:00Z</updated></entry>
+<entry><title>a &lt;b&gt; c</title><link href="https://y"/><content type="html">&lt;p&gt;x&lt;/p&gt;</content></entry></feed>"""
+
+
+def test_xhtml_keeps_its_text(spark):
+    found = items(spark, XHTML)
+    assert found["https://x"][1] == "A bold title" and found["https://x"][2].startswith("One ") and "Three." in found["https://x"][2]
+    assert found["https://y"][1:3] == ("a <b> c", "x")
+    assert documents.feed_titles(raw(spark, (1, 1, XHTML))).first().title == "The feed"

@@ -1,11 +1,12 @@
 """Ranking, the daily run and the stream."""
 
 import datetime
+import json
 
 from pyspark.sql import functions as F
 
 from feedloom import schemas as S
-from feedloom.operators import ranking
+from feedloom.operators import enrich, ranking
 from feedloom.operators.enrich import OfflineProvider
 from feedloom.plans import daily_run
 from feedloom.streaming import ingest_stream
@@ -76,6 +77,36 @@ def test_daily_run(spark, tmp_path):
     assert chunk.digest_date == datetime.date(2024, 1, 3) and "Alpha shared" in chunk.body and "#2" in chunk.body
 
 
+def test_failed_rows_are_kept_and_no_answer_is_asked_for_twice(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def answer(client, prompt):
+        with open(calls, "a") as file:
+            file.write("x")
+        if "Zeta own" in prompt:
+            raise TimeoutError("quota")
+        return json.dumps({"three_line_summary": "s", "key_takeaways": [], "quality_score": 3})
+
+    model = enrich.Model(lambda: None, enrich.one_by_one(answer), lambda client, texts: [[1.0, 2.0, 3.0] for _ in texts])
+    result = daily_run.run_daily(
+        feeds(spark, *FEEDS), stored(spark), raw(spark, *BODIES), enrich.ModelProvider((model,)), when(AS_OF), str(tmp_path / "out"), dim=4
+    )
+    found = {(r.stage, r.feed_id, r.url, r.reason) for r in result.rejected.collect()}
+    assert found == {
+        ("parse", fid(2), None, "unreadable"),
+        ("check", fid(2), "https://untitled", "empty_title"),
+        ("enrich", fid(1), "https://own", "TimeoutError: quota"),
+        ("embed", fid(2), "https://shared", "wrong_dimension"),
+    }
+    assert result.embeddings.isEmpty() and result.articles.count() == 1
+    assert calls.read_text() == "xx"
+
+
+def test_a_body_fetched_twice_gives_its_items_once(spark, tmp_path):
+    result = run(spark, tmp_path, bodies=[BODIES[0], BODIES[0]])
+    assert sorted(r.url for r in result.articles.collect()) == ["https://own", "https://shared"]
+
+
 def test_a_failure_to_send_does_not_lose_the_digest(spark, tmp_path, caplog):
     sent = []
 
@@ -108,9 +139,9 @@ def test_without_any_article_nothing_is_sent(spark, tmp_path):
 def start(spark, source, out, table):
     arriving = spark.readStream.schema(S.RAW_FEEDS).option("maxFilesPerTrigger", 1).parquet(str(source))
     ingest_stream.ingest_available(
-        arriving, feeds(spark, *FEEDS), table, OfflineProvider(), when(AS_OF), f"{out}/articles", f"{out}/checkpoint"
+        arriving, feeds(spark, *FEEDS), table, OfflineProvider(), when(AS_OF), str(out), f"{out}/checkpoint"
     ).awaitTermination()
-    return {r.url for r in ingest_stream.written(spark, f"{out}/articles").select("url").collect()}
+    return {r.url for r in ingest_stream.written(spark, str(out)).select("url").collect()}
 
 
 def test_stream_adds_only_unseen_urls(spark, tmp_path):
@@ -122,18 +153,24 @@ def test_stream_adds_only_unseen_urls(spark, tmp_path):
     more = [(1, 3, rss(("again", "https://own", "z"), ("Late", "https://late", "z")))]
     raw(spark, *more).coalesce(1).write.mode("append").parquet(str(source))
     assert start(spark, source, out, table) == {"https://shared", "https://own", "https://late"}
-    written = ingest_stream.written(spark, f"{out}/articles")
+    written = ingest_stream.written(spark, str(out))
     assert written.count() == 3 and {r.batch_id for r in written.collect()} == {0, 1}
 
 
 def test_a_batch_tried_again_writes_the_same(spark, tmp_path):
-    path, table = str(tmp_path / "articles"), stored(spark)
-    store = ingest_stream.store_batch(feeds(spark, *FEEDS), table, OfflineProvider(), when(AS_OF), path)
+    out, table = str(tmp_path / "out"), stored(spark)
+    store = ingest_stream.store_batch(feeds(spark, *FEEDS), table, OfflineProvider(), when(AS_OF), out)
+
+    def all_written():
+        names = ("articles", "embeddings", "rejected")
+        return {t: sorted(map(tuple, ingest_stream.written(spark, out, t).collect()), key=str) for t in names}
+
     store(raw(spark, *BODIES), 0)
     second = raw(spark, (1, 3, rss(("again", "https://own", "z"), ("Late", "https://late", "z"))))
     store(second, 1)
-    before = sorted(map(tuple, ingest_stream.written(spark, path).collect()), key=str)
+    before = all_written()
     store(second, 1)
     store(raw(spark, *BODIES), 0)
-    assert sorted(map(tuple, ingest_stream.written(spark, path).collect()), key=str) == before
-    assert len(before) == 3
+    assert all_written() == before
+    assert {t: len(rows) for t, rows in before.items()} == {"articles": 3, "embeddings": 3, "rejected": 2}
+    assert {r[0] for r in before["embeddings"]} == {r[0] for r in before["articles"]}

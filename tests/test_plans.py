@@ -10,7 +10,7 @@ from feedloom.sources import documents
 from tests.tables import articles, at, feeds, fid, vectors
 
 FOLDER = "/root/testdata/sf0.001"
-STARTS_JOBS = {"daily_run", "stream_ingest"}
+STARTS_JOBS = {n for n in registered() if n.startswith(("daily_", "stream_"))}
 
 
 def plan(frame):
@@ -21,6 +21,7 @@ def plan(frame):
 def shuffled(spark, monkeypatch):
     """Joins as on tables too large to broadcast, partitions as planned."""
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 250)
     saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -91,12 +92,25 @@ def test_a_body_is_parsed_once(spark):
         assert plan(frame).count("from_xml(") == 2
 
 
-def test_dedup_and_existence_check_share_one_shuffle(shuffled):
+def test_no_text_moves_before_the_existence_check(shuffled):
     items = sample_tables.items(shuffled, FOLDER)
     known = articles(shuffled, (1, 1, "u", 5, at()))
-    text = plan(ingest.unseen(daily_run.candidates(items), known))
-    assert text.count("Exchange hashpartitioning(url") == 2  # the items, and the stored URLs
-    assert text.index("min_by") < text.index("Exchange") < text.index("partial_min_by")
+    places = ingest.unseen(ingest.first_places(items), known)
+    for line in plan(places).splitlines():
+        assert not (("Sort" in line or "Exchange" in line) and "content" in line), line
+    assert "content" not in places.columns and "content" in ingest.at_places(items, places).columns
+
+
+def test_the_run_stages_places_and_no_texts(spark):
+    raw = sample_tables.raw_feeds(sample_tables.read(spark, FOLDER, "documents"))
+    bodies = daily_run.wanted_bodies(raw, sample_tables.feeds(spark, FOLDER))
+    assert set(daily_run.listed(bodies).columns) == {"feed_id", "feed_name", "fetched_at", "body_key", "item_pos", "url", "reason"}
+
+
+def test_rankings_of_every_day_move_no_texts(on_disk):
+    text = plan(ranking.top_per_day(on_disk, 3))
+    below = text[text.index("Window") :]
+    assert "quality_score" in below and "raw_content" not in below and "summary" not in below
 
 
 def test_few_keys_leave_the_wide_side_in_place(spark):
@@ -107,9 +121,9 @@ def test_few_keys_leave_the_wide_side_in_place(spark):
         text = plan(ingest.of_known_feeds(rows, known))
         assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
         stored = sample_tables.embeddings(spark, FOLDER)
-        text = plan(embeddings.upsert_embeddings(stored, stored))
+        text = plan(embeddings.upsert_embeddings(stored, stored, 64)[0])
         assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
-        found = ingest.first_per_url(rows)
+        found = ingest.first_places(rows)
         text = plan(ingest.unseen_staged(found, articles(spark, (1, 1, "u", 5, at()))))
         assert text.count("BroadcastHashJoin") == 2
     finally:
