@@ -4,7 +4,8 @@ A text is its set of five-word shingles. Each of the trees sorts all sets by a s
 its own, so that neighbours share the longest prefixes they share with anyone: the sorted order
 is the trie. A set is paired with the nearest different sets before it as long as the shared prefix is
 not shorter than the depth that the target recall allows; deep matches come first, shorter
-ones where nothing deeper is near. Pairs of possible sizes are verified on the shingles, and verified
+ones where nothing deeper is near. Where many share a prefix, further walks look back further, at
+sets of other classes, until none is similar. Pairs of possible sizes are verified on the shingles, and verified
 links are joined to classes.
 
 Documents with equal sets form one node, so copies are never expanded into pairs, and the
@@ -35,6 +36,10 @@ TREES, VALUES = 16, 16
 RECALL = 0.999
 #: Different sets before a set, in the sorted order, that it is paired with.
 NEAR = 3
+#: Where more sets share a prefix, further walks go back so far, over sets of other classes that
+#: agree in so many values of the tree's signature, until a walk finds no link. Two classes meet
+#: in so many pairs in each tree, those that agree most.
+WIDE, AGREE, EACH = 64, 10, 8
 
 _WORDS_CACHED = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -117,55 +122,72 @@ def _prepared(rows: DataFrame, trees: int, values: int) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n int, signature binary")
 
 
-_PAIR = "a binary, b binary, na int, nb int, tree int, key binary, node binary, n int"
+_PAIR = "a binary, b binary, tree int, key binary, node binary, n int, label binary"
 
 
-def _neighbours(tree: np.ndarray, keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, depth: int, near: int, old: int) -> dict[str, list]:
-    """Pairs of rows at most ``near`` apart that share tree and prefix; the first ``old`` rows have met before."""
-    found = {"a": [], "b": [], "na": [], "nb": []}
-    values = keys.view(">u2").reshape(len(keys), -1)[:, :depth]
+def _neighbours(tree, keys, nodes, sizes, labels, depth: int, near: int, agree: int, old: int) -> dict[str, list]:
+    """Pairs of rows of different labels at most ``near`` apart that share tree and prefix and
+    agree in enough values; the first ``old`` rows have met before. With ``agree``, of the pairs
+    of two labels in one tree only those that agree most."""
+    values = keys.view(">u2").reshape(len(keys), -1)
+    pairs = []
     for away in range(1, near + 1):
         at = np.arange(max(away, old), len(keys))
-        if not len(at):
-            break
         before = at - away
-        same = (tree[at] == tree[before]) & (values[at] == values[before]).all(axis=1)
+        equal = values[at] == values[before]
+        same = (tree[at] == tree[before]) & equal[:, :depth].all(axis=1)
+        if not same.any():
+            break  # sorted: what is further away shares no more
         small, large = np.minimum(sizes[at], sizes[before]), np.maximum(sizes[at], sizes[before])
         same &= small.astype(np.int64) * SIMILAR[1] >= large.astype(np.int64) * SIMILAR[0]
-        for i, j in zip(at[same], before[same]):
-            # numpy's fixed bytes drop zeros at the end, so nodes are kept as objects
-            first, second = (i, j) if nodes[i] < nodes[j] else (j, i)
-            found["a"].append(nodes[first])
-            found["b"].append(nodes[second])
-            found["na"].append(int(sizes[first]))
-            found["nb"].append(int(sizes[second]))
+        common = equal.sum(axis=1)
+        same &= (common >= agree) & (labels[at] != labels[before])
+        pairs.append(np.stack([at[same], before[same], common[same]]))
+    i, j, common = np.concatenate(pairs, axis=1) if pairs else np.empty((3, 0), np.int64)
+    if agree and len(i):
+        _, number = np.unique(labels, return_inverse=True)
+        low, high = np.minimum(number[i], number[j]), np.maximum(number[i], number[j])
+        order = np.lexsort((j, i, -common, high, low, tree[i]))
+        of = np.stack([tree[i], low, high])[:, order]
+        first = np.ones(len(order), bool)
+        first[1:] = (of[:, 1:] != of[:, :-1]).any(axis=0)
+        place = np.arange(len(order))
+        chosen = order[place - np.maximum.accumulate(np.where(first, place, 0)) < EACH]
+        i, j = i[chosen], j[chosen]
+    swap = nodes[i] > nodes[j]
+    return {"a": np.where(swap, nodes[j], nodes[i]).tolist(), "b": np.where(swap, nodes[i], nodes[j]).tolist()}
+
+
+def _objects(column: pa.Array) -> np.ndarray:
+    """Bytes as objects: NumPy's fixed ones drop zeros at the end."""
+    found = np.empty(len(column), object)
+    found[:] = column.to_pylist()
     return found
 
 
-def _walk(width: int, depth: int, near: int):
+def _walk(width: int, depth: int, near: int, agree: int):
     """Meets neighbours in sorted rows; the ends of the part are handed on, to meet those of other parts."""
 
     def columns(batch: pa.RecordBatch):
         keys = np.frombuffer(b"".join(batch["key"].to_pylist()), np.uint8).reshape(batch.num_rows, width)
-        return batch["tree"].to_numpy(), keys, np.array(batch["node"].to_pylist(), object), batch["n"].to_numpy()
+        return batch["tree"].to_numpy(), keys, _objects(batch["node"]), batch["n"].to_numpy(), _objects(batch["label"])
 
     def rows(found: dict[str, list], ends=None) -> pa.RecordBatch:
         pairs = len(found["a"])
-        tree, keys, nodes, sizes = ends or ([], [], [], [])
+        tree, keys, nodes, sizes, labels = ends or ([], [], [], [], [])
         k = len(tree)
         none = [None] * pairs
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(found["a"] + [None] * k, pa.binary()),
                 pa.array(found["b"] + [None] * k, pa.binary()),
-                pa.array(found["na"] + [None] * k, pa.int32()),
-                pa.array(found["nb"] + [None] * k, pa.int32()),
                 pa.array(none + [int(x) for x in tree], pa.int32()),
                 pa.array(none + [x.tobytes() for x in keys], pa.binary()),
                 pa.array(none + list(nodes), pa.binary()),
                 pa.array(none + [int(x) for x in sizes], pa.int32()),
+                pa.array(none + list(labels), pa.binary()),
             ],
-            ["a", "b", "na", "nb", "tree", "key", "node", "n"],
+            ["a", "b", "tree", "key", "node", "n", "label"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,29 +206,29 @@ def _walk(width: int, depth: int, near: int):
             now = tuple(x[new] for x in now)
             if first is None:
                 first = tuple(x[:near] for x in now)
-            yield rows(_neighbours(*now, depth, near, old))
+            yield rows(_neighbours(*now, depth, near, agree, old))
             held = tuple(x[-near:] for x in now)
         if held is not None:
-            yield rows({"a": [], "b": [], "na": [], "nb": []}, tuple(np.concatenate([x, y]) for x, y in zip(first, held)))
+            yield rows({"a": [], "b": []}, tuple(np.concatenate([x, y]) for x, y in zip(first, held)))
 
     return run
 
 
-def _candidates(prepared: DataFrame, trees: int, values: int, recall: float, near: int) -> DataFrame:
-    """Distinct pairs (``a`` < ``b``) of nodes that are neighbours in some tree."""
-    depth = depth_for(recall, SIMILAR[0] / SIMILAR[1], trees, values)
+def _candidates(prepared: DataFrame, trees: int, values: int, depth: int, near: int, agree: int = 0) -> DataFrame:
+    """Distinct pairs (``a`` < ``b``) of nodes of different ``label`` that are neighbours in some tree."""
     width = 2 * values
     each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    rows = prepared.filter("node is not null").select("doc_id", "node", "n", "signature", each)
+    rows = prepared.filter("node is not null").select("doc_id", "node", "label", "n", "signature", each)
     key = F.substring("signature", F.col("tree") * width + 1, F.lit(width))
-    rows = rows.select("tree", key.alias("key"), "node", "n", "doc_id")
+    rows = rows.select("tree", key.alias("key"), "node", "n", "doc_id", "label")
     order = ["tree", "key", "node", "doc_id"]
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "key", "node", "n")
-    walked = staged(parts.mapInArrow(_walk(width, depth, near), _PAIR), "neighbours")
-    pairs = walked.filter("a is not null").select("a", "b", "na", "nb")
+    walk = _walk(width, depth, near, agree)
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "key", "node", "n", "label")
+    walked = staged(parts.mapInArrow(walk, _PAIR), "neighbours")
+    pairs = walked.filter("a is not null").select("a", "b")
     # a few rows for each part
-    ends = walked.filter("a is null").select("tree", "key", "node", "n").coalesce(1).sortWithinPartitions("tree", "key", "node")
-    across = ends.mapInArrow(_walk(width, depth, near), _PAIR).filter("a is not null").select("a", "b", "na", "nb")
+    ends = walked.filter("a is null").select("tree", "key", "node", "n", "label").coalesce(1).sortWithinPartitions("tree", "key", "node")
+    across = ends.mapInArrow(walk, _PAIR).filter("a is not null").select("a", "b")
     return pairs.unionByName(across).distinct()
 
 
@@ -267,18 +289,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def joined(docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: float = RECALL, near: int = NEAR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (``doc_id``, ``node``), nodes (``node``, ``first_id``, ``size``) and verified links (``a``, ``b``)."""
-    prepared = staged(_prepared(docs, trees, values), "signatures")
-    pairs = staged(_candidates(prepared, trees, values, recall, near), "pairs")
-    nodes = staged(prepared.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")), "nodes")
-    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.join(met, "node", "left_semi").select(F.col("first_id").alias("__id"))
+def _both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The similar ones among the pairs, compared on the documents' texts."""
+    ids = nodes.join(_both_ends(pairs), "node", "left_semi").select(F.col("first_id").alias("__id"))
     # while the candidates are few, the documents stay where they are
     ids = if_few(staged(ids, "candidate-ids"))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    links = staged(_verified(pairs, _sets(texts).dropDuplicates(["node"])), "links")
-    return prepared.select("doc_id", "node"), nodes, links
+    return staged(_verified(pairs, _sets(texts).dropDuplicates(["node"])), "links")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """``components``, with names of its own."""
+    found = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return found.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+
+
+def joined(
+    docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: float = RECALL, near: int = NEAR, wide: int = WIDE, agree: int = AGREE
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (``doc_id``, ``node``), nodes (``node``, ``first_id``, ``size``), verified links (``a``, ``b``)
+    and the label of each linked node (``__node``, ``__label``)."""
+    depth = depth_for(recall, SIMILAR[0] / SIMILAR[1], trees, values)
+    prepared = staged(_prepared(docs, trees, values), "signatures")
+    nodes = staged(prepared.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")), "nodes")
+    pairs = staged(_candidates(prepared.withColumn("label", F.col("node")), trees, values, depth, near), "pairs")
+    links = _links(docs, pairs, nodes)
+    labels = _labels(links)
+    # sets that share prefixes with more others than they have met: again, among the classes so far
+    crowd = staged(prepared.join(_both_ends(pairs), "node", "left_semi").dropDuplicates(["node"]), "crowd")
+    while True:
+        named = crowd.join(labels, crowd["node"] == labels["__node"], "left").withColumn("label", F.coalesce("__label", "node"))
+        more = staged(_candidates(named, trees, values, depth, wide, agree).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        found = _links(docs, more, nodes)
+        if found.isEmpty():
+            break
+        links, pairs = staged(links.unionByName(found), "links"), pairs.unionByName(more)
+        labels = _labels(links)
+    return prepared.select("doc_id", "node"), nodes, links, labels
 
 
 def classified(docs: DataFrame, **options) -> DataFrame:
@@ -286,9 +337,8 @@ def classified(docs: DataFrame, **options) -> DataFrame:
 
     ``n_links`` counts the other documents with an equal set and those of linked sets.
     """
-    rows, nodes, links = joined(docs, **options)
-    labels = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows, nodes, links, labels = joined(docs, **options)
+    placed = nodes.join(labels, nodes["node"] == labels["__node"], "left").withColumn("label", F.coalesce("__label", "node")).drop("__node", "__label")
     classes = placed.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"))
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = ends.join(nodes.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("linked"))
