@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import fuse
 from feedloom.llm.common import staged
+from feedloom.operators.joins import attach, keep_matching
 
 #: Keys of a filter, on average; 16 bits and an eighth more for each.
 SHARD_KEYS = 1_000_000
@@ -114,13 +115,13 @@ def classify(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column], Co
     members = digests.drop("stored")
     # bytes of the candidates only; copies meet as one row per task
     shared = groups.filter("group_size > 1").select("digest")
-    candidates = members.join(shared, "digest", "left_semi").distinct()
+    candidates = keep_matching(members, shared, "digest", ("doc_id",)).distinct()
     rows = _texts(docs, digest)
     compared = rows.join(candidates, _same(rows, candidates, "doc_id", "digest"), "left_semi")
     variants = staged(compared.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select("digest", F.sha2(F.col("text").cast("binary"), 256).alias("content"), "keep_id", "group_size"), "variants")
     mixed = variants.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
     if mixed.isEmpty():
-        placed = members.join(groups, "digest")
+        placed = attach(members, groups, "digest", ("doc_id",))
     else:
         alone = members.join(mixed, "digest", "left_anti").join(groups, "digest")
         apart = rows.join(mixed, "digest", "left_semi").select("doc_id", "digest", F.sha2(F.col("text").cast("binary"), 256).alias("content"))

@@ -47,8 +47,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp".split())
-NOT_TEXT = frozenset("head script style textarea title iframe noembed noframes noscript template svg canvas object audio video select button datalist map".split())
-ASIDE = frozenset("nav footer aside form dialog menu".split())
+NOT_TEXT = frozenset("head script style textarea title iframe noembed noframes noscript template svg canvas object audio video select button datalist map label legend".split())
+ASIDE = frozenset("nav footer aside form dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form status toolbar".split())
 #: An opening tag ends these open ones, up to the nearest of the stops.
 ENDS = {
@@ -58,13 +58,15 @@ ENDS = {
 _ENDS = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in ENDS.items()}
 #: Words in class or id of what is not the article.
 _ASIDE_WORD = re.compile(
-    r"(?:comment|comments|commentlist|commenter|disqus|replies|reply|respond|nav|navi|navbar|navigation|menu|menubar|submenu|sidebar|sidebars|breadcrumb|breadcrumbs|"
+    r"(?:comment|comments|commentlist|commenter|disqus|discussion|replies|reply|respond|response|responses|nav|navi|navbar|navigation|menu|menubar|submenu|sidebar|sidebars|breadcrumb|breadcrumbs|"
     r"footer|footnav|ad|ads|adv|adbox|adslot|adsense|adsbygoogle|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promos|promotion|promoted|"
     r"cookie|cookies|consent|gdpr|notice|notices|alert|alerts|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|signin|"
     r"share|sharing|sharebar|social|related|recommended|recommendations|recommendation|teaser|teasers|pagination|pager|toolbar|widget|widgets|masthead|banner|"
-    r"copyright|search|searchbox|form|outbrain|taboola|hidden|disclaimer|feedback|rating|poll|survey|paywall)\Z"
+    r"copyright|colophon|search|searchbox|form|outbrain|taboola|announcement|trending|rail|disclaimer|feedback|rating|poll|survey|paywall)\Z"
 )
 _HEADER_WORD = re.compile(r"(?:header|topbar|topnav|masthead)\Z")
+#: Whole class names of what is not shown.
+_HIDDEN = frozenset("hidden d-none is-hidden visually-hidden sr-only screen-reader-text".split())
 _NEGATED = frozenset("no has with without not".split())
 _NEVER = frozenset("html body main".split())
 
@@ -83,6 +85,8 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
     if re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub("", attributes)) or re.search(r"display\s*:\s*none", values.get("style", "")):
         return True
     for name in (*values.get("class", "").split(), values.get("id", "")):
+        if name.lower() in _HIDDEN:
+            return True
         before = ""
         for word in (w.lower() for w in _WORDS.findall(name)):
             if before not in _NEGATED and (_ASIDE_WORD.match(word) or not in_article and _HEADER_WORD.match(word)):

@@ -34,6 +34,12 @@ def test_character_references():
     assert main_text("<p>a &lt;b&gt; &amp c &#39;d&#x27; &nosuch; &quot</p>") == "a <b> & c 'd' &nosuch; \""
 
 
+def test_hidden_parts_and_what_only_looks_hidden():
+    page = """<body><div class="overflow-hidden"><article><p>Shown, all of it.</p><p class="sr-only">Skip.</p><p hidden>No.</p>
+    <div style="display: none">No.</div><label>Mail</label><div class="reader-responses"><p>Well, I say.</p></div></article></div></body>"""
+    assert main_text(page) == "Shown, all of it."
+
+
 def test_odd_pages():
     for page, text in ((None, ""), ("", ""), ("<!-- no end", ""), ("plain text", "plain text"), ("a < b", "a < b"), ("<p>x<br/>y", "x y")):
         assert main_text(page) == text
