@@ -36,10 +36,10 @@ TREES, VALUES = 16, 16
 RECALL = 0.999
 #: Different sets before a set, in the sorted order, that it is paired with.
 NEAR = 3
-#: Where more sets share a prefix, further walks go back so far, over sets of other classes that
-#: agree in so many values of the tree's signature, until a walk finds no link. Two classes meet
-#: in so many pairs in each tree, those that agree most.
-WIDE, AGREE, EACH = 64, 10, 8
+#: Where more sets share a prefix, further walks go back so far, over sets of other classes, until a
+#: walk finds no link. Pairs whose whole signatures agree too little to be similar (by so many
+#: standard deviations) are left out. Two classes meet in so many pairs in each tree and part, those that agree most.
+WIDE, DEVIATIONS, EACH = 64, 4, 32
 
 _WORDS_CACHED = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -122,12 +122,12 @@ def _prepared(rows: DataFrame, trees: int, values: int) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n int, signature binary")
 
 
-_PAIR = "a binary, b binary, tree int, key binary, node binary, n int, label binary"
+_PAIR = "a binary, b binary, tree int, key binary, node binary, n int, label binary, sketch binary"
 
 
-def _neighbours(tree, keys, nodes, sizes, labels, depth: int, near: int, agree: int, old: int) -> dict[str, list]:
+def _neighbours(tree, keys, nodes, sizes, labels, sketches, depth: int, near: int, agree: int, old: int) -> dict[str, list]:
     """Pairs of rows of different labels at most ``near`` apart that share tree and prefix and
-    agree in enough values; the first ``old`` rows have met before. With ``agree``, of the pairs
+    agree in enough values of their sketches; the first ``old`` rows have met before. With ``agree``, of the pairs
     of two labels in one tree only those that agree most."""
     values = keys.view(">u2").reshape(len(keys), -1)
     pairs = []
@@ -140,9 +140,11 @@ def _neighbours(tree, keys, nodes, sizes, labels, depth: int, near: int, agree:
             break  # sorted: what is further away shares no more
         small, large = np.minimum(sizes[at], sizes[before]), np.maximum(sizes[at], sizes[before])
         same &= small.astype(np.int64) * SIMILAR[1] >= large.astype(np.int64) * SIMILAR[0]
-        common = equal.sum(axis=1)
-        same &= (common >= agree) & (labels[at] != labels[before])
-        pairs.append(np.stack([at[same], before[same], common[same]]))
+        same &= labels[at] != labels[before]
+        at, before = at[same], before[same]
+        common = (sketches[at] == sketches[before]).sum(axis=1)
+        enough = common >= agree
+        pairs.append(np.stack([at[enough], before[enough], common[enough]]))
     i, j, common = np.concatenate(pairs, axis=1) if pairs else np.empty((3, 0), np.int64)
     if agree and len(i):
         _, number = np.unique(labels, return_inverse=True)
@@ -165,16 +167,20 @@ def _objects(column: pa.Array) -> np.ndarray:
     return found
 
 
-def _walk(width: int, depth: int, near: int, agree: int):
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of equal length as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _walk(depth: int, near: int, agree: int):
     """Meets neighbours in sorted rows; the ends of the part are handed on, to meet those of other parts."""
 
     def columns(batch: pa.RecordBatch):
-        keys = np.frombuffer(b"".join(batch["key"].to_pylist()), np.uint8).reshape(batch.num_rows, width)
-        return batch["tree"].to_numpy(), keys, _objects(batch["node"]), batch["n"].to_numpy(), _objects(batch["label"])
+        return batch["tree"].to_numpy(), _bytes(batch["key"]), _objects(batch["node"]), batch["n"].to_numpy(), _objects(batch["label"]), _bytes(batch["sketch"])
 
     def rows(found: dict[str, list], ends=None) -> pa.RecordBatch:
         pairs = len(found["a"])
-        tree, keys, nodes, sizes, labels = ends or ([], [], [], [], [])
+        tree, keys, nodes, sizes, labels, sketches = ends or ([], [], [], [], [], [])
         k = len(tree)
         none = [None] * pairs
         return pa.RecordBatch.from_arrays(
@@ -186,8 +192,9 @@ def _walk(width: int, depth: int, near: int, agree: int):
                 pa.array(none + list(nodes), pa.binary()),
                 pa.array(none + [int(x) for x in sizes], pa.int32()),
                 pa.array(none + list(labels), pa.binary()),
+                pa.array(none + [x.tobytes() for x in sketches], pa.binary()),
             ],
-            ["a", "b", "tree", "key", "node", "n", "label"],
+            ["a", "b", "tree", "key", "node", "n", "label", "sketch"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,16 +225,16 @@ def _candidates(prepared: DataFrame, trees: int, values: int, depth: int, near:
     """Distinct pairs (``a`` < ``b``) of nodes of different ``label`` that are neighbours in some tree."""
     width = 2 * values
     each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    rows = prepared.filter("node is not null").select("doc_id", "node", "label", "n", "signature", each)
+    rows = prepared.filter("node is not null").select("doc_id", "node", "label", "sketch", "n", "signature", each)
     key = F.substring("signature", F.col("tree") * width + 1, F.lit(width))
-    rows = rows.select("tree", key.alias("key"), "node", "n", "doc_id", "label")
+    rows = rows.select("tree", key.alias("key"), "node", "n", "doc_id", "label", "sketch")
     order = ["tree", "key", "node", "doc_id"]
-    walk = _walk(width, depth, near, agree)
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "key", "node", "n", "label")
+    walk = _walk(depth, near, agree)
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "key", "node", "n", "label", "sketch")
     walked = staged(parts.mapInArrow(walk, _PAIR), "neighbours")
     pairs = walked.filter("a is not null").select("a", "b")
     # a few rows for each part
-    ends = walked.filter("a is null").select("tree", "key", "node", "n", "label").coalesce(1).sortWithinPartitions("tree", "key", "node")
+    ends = walked.filter("a is null").select("tree", "key", "node", "n", "label", "sketch").coalesce(1).sortWithinPartitions("tree", "key", "node")
     across = ends.mapInArrow(walk, _PAIR).filter("a is not null").select("a", "b")
     return pairs.unionByName(across).distinct()
 
@@ -289,6 +296,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _sketched(prepared: DataFrame) -> DataFrame:
+    """With ``sketch``: the low byte of every value of the signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [np.frombuffer(x, np.uint8)[1::2].tobytes() for x in batch["signature"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.binary())], [*batch.schema.names, "sketch"])
+
+    return prepared.mapInArrow(run, prepared.withColumn("sketch", F.lit(b"")).schema)
+
+
 def _both_ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
@@ -309,18 +327,20 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def joined(
-    docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: float = RECALL, near: int = NEAR, wide: int = WIDE, agree: int = AGREE
+    docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: float = RECALL, near: int = NEAR, wide: int = WIDE
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Documents (``doc_id``, ``node``), nodes (``node``, ``first_id``, ``size``), verified links (``a``, ``b``)
     and the label of each linked node (``__node``, ``__label``)."""
     depth = depth_for(recall, SIMILAR[0] / SIMILAR[1], trees, values)
     prepared = staged(_prepared(docs, trees, values), "signatures")
     nodes = staged(prepared.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")), "nodes")
-    pairs = staged(_candidates(prepared.withColumn("label", F.col("node")), trees, values, depth, near), "pairs")
+    pairs = staged(_candidates(prepared.withColumns({"label": F.col("node"), "sketch": F.unhex(F.lit("00"))}), trees, values, depth, near), "pairs")
     links = _links(docs, pairs, nodes)
     labels = _labels(links)
     # sets that share prefixes with more others than they have met: again, among the classes so far
-    crowd = staged(prepared.join(_both_ends(pairs), "node", "left_semi").dropDuplicates(["node"]), "crowd")
+    crowd = staged(_sketched(prepared.join(_both_ends(pairs), "node", "left_semi").dropDuplicates(["node"])), "crowd")
+    count, s = trees * values, SIMILAR[0] / SIMILAR[1]
+    agree = max(1, int(count * s - DEVIATIONS * (count * s * (1 - s)) ** 0.5))
     while True:
         named = crowd.join(labels, crowd["node"] == labels["__node"], "left").withColumn("label", F.coalesce("__label", "node"))
         more = staged(_candidates(named, trees, values, depth, wide, agree).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
