@@ -1,15 +1,13 @@
-"""Similarity join on word shingles by a MinHash LSH forest.
-
-A text is its set of five-word shingles. Each of the trees sorts all sets by a signature of
-its own, so that neighbours share the longest prefixes they share with anyone: the sorted order
-is the trie. A set is paired with the nearest different sets before it as long as the shared prefix is
-not shorter than the depth that the target recall allows; deep matches come first, shorter
-ones where nothing deeper is near. Where many share a prefix, further walks look back further, at
-sets of other classes, until none is similar. Pairs of possible sizes are verified on the shingles, and verified
-links are joined to classes.
-
-Documents with equal sets form one node, so copies are never expanded into pairs, and the
-sorted order is cut anywhere, so a group of any size is spread over the tasks. Texts of
+"""Similarity join on word shingles by MinHash LSH trees.
+
+A text is its set of five-word shingles. Each of the trees files all sets under a signature of
+its own, down to the depth that the target recall allows: sets with equal prefixes there are a group,
+and every pair of a group is compared, whatever the size of the group. Small groups are listed as pairs.
+A larger one is dealt into blocks, and each two blocks meet in a task that counts their common
+shingles and hands on the number of links of each set and the edges that hold the linked ones together, never the
+pairs. Of the trees in which two sets meet the first one counts them.
+
+Documents with equal sets form one node, so copies are never expanded into pairs. Texts of
 one to four words are one shingle: only equal ones are linked. Empty and null texts have
 no shingle, no link and a class of their own. The smallest ``doc_id`` names a class (a null id
 is passed over; a class of null ids only has a null name). Rows that repeat an id and its text
@@ -34,12 +32,12 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 TREES, VALUES = 16, 16
 RECALL = 0.999
-#: Different sets before a set, in the sorted order, that it is paired with.
-NEAR = 3
-#: Where more sets share a prefix, further walks go back so far, over sets of other classes, until a
-#: walk finds no link. Pairs whose whole signatures agree too little to be similar (by so many
-#: standard deviations) are left out. Two classes meet in so many pairs in each tree and part, those that agree most.
-WIDE, DEVIATIONS, EACH = 64, 4, 32
+#: Groups up to this size are listed as pairs.
+LISTED = 8
+#: Larger ones are dealt into blocks of about so many sets, and of about so many shingles at most.
+BLOCK, BLOCK_SHINGLES = 128, 4_000_000
+#: Shingles that are counted at a time.
+_COLUMNS = 4096
 
 _WORDS_CACHED = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -100,11 +98,17 @@ def _node(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _prepared(rows: DataFrame, trees: int, values: int) -> DataFrame:
-    """``doc_id``, ``node`` (of the shingle set; null for none), ``n`` (shingles) and ``signature``."""
+def _prepared(rows: DataFrame, trees: int, depth: int) -> DataFrame:
+    """``doc_id``, ``node`` (of the shingle set; null for none), ``n`` (shingles) and ``keys`` (the prefix in each tree)."""
+    width = 2 * depth
+
+    def keys(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        signature = _signature(shingles, *functions).tobytes()
+        found = [xxhash.xxh64_intdigest(signature[t * width : (t + 1) * width], t) for t in range(trees)]
+        return np.array(found, np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, functions = _Hashes(), _functions(trees, values)
+        hashes, functions = _Hashes(), _functions(trees, depth)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
@@ -114,129 +118,114 @@ def _prepared(rows: DataFrame, trees: int, values: int) -> DataFrame:
                         part["doc_id"],
                         pa.array([_node(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([_signature(s, *functions).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([keys(s, functions) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "node", "n", "signature"],
+                    ["doc_id", "node", "n", "keys"],
                 )
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n int, signature binary")
-
-
-_PAIR = "a binary, b binary, tree int, key binary, node binary, n int, label binary, sketch binary"
-
-
-def _neighbours(tree, keys, nodes, sizes, labels, sketches, depth: int, near: int, agree: int, old: int) -> dict[str, list]:
-    """Pairs of rows of different labels at most ``near`` apart that share tree and prefix and
-    agree in enough values of their sketches; the first ``old`` rows have met before. With ``agree``, of the pairs
-    of two labels in one tree only those that agree most."""
-    values = keys.view(">u2").reshape(len(keys), -1)
-    pairs = []
-    for away in range(1, near + 1):
-        at = np.arange(max(away, old), len(keys))
-        before = at - away
-        equal = values[at] == values[before]
-        same = (tree[at] == tree[before]) & equal[:, :depth].all(axis=1)
-        if not same.any():
-            break  # sorted: what is further away shares no more
-        small, large = np.minimum(sizes[at], sizes[before]), np.maximum(sizes[at], sizes[before])
-        same &= small.astype(np.int64) * SIMILAR[1] >= large.astype(np.int64) * SIMILAR[0]
-        same &= labels[at] != labels[before]
-        at, before = at[same], before[same]
-        common = (sketches[at] == sketches[before]).sum(axis=1)
-        enough = common >= agree
-        pairs.append(np.stack([at[enough], before[enough], common[enough]]))
-    i, j, common = np.concatenate(pairs, axis=1) if pairs else np.empty((3, 0), np.int64)
-    if agree and len(i):
-        _, number = np.unique(labels, return_inverse=True)
-        low, high = np.minimum(number[i], number[j]), np.maximum(number[i], number[j])
-        order = np.lexsort((j, i, -common, high, low, tree[i]))
-        of = np.stack([tree[i], low, high])[:, order]
-        first = np.ones(len(order), bool)
-        first[1:] = (of[:, 1:] != of[:, :-1]).any(axis=0)
-        place = np.arange(len(order))
-        chosen = order[place - np.maximum.accumulate(np.where(first, place, 0)) < EACH]
-        i, j = i[chosen], j[chosen]
-    swap = nodes[i] > nodes[j]
-    return {"a": np.where(swap, nodes[j], nodes[i]).tolist(), "b": np.where(swap, nodes[i], nodes[j]).tolist()}
-
-
-def _objects(column: pa.Array) -> np.ndarray:
-    """Bytes as objects: NumPy's fixed ones drop zeros at the end."""
-    found = np.empty(len(column), object)
-    found[:] = column.to_pylist()
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n int, keys array<long>")
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """``node`` and ``at`` for every group (a key) of two sets or more, with the sets in it (``many``) and its ``blocks``."""
+    filed = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("at"))
+    groups = filed.groupBy("at").agg(F.count("*").alias("many"), F.sum("n").alias("shingles")).filter("many > 1")
+    blocks = F.least("many", F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+    groups = staged(groups.select("at", "many", blocks.alias("blocks")), "groups")
+    return staged(attach(filed.select("node", "at"), groups, "at", ("node",)), "members")
+
+
+def _first_common(x: str, y: str) -> str:
+    return f"get(filter(zip_with({x}, {y}, (p, q) -> if(p = q, p, null)), p -> p is not null), 0)"
+
+
+def _pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (``a`` < ``b``) of possible sizes that meet first in a small group, once each."""
+    small = staged(members.filter(F.col("many") <= LISTED).select("node", "at").join(nodes.select("node", "n", "keys"), "node"), "small-groups")
+    one = small.select("at", F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    two = small.select("at", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    met = one.join(two, "at").filter("a < b")
+    sizes = F.least("na", "nb").cast("long") * SIMILAR[1] >= F.greatest("na", "nb").cast("long") * SIMILAR[0]
+    return met.filter(sizes & (F.expr(_first_common("ka", "kb")) == F.col("at"))).select("a", "b")
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set of ``left`` (places in ``sets``) shares with each of ``right``."""
+    found = np.zeros((len(left), len(right)), np.int64)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, shingle, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = uses[shingle] > 1
+    of, shingle = of[shared], shingle[shared]
+    order = np.argsort(shingle, kind="stable")
+    of = of[order]
+    shingle = np.unique(shingle[order], return_inverse=True)[1]
+    total = int(shingle[-1]) + 1 if len(shingle) else 0
+    for start in range(0, total, _COLUMNS):
+        low, high = np.searchsorted(shingle, (start, start + _COLUMNS))
+        held = np.zeros((len(sets), min(_COLUMNS, total - start)), np.float32)
+        held[of[low:high], shingle[low:high] - start] = 1
+        # sums of at most 4,096 ones are exact
+        found += (held[left] @ held[right].T).astype(np.int64)
     return found
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
-    """Bytes of equal length as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-
-
-def _walk(depth: int, near: int, agree: int):
-    """Meets neighbours in sorted rows; the ends of the part are handed on, to meet those of other parts."""
-
-    def columns(batch: pa.RecordBatch):
-        return batch["tree"].to_numpy(), _bytes(batch["key"]), _objects(batch["node"]), batch["n"].to_numpy(), _objects(batch["label"]), _bytes(batch["sketch"])
-
-    def rows(found: dict[str, list], ends=None) -> pa.RecordBatch:
-        pairs = len(found["a"])
-        tree, keys, nodes, sizes, labels, sketches = ends or ([], [], [], [], [], [])
-        k = len(tree)
-        none = [None] * pairs
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(found["a"] + [None] * k, pa.binary()),
-                pa.array(found["b"] + [None] * k, pa.binary()),
-                pa.array(none + [int(x) for x in tree], pa.int32()),
-                pa.array(none + [x.tobytes() for x in keys], pa.binary()),
-                pa.array(none + list(nodes), pa.binary()),
-                pa.array(none + [int(x) for x in sizes], pa.int32()),
-                pa.array(none + list(labels), pa.binary()),
-                pa.array(none + [x.tobytes() for x in sketches], pa.binary()),
-            ],
-            ["a", "b", "tree", "key", "node", "n", "label", "sketch"],
-        )
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the symmetric matrix connects, without a circle."""
+    edges, seen = [], np.zeros(len(linked), bool)
+    for root in range(len(linked)):
+        if seen[root]:
+            continue
+        seen[root], queue = True, [root]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(linked[i] & ~seen)
+            seen[new] = True
+            edges += [(i, int(j)) for j in new]
+            queue += new.tolist()
+    return edges
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """Of two blocks of a group (or one with itself): ``a`` and ``b`` of edges, and ``a`` and ``linked`` of counts."""
+    at, low, high = (rows[c][0].as_py() for c in ("at", "low", "high"))
+    nodes, n, size = rows["node"].to_pylist(), rows["n"].to_numpy().astype(np.int64), rows["size"].to_numpy()
+    keys = rows["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(nodes), -1)
+    sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
+    block = rows["block"].to_numpy()
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    edges, counts = [], np.zeros(len(nodes), np.int64)
+    if len(left) and len(right):
+        common = _common(sets, left, right)
+        similar = common * SIMILAR[1] >= (n[left][:, None] + n[right][None, :] - common) * SIMILAR[0]
+        equal = keys[left][:, None, :] == keys[right][None, :, :]
+        first = np.take_along_axis(keys[left], equal.argmax(axis=2), axis=1)
+        similar &= equal.any(axis=2) & (first == at)
+        if low == high:
+            np.fill_diagonal(similar, False)
+        counts[left] = similar @ size[right]
+        if low != high:
+            counts[right] = similar.T @ size[left]
+        linked = np.zeros((len(nodes), len(nodes)), bool)
+        linked[np.ix_(left, right)] = similar
+        edges = _forest(linked | linked.T)
+    some = np.flatnonzero(counts)
+    ends = [(nodes[i], nodes[j]) for i, j in edges]
+    return pa.table(
+        {
+            "a": pa.array([min(e) for e in ends] + [nodes[i] for i in some], pa.binary()),
+            "b": pa.array([max(e) for e in ends] + [None] * len(some), pa.binary()),
+            "linked": pa.array([None] * len(ends) + counts[some].tolist(), pa.int64()),
+        }
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            now = columns(batch)
-            old = 0
-            if held is not None:
-                old = len(held[0])
-                now = tuple(np.concatenate([x, y]) for x, y in zip(held, now))
-            # copies of a set lie next to each other
-            new = np.ones(len(now[0]), bool)
-            new[1:] = (now[0][1:] != now[0][:-1]) | (now[2][1:] != now[2][:-1])
-            now = tuple(x[new] for x in now)
-            if first is None:
-                first = tuple(x[:near] for x in now)
-            yield rows(_neighbours(*now, depth, near, agree, old))
-            held = tuple(x[-near:] for x in now)
-        if held is not None:
-            yield rows({"a": [], "b": []}, tuple(np.concatenate([x, y]) for x, y in zip(first, held)))
-
-    return run
-
-
-def _candidates(prepared: DataFrame, trees: int, values: int, depth: int, near: int, agree: int = 0) -> DataFrame:
-    """Distinct pairs (``a`` < ``b``) of nodes of different ``label`` that are neighbours in some tree."""
-    width = 2 * values
-    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    rows = prepared.filter("node is not null").select("doc_id", "node", "label", "sketch", "n", "signature", each)
-    key = F.substring("signature", F.col("tree") * width + 1, F.lit(width))
-    rows = rows.select("tree", key.alias("key"), "node", "n", "doc_id", "label", "sketch")
-    order = ["tree", "key", "node", "doc_id"]
-    walk = _walk(depth, near, agree)
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "key", "node", "n", "label", "sketch")
-    walked = staged(parts.mapInArrow(walk, _PAIR), "neighbours")
-    pairs = walked.filter("a is not null").select("a", "b")
-    # a few rows for each part
-    ends = walked.filter("a is null").select("tree", "key", "node", "n", "label", "sketch").coalesce(1).sortWithinPartitions("tree", "key", "node")
-    across = ends.mapInArrow(walk, _PAIR).filter("a is not null").select("a", "b")
-    return pairs.unionByName(across).distinct()
+
+def _blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``_block`` for every two blocks of the large groups."""
+    large = members.filter(F.col("many") > LISTED).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = large.select("node", "at", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("node", "at", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    full = met.join(nodes.select("node", "n", "size", "keys").join(sets, "node"), "node")
+    return full.groupBy("at", "low", "high").applyInArrow(_block, "a binary, b binary, linked long")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -296,60 +285,39 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _sketched(prepared: DataFrame) -> DataFrame:
-    """With ``sketch``: the low byte of every value of the signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [np.frombuffer(x, np.uint8)[1::2].tobytes() for x in batch["signature"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.binary())], [*batch.schema.names, "sketch"])
-
-    return prepared.mapInArrow(run, prepared.withColumn("sketch", F.lit(b"")).schema)
-
-
-def _both_ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-
-
-def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The similar ones among the pairs, compared on the documents' texts."""
-    ids = nodes.join(_both_ends(pairs), "node", "left_semi").select(F.col("first_id").alias("__id"))
+def _shingled(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``_sets`` of the wanted nodes, from the documents' texts."""
+    ids = nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("__id"))
     # while the candidates are few, the documents stay where they are
     ids = if_few(staged(ids, "candidate-ids"))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return staged(_verified(pairs, _sets(texts).dropDuplicates(["node"])), "links")
-
-
-def _labels(links: DataFrame) -> DataFrame:
-    """``components``, with names of its own."""
-    found = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return found.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    return staged(_sets(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def joined(
-    docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: float = RECALL, near: int = NEAR, wide: int = WIDE
+    docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: float = RECALL
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Documents (``doc_id``, ``node``), nodes (``node``, ``first_id``, ``size``), verified links (``a``, ``b``)
-    and the label of each linked node (``__node``, ``__label``)."""
+    """Documents (``doc_id``, ``node``), nodes (``node``, ``first_id``, ``size``), the documents of other sets that each
+    linked node is similar to (``node``, ``linked``) and its label (``__node``, ``__label``)."""
     depth = depth_for(recall, SIMILAR[0] / SIMILAR[1], trees, values)
-    prepared = staged(_prepared(docs, trees, values), "signatures")
-    nodes = staged(prepared.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")), "nodes")
-    pairs = staged(_candidates(prepared.withColumns({"label": F.col("node"), "sketch": F.unhex(F.lit("00"))}), trees, values, depth, near), "pairs")
-    links = _links(docs, pairs, nodes)
-    labels = _labels(links)
-    # sets that share prefixes with more others than they have met: again, among the classes so far
-    crowd = staged(_sketched(prepared.join(_both_ends(pairs), "node", "left_semi").dropDuplicates(["node"])), "crowd")
-    count, s = trees * values, SIMILAR[0] / SIMILAR[1]
-    agree = max(1, int(count * s - DEVIATIONS * (count * s * (1 - s)) ** 0.5))
-    while True:
-        named = crowd.join(labels, crowd["node"] == labels["__node"], "left").withColumn("label", F.coalesce("__label", "node"))
-        more = staged(_candidates(named, trees, values, depth, wide, agree).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        found = _links(docs, more, nodes)
-        if found.isEmpty():
-            break
-        links, pairs = staged(links.unionByName(found), "links"), pairs.unionByName(more)
-        labels = _labels(links)
-    return prepared.select("doc_id", "node"), nodes, links, labels
+    prepared = staged(_prepared(docs, trees, depth), "signatures")
+    one = prepared.filter("node is not null").groupBy("node")
+    nodes = staged(one.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    members = _members(nodes)
+    pairs = staged(_pairs(members, nodes), "pairs")
+    large = members.filter(F.col("many") > LISTED).select("node")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large).distinct()
+    sets = _shingled(docs, staged(wanted, "candidates"), nodes)
+    links = staged(_verified(pairs, sets), "links")
+    blocks = staged(_blocks(members, nodes, sets), "blocks")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    single = ends.join(nodes.select(F.col("node").alias("b"), F.col("size").alias("linked")), "b").select("a", "linked")
+    counts = single.unionByName(blocks.filter("b is null").select("a", "linked"))
+    linked = counts.groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
+    edges = links.unionByName(blocks.filter("b is not null").select("a", "b"))
+    found = components(edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = found.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    return prepared.select("doc_id", "node"), nodes.select("node", "first_id", "size"), linked, labels
 
 
 def classified(docs: DataFrame, **options) -> DataFrame:
@@ -357,11 +325,9 @@ def classified(docs: DataFrame, **options) -> DataFrame:
 
     ``n_links`` counts the other documents with an equal set and those of linked sets.
     """
-    rows, nodes, links, labels = joined(docs, **options)
+    rows, nodes, linked, labels = joined(docs, **options)
     placed = nodes.join(labels, nodes["node"] == labels["__node"], "left").withColumn("label", F.coalesce("__label", "node")).drop("__node", "__label")
     classes = placed.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"))
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(nodes.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("linked"))
     many = classes.filter("class_size > 1")
     info = placed.join(many, "label").join(linked, "node", "left").select("node", "class_id", "class_size", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     info = staged(info, "classes")

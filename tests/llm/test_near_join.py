@@ -113,3 +113,21 @@ def test_one_document_of_each_class_stays(corpus, awkward):
 def test_of_a_repeated_row_one_stays(make):
     docs = make((2, "a b c d e f g h", "en", "s"), (2, "a b c d e f g h", "en", "s"), (2, "a b c d e f g h", "de", "s"))
     assert near_join.kept(docs).count() == 1
+
+
+def crowd(make, prose, tails):
+    """Near copies in twos, all with one passage and so most with one prefix; whether each two share it."""
+    passage, texts = prose(1, words=100), []
+    for i in range(300):
+        text = f"{passage} {prose(10 + i, words=tails[i % len(tails)])}"
+        texts += [text, f"{text} end{i}"]
+    docs = make(*texts)
+    keys = {r.doc_id: r["keys"] for r in near_join._prepared(docs, 1, 1).collect()}
+    return docs, {i: int(keys[i] == keys[i ^ 1]) for i in keys}
+
+
+def test_all_pairs_of_a_crowded_prefix_are_compared(make, prose):
+    docs, want = crowd(make, prose, [40])
+    found = near_join.classified(docs, trees=1, values=1, recall=0.0)
+    assert {r.doc_id: r.n_links for r in found.collect()} == want
+    assert sum(want.values()) > 500
