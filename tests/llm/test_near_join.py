@@ -137,3 +137,9 @@ def test_links_in_a_large_group_are_counted_exactly(make, prose):
     rng, text = random.Random(11), prose(4, words=150)
     docs = make(*[changed(text, rng, 1) for _ in range(300)], *[text] * 3)
     assert rows_of(near_join.report(docs.repartition(7))) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_partners_behind_neighbours_of_other_sizes_are_met(make, prose):
+    docs, want = crowd(make, prose, [40, 110, 220, 400])
+    found = near_join.classified(docs, trees=1, values=1, recall=0.0)
+    assert {r.doc_id: r.n_links for r in found.collect()} == want
