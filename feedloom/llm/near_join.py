@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.llm.common import staged
-from feedloom.operators.joins import attach, if_few
+from feedloom.operators.joins import attach, drop_matching, if_few, keep_matching
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
@@ -321,7 +322,7 @@ def joined(
 
 
 def classified(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id``, ``class_size``, ``n_links`` and ``node``.
+    """One row per document: ``doc_id``, ``class_id``, ``class_size``, ``n_links``, ``node`` and ``label`` (of the class; null without a link or copy).
 
     ``n_links`` counts the other documents with an equal set and those of linked sets.
     """
@@ -329,7 +330,7 @@ def classified(docs: DataFrame, **options) -> DataFrame:
     placed = nodes.join(labels, nodes["node"] == labels["__node"], "left").withColumn("label", F.coalesce("__label", "node")).drop("__node", "__label")
     classes = placed.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"))
     many = classes.filter("class_size > 1")
-    info = placed.join(many, "label").join(linked, "node", "left").select("node", "class_id", "class_size", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    info = placed.join(many, "label").join(linked, "node", "left").select("node", "label", "class_id", "class_size", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     info = staged(info, "classes")
     alone = F.col("class_size").isNull()
     return rows.join(info, "node", "left").select(
@@ -338,6 +339,7 @@ def classified(docs: DataFrame, **options) -> DataFrame:
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "node",
+        "label",
     )
 
 
@@ -345,22 +347,44 @@ def report(docs: DataFrame) -> DataFrame:
     return classified(docs).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """With ``__mark``, which tells documents apart by id and shingle set; null without a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                sets = [_shingles(t or "", hashes) for t in part["text"].to_pylist()]
+                nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, nodes], [*part.schema.names, "__node"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())])
+    return docs.mapInArrow(run, schema).withColumn("__mark", _mark(F.col("doc_id"), F.col("__node"))).drop("__node")
+
+
+def _mark(doc_id: Column, node: Column) -> Column:
+    return F.concat(node, F.coalesce(F.encode(doc_id.cast("string"), "utf-8"), F.lit(b"")))
+
+
 def kept(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with all its columns: the one with the smallest id.
 
-    Rows that repeat the id of a linked document are one document; one of them stays,
-    chosen by the hash of all its columns.
+    A document is an id with a shingle set. Rows that repeat both are one document; one of them stays,
+    chosen by the hash of all its columns. Other rows of the same id, or without one, are judged on their own.
     """
-    linked = staged(classified(docs, **options).filter("class_size > 1").select("doc_id", "class_id"), "linked")
-    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = linked.filter(~first).select(F.col("doc_id").alias("__id"))
-    twice = staged(linked.filter(first).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1"), "written-twice")
-    out = gone.unionByName(twice.select("__id")).distinct()
-    names = [F.col(c) for c in docs.columns]
-    stay = docs.join(out, docs["doc_id"].eqNullSafe(out["__id"]), "left_anti")
+    linked = classified(docs, **options).filter("class_size > 1").select("label", "doc_id", _mark(F.col("doc_id"), F.col("node")).alias("__mark"))
+    # ids that are null come last
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__mark"))["__mark"]
+    marks = staged(linked.groupBy("label", "doc_id", "__mark").agg(F.count("*").alias("__n")), "linked")
+    stays = staged(marks.groupBy("label").agg(first.alias("__mark")), "first-of-class").select("__mark")
+    twice = staged(marks.filter("__n > 1").join(stays, "__mark", "left_semi").select("__mark"), "written-twice")
+    out = staged(marks.select("__mark").join(stays, "__mark", "left_anti").unionByName(twice), "left-out")
+    names = tuple(docs.columns)
+    marked = _marked(docs)
+    stay = drop_matching(marked, out, "__mark", names).select(*names)
     if twice.isEmpty():
         return stay
-    again = docs.join(twice, docs["doc_id"].eqNullSafe(twice["__id"]), "left_semi").withColumn("__hash", F.xxhash64(*names))
-    least = again.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__hash").alias("__least"))
-    one = again.join(least, again["doc_id"].eqNullSafe(least["__id"]) & (again["__hash"] == least["__least"]), "left_semi")
-    return stay.unionByName(one.dropDuplicates(["doc_id"]).select(*names))
+    again = keep_matching(marked, twice, "__mark", names)
+    one = again.groupBy("__mark").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row"))
+    return stay.unionByName(one.select("__row.*"))

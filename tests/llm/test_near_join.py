@@ -143,3 +143,14 @@ def test_partners_behind_neighbours_of_other_sizes_are_met(make, prose):
     docs, want = crowd(make, prose, [40, 110, 220, 400])
     found = near_join.classified(docs, trees=1, values=1, recall=0.0)
     assert {r.doc_id: r.n_links for r in found.collect()} == want
+
+
+def test_rows_of_a_linked_id_that_are_not_linked_stay(make, prose):
+    near = [prose(1), f"{prose(1)} end", f"{prose(1)} more end"]
+    rows = [(1, near[0], "en", "s"), (None, near[1], "en", "s"), (None, prose(2), "en", "s"), (None, None, "en", "s")]
+    rows += [(5, near[2], "en", "s"), (5, prose(3), "en", "s"), (6, prose(4), "en", "s"), (None, prose(5), "en", "s"), (None, f"{prose(5)} end", "en", "s")]
+    stay = near_join.kept(make(*rows)).collect()
+    texts = sorted(str(r.text) for r in stay)
+    fives = [t for t in texts if t.startswith(prose(5))]
+    assert len(fives) == 1
+    assert texts == sorted([near[0], prose(2), "None", prose(3), prose(4), *fives])
