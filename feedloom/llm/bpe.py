@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import staged
+from feedloom.operators.joins import attach
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK = 1 << 15
@@ -228,8 +229,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     unshared = stitched.filter("ids is null").select("content")
     if not unshared.isEmpty():
         texts = long.join(unshared, "content", "left_semi").select("content", "text").dropDuplicates(["content"])
-        stitched = stitched.filter("ids is not null").unionByName(_encode_whole(texts, ranks, pattern))
-    return short.unionByName(long.drop("text").join(stitched, "content").select("doc_id", "ids"))
+        stitched = staged(stitched.filter("ids is not null").unionByName(_encode_whole(texts, ranks, pattern)), "stitched")
+    return short.unionByName(attach(long.drop("text"), stitched, "content", ("doc_id",)).select("doc_id", "ids"))
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

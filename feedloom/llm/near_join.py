@@ -333,7 +333,7 @@ def classified(docs: DataFrame, **options) -> DataFrame:
     info = placed.join(many, "label").join(linked, "node", "left").select("node", "label", "class_id", "class_size", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     info = staged(info, "classes")
     alone = F.col("class_size").isNull()
-    return rows.join(info, "node", "left").select(
+    return attach(rows, info, "node", ("doc_id",), "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
