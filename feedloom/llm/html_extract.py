@@ -5,7 +5,10 @@ Blocks inside elements that declare themselves something else (navigation, forms
 comments and the like) are set aside. For the others, text length and punctuation are summed
 per path, divided by the path's blocks, fused into one score, smoothed along the page and
 compared with a threshold. The element that holds nearly all text of the chosen paths is the
-article, and all its blocks that are not set aside are the text, in page order.
+article, and all its blocks that are not set aside are the text, in page order, with the blocks of
+chosen paths beside it (inside the declared article or main, if there is one). Inside an article,
+a section whose class is a word of ordinary titles too (discussion, survey) is set aside only
+if it holds no long, punctuated block.
 
 Null and empty html give an empty text. Every page is read whole, in one pass; pages are
 independent, so repeated rows get equal results, and other columns are left alone.
@@ -64,6 +67,10 @@ _ASIDE_WORD = re.compile(
     r"share|sharing|sharebar|social|related|recommended|recommendations|recommendation|teaser|teasers|pagination|pager|toolbar|widget|widgets|masthead|banner|"
     r"copyright|colophon|search|searchbox|form|outbrain|taboola|announcement|trending|rail|disclaimer|feedback|rating|poll|survey|paywall)\Z"
 )
+#: Those of them that an article's own section may have as a name.
+_DOUBTFUL = frozenset("discussion response survey poll rating search form rail notice".split())
+#: Characters outside links and punctuation marks of a block that speaks for such a section.
+LONG, MARKS = 200, 3
 _HEADER_WORD = re.compile(r"(?:header|topbar|topnav|masthead)\Z")
 #: Whole class names of what is not shown.
 _HIDDEN = frozenset("hidden d-none is-hidden visually-hidden sr-only screen-reader-text".split())
@@ -71,8 +78,8 @@ _NEGATED = frozenset("no has with without not".split())
 _NEVER = frozenset("html body main".split())
 
 
-def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether the element says that it is something else than the article."""
+def _set_aside(tag: str, attributes: str, in_article: bool) -> bool | None:
+    """Whether the element says that it is something else than the article; None if that is doubtful."""
     if tag in ASIDE or (tag == "header" and not in_article):
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
@@ -84,23 +91,26 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub("", attributes)) or re.search(r"display\s*:\s*none", values.get("style", "")):
         return True
+    doubtful = False
     for name in (*values.get("class", "").split(), values.get("id", "")):
         if name.lower() in _HIDDEN:
             return True
         before = ""
         for word in (w.lower() for w in _WORDS.findall(name)):
             if before not in _NEGATED and (_ASIDE_WORD.match(word) or not in_article and _HEADER_WORD.match(word)):
-                return True
+                if not in_article or word not in _DOUBTFUL:
+                    return True
+                doubtful = True
             before = word
-    return False
+    return None if doubtful else False
 
 
 class _Page:
     """Elements and text blocks of a page, in page order."""
 
     def __init__(self, source: str):
-        # of each element: parent, tag, path, whether set aside
-        self.parent, self.tag, self.path, self.aside = [0], [""], [0], [False]
+        # of each element: parent, tag, path, whether set aside, the outermost doubtful element around it
+        self.parent, self.tag, self.path, self.aside, self.doubt = [0], [""], [0], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._paths: dict[tuple[int, str], int] = {}
         self._stack, self._open = [0], {}
@@ -111,6 +121,16 @@ class _Page:
         self._text: list[str] = []
         self._linked = 0
         self._read(source)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Sets doubtful elements aside that hold no long, punctuated block."""
+        own = {
+            self.doubt[element]
+            for element, text, linked in self.blocks
+            if not self.aside[element] and len(text) - linked >= LONG and len(_PUNCTUATION.findall(text)) >= MARKS
+        }
+        self.aside = [aside or doubt > 0 and doubt not in own for aside, doubt in zip(self.aside, self.doubt)]
 
     def _flush(self) -> None:
         if self._text:
@@ -129,7 +149,9 @@ class _Page:
         self.parent.append(up)
         self.tag.append(tag)
         self.path.append(path)
-        self.aside.append(self.aside[up] or _set_aside(tag, attributes, self._articles > 0))
+        aside = _set_aside(tag, attributes, self._articles > 0)
+        self.aside.append(self.aside[up] or aside is True)
+        self.doubt.append(self.doubt[up] or (len(self.tag) - 1 if aside is None else 0))
         self._stack.append(len(self.tag) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
         self._articles += tag in ("article", "main")
@@ -225,7 +247,7 @@ class _Page:
             if tag in BLOCK:
                 self._links = 0
             self._begin(tag, attributes)
-        elif attributes and _set_aside(tag, attributes, self._articles > 0):
+        elif attributes and _set_aside(tag, attributes, self._articles > 0) is not False:
             # an inline element, such as an advert in a span: its text is left out of the block
             self._push(tag, attributes)
             self._muted.add(len(self.tag) - 1)
@@ -277,19 +299,22 @@ def main_text(source: str | None) -> str:
             mass[element] += len(text) - linked + 1
     for element in range(len(mass) - 1, 0, -1):
         mass[page.parent[element]] += mass[element]
-    article, whole = 0, mass[0]
+    article, declared, whole = 0, 0, mass[0]
     for element in range(1, len(mass)):
         # elements come after their parents, so this walks down as long as one child holds nearly all
         if page.parent[element] == article and page.tag[article] != "article" and page.tag[element] not in _LEAF and mass[element] >= HOLDS * whole:
             article = element
-    inside = [False] * len(mass)
+            if page.tag[element] in ("article", "main"):
+                declared = element
+    inside, around = [False] * len(mass), [False] * len(mass)
     for element in range(len(mass)):
         inside[element] = element == article or element > 0 and inside[page.parent[element]]
+        around[element] = element == declared or element > 0 and around[page.parent[element]]
     sure = page.tag[article] in ("article", "main")
     lines = []
-    for element, text, linked in blocks:
+    for (element, text, linked), path in zip(blocks, paths):
         menu = not sure and 2 * linked > len(text)
-        if inside[element] and not menu or page.tag[element] == "h1" and element < article:
+        if (inside[element] or around[element] and path in chosen) and not menu or page.tag[element] == "h1" and element < article:
             lines.append(text)
     return "\n".join(lines)
 

@@ -58,3 +58,19 @@ def test_tables(spark):
     assert sorted((r.n_chars, len(r.text)) for r in rows) == sorted([(0, 0), (0, 0)] + [(len(main_text(PAGE)),) * 2] * 2)
     assert report(pages.limit(0)).count() == 0
     assert report(pages.withColumn("html", F.lit("<p>é𝄞</p>"))).first().n_chars == 2
+
+
+def test_a_lead_beside_the_body_stays():
+    lead = "The lead says what it is about, in some words, and who was there. " * 3
+    body = "<p>" + "It went on for long, and nobody left. It was late, too. " * 6 + "</p>"
+    page = f"<body><div class=post><p>{lead}</p><div class=body>{body * 6}</div></div><div class=sidebar><p>{lead}</p></div></body>"
+    for around in ("{}", "<main>{}</main>"):
+        assert main_text(around.format(page)).split("\n")[0] == lead.strip()
+    assert len(main_text(page).split("\n")) == 7
+
+
+def test_long_text_outvotes_doubtful_names_inside_an_article():
+    long = "We found what others had found, but less of it. This may be due to the season, or the place. " * 3
+    page = f"<article><p>{long}</p><section class=discussion><h2>Discussion</h2><p>{long}</p><div class=share>Share</div></section><div class=rating>4 of 5</div></article>"
+    assert main_text(page) == f"{long.strip()}\nDiscussion\n{long.strip()}"
+    assert main_text(f"<article><p>{long}</p></article><div class=discussion><p>{long}</p></div>") == long.strip()
