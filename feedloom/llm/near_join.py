@@ -23,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedloom.llm.common import staged
 from feedloom.operators.joins import attach, drop_matching, if_few, keep_matching
@@ -100,7 +99,7 @@ def _node(shingles: np.ndarray) -> bytes:
 
 
 def _prepared(rows: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``doc_id``, ``node`` (of the shingle set; null for none), ``n`` (shingles) and ``keys`` (the prefix in each tree)."""
+    """``doc_id``, ``mark``, ``node`` (of the shingle set; null for none), ``n`` (shingles) and ``keys`` (the prefix in each tree)."""
     width = 2 * depth
 
     def keys(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -117,14 +116,16 @@ def _prepared(rows: DataFrame, trees: int, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],
+                        part["mark"],
                         pa.array([_node(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([keys(s, functions) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "node", "n", "keys"],
+                    ["doc_id", "mark", "node", "n", "keys"],
                 )
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, n int, keys array<long>")
+    marked = rows.select("doc_id", "text", _mark(F.col("doc_id"), F.col("text")).alias("mark"))
+    return marked.mapInArrow(run, "doc_id long, mark binary, node binary, n int, keys array<long>")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -298,7 +299,7 @@ def _shingled(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame
 def joined(
     docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: float = RECALL
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Documents (``doc_id``, ``node``), nodes (``node``, ``first_id``, ``size``), the documents of other sets that each
+    """Documents (``doc_id``, ``mark``, ``node``), nodes (``node``, ``first_id``, ``size``), the documents of other sets that each
     linked node is similar to (``node``, ``linked``) and its label (``__node``, ``__label``)."""
     depth = depth_for(recall, SIMILAR[0] / SIMILAR[1], trees, values)
     prepared = staged(_prepared(docs, trees, depth), "signatures")
@@ -318,11 +319,11 @@ def joined(
     edges = links.unionByName(blocks.filter("b is not null").select("a", "b"))
     found = components(edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = found.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
-    return prepared.select("doc_id", "node"), nodes.select("node", "first_id", "size"), linked, labels
+    return prepared.select("doc_id", "mark", "node"), nodes.select("node", "first_id", "size"), linked, labels
 
 
 def classified(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id``, ``class_size``, ``n_links``, ``node`` and ``label`` (of the class; null without a link or copy).
+    """One row per document: ``doc_id``, ``class_id``, ``class_size``, ``n_links``, ``node``, ``label`` (of the class; null without a link or copy) and ``mark``.
 
     ``n_links`` counts the other documents with an equal set and those of linked sets.
     """
@@ -340,6 +341,7 @@ def classified(docs: DataFrame, **options) -> DataFrame:
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "node",
         "label",
+        "mark",
     )
 
 
@@ -347,33 +349,18 @@ def report(docs: DataFrame) -> DataFrame:
     return classified(docs).select("doc_id", "class_id", "class_size", "n_links")
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """With ``__mark``, which tells documents apart by id and shingle set; null without a shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                sets = [_shingles(t or "", hashes) for t in part["text"].to_pylist()]
-                nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, nodes], [*part.schema.names, "__node"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())])
-    return docs.mapInArrow(run, schema).withColumn("__mark", _mark(F.col("doc_id"), F.col("__node"))).drop("__node")
-
-
-def _mark(doc_id: Column, node: Column) -> Column:
-    return F.concat(node, F.coalesce(F.encode(doc_id.cast("string"), "utf-8"), F.lit(b"")))
+def _mark(doc_id: Column, text: Column) -> Column:
+    """What tells documents apart: id and digest of the text; null for a null text."""
+    return F.concat(F.unhex(F.sha2(text.cast("binary"), 256)), F.coalesce(F.encode(doc_id.cast("string"), "utf-8"), F.lit(b"")))
 
 
 def kept(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with all its columns: the one with the smallest id.
 
-    A document is an id with a shingle set. Rows that repeat both are one document; one of them stays,
+    A document is an id with a text. Rows that repeat both are one document; one of them stays,
     chosen by the hash of all its columns. Other rows of the same id, or without one, are judged on their own.
     """
-    linked = classified(docs, **options).filter("class_size > 1").select("label", "doc_id", _mark(F.col("doc_id"), F.col("node")).alias("__mark"))
+    linked = classified(docs, **options).filter("class_size > 1").select("label", "doc_id", F.col("mark").alias("__mark"))
     # ids that are null come last
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__mark"))["__mark"]
     marks = staged(linked.groupBy("label", "doc_id", "__mark").agg(F.count("*").alias("__n")), "linked")
@@ -381,7 +368,7 @@ def kept(docs: DataFrame, **options) -> DataFrame:
     twice = staged(marks.filter("__n > 1").join(stays, "__mark", "left_semi").select("__mark"), "written-twice")
     out = staged(marks.select("__mark").join(stays, "__mark", "left_anti").unionByName(twice), "left-out")
     names = tuple(docs.columns)
-    marked = _marked(docs)
+    marked = docs.withColumn("__mark", _mark(docs["doc_id"], docs["text"]))
     stay = drop_matching(marked, out, "__mark", names).select(*names)
     if twice.isEmpty():
         return stay
