@@ -159,10 +159,63 @@ FROM t
 """
 
 
+SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+c AS (SELECT count(*)::BIGINT AS n, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0),
+tf AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY rid, term),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term), c),
+m AS (SELECT rid, doc_id, 100 - 90 + (90 * len(ts)::BIGINT * n) // l AS m FROM d, c WHERE len(ts) > 0),
+s AS (
+  SELECT item_id, rid, m.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, rid, m.doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+CLUSTERS = """
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS y FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM k ORDER BY h, x LIMIT 40)),
+{rounds}
+last AS MATERIALIZED ({last})
+SELECT vec_id, last.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY last.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM last JOIN c5 ON last.c = c5.c
+"""
+
+_NEAREST = """SELECT rid, vec_id, x, c, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS place FROM (
+      SELECT rid, vec_id, x, c, list_sum(list_transform(range(1, 65), lambda j: (x[j] - y[j]) * (x[j] - y[j])))::BIGINT AS d FROM k, {c}))
+  WHERE place = 1"""
+
+_ROUND = """a{k} AS MATERIALIZED ({nearest}),
+m{k} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS y FROM (
+    SELECT c, j, sum(v)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT c, unnest(x) AS v, unnest(range(1, 65)) AS j FROM a{k}) GROUP BY c, j) GROUP BY c),
+c{n} AS MATERIALIZED (SELECT c, coalesce(m{k}.y, c{k}.y) AS y FROM c{k} LEFT JOIN m{k} USING (c)),"""
+
+
+def _cluster_sql() -> str:
+    rounds = "\n".join(_ROUND.format(k=k, n=k + 1, nearest=_NEAREST.format(c=f"c{k}")) for k in range(5))
+    return CLUSTERS.format(rounds=rounds, last=_NEAREST.format(c="c5"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": DEDUP,
         "op4_url_filter": URLS,
         "op6_license_scan": LICENSES.replace("{rules}", _license_values()),
         "op10_quality_rules": QUALITY,
+        "op12_lexical_search": SEARCH,
+        "op13_clustering": _cluster_sql(),
     }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import bpe, exact_dedup, html_extract, language, licenses, mixing, near_join, quality, toxicity, url_filter
+from feedloom.llm import bpe, clustering, exact_dedup, html_extract, language, lexical, licenses, mixing, near_join, quality
+from feedloom.llm import sharding, toxicity, url_filter
 from feedloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,18 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(table(spark, folder, "documents"))
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.report(table(spark, folder, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.report(table(spark, folder, "embeddings"))
+
+
 def registered() -> dict[str, Query]:
     found = (
         op1_html_extract,
@@ -66,5 +79,8 @@ def registered() -> dict[str, Query]:
         op8_byte_bpe,
         op9_language,
         op10_quality_rules,
+        op11_sharding,
+        op12_lexical_search,
+        op13_clustering,
     )
     return {f.__name__: f for f in found}
