@@ -114,5 +114,5 @@ def test_uuids(evaluate):
 
 def test_prompt(spark):
     row = spark.range(1).select(text.build_prompt(F.lit("T"), F.lit("x" * 12001), "Weekly").alias("p")).first()
-    assert "articles for Weekly." in row.p
+    assert "readers of Weekly" in row.p
     assert row.p.endswith("Article Title: T\nArticle Content:\n" + "x" * 12000 + "...\n")
