@@ -42,8 +42,8 @@ FULL = 255
 TOP = 1_000_000
 #: Terms, repeated over items, of one block of items, and bytes of the bounds computed at once.
 BLOCK_TERMS = 200_000
-_BYTES = 48 << 20
-_TEXT = 16 << 20
+_BYTES = 12 << 20
+_TEXT = 4 << 20
 
 # every ASCII byte that is neither letter nor digit becomes a space; A-Z become a-z
 _FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
