@@ -15,6 +15,7 @@ repeated rows get equal results.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import itertools
 from collections.abc import Iterator
@@ -26,14 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import staged
+from feedloom.operators.joins import attach, if_few
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
-#: The pattern decides on a pre-token after reading two characters past its end at most.
+#: The public pattern decides on a pre-token after reading two characters past its end at most; another may need more.
 LOOK_AHEAD = 2
+#: Pre-tokens in each half of a worker's memory.
 _CACHED = 300_000
 _SHORT = 48
+_NONE = 1 << 62  # a pair that is no token
 
 _IDS = pa.list_(pa.int32())
 
@@ -54,18 +58,17 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 def _merged_short(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
-    pairs = [ranks.get(a + b) for a, b in itertools.pairwise(parts)]
-    while True:
-        best = min((r for r in pairs if r is not None), default=None)
-        if best is None:
-            return tuple(ranks[p] for p in parts)
+    rank = ranks.get
+    pairs = [rank(a + b, _NONE) for a, b in itertools.pairwise(parts)]
+    while pairs and (best := min(pairs)) != _NONE:
         i = pairs.index(best)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
         del pairs[i]
         if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i])
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
         if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1])
+            pairs[i] = rank(parts[i] + parts[i + 1], _NONE)
+    return tuple(ranks[p] for p in parts)
 
 
 def _merged_long(parts: list[bytes | None], ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -97,32 +100,54 @@ def _merged_long(parts: list[bytes | None], ranks: dict[bytes, int]) -> tuple[in
     return tuple(ranks[p] for p in parts if p is not None)
 
 
-class _Ids(dict):
-    """Ids by pre-token, merged when first asked for."""
+def _shared(docs: DataFrame, ranks_path: str):
+    """The ranks, broadcast, and beside them the memory of a worker: pre-tokens and their ids. A worker
+    keeps a broadcast value from task to task, so what one task has merged the next one knows."""
+    return docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), [{}, {}]))
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= _CACHED:
-            self.clear()
-        found = merged(piece.encode(), self.ranks)
+class _Encoder:
+    """Splits and merges. Of the two halves of ``memory`` the younger is written; when it is full it becomes
+    the older one, and what is still asked for moves on."""
+
+    def __init__(self, ranks: dict[bytes, int], memory: list[dict[str, tuple[int, ...]]], pattern: str):
+        self.pieces = regex.compile(pattern).findall
+        self.ranks, self.memory = ranks, memory
+
+    def _found(self, piece: str) -> tuple[int, ...]:
+        young, old = self.memory
+        found = old.get(piece) or merged(piece.encode(), self.ranks)
         if len(piece) <= _SHORT:
-            self[piece] = found
+            if len(young) >= _CACHED:
+                self.memory[:] = young, old = {}, young
+            young[piece] = found
         return found
 
+    def ids(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        found = list(map(self.memory[0].get, pieces))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self.memory[0].get(pieces[i]) or self._found(pieces[i])
+        return found
 
-class _Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.split = regex.compile(pattern).findall
-        self.ids = _Ids(ranks)
+    def encoded(self, text: str) -> list[int]:
+        return list(itertools.chain.from_iterable(self.ids(self.pieces(text))))
 
-    def pieces(self, text: str) -> list[str]:
-        return self.split(text)
 
-    def flat(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter(itertools.chain.from_iterable(map(self.ids.__getitem__, pieces)), np.int32)
+class _Decoder:
+    """Bytes and decimal digits of every id, and from them the columns of the report."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes = {rank: token for token, rank in ranks.items()}
+        self.digits = {rank: b"%d" % rank for rank in self.bytes}
+
+    def decoded(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+    def digests(self, ids: list[int]) -> tuple[int, str, str]:
+        text = b" ".join(map(self.digits.__getitem__, ids))
+        return len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -144,20 +169,49 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 def _encode_whole(rows: DataFrame, ranks, pattern: str) -> DataFrame:
     def run(batches):
-        encoder = _Encoder(ranks.value, pattern)
+        encoder = _Encoder(*ranks.value, pattern)
         for batch in _small(batches):
-            found = [encoder.flat(encoder.pieces(t)) for t in batch["text"].to_pylist()]
+            found = [np.array(encoder.encoded(t), np.int32) for t in batch["text"].to_pylist()]
             yield _with(batch, "text", ids=_lists(found, pa.int32()))
 
     schema = rows.drop("text").withColumn("ids", F.array().cast("array<int>")).schema
     return rows.mapInArrow(run, schema)
 
 
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest_batch(batch: pa.RecordBatch, drop: str, found: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    n, ids, decoded = zip(*found) if found else ((), (), ())
+    return _with(batch, drop, n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids, pa.string()), decoded_sha256=pa.array(decoded, pa.string()))
+
+
+def _digest_texts(rows: DataFrame, ranks, pattern: str) -> DataFrame:
+    """Texts that need no cutting, encoded and decoded in one visit."""
+
+    def run(batches):
+        encoder, decoder = _Encoder(*ranks.value, pattern), _Decoder(ranks.value[0])
+        for batch in _small(batches):
+            yield _digest_batch(batch, "text", [decoder.digests(encoder.encoded(t)) for t in batch["text"].to_pylist()])
+
+    key = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {key}, {_DIGESTS}")
+
+
+def _digest_ids(rows: DataFrame, ranks) -> DataFrame:
+    def run(batches):
+        decoder = _Decoder(ranks.value[0])
+        for batch in _small(batches, 1):
+            yield _digest_batch(batch, "ids", [decoder.digests(ids) for ids in batch["ids"].to_pylist()])
+
+    return rows.mapInArrow(run, f"content string, {_DIGESTS}")
+
+
 def _cut(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """Texts as rows of chunks: ``content`` (of the text), ``chunk``, ``last``, ``start``, ``text``."""
 
     def run(batches):
-        for batch in _small(batches, 16):
+        for batch in _small(batches, 1):
             for content, text in zip(batch["content"].to_pylist(), batch["text"].to_pylist()):
                 starts = list(range(0, len(text), chunk))
                 for at in range(0, len(starts), 64):
@@ -176,20 +230,21 @@ def _cut(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return rows.select("content", "text").mapInArrow(run, "content string, chunk int, last boolean, start long, text string")
 
 
-def _encode_chunks(chunks: DataFrame, ranks, pattern: str) -> DataFrame:
+def _encode_chunks(chunks: DataFrame, ranks, pattern: str, look_ahead: int) -> DataFrame:
     """Chunks with where their pre-tokens begin, the last end that counts, and the ids."""
 
     def run(batches):
-        encoder = _Encoder(ranks.value, pattern)
+        encoder = _Encoder(*ranks.value, pattern)
         for batch in _small(batches, 64):
             starts, counts, ids, sure = [], [], [], []
             for text, start, last in zip(batch["text"].to_pylist(), batch["start"].to_pylist(), batch["last"].to_pylist()):
                 pieces = encoder.pieces(text)
                 ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
                 starts.append(start + np.concatenate([[0], ends[:-1]]))
-                counts.append(np.fromiter((len(encoder.ids[p]) for p in pieces), np.int32))
-                ids.append(encoder.flat(pieces))
-                sure.append(start + len(text) + (1 if last else -LOOK_AHEAD - 1))
+                found = encoder.ids(pieces)
+                counts.append(np.fromiter(map(len, found), np.int32, len(found)))
+                ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int32))
+                sure.append(start + len(text) + (1 if last else -look_ahead - 1))
             yield _with(batch, "text", starts=_lists(starts, pa.int64()), counts=_lists(counts, pa.int32()), ids=_lists(ids, pa.int32()), sure=pa.array(sure, pa.int64()))
 
     schema = "content string, chunk int, last boolean, start long, starts array<long>, counts array<int>, ids array<int>, sure long"
@@ -217,53 +272,53 @@ def _stitch(rows: pa.Table) -> pa.Table:
     return pa.table({"content": [content], "ids": _lists([np.concatenate(parts)], pa.int32())})
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id`` and ``ids`` (array of int) of every document. The vocabulary, a file of fixed size, is broadcast."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+def _parted(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Texts encoded where they lie, and longer ones with the digest of their ``content``."""
     rows = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
-    short = _encode_whole(rows.filter(F.length("text") <= chunk), ranks, pattern)
     long = rows.filter(F.length("text") > chunk).withColumn("content", F.sha2(F.col("text").cast("binary"), 256))
+    return rows.filter(F.length("text") <= chunk), long
+
+
+def _stitched(long: DataFrame, ranks, pattern: str, chunk: int, overlap: int, look_ahead: int) -> DataFrame:
+    """``content`` and ``ids`` of each different long text."""
     chunks = _cut(long, chunk, overlap).dropDuplicates(["content", "chunk"])
-    stitched = staged(_encode_chunks(chunks, ranks, pattern).groupBy("content").applyInArrow(_stitch, "content string, ids array<int>"), "stitched")
+    encoded = _encode_chunks(chunks, ranks, pattern, look_ahead)
+    stitched = staged(encoded.groupBy("content").applyInArrow(_stitch, "content string, ids array<int>"), "stitched")
     unshared = stitched.filter("ids is null").select("content")
-    if not unshared.isEmpty():
-        texts = long.join(unshared, "content", "left_semi").select("content", "text").dropDuplicates(["content"])
-        stitched = stitched.filter("ids is not null").unionByName(_encode_whole(texts, ranks, pattern))
-    return short.unionByName(long.drop("text").join(stitched, "content").select("doc_id", "ids"))
+    if unshared.isEmpty():
+        return stitched
+    texts = long.join(if_few(unshared), "content", "left_semi").select("content", "text").dropDuplicates(["content"])
+    return stitched.filter("ids is not null").unionByName(_encode_whole(texts, ranks, pattern))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, look_ahead: int = LOOK_AHEAD) -> DataFrame:
+    """``doc_id`` and ``ids`` (array of int) of every document. The vocabulary, a file of fixed size, is broadcast.
+    ``look_ahead`` belongs to the pattern: characters that it reads past the end of a pre-token to decide on it."""
+    ranks = _shared(docs, ranks_path)
+    short, long = _parted(docs, chunk)
+    stitched = _stitched(long, ranks, pattern, chunk, overlap, look_ahead)
+    whole = attach(long.drop("text"), stitched, "content", spread_by=("doc_id",))
+    return _encode_whole(short, ranks, pattern).unionByName(whole.select("doc_id", "ids"))
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` with ``decoded`` (binary): the bytes of the ids one after the other."""
-    tokens = {rank: token for token, rank in read_ranks(ranks_path).items()}
-    lengths = np.zeros(max(tokens) + 1, np.int64)
-    for rank, token in tokens.items():
-        lengths[rank] = len(token)
-    data = np.frombuffer(b"".join(tokens.get(r, b"") for r in range(len(lengths))), np.uint8)
-    shared = encoded.sparkSession.sparkContext.broadcast((lengths, np.cumsum(lengths) - lengths, data))
+    ranks = _shared(encoded, ranks_path)
 
     def run(batches):
-        lengths, places, data = shared.value
-        for batch in _small(batches):
-            lists = batch["ids"]
-            ids = np.asarray(lists.flatten())
-            sizes = lengths[ids]
-            total = np.concatenate([[0], np.cumsum(sizes)])
-            # byte k of the output is byte k - (where its token began) of the token
-            source = np.arange(total[-1]) + np.repeat(places[ids] - total[:-1], sizes)
-            bytes_ = data[source]
-            ends = total[np.concatenate([[0], np.cumsum(np.diff(np.asarray(lists.offsets)))])]
-            blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(bytes_)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, blob.cast(pa.binary())], [*batch.schema.names, "decoded"])
+        decoder = _Decoder(ranks.value[0])
+        for batch in _small(batches, 1):
+            found = [decoder.decoded(ids) for ids in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, encoded.withColumn("decoded", F.lit(b"")).schema)
 
 
-def report(docs: DataFrame, ranks_path: str, pattern: str, **sizes: int) -> DataFrame:
-    rows = decode(encode(docs, ranks_path, pattern, **sizes), ranks_path)
-    text = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(text.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def report(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, look_ahead: int = LOOK_AHEAD) -> DataFrame:
+    """Digests of ids and decoded bytes. Those of a long text are taken once for all documents that hold it, and
+    only they are joined, salted where one text is in very many documents."""
+    ranks = _shared(docs, ranks_path)
+    short, long = _parted(docs, chunk)
+    digests = staged(_digest_ids(_stitched(long, ranks, pattern, chunk, overlap, look_ahead), ranks), "digests")
+    whole = attach(long.drop("text"), digests, "content", spread_by=("doc_id",)).drop("content")
+    return _digest_texts(short, ranks, pattern).unionByName(whole)
