@@ -8,7 +8,7 @@ the usual 768 dimensions. Only ids and distances leave the Python workers.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +112,7 @@ def search_text(articles: DataFrame, embeddings: DataFrame, provider: Provider,
     return search(articles, embeddings, row["embedding"], limit)
 
 
-class _Best:
+class Best:
     """The k best of each query so far, ties on distance decided by id."""
 
     def __init__(self, limits: Sequence[int]):
@@ -130,19 +130,21 @@ class _Best:
         place = np.arange(len(order)) - starts[queries[order]]
         return order[place < self.limits[queries[order]]]
 
-    def add(self, ids: np.ndarray, found: np.ndarray) -> None:
-        """A block of vectors: their ids, and their distances with a column per query."""
+    def add(self, ids: np.ndarray, found: np.ndarray, among: np.ndarray | None = None) -> None:
+        """A block of vectors: their ids, and their distances with a column per query, or per
+        query of ``among``, if only those met the block."""
+        among = np.arange(len(self.limits)) if among is None else among
         found = np.where(np.isnan(found), np.inf, found)
-        bound = self.worst
+        bound = self.worst[among]
         if len(found) > self.most:
             # ties with the k-th value stay until the ids decide
             bound = np.minimum(bound, np.partition(found, self.most - 1, axis=0)[self.most - 1])
-        rows, queries = np.nonzero(found <= bound[None, :])
+        rows, columns = np.nonzero(found <= bound[None, :])
         by_id = np.argsort(np.argsort(ids, kind="stable"))
-        best = self._first(queries, found[rows, queries], by_id[rows])
-        rows, queries = rows[best], queries[best]
-        self.queries = np.concatenate([self.queries, queries])
-        self.values = np.concatenate([self.values, found[rows, queries]])
+        best = self._first(among[columns], found[rows, columns], by_id[rows])
+        rows, columns = rows[best], columns[best]
+        self.queries = np.concatenate([self.queries, among[columns]])
+        self.values = np.concatenate([self.values, found[rows, columns]])
         self.ids = np.concatenate([self.ids, ids[rows]])
         _, names = np.unique(self.ids, return_inverse=True)
         best = self._first(self.queries, self.values, names)
@@ -161,17 +163,18 @@ class _Best:
         }
 
 
-_HITS = pa.schema([("query_id", pa.string()), ("k", pa.int32()), ("article_id", pa.string()), ("distance", pa.float64())])
-_HITS_DDL = "query_id string, k int, article_id string, distance double"
+HITS = pa.schema([("query_id", pa.string()), ("k", pa.int32()), ("article_id", pa.string()), ("distance", pa.float64())])
+HITS_DDL = "query_id string, k int, article_id string, distance double"
 
 
-def _feed(best: _Best, ids: pa.Array, vectors: pa.Array, targets: np.ndarray) -> None:
-    """Meets the vectors in blocks of a bounded number of distances."""
+def feed(best: Best, ids: pa.Array, vectors: pa.Array, targets: np.ndarray, among: np.ndarray | None = None) -> None:
+    """Meets the vectors in blocks of a bounded number of distances. ``targets`` are those of
+    the queries in ``among``, or of all."""
     rows = max(1, min(_ROWS_AT_ONCE, _CELLS // max(1, len(targets))))
     for start in range(0, len(ids), rows):
         block = matrix(vectors.slice(start, rows), targets.shape[1])
         names = np.array(ids.slice(start, rows).to_pylist(), dtype=object)
-        best.add(names, distances(block, targets))
+        best.add(names, distances(block, targets), among)
 
 
 def _with_shipped_queries(vectors: DataFrame, queries: pa.Table, dim: int) -> DataFrame:
@@ -183,25 +186,55 @@ def _with_shipped_queries(vectors: DataFrame, queries: pa.Table, dim: int) -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, limits, targets = shipped.value
-        best = _Best(limits)
+        best = Best(limits)
         for batch in batches:
-            _feed(best, batch.column(0), batch.column(1), targets)
-        yield pa.RecordBatch.from_pydict(best.batch(names), schema=_HITS)
+            feed(best, batch.column(0), batch.column(1), targets)
+        yield pa.RecordBatch.from_pydict(best.batch(names), schema=HITS)
 
-    return vectors.mapInArrow(scan, _HITS_DDL)
+    return vectors.mapInArrow(scan, HITS_DDL)
 
 
-def _in_query_blocks(vectors: DataFrame, queries: DataFrame, dim: int, blocks: int) -> DataFrame:
-    """One scan of the vectors for each block of queries. The vectors never move, and a
-    block's hits are written before the next one is shipped."""
-    spark = vectors.sparkSession
+def asked_of(queries: DataFrame) -> DataFrame:
+    """(query_id, embedding, k) of a table of (query_id, embedding, requested)."""
+    return queries.select(
+        F.col("query_id").cast("string").alias("query_id"),
+        "embedding",
+        rules.hit_limit_column(F.col("requested")).alias("k"),
+    )
+
+
+def met(asked: DataFrame, dim: int, block_values: int, meet: Callable[[pa.Table], DataFrame]) -> DataFrame:
+    """Hits of all queries. ``meet`` scans the vectors for one block of queries, whose size
+    ``block_values`` bounds.
+
+    A query table of that size is one block. A larger one is cut by a hash into blocks, and a
+    block's hits are written before the next one is shipped. The vectors never move.
+    """
+    spark, block_rows = asked.sparkSession, max(1, block_values // dim)
+    queries_asked = asked.count()
+    if queries_asked == 0:
+        return spark.createDataFrame([], HITS_DDL)
+    if queries_asked <= block_rows:
+        return meet(asked.toArrow())
+    blocks = 2 * math.ceil(queries_asked / block_rows)  # half full on average
     path = shared_folder(spark, "batch-search")
-    cut = staged(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
+    cut = staged(asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
     for number in range(blocks):
         block = cut.where(F.col("_block") == number).drop("_block").toArrow()
         if block.num_rows:
-            _with_shipped_queries(vectors, block, dim).write.mode("append").parquet(path)
-    return spark.read.schema(_HITS_DDL).parquet(path)
+            meet(block).write.mode("append").parquet(path)
+    return spark.read.schema(HITS_DDL).parquet(path)
+
+
+def ranked(hits: DataFrame) -> DataFrame:
+    """(query_id, rank, article_id, similarity_score) of the k best hits of each query."""
+    order = Window.partitionBy("query_id").orderBy(*_nearest_first())
+    return (
+        hits.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= rules.MAX_HITS)  # a constant bound limits each task before the shuffle
+        .where("rank <= k")
+        .select("query_id", "rank", "article_id", (1 - F.col("distance")).alias("similarity_score"))
+    )
 
 
 def of_articles(embeddings: DataFrame, articles: DataFrame) -> DataFrame:
@@ -224,34 +257,12 @@ def batch_search(
     """(query_id, rank, article_id, similarity_score) for a table of
     (query_id, embedding, requested), exact.
 
-    A query table of a size checked against ``block_values`` is shipped to the
-    tasks that scan the vectors, which then do not move. A larger one is cut into
-    blocks of that size, each of which is shipped to a scan of its own.
+    Every block of queries (``met``) is shipped to the tasks that scan the vectors.
     """
-    asked = queries.select(
-        F.col("query_id").cast("string").alias("query_id"),
-        "embedding",
-        rules.hit_limit_column(F.col("requested")).alias("k"),
-    )
     vectors = embeddings.select("article_id", "embedding")
     if articles is not None:
         vectors = of_articles(vectors, articles)
-    block_rows = max(1, block_values // dim)
-    queries_asked = asked.count()
-    if queries_asked == 0:
-        hits = asked.sparkSession.createDataFrame([], _HITS_DDL)
-    elif queries_asked <= block_rows:
-        hits = _with_shipped_queries(vectors, asked.toArrow(), dim)
-    else:
-        # half full on average, as the blocks are cut by a hash
-        hits = _in_query_blocks(vectors, asked, dim, 2 * math.ceil(queries_asked / block_rows))
-    order = Window.partitionBy("query_id").orderBy(*_nearest_first())
-    return (
-        hits.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= rules.MAX_HITS)  # a constant bound limits each task before the shuffle
-        .where("rank <= k")
-        .select("query_id", "rank", "article_id", (1 - F.col("distance")).alias("similarity_score"))
-    )
+    return ranked(met(asked_of(queries), dim, block_values, lambda block: _with_shipped_queries(vectors, block, dim)))
 
 
 def split_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -143,6 +143,35 @@ v_probes AS (
     FROM v_filled, v_margins GROUP BY c, n) s)""",
 )
 
+_KNN_EVERY = "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(rank AS INTEGER) AS rank, article_id, round(sim, 6) AS similarity_score FROM v_ranked WHERE rank <= k"
+_ALL_VECTORS = _LABEL_QUERIES.replace(" WHERE article_id IN (SELECT id FROM v_articles)", "")
+_KNN_GRAPH = _with(_KNN_EVERY, _ALL_VECTORS)
+
+# as above, with margins and a wanted number of candidates for each query
+_KNN_BATCH_INDEX = _with(
+    """SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(rank AS INTEGER) AS rank, article_id, round(sim, 6) AS similarity_score FROM (
+  SELECT query_id, k, article_id, list_cosine_similarity(embedding, q) AS sim,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(1 - list_cosine_similarity(embedding, q), 12), article_id) AS rank
+  FROM v_filed JOIN v_probes USING (bucket) JOIN v_asked USING (query_id, k) WHERE before < wanted) t
+WHERE rank <= k""",
+    _ALL_VECTORS,
+    """v_bits AS (SELECT least(16, greatest(1, CAST(ceil(log2(greatest(count(*), 2)) / 2) AS INTEGER))) AS bits, count(*) AS total FROM v_embeddings),
+v_planes AS (
+  SELECT b, list(sin(CAST(b * 64 + d + 1 AS DOUBLE) * CAST(b * 64 + d + 1 AS DOUBLE) * 0.6180339887) ORDER BY d) AS normal
+  FROM range(16) t(b), range(64) u(d) WHERE b < (SELECT bits FROM v_bits) GROUP BY b),
+v_filed AS (
+  SELECT article_id, embedding, vec_id,
+         CAST(sum(CASE WHEN list_dot_product(embedding, normal) >= 0 THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS INTEGER) AS bucket
+  FROM v_embeddings, v_planes GROUP BY article_id, embedding, vec_id),
+v_margins AS (SELECT query_id, k, b, list_dot_product(q, normal) AS margin FROM v_asked, v_planes),
+v_filled AS (SELECT bucket AS c, count(*) AS n FROM v_filed GROUP BY bucket),
+v_probes AS (
+  SELECT query_id, k, c AS bucket, greatest(10 * k, ceil(2 * pow(total, 0.75))) AS wanted,
+         sum(n) OVER (PARTITION BY query_id ORDER BY round(cost, 12), c ROWS UNBOUNDED PRECEDING) - n AS before FROM (
+    SELECT query_id, k, c, n, sum(CASE WHEN ((c >> CAST(b AS INTEGER)) & 1) <> (CASE WHEN margin >= 0 THEN 1 ELSE 0 END) THEN margin * margin ELSE 0 END) AS cost
+    FROM v_filled, v_margins GROUP BY query_id, k, c, n) s, v_bits)""",
+)
+
 _REDUCED = """v_cut AS (
   SELECT {cols}, embedding[1:{dim}] AS head, sqrt(list_sum(list_transform(embedding[1:{dim}], lambda x: x * x))) AS norm FROM v_embeddings)"""
 
@@ -290,6 +319,9 @@ def oracle_sql() -> dict[str, str]:
         "knn_batch": _KNN_BATCH,
         "knn_batch_blocks": _KNN_BATCH,
         "knn_approx": _KNN_APPROX,
+        "knn_batch_index": _KNN_BATCH_INDEX,
+        "knn_graph": _KNN_GRAPH,
+        "knn_graph_recall": "SELECT count(*) * least(10, (SELECT count(*) FROM embeddings)) AS hits, true AS recalled FROM embeddings WHERE vec_id % 20 = 0",
         "search_requests": """SELECT conv_id, turn, CAST(least(50, CASE WHEN turn * 30 - 30 > 0 THEN turn * 30 - 30 ELSE 5 END) AS INTEGER) AS k,
        CASE WHEN %s = '' THEN 'empty_query' END AS reason FROM conversations""" % _trim("text"),
         "search_limits": """SELECT conv_id, turn, CAST(CASE WHEN k > 0 THEN least(50, k) ELSE 5 END AS INTEGER) AS k FROM (

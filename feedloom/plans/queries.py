@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedloom import session
 from feedloom.functions import rules, text, vectors
-from feedloom.operators import ann, constraints, digest, embeddings, enrich, ingest, ranking, registry, search
+from feedloom.operators import ann, constraints, digest, embeddings, enrich, graph, ingest, ranking, registry, search
 from feedloom.plans import daily_run as daily
 from feedloom.plans import sample_tables as tables
 from feedloom.sources import documents as feed_documents
@@ -107,6 +107,38 @@ def knn_approx(spark, folder):
     return near.select("article_id", _six(F.col("distance")).alias("distance"))
 
 
+@query
+def knn_batch_index(spark, folder):
+    """Every label's search over the written index: only the buckets that some query probes are read."""
+    path = session.shared_folder(spark, "index")
+    ann.write_index(tables.embeddings(spark, folder), 64, path)
+    return _batch(ann.search_index_batch(ann.open_index(spark, path), _label_queries(spark, folder), 64))
+
+
+def _graph(spark: SparkSession, folder: str) -> graph.Graph:
+    path = session.shared_folder(spark, "graph")
+    graph.write_graph(tables.embeddings(spark, folder), 64, path)
+    return graph.open_graph(spark, path, 64)
+
+
+@query
+def knn_graph(spark, folder):
+    """Every label's search over graphs that are written first."""
+    return _batch(graph.search_graph(_graph(spark, folder), _label_queries(spark, folder), effort=256))
+
+
+@query
+def knn_graph_recall(spark, folder):
+    """Searches for the vectors with an id divisible by 20: hits asked for, and whether the graphs give at least 95 % of those
+    the exact search gives."""
+    stored = tables.embeddings(spark, folder)
+    asked = stored.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.lit(10).alias("requested"))
+    near = graph.search_graph(_graph(spark, folder), asked).select("query_id", "article_id")
+    exact = search.batch_search(stored, asked, 64).select("query_id", "article_id")
+    both = near.join(exact, ["query_id", "article_id"], "left_semi").agg(F.count("*").alias("found"))
+    return exact.agg(F.count("*").alias("hits")).crossJoin(F.broadcast(both)).select("hits", (F.col("found") >= 0.95 * F.col("hits")).alias("recalled"))
+
+
 @query
 def search_requests(spark, folder):
     """Limit and blank-text rules over every turn of every conversation."""

@@ -93,10 +93,10 @@ def test_batch_keeps_ties_until_the_ids_decide(spark, block_values):
 
 def test_blocks_of_distances_are_bounded(monkeypatch, data):
     monkeypatch.setattr(search, "_CELLS", 40)
-    best, seen = search._Best([3, 1, 50]), []
+    best, seen = search.Best([3, 1, 50]), []
     monkeypatch.setattr(search, "distances", lambda rows, asked: seen.append(len(rows) * len(asked)) or search_distances(rows, asked))
     ids = pa.array([fid(i) for i in range(len(data))])
-    search._feed(best, ids, pa.array(data.tolist(), pa.list_(pa.float32())), data[:3].astype(np.float64))
+    search.feed(best, ids, pa.array(data.tolist(), pa.list_(pa.float32())), data[:3].astype(np.float64))
     found = best.batch(["a", "b", "c"])
     assert max(seen) <= 40
     for q, k in (("a", 3), ("b", 1), ("c", 50)):
