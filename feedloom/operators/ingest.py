@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedloom.functions import rules
@@ -135,13 +135,16 @@ def insert_articles(articles: DataFrame, created: DataFrame) -> DataFrame:
     return articles.select(ARTICLE_COLUMNS).unionByName(created.select(ARTICLE_COLUMNS))
 
 
-def write_articles(created: DataFrame, path: str, mode: str = "append") -> None:
-    """Write to a table partitioned by day, which rankings and fetches prune by.
+def write_articles(created: DataFrame, path: str, mode: str = "append") -> int:
+    """Write to a table partitioned by day, which rankings and fetches prune by, and give the number of rows.
     Rows are cut by day and id into ranges of about equal size, so a day with very
-    many articles is written by several tasks and a small one into one file."""
+    many articles is written by several tasks and a small one into one file. They are
+    counted behind the cut, on their way into the files: the cut reads them a first time."""
     days = created.select(ARTICLE_COLUMNS).withColumn("day", F.to_date("created_at"))
     cut = days.repartitionByRange("day", "id").sortWithinPartitions("day", "created_at")
-    cut.write.mode(mode).partitionBy("day").parquet(path)
+    written = Observation()
+    cut.observe(written, F.count("*").alias("rows")).write.mode(mode).partitionBy("day").parquet(path)
+    return written.get["rows"]
 
 
 def url_counts(articles: DataFrame) -> DataFrame:

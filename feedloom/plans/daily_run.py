@@ -6,14 +6,14 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions.render import Style
 from feedloom.functions.rules import item_error
 from feedloom.functions.text import is_blank, trim_space
-from feedloom.operators import digest, ingest, ranking
+from feedloom.operators import digest, ingest, ranking, seen
 from feedloom.operators.enrich import Provider, embed_articles, enrich_items
 from feedloom.operators.joins import if_few
 from feedloom.schemas import ARTICLE_COLUMNS, ARTICLES, EMBEDDING_DIM
@@ -78,25 +78,28 @@ class Curated:
 def curate(
     raw_feeds: DataFrame,
     feeds: DataFrame,
-    stored: DataFrame,
+    unseen: Callable[[DataFrame], DataFrame],
     provider: Provider,
     as_of: Column,
     path: Callable[[str], str],
     dim: int,
 ) -> Curated:
     """Parse, check, drop known URLs, enrich and embed; ``path`` names where each step is written.
+    ``unseen`` gives the places whose URL is not stored; it is given a written table.
 
     Places and URLs are staged, not texts: most of what is polled is stored already.
     ``answers`` and ``vectors_made`` hold what the provider made, so that no answer is
-    asked for twice; like ``listed`` and ``new_places`` they may go after the run.
+    asked for twice; like ``listed``, ``first_places`` and ``new_places`` they may go after the run.
     """
     bodies = wanted_bodies(raw_feeds, feeds)
-    rows = staged(listed(bodies), path("listed"))
-    storable = rows.where("reason IS NULL").drop("reason")
-    places = staged(ingest.unseen_staged(ingest.first_places(storable), stored), path("new_places"))
+    counted = Observation()
+    found = listed(bodies).observe(counted, F.count("item_pos").alias("items"))
+    rows = staged(found, path("listed"))
+    first = staged(ingest.first_places(rows.where("reason IS NULL").drop("reason")), path("first_places"))
+    places = staged(unseen(first), path("new_places"))
 
     valid, failed = enrich_items(items_at(bodies, places), provider, as_of, lambda f: staged(f, path("answers")))
-    ingest.write_articles(valid, path("articles"), "overwrite")
+    made = ingest.write_articles(valid, path("articles"), "overwrite")
     new = read_articles(rows.sparkSession, path("articles"))
     vectors, unembedded = embed_articles(new, provider, as_of, dim, lambda f: staged(f, path("vectors_made")))
     vectors = staged(vectors, path("embeddings"))
@@ -112,7 +115,7 @@ def curate(
         .unionByName(of("enrich", failed))
         .unionByName(of("embed", unembedded))
     )
-    return Curated(new, vectors, staged(rejected, path("rejected")), rows.where("item_pos IS NOT NULL").count(), new.count())
+    return Curated(new, vectors, staged(rejected, path("rejected")), counted.get["items"], made)
 
 
 @dataclass(frozen=True)
@@ -139,6 +142,7 @@ def run_daily(
     dim: int = EMBEDDING_DIM,
     style: Style = Style(),
     send: Callable[[DataFrame], None] | None = None,
+    filters: DataFrame | None = None,
 ) -> Run:
     """Write ``articles`` (by day), ``embeddings``, ``rejected``, ``top`` and ``digest_chunks``
     below ``out``, and hand the chunks to ``send`` unless there are none. A
@@ -146,6 +150,10 @@ def run_daily(
 
     The provider's answers are written before anything reads them a second time,
     so a lost executor costs no answer twice after that point.
+
+    With ``filters`` (``operators.seen``) of the stored articles, which then have their ``day`` as a partition
+    column, only days that may hold a polled URL are looked at. The filters of the new articles
+    are written below ``out`` too, to be added to those of the stored ones.
     """
     spark = feeds.sparkSession
     stored = articles.select(ARTICLE_COLUMNS)
@@ -158,7 +166,12 @@ def run_daily(
         )
         return Run(nothing, empty_vectors, spark.createDataFrame([], REJECTED), nothing, digest.deliverable(digests, style))
 
-    found = curate(raw_feeds, feeds, stored, provider, as_of, lambda name: f"{out}/{name}", dim)
+    def unseen(places: DataFrame) -> DataFrame:
+        return ingest.unseen_staged(places, stored) if filters is None else seen.unseen_by_filters(places, articles, filters)
+
+    found = curate(raw_feeds, feeds, unseen, provider, as_of, lambda name: f"{out}/{name}", dim)
+    if filters is not None:
+        seen.write_filters(found.articles, f"{out}/filters", mode="overwrite")
 
     def best(ranked) -> DataFrame:
         """The best of the stored and the new articles, each ranked by itself."""

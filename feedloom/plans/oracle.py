@@ -504,6 +504,13 @@ FROM (SELECT doc_id, text, unnest(range(CASE WHEN strlen(text) <= 3800 THEN 1 EL
        (SELECT count(*) FROM v_readable WHERE feed_id IN (SELECT id FROM v_feeds WHERE is_active)) AS checked""",
             _PARSED,
         ),
+        "daily_filtered": _with(
+            f"""SELECT {_uuid('url')} AS id, feed_id, title, url, clean AS raw_content, 8 AS quality_score,
+       '2024-01-02 12:00:00' AS created_at FROM v_fresh""",
+            _PARSED,
+        ),
+        "unseen_by_filters": _with("SELECT DISTINCT url FROM v_items WHERE length(title) BETWEEN 1 AND 1024 AND url NOT IN (SELECT url FROM v_articles)"),
+        "filter_days": _with("SELECT DISTINCT strftime(created_at, '%Y-%m-%d') AS day FROM v_articles"),
         "stream_ingest": _with(f"SELECT {_uuid('url')} AS id, url, 768 AS dim FROM v_fresh", _PARSED),
         "stream_rejected": _with(_REJECTED, _PARSED),
     }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedloom import session
 from feedloom.functions import rules, text, vectors
-from feedloom.operators import ann, constraints, digest, embeddings, enrich, graph, ingest, ranking, registry, search
+from feedloom.operators import ann, constraints, digest, embeddings, enrich, graph, ingest, ranking, registry, search, seen
 from feedloom.plans import daily_run as daily
 from feedloom.plans import sample_tables as tables
 from feedloom.sources import documents as feed_documents
@@ -716,6 +716,42 @@ def daily_counters(spark, folder):
     return documents.select("documents", F.lit(run.items_checked).alias("checked"), F.lit(run.new_articles).alias("new"))
 
 
+def _history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The stored articles as a run leaves them: by day, with their filters beside them."""
+    path = session.shared_folder(spark, "history")
+    ingest.write_articles(tables.articles(spark, folder), f"{path}/articles")
+    written = daily.read_articles(spark, f"{path}/articles")
+    seen.write_filters(written, f"{path}/filters")
+    return written, spark.read.parquet(f"{path}/filters")
+
+
+@query
+def unseen_by_filters(spark, folder):
+    """Storable URLs that are not stored, found by the filters and the days they name."""
+    stored, filters = _history(spark, folder)
+    storable, _ = ingest.split_storable(tables.items(spark, folder))
+    urls = session.staged(storable.select("url").distinct(), "urls")
+    return seen.unseen_by_filters(urls, stored, filters)
+
+
+@query
+def filter_days(spark, folder):
+    """Every stored day is named by the filters for the URLs it holds."""
+    stored, filters = _history(spark, folder)
+    return seen.parts_with(stored.select("url"), filters).select(F.col("day").cast("string").alias("day"))
+
+
+@query
+def daily_filtered(spark, folder):
+    """Articles of a run that looks at the history through its filters."""
+    stored, filters = _history(spark, folder)
+    run = daily.run_daily(
+        tables.feeds(spark, folder), stored, tables.raw_feeds(tables.read(spark, folder, "documents")),
+        enrich.OfflineProvider(), _as_of(), session.shared_folder(spark, "daily"), filters=filters,
+    )
+    return run.articles.select("id", "feed_id", "title", "url", "raw_content", "quality_score", _stamp("created_at"))
+
+
 def _stream(spark: SparkSession, folder: str) -> str:
     """The documents as bodies that arrive in several files, each a batch of its own."""
     out = session.shared_folder(spark, "stream")
