@@ -113,6 +113,11 @@ def _by_uuid(requests: DataFrame) -> DataFrame:
     return requests.withColumn("id", F.coalesce(canonical_uuid(F.col("id")), F.col("id")))
 
 
+def requested_ids(requests: DataFrame) -> DataFrame:
+    """Every requested (id) once."""
+    return _by_uuid(requests).select("id").distinct()
+
+
 def set_status(feeds: DataFrame, requests: DataFrame, as_of: Column) -> Change:
     """Serve (request_no, id, is_active); the last request for a feed wins."""
     last = _by_uuid(requests).groupBy("id").agg(
@@ -143,7 +148,7 @@ def delete_feeds(feeds: DataFrame, articles: DataFrame, embeddings: DataFrame, r
     found from the dropped articles' ids. Tables are left where they are when the ids are few, and a feed that
     owns a large share of the articles is spread when they are not.
     """
-    ids = _by_uuid(requests).select("id").distinct()
+    ids = requested_ids(requests)
     asked = staged(ids.join(feeds.select("id", F.lit(True).alias("found")), "id", "left"), "deleted-feeds")
     gone = asked.where("found").select(F.col("id").alias("feed_id"))
     small = few(gone)

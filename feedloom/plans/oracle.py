@@ -314,7 +314,7 @@ def oracle_sql() -> dict[str, str]:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         plain = f"replace({plain}, '{entity}', '{char}')"
     iso = "'%Y-%m-%dT%H:%M:%SZ'"
-    return {
+    sql = {
         "knn_top5": _with(f"SELECT {hit_columns} FROM v_top JOIN v_articles ON id = article_id", _NEAREST, _hits(5)),
         "knn_batch": _KNN_BATCH,
         "knn_batch_blocks": _KNN_BATCH,
@@ -514,3 +514,6 @@ FROM (SELECT doc_id, text, unnest(range(CASE WHEN strlen(text) <= 3800 THEN 1 EL
         "stream_ingest": _with(f"SELECT {_uuid('url')} AS id, url, 768 AS dim FROM v_fresh", _PARSED),
         "stream_rejected": _with(_REJECTED, _PARSED),
     }
+    # the same rows, from tables kept by key
+    same = {"keyed_lookup": "article_lookup", "keyed_delete_cascade": "feed_delete_cascade", "keyed_upsert": "embedding_upsert"}
+    return sql | {name: sql[as_] for name, as_ in same.items()}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedloom import session
 from feedloom.functions import rules, text, vectors
-from feedloom.operators import ann, constraints, digest, embeddings, enrich, graph, ingest, ranking, registry, search, seen
+from feedloom.operators import ann, constraints, digest, embeddings, enrich, graph, ingest, keyed, ranking, registry, search, seen
 from feedloom.plans import daily_run as daily
 from feedloom.plans import sample_tables as tables
 from feedloom.sources import documents as feed_documents
@@ -246,6 +246,18 @@ def article_lookup(spark, folder):
     return found.select("id", "feed_id", "title", "url", "quality_score")
 
 
+def _kept(spark: SparkSession, frame: DataFrame, key: str, parts: int | None = None) -> keyed.Keyed:
+    return keyed.write_keyed(frame, key, session.shared_folder(spark, "keyed"), parts)
+
+
+@query
+def keyed_lookup(spark, folder):
+    """As ``article_lookup``, over a table kept by key."""
+    table = _kept(spark, tables.articles(spark, folder), "id")
+    wanted = tables.embeddings(spark, folder).select(F.col("article_id").alias("id"))
+    return keyed.find_all(spark, table, wanted).select("id", "feed_id", "title", "url", "quality_score")
+
+
 def _feed_requests(spark: SparkSession, folder: str) -> DataFrame:
     docs = tables.read(spark, folder, "documents")
     nothing = F.lit(None).cast("string")
@@ -327,24 +339,40 @@ def feed_flip(spark, folder):
     return _changed(registry.flip_status(tables.feeds(spark, folder), flips, _as_of()))
 
 
-@query
-def feed_delete_cascade(spark, folder):
-    """Feeds with a toxic article go, and what hangs on them; unknown ids are reported."""
+def _doomed(spark: SparkSession, folder: str) -> DataFrame:
+    """Feeds with a toxic article, and ids of no feed."""
     doomed = _feed_ids(_labelled(spark, folder)).where("toxic = 1").select("id")
-    doomed = doomed.unionByName(_unknown_ids(spark, folder).select("id"))
-    left = registry.delete_feeds(
-        tables.feeds(spark, folder), tables.articles(spark, folder), tables.embeddings(spark, folder), doomed
-    )
+    return doomed.unionByName(_unknown_ids(spark, folder).select("id"))
+
 
+def _left(feeds: DataFrame, articles: DataFrame, vectors_left: DataFrame, rejected: DataFrame) -> DataFrame:
     def part(frame: DataFrame, key: str, kind: str) -> DataFrame:
         return frame.select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
 
     return (
-        part(left.feeds, "id", "feed")
-        .unionByName(part(left.articles, "id", "article"))
-        .unionByName(part(left.embeddings, "article_id", "embedding"))
-        .unionByName(part(left.rejected, "id", "not_found"))
+        part(feeds, "id", "feed")
+        .unionByName(part(articles, "id", "article"))
+        .unionByName(part(vectors_left, "article_id", "embedding"))
+        .unionByName(part(rejected, "id", "not_found"))
+    )
+
+
+@query
+def feed_delete_cascade(spark, folder):
+    """Feeds with a toxic article go, and what hangs on them; unknown ids are reported."""
+    left = registry.delete_feeds(
+        tables.feeds(spark, folder), tables.articles(spark, folder), tables.embeddings(spark, folder), _doomed(spark, folder)
     )
+    return _left(left.feeds, left.articles, left.embeddings, left.rejected)
+
+
+@query
+def keyed_delete_cascade(spark, folder):
+    """As ``feed_delete_cascade``, in tables kept by key: only the partitions of deleted rows are written."""
+    feeds, articles = _kept(spark, tables.feeds(spark, folder), "id"), _kept(spark, tables.articles(spark, folder), "id", 64)
+    stored = _kept(spark, tables.embeddings(spark, folder).select("article_id", "embedding", "created_at"), "article_id", 64)
+    rejected = keyed.delete_feeds(spark, feeds, articles, stored, _doomed(spark, folder))
+    return _left(keyed.rows(spark, feeds), keyed.rows(spark, articles), keyed.rows(spark, stored), rejected)
 
 
 # ingestion
@@ -562,19 +590,34 @@ def insert_articles(spark, folder):
     return table.select("id", "feed_id", "title", "url", "raw_content", "quality_score", _stamp("created_at"))
 
 
-@query
-def embedding_upsert(spark, folder):
+def _updates(stored: DataFrame) -> DataFrame:
     """Two updates for every second or third article number; the later one wins."""
-    stored = tables.embeddings(spark, folder)
-    updates = stored.select(
+    return stored.select(
         tables.numbered_id(F.floor(F.col("vec_id") / 2) * 3).alias("article_id"),
         F.reverse("embedding").alias("embedding"),
         tables.after(F.col("vec_id") * 86400).alias("created_at"),
     )
-    table, _ = embeddings.upsert_embeddings(stored, updates, 64)
+
+
+def _heads(table: DataFrame) -> DataFrame:
     return table.select("article_id", _six(F.col("embedding")[0].cast("double")).alias("head"), _stamp("created_at"))
 
 
+@query
+def embedding_upsert(spark, folder):
+    stored = tables.embeddings(spark, folder)
+    return _heads(embeddings.upsert_embeddings(stored, _updates(stored), 64)[0])
+
+
+@query
+def keyed_upsert(spark, folder):
+    """As ``embedding_upsert``, in a table kept by key."""
+    stored = tables.embeddings(spark, folder)
+    table = _kept(spark, stored.select("article_id", "embedding", "created_at"), "article_id")
+    keyed.upsert_vectors(spark, table, _updates(stored), 64)
+    return _heads(keyed.rows(spark, table))
+
+
 @query
 def redimension(spark, folder):
     table = embeddings.redimension(tables.articles(spark, folder), enrich.OfflineProvider(), 256, "offline", _as_of())
