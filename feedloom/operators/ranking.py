@@ -9,6 +9,8 @@ from feedloom.functions.text import day_start
 from feedloom.operators.joins import if_few
 
 DEFAULT_TOP = 5
+#: Articles of each day and write that a kept ranking holds.
+KEPT = 50
 
 
 def top_size(requested: int) -> int:
@@ -71,3 +73,49 @@ def top_per_day(articles: DataFrame, n: int = DEFAULT_TOP) -> DataFrame:
     best = days.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_size(n))
     kept = [c for c in articles.columns if c != "day"]
     return articles.select(kept).join(if_few(best.select("id", "created_at", "day", "rank")), ["id", "created_at"]).select(*kept, "day", "rank")
+
+
+# A ranking that is kept: what the runs of a day found best, so that no later question scans the articles.
+
+
+def best_of_days(articles: DataFrame, n: int) -> DataFrame:
+    """(id, quality_score, created_at, day) of the ``n`` best of each day: one write's share of the kept ranking."""
+    days = articles.select("id", "quality_score", "created_at", F.to_date("created_at").alias("day"))
+    order = Window.partitionBy("day").orderBy(*best_first())
+    return days.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
+
+
+def keep_ranking(articles: DataFrame, path: str, n: int = KEPT) -> None:
+    """Adds the best of newly written articles, ``n`` a day. The parts of several writes to a day merge when they
+    are read: the best of a union are among the best of its parts."""
+    best = best_of_days(articles, n).repartitionByRange("day", "id").sortWithinPartitions("day", *best_first())
+    best.withColumn("kept", F.lit(n)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def _kept_best(kept: DataFrame, as_of: Column, n: int, days: Column) -> list | None:
+    """The ``n`` best of some days up to ``as_of`` from the kept ranking; None if it holds too little to tell.
+
+    A day of which it has seen articles later than ``as_of`` may have lost some that those displaced.
+    """
+    rows = kept.where(days)
+    found = rows.where(F.col("created_at") <= as_of)
+    best = found.select("id", F.unix_micros("created_at").alias("micros"), "quality_score", "created_at").orderBy(*best_first()).limit(n).collect()
+    doubt = rows.agg(F.min("kept").alias("kept"), F.max(F.col("created_at") > as_of).alias("later")).first()
+    if doubt["kept"] is not None and (doubt["later"] or doubt["kept"] < n):
+        return None
+    return best
+
+
+def top_from_kept(articles: DataFrame, kept: DataFrame, as_of: Column, n: int = DEFAULT_TOP) -> DataFrame:
+    """``top_or_latest`` from the kept ranking of all articles: reads the day's states, or those of every day
+    if it has none, and the n rows. A question about the past, which the ranking has moved on from,
+    or about more rows than are kept scans the articles."""
+    size = top_size(n)
+    today, earlier = F.col("day") == F.to_date(as_of), F.col("day") <= F.to_date(as_of)
+    for days in (today, earlier):
+        best = _kept_best(kept, as_of, size, days)
+        if best is None:
+            return top_or_latest(articles, as_of, n)
+        if best:
+            break
+    return fetch(articles, [r["id"] for r in best], [r["micros"] for r in best]).orderBy(*best_first())

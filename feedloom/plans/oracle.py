@@ -514,6 +514,7 @@ FROM (SELECT doc_id, text, unnest(range(CASE WHEN strlen(text) <= 3800 THEN 1 EL
         "stream_ingest": _with(f"SELECT {_uuid('url')} AS id, url, 768 AS dim FROM v_fresh", _PARSED),
         "stream_rejected": _with(_REJECTED, _PARSED),
     }
-    # the same rows, from tables kept by key
+    # the same rows, from tables and rankings that are kept
     same = {"keyed_lookup": "article_lookup", "keyed_delete_cascade": "feed_delete_cascade", "keyed_upsert": "embedding_upsert"}
+    same |= {"top_today_kept": "top_today", "top_fallback_kept": "top_fallback"}
     return sql | {name: sql[as_] for name, as_ in same.items()}

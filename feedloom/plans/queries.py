@@ -652,6 +652,28 @@ def top_fallback(spark, folder):
     return _top(ranking.top_or_latest(tables.articles(spark, folder), _later(), 0))
 
 
+def _ranking(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The articles by day, written in two runs, and the ranking that these kept."""
+    path = session.shared_folder(spark, "ranking")
+    articles = session.staged(tables.articles(spark, folder), "articles")
+    for part in (articles.where("quality_score % 2 = 0"), articles.where("quality_score % 2 = 1")):
+        ingest.write_articles(part, f"{path}/articles")
+        ranking.keep_ranking(part, f"{path}/kept")
+    return daily.read_articles(spark, f"{path}/articles"), spark.read.parquet(f"{path}/kept")
+
+
+@query
+def top_today_kept(spark, folder):
+    """As ``top_today``, from the kept ranking; its day is past, so the articles are asked as well."""
+    return _top(ranking.top_from_kept(*_ranking(spark, folder), _as_of(), 5))
+
+
+@query
+def top_fallback_kept(spark, folder):
+    """As ``top_fallback``, from the kept ranking alone."""
+    return _top(ranking.top_from_kept(*_ranking(spark, folder), _later(), 0))
+
+
 @query
 def top_per_day(spark, folder):
     best = ranking.top_per_day(tables.articles(spark, folder), 3)

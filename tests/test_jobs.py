@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from feedloom import schemas as S
-from feedloom.operators import enrich, ranking
+from feedloom.operators import enrich, ingest, ranking
 from feedloom.operators.enrich import OfflineProvider
 from feedloom.plans import daily_run
 from feedloom.streaming import ingest_stream
@@ -48,6 +48,39 @@ def test_top_per_day(spark):
     assert [(r.day.day, r["rank"], int(r.id[-3:])) for r in rows] == [(1, 1, 1), (2, 1, 6), (2, 2, 4)]
 
 
+def kept_by_runs(spark, path, *runs, n=ranking.KEPT):
+    for rows in runs:
+        table = articles(spark, *rows)
+        ingest.write_articles(table, f"{path}/articles")
+        ranking.keep_ranking(table, f"{path}/kept", n)
+    return daily_run.read_articles(spark, f"{path}/articles"), spark.read.parquet(f"{path}/kept")
+
+
+def test_kept_ranking(spark, tmp_path):
+    first = [(i, 1, f"u{i}", 1 + i % 10, at(2, i % 6)) for i in range(200)]
+    second = [(500 + i, 1, f"v{i}", 1 + i % 10, at(2, 6 + i % 3)) for i in range(90)] + [(700, 1, "w", 10, at(4, 1))]
+    table, kept = kept_by_runs(spark, tmp_path, first, second)
+    assert kept.count() == 50 + 50 + 1
+    for day, n in (("2024-01-02 12:00:00", 5), ("2024-01-02 12:00:00", 50), ("2024-01-04 12:00:00", 7), ("2024-01-05 12:00:00", 30)):
+        assert ids(ranking.top_from_kept(table, kept, when(day), n)) == ids(ranking.top_or_latest(table, when(day), n))
+
+
+def test_kept_ranking_reads_no_articles_but_the_best(spark, tmp_path, monkeypatch):
+    table, kept = kept_by_runs(spark, tmp_path, [(i, 1, f"u{i}", 1 + i % 10, at(2, i % 6)) for i in range(60)])
+    monkeypatch.setattr(ranking, "top_or_latest", None)  # would be called for a scan
+    found = ranking.top_from_kept(table, kept, when("2024-01-05 00:00:00"), 3)
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and len(ids(found)) == 3
+    assert ranking.top_from_kept(table.limit(0), kept.limit(0), when("2024-01-05 00:00:00"), 3).count() == 0
+
+
+def test_kept_ranking_of_the_past_or_of_too_many(spark, tmp_path):
+    rows = [(i, 1, f"u{i}", 5 if i < 10 else 9, at(2, i % 20)) for i in range(100)]
+    table, kept = kept_by_runs(spark, tmp_path, rows, n=5)
+    for day, n in (("2024-01-02 00:30:00", 5), ("2024-01-02 23:00:00", 20), ("2024-01-03 23:00:00", 20)):
+        assert ids(ranking.top_from_kept(table, kept, when(day), n)) == ids(ranking.top_or_latest(table, when(day), n))
+
+
 FEEDS = ((1, "https://a", "zeta", True), (2, "https://b", "alpha", True), (3, "https://c", "off", False))
 BODIES = (
     (1, 1, rss(("Zeta shared", "https://shared", "z"), ("Zeta own", "https://own", "z"), ("old", "u1", "z"))),
