@@ -126,35 +126,44 @@ l AS (
       WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
       WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
       WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    string_split(host, '.') AS ls, list_filter(string_split(path, '/'), lambda p: p <> '' AND NOT regexp_matches(p, '^[0-9]')) AS ps FROM h),
+    string_split(host, '.') AS ls, string_split(path, '/') AS ps, string_split_regex(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '[&;]') AS asked FROM h),
+n AS (
+  SELECT *, CASE WHEN len(ls) > 2 THEN ls[1:len(ls) - 2] ELSE [] END AS own, list_transform(asked, lambda p: split_part(p, '=', 1)) AS names,
+    list_transform(asked, lambda p: regexp_extract(p, '=(.*)', 1)) AS vals FROM l),
 t AS (
-  SELECT *, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_filter(list_concat([
-      CASE WHEN starts_with(url, 'https:') THEN 'scheme:https' ELSE 'scheme:other' END,
-      CASE WHEN ls[-1] <> '' THEN 'top:' || ls[-1] END,
-      CASE WHEN len(ls) >= 2 THEN 'domain:' || ls[-2] || '.' || ls[-1] END,
-      CASE WHEN len(ls) >= 3 AND ls[-3] <> '' THEN 'name:' || ls[-3] END,
-      CASE WHEN len(ls) >= 4 AND ls[1] <> '' THEN 'sub:' || ls[1] END,
-      'part:' || ps[1],
-      CASE WHEN regexp_matches(path, '\.[A-Za-z]+$') THEN 'ending:' || regexp_extract(path, '\.([A-Za-z]+)$', 1) END,
-      CASE WHEN contains(url, '?') THEN 'query' END, CASE WHEN contains(url, '#') THEN 'anchor' END],
-    CASE WHEN len(ls) >= 3 AND contains(ls[-3], '-') THEN list_transform(list_slice(string_split(ls[-3], '-'), 1, 3), lambda w: 'word:' || w) ELSE [] END),
-    lambda x: x IS NOT NULL))) END AS items FROM l),
+  SELECT *, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_transform(list_filter(list_concat(
+      [CASE WHEN starts_with(url, 'https:') THEN 'scheme:https' ELSE 'scheme:other' END, 'top:' || ls[-1],
+       CASE WHEN len(ls) >= 2 THEN 'domain:' || ls[-2] || '.' || ls[-1] END, 'ending:' || regexp_extract(path, '\.([A-Za-z]+)$', 1),
+       CASE WHEN contains(url, '?') THEN 'query' END, CASE WHEN contains(url, '#') THEN 'anchor' END],
+      list_transform(own, lambda x: 'name:' || x), list_transform(ps, lambda x: 'part:' || x),
+      list_transform(names, lambda x: 'asks:' || x), list_transform(vals, lambda x: 'value:' || x),
+      list_transform(flatten(list_filter(list_transform(list_concat(ls, ps, names, vals),
+        lambda x: string_split_regex(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+')), lambda w: len(w) > 1)), lambda x: 'word:' || x)),
+    lambda x: x IS NOT NULL AND NOT regexp_matches(x, '^[a-z]+:$')), lambda x: regexp_replace(x, '[ \t\n\v\f\r]', '+', 'g')))) END AS items FROM n),
 g AS (SELECT doc_id AS page_id, max(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-tx AS (SELECT row_number() OVER () AS tid, items, bad FROM t JOIN g USING (page_id)),
-c AS (SELECT count(*) AS n, coalesce(sum(bad::INT), 0) AS nb, greatest(5, ceil(count(*) * 0.002)) AS least FROM tx),
-single AS (SELECT item FROM (SELECT unnest(items) AS item, bad FROM tx) GROUP BY item HAVING sum(bad::INT) >= (SELECT least FROM c)),
-known AS (SELECT list(item) AS names FROM single),
-fit AS (SELECT bad, list_filter(items, lambda x: list_contains(names, x)) AS items FROM tx, known),
+tx AS MATERIALIZED (SELECT row_number() OVER () AS tid, items, bad FROM t JOIN g USING (page_id)),
+c AS MATERIALIZED (SELECT count(*) AS n, coalesce(sum(bad::INT), 0) AS nb, greatest(5, ceil(count(*) * 0.002)) AS least, coalesce(sum(bad::INT), 0)::DOUBLE / count(*) AS p FROM tx),
+single AS MATERIALIZED (
+  SELECT item, count(*) AS n, sum(bad::INT) AS nb, list(tid ORDER BY tid) AS tids FROM (SELECT tid, unnest(items) AS item, bad FROM tx)
+  GROUP BY item HAVING sum(bad::INT) >= (SELECT least FROM c) AND (SELECT nb >= 5 AND 1.2 * nb <= n FROM c)),
+same AS MATERIALIZED (
+  SELECT min(item) AS item, list(item) AS members, round((any_value(nb) - any_value(n) * any_value(p)) / sqrt(any_value(n) * (any_value(p) * (1 - any_value(p)))), 9) AS telling
+  FROM (SELECT single.*, c.p FROM single, c) GROUP BY tids),
+fit AS (
+  SELECT tid, bad, list_sort(list(item)) AS items FROM (
+    SELECT tid, bad, item, row_number() OVER (PARTITION BY tid ORDER BY telling DESC, item) AS place
+    FROM (SELECT tid, bad, unnest(items) AS item FROM tx) JOIN same USING (item)) WHERE place <= 8 GROUP BY tid, bad),
 kind AS (SELECT items, count(*) AS n, sum(bad::INT) AS nb FROM fit GROUP BY items),
 subset AS (
   SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS ante, n, nb
   FROM (SELECT *, unnest(range(1, 1 << len(items))) AS mask FROM kind)),
-r AS (
-  SELECT ante, sum(nb) / sum(n) AS conf FROM subset GROUP BY ante
-  HAVING sum(nb) >= (SELECT least FROM c) AND sum(nb) / sum(n) >= 0.5 AND sum(nb) / sum(n) >= (SELECT 1.2 * nb / n FROM c) AND (SELECT nb FROM c) >= 5)
+found AS (
+  SELECT ante FROM (SELECT ante, sum(n) AS n, sum(nb) AS nb FROM subset GROUP BY ante), (SELECT nb / n AS p, least FROM c)
+  WHERE nb >= least AND nb / n >= 0.5 AND nb / n >= 1.2 * p AND round((nb - n * p) / sqrt(n * (p * (1 - p))), 9) >= 3.1),
+r AS (SELECT ante, list_distinct(flatten(list(members))) AS whole FROM (SELECT ante, unnest(ante) AS item FROM found) JOIN same USING (item) GROUP BY ante)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN EXISTS (SELECT 1 FROM r WHERE list_has_all(t.items, r.ante)) THEN 'block' ELSE 'allow' END AS verdict
+    WHEN EXISTS (SELECT 1 FROM r WHERE list_has_all(t.items, r.whole)) THEN 'block' ELSE 'allow' END AS verdict
 FROM t
 """
 
