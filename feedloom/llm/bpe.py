@@ -35,7 +35,7 @@ OVERLAP = 1 << 9
 #: The public pattern decides on a pre-token after reading two characters past its end at most; another may need more.
 LOOK_AHEAD = 2
 #: Pre-tokens in each half of a worker's memory.
-_CACHED = 300_000
+_CACHED = 150_000
 _SHORT = 48
 _NONE = 1 << 62  # a pair that is no token
 
