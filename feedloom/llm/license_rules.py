@@ -1,6 +1,6 @@
-"""The signature rules of the license scan: names by templates, and texts.
+"""The signature rules of the license scan: sentences of license texts, and names in templates.
 
-Patterns are written over lower-case words with one space between them.
+Every license of ``NAMES`` has a sentence of its own text too. Patterns are written over lower-case words with one space between them.
 """
 
 from __future__ import annotations
@@ -94,21 +94,90 @@ TEMPLATES = (
     (3, 0.80, "(?:the )?{n} " + _LICENSE + _VERSION),
 )
 
-# Level, label, gate word, pattern and weight of sentences of license texts.
+# Level, label, gate word, pattern and weight of sentences of license texts, written by hand.
 TEXTS = (
+    # sentences that stand in one license only
     (0, "mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
+    (0, "mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1.0),
+    (0, "json", "evil", "the software shall be used for good not evil", 1.0),
+    (0, "apache", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", 1.0),
+    (0, "apache", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license", 1.0),
+    (0, "apache", "apache", "this product includes software developed by the apache (?:software foundation|group)", 1.0),
     (0, "isc", "fee", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee", 1.0),
     (0, "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 1.0),
+    (0, "bsd", "endorse", "nor the names of its contributors may be used to endorse or promote products derived from this software", 1.0),
+    (0, "bsd", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1.0),
     (0, "zlib", "origin", "the origin of this software must not be misrepresented", 1.0),
+    (0, "zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 1.0),
     (0, "gpl", "gnu", "under the terms of the gnu general public license as published by the free software foundation", 1.0),
+    (0, "gpl", "freedom", "the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change (?:it|the works)", 1.0),
+    (0, "gpl", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works", 1.0),
     (0, "lgpl", "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation", 1.0),
+    (0, "lgpl", "library", "under the terms of the gnu library general public license as published by the free software foundation", 1.0),
+    (0, "lgpl", "lesser", "this license the lesser general public license applies to some specially designated software packages", 1.0),
+    (0, "lgpl", "library", "this license the library general public license applies to some specially designated free software foundation software", 1.0),
+    (0, "lgpl", "lesser", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license", 1.0),
     (0, "agpl", "affero", "under the terms of the gnu affero general public license as published by the free software foundation", 1.0),
+    (0, "agpl", "affero", "the gnu affero general public license is a free copyleft license for software and other kinds of works", 1.0),
+    (0, "gfdl", "textbook", "the purpose of this license is to make a manual textbook or other (?:functional and useful|written) document free in the sense of freedom", 1.0),
+    (0, "gfdl", "documentation", "under the terms of the gnu free documentation license version 1 [123] or any later version published by the free software foundation", 1.0),
     (0, "mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license", 1.0),
+    (0, "mpl", "hereby", "the initial developer hereby grants you a world wide royalty free non exclusive license subject to third party intellectual property claims", 1.0),
+    (0, "cddl", "conditioned", "conditioned upon your compliance with section 3 1 below and subject to third party intellectual property claims the initial developer hereby grants you a world wide royalty free non exclusive license", 1.0),
+    (0, "epl", "eclipse", "the accompanying program is provided under the terms of this eclipse public license", 1.0),
+    (0, "epl", "steward", "the eclipse foundation is the initial agreement steward", 1.0),
+    (0, "epl", "secondary", "this source code may also be made available under the following secondary licenses", 1.0),
+    (0, "cpl", "common", "the accompanying program is provided under the terms of this common public license", 1.0),
+    (0, "cpl", "steward", "ibm is the initial agreement steward", 1.0),
+    (0, "ipl", "ibm", "the accompanying program is provided under the terms of this ibm public license", 1.0),
+    (0, "ipl", "ibm", "ibm may publish new versions including revisions of this agreement from time to time", 1.0),
+    (0, "eupl", "licensor", "the work is provided under the terms of this licence when the licensor as defined below has placed the following notice immediately following the copyright notice for the work", 1.0),
+    (0, "eupl", "european", "the european commission may publish other linguistic versions and or new versions of this licence", 1.0),
+    (0, "artistic", "artistic", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package", 1.0),
+    (0, "artistic", "establishes", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 1.0),
+    (0, "boost", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 1.0),
+    (0, "wtfpl", "permitted", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", 1.0),
     (0, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 1.0),
+    (0, "unlicense", "compiled", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", 1.0),
+    (0, "cc0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright and related rights", 1.0),
+    (0, "cc-by", "attribution", "bound by the terms and conditions of this creative commons attribution 4 0 international public license", 1.0),
+    (0, "cc-by-sa", "attribution", "bound by the terms and conditions of this creative commons attribution sharealike 4 0 international public license", 1.0),
+    (0, "cc-by-nd", "attribution", "bound by the terms and conditions of this creative commons attribution noderivatives 4 0 international public license", 1.0),
+    (0, "cc-by-nc", "attribution", "bound by the terms and conditions of this creative commons attribution noncommercial 4 0 international public license", 1.0),
+    (0, "cc-by-nc-sa", "attribution", "bound by the terms and conditions of this creative commons attribution noncommercial sharealike 4 0 international public license", 1.0),
+    (0, "cc-by-nc-nd", "attribution", "bound by the terms and conditions of this creative commons attribution noncommercial noderivatives 4 0 international public license", 1.0),
+    (0, "ofl", "font", "permission is hereby granted free of charge to any person obtaining a copy of the font software", 1.0),
+    (0, "ofl", "font", "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects", 1.0),
+    (0, "psf", "python", "this license agreement is between the python software foundation psf and the individual or organization licensee", 1.0),
+    (0, "psf", "psf", "subject to the terms and conditions of this license agreement psf hereby grants licensee a nonexclusive royalty free world wide license", 1.0),
+    (0, "php", "php", "this product includes php software freely available from", 1.0),
+    (0, "php", "php", "products derived from this software may not be called php nor may php appear in their name", 1.0),
+    (0, "ruby", "verbatim", "you may make and give away verbatim copies of the source form of the software without restriction", 1.0),
+    (0, "openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 1.0),
+    (0, "postgresql", "agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 1.0),
+    (0, "ms-pl", "accompanying", "this license governs use of the accompanying software if you use the software you accept this license", 1.0),
+    (0, "ms-rl", "recipients", "for any file you distribute that contains code from the software in source code or binary format you must provide recipients the source code to that file along with a copy of this license", 1.0),
+    (0, "afl", "academic", "this academic free license the license applies to any original work of authorship", 1.0),
+    (0, "afl", "contradict", "under any license of your choice that does not contradict the terms and conditions", 1.0),
+    (0, "osl", "proviso", "with the proviso that copies of original work or derivative works that you distribute or communicate shall be licensed under this open software license", 1.0),
+    (0, "odbl", "database", "license agreement intended to allow users to freely share modify and use this database while maintaining this same freedom for others", 1.0),
+    (0, "lppl", "latex", "under the conditions of the latex project public license", 1.0),
+    (0, "ncsa", "deal", "to deal with the software without restriction", 1.0),
+    (0, "upl", "collectively", "permission is hereby granted free of charge to any person obtaining a copy of this software associated documentation and or data collectively the software", 1.0),
+    (0, "zpl", "holders", "names of the copyright holders must not be used to endorse or promote products derived from this software", 1.0),
+    (0, "ecl", "institution", "any patent license granted hereby with respect to contributions by an individual employed by an institution or organization", 1.0),
+    (0, "cecill", "discussions", "this agreement is a free software license agreement that is the result of discussions between its authors", 1.0),
+    (0, "sspl", "service", "make the service source code available via network download to everyone at no charge under the terms of this license", 1.0),
+    (0, "busl", "production", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 1.0),
+    (0, "elastic", "hosted", "you may not provide the software to third parties as a hosted or managed service", 1.0),
+    (0, "w3c", "royalty", "permission to copy modify and distribute this (?:work|software and its documentation) with or without modification for any purpose and without fee or royalty is hereby granted", 1.0),
+    # what several licenses say, and what only hints at one
     (1, "wtfpl", "fuck", "do what the fuck you want to public license", 1.0),
+    (1, "bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.9),
     (2, "gpl", "later", "either version [23] of the license or at your option any later version", 0.9),
     (2, "public-domain", "domain", "(?:dedicated|released|placed) (?:in)?to the public domain", 0.9),
     (3, "public-domain", "domain", "(?:in )?the public domain", 0.6),
+    (3, "proprietary", "confidential", "this software is the confidential and proprietary information of", 0.8),
     (3, "proprietary", "rights", "all rights reserved", 0.5),
     (3, "unknown", "licensed", "licensed under (?:the )?following terms", 0.4),
 )

@@ -23,7 +23,12 @@ _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Phrases that are always counted, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Every rule needs one of these.
-PREFILTER = ("licen", " under ", " hereby ", " fee ", " redistribution ", " origin ", " unencumbered ", " domain ", " rights ", " spdx ")
+PREFILTER = ("licen", " under ", " hereby ", " fee ", " redistribution ", " origin ", " unencumbered ", " domain ", " rights ", " spdx ", " software ", " agreement ", " redistributions ")
+
+#: Marks of a match; neither is left in the words of a text.
+_START, _END = "\x01", "\x02"
+#: Detections that are folded at a time; an array is copied by each row that is added to it.
+_FOLDED = 64
 
 _SPAN = "array<struct<s:int,e:int>>"
 _FOUND = "array<struct<label:string,weight:double,s:int,e:int>>"
@@ -59,19 +64,20 @@ def _phrase(norm: Column, phrase: str) -> Column:
 
 
 def _places(norm: Column, pattern: Column) -> Column:
-    """Where the pattern matches: lengths of the matches and of what stands between them add up."""
+    """The words at which matches start and end: each match is marked in the text, and marked words are numbered.
 
-    def summed(pair: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            s = acc["at"] + F.length(F.get(pair["gaps"], i))
-            e = s + F.length(F.get(pair["found"], i))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
+    A match starts and ends with the space of a word of its own, so the marks move to that word.
+    """
+    marked = F.regexp_replace(norm, pattern, F.lit(f"{_START}$0{_END}"))
+    # the marks go inside the spaces of the first and the last word
+    marked = F.replace(F.replace(marked, F.lit(f"{_START} "), F.lit(f" {_START}")), F.lit(f" {_END}"), F.lit(f"{_END} "))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-        every = F.sequence(F.lit(0), F.size(pair["found"]) - 1)
-        return F.when(F.size(pair["found"]) == 0, F.array().cast(_SPAN)).otherwise(F.aggregate(every, start, step, lambda acc: acc["out"]))
+    def numbered(words: Column) -> Column:
+        starts = F.array_compact(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(_START)), i)))
+        ends = F.array_compact(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(_END)), i + 1)))
+        return F.arrays_zip(starts.alias("s"), ends.alias("e"))
 
-    return bind(F.struct(F.regexp_extract_all(norm, pattern, F.lit(0)).alias("found"), F.split(norm, pattern, -1).alias("gaps")), summed)
+    return F.when(F.regexp_like(norm, pattern), bind(F.split(marked, "  "), numbered)).otherwise(F.array()).cast(_SPAN)
 
 
 def _detected(norm: Column, rules: list[license_rules.Rule]) -> Column:
@@ -93,19 +99,28 @@ def _detected(norm: Column, rules: list[license_rules.Rule]) -> Column:
         return F.transform(spans, lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("back"), r["level"].alias("level"), r["rank"].alias("rank"), r["label"].alias("label"), r["weight"].alias("weight")))
 
     levels = sorted({r.level for r in rules})
-    ordered = F.sort_array(F.flatten(F.transform(gated, of)))
+    ends = [f"e{level}" for level in levels]
 
     def step(acc: Column, d: Column) -> Column:
         e = -d["back"]
         inside = F.lit(False)
         for level in levels:
             inside = inside | ((d["level"] >= level) & (acc[f"e{level}"] >= e))
-        ends = [F.when(d["level"] == level, F.greatest(acc[f"e{level}"], e)).otherwise(acc[f"e{level}"]).alias(f"e{level}") for level in levels]
+        reach = [F.when(d["level"] == level, F.greatest(acc[f"e{level}"], e)).otherwise(acc[f"e{level}"]).alias(f"e{level}") for level in levels]
         one = F.array(F.struct(d["label"].alias("label"), d["weight"].alias("weight"), d["s"].alias("s"), e.alias("e")))
-        return F.struct(*ends, F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        return F.struct(*reach, F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    def fold(acc: Column, part: Column) -> Column:
+        start = F.struct(*[acc[name].alias(name) for name in ends], F.array().cast(_FOUND).alias("out"))
+        done = F.aggregate(part, start, step)
+        return bind(done, lambda d: F.struct(*[d[name].alias(name) for name in ends], F.concat(acc["outs"], F.array(d["out"])).alias("outs")))
+
+    def folded(ordered: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(ordered) / _FOLDED).cast("int") - 1), lambda k: F.slice(ordered, k * _FOLDED + 1, F.lit(_FOLDED)))
+        none = F.struct(*[F.lit(-1).alias(name) for name in ends], F.array().cast(f"array<{_FOUND}>").alias("outs"))
+        return F.when(F.size(ordered) == 0, F.array().cast(_FOUND)).otherwise(F.aggregate(parts, none, fold, lambda acc: F.flatten(acc["outs"])))
 
-    start = F.struct(*[F.lit(-1).alias(f"e{level}") for level in levels], F.array().cast(_FOUND).alias("out"))
-    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+    return bind(F.sort_array(F.flatten(F.transform(gated, of))), folded)
 
 
 def scanned(docs: DataFrame, rules: list[license_rules.Rule] | None = None) -> DataFrame:
@@ -122,9 +137,8 @@ def scanned(docs: DataFrame, rules: list[license_rules.Rule] | None = None) -> D
 
 def detections(docs: DataFrame) -> DataFrame:
     """One row per detection: ``doc_id``, ``label``, ``weight``, ``first_word``, ``n_words``."""
-    rows = scanned(docs).select("doc_id", "norm", F.explode("found").alias("d"))
-    inner = F.substring(F.col("norm"), F.col("d.s") + 1, F.col("d.e") - F.col("d.s"))
-    return rows.select("doc_id", "d.label", "d.weight", _words_before(F.col("norm"), F.col("d.s")).alias("first_word"), (_spaces(inner) / 2).cast("long").alias("n_words"))
+    rows = scanned(docs).select("doc_id", F.explode("found").alias("d"))
+    return rows.select("doc_id", "d.label", "d.weight", F.col("d.s").cast("long").alias("first_word"), (F.col("d.e") - F.col("d.s")).cast("long").alias("n_words"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ base AS (
   SELECT rid, count(*) AS n, min((gap_spaces + own_spaces) // 2)::BIGINT AS a, max((gap_spaces + own_spaces) // 2)::BIGINT AS b, list(DISTINCT label) AS ls
   FROM place GROUP BY rid),
 rule AS (FROM (VALUES {rules}) v(rank, level, label, gate, pattern, weight)),
-likely AS (SELECT * FROM d WHERE regexp_matches(norm, 'licen| under | hereby | fee | redistribution | origin | unencumbered | domain | rights | spdx ')),
+likely AS (SELECT * FROM d WHERE regexp_matches(norm, 'licen| under | hereby | fee | redistribution | origin | unencumbered | domain | rights | spdx | software | agreement | redistributions ')),
 hit AS (
   SELECT rid, rule.*, regexp_extract_all(norm, pattern) AS ms, string_split_regex(norm, pattern) AS gaps
   FROM likely JOIN rule ON contains(norm, gate)),

@@ -1,4 +1,5 @@
 import re
+import time
 
 from feedloom.llm import license_rules, licenses
 from tests.llm.conftest import rows_of
@@ -47,6 +48,27 @@ def test_every_rule_passes_prefilter_and_gate():
         assert any(w in needs for w in licenses.PREFILTER), rule
 
 
+def test_the_text_of_every_named_license_names_it(make):
+    sentences = {(r[1], re.sub(r"\(\?:(?:([^|()]*)\|[^()]*)\)", r"\1", re.sub(r"\(\?:[^()]*\)\?", "", r[3]))) for r in license_rules.TEXTS}
+    sentences = [(label, s.replace("[123]", "2").replace("[23]", "2").replace("e?", "e")) for label, s in sorted(sentences)]
+    assert {name[0] for name in license_rules.NAMES} <= {label for label, _ in sentences}
+    rows = licenses.report(make(*[f"Notice.\n{s.capitalize()}; so it is." for _, s in sentences])).collect()
+    for row in rows:
+        label, sentence = sentences[row.doc_id]
+        assert label in row.labels.split(","), sentence
+
+
+def test_thousands_of_places_in_one_text_take_seconds(make):
+    docs = make("the mit license x " * 20_000, "licensed under the apache license version 2 0 or the mit license " * 4_000)
+    start = time.time()
+    one, two = sorted(licenses.report(docs).collect())
+    assert time.time() - start < 25
+    assert (one.n_words, one.n_base, one.last_word, one.labels) == (80_000, 20_000, 79_997, "mit")
+    assert (two.n_base, two.labels) == (8_000, "apache,mit")
+    spans = licenses.detections(docs.filter("doc_id = 0")).selectExpr("count(*) n", "min(first_word) a", "max(first_word) b", "max(n_words) w").first()
+    assert tuple(spans) == (20_000, 0, 79_996, 3)
+
+
 def test_detections_have_places(make):
     rows = licenses.detections(make(TEXTS[0])).collect()
     assert [(r.label, r.first_word, r.n_words) for r in rows] == [("apache", 0, 8)]
