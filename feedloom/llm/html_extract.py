@@ -1,12 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a list of text blocks, each with the path of block elements from the root.
-Blocks inside elements that declare themselves something else (navigation, forms, adverts,
-comments and the like) are set aside. For the others, text length and punctuation are summed
-per path, divided by the path's blocks, fused into one score, smoothed along the page and
-compared with a threshold. The element that holds nearly all text of the chosen paths is the
-article, and all its blocks that are not set aside are the text, in page order, with the blocks of
-chosen paths beside it (inside the declared article or main, if there is one). Inside an article,
+Text length and punctuation are summed per path and divided by the path's blocks; with the share of
+text outside links and what the path declares itself to be (navigation, a form, an advert and the like
+weigh nothing) they are fused into the path's score. A block's score is its path's, fused with
+the block's own ratios; a heading takes that of what it heads. Scores are smoothed along the page and compared
+with a threshold, as those of the paths are, so that a short line between paragraphs stays and one after them does not. The element
+that holds nearly all text of the chosen blocks is the article. If it declares itself (article, main), all its blocks with
+a score are the text; else the chosen ones, and what stands between them in that element and is no list of links. Inside an article,
 a section whose class is a word of ordinary titles too (discussion, survey) is set aside only
 if it holds no long, punctuated block.
 
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of the best path's score that a path needs.
-THRESHOLD = 0.4
+#: Shares of the best block's smoothed score and of the best path's that a block needs.
+THRESHOLD, PATH = 0.55, 0.6
 #: Weights of a block and its neighbours on either side.
 SMOOTH = (0.4, 0.2, 0.1)
 #: Share of the chosen text that an element must hold for the article to lie inside it.
@@ -255,27 +256,66 @@ class _Page:
         return at
 
 
-def _path_scores(blocks: list[tuple[int, str, int]], paths: list[int]) -> dict[int, float]:
-    """Per path the fused ratios, smoothed along the page."""
-    sums: dict[int, list[float]] = {}
+#: What a block is filed under: its path, and whether that is set aside.
+_Path = tuple[int, bool]
+
+
+def _fused(blocks: int, length: int, marks: int, linked: int) -> float:
+    """Text and punctuation a block, and the share of text outside links, as one figure."""
+    return math.log1p(length / blocks) * (1 + math.log1p(marks / blocks)) * length / max(length + linked, 1)
+
+
+def _path_scores(blocks: list[tuple[int, str, int]], paths: list[_Path]) -> dict[_Path, float]:
+    """The fused ratios of each path; 0 for one that is set aside."""
+    sums: dict[_Path, list[int]] = {}
     for (_, text, linked), path in zip(blocks, paths):
         s = sums.setdefault(path, [0, 0, 0, 0])
         s[0] += 1
         s[1] += len(text) - linked
         s[2] += len(_PUNCTUATION.findall(text))
         s[3] += linked
-    fused = {p: math.log1p(length / n) * (1 + math.log1p(marks / n)) * length / max(length + linked, 1) for p, (n, length, marks, linked) in sums.items()}
-    row = [fused[p] for p in paths]
-    found: dict[int, float] = {}
-    for i, path in enumerate(paths):
-        near, weight = SMOOTH[0] * row[i], SMOOTH[0]
+    return {path: 0.0 if path[1] else _fused(*s) for path, s in sums.items()}
+
+
+def _block_scores(blocks: list[tuple[int, str, int]], paths: list[_Path], scores: dict[_Path, float], headings: list[bool]) -> list[float]:
+    """The blocks' scores, smoothed along the page. Beyond its ends there is nothing; blocks without a score are passed over."""
+    places = [i for i, path in enumerate(paths) if scores[path] > 0]
+    own: list[float] = []
+    for i in places:
+        _, text, linked = blocks[i]
+        own.append(math.sqrt(scores[paths[i]] * _fused(1, len(text) - linked, len(_PUNCTUATION.findall(text)), linked)))
+    for k in range(len(own) - 2, -1, -1):
+        if headings[places[k]]:
+            own[k] = max(own[k], own[k + 1])
+    found = [0.0] * len(blocks)
+    for k, i in enumerate(places):
+        near = SMOOTH[0] * own[k]
         for away in range(1, len(SMOOTH)):
-            for j in (i - away, i + away):
-                if 0 <= j < len(row):
-                    near, weight = near + SMOOTH[away] * row[j], weight + SMOOTH[away]
-        found[path] = found.get(path, 0.0) + near / weight / sums[path][0]
-    # an own score counts as much as the neighbourhood
-    return {p: (found[p] + fused[p]) / 2 for p in found}
+            near += SMOOTH[away] * ((own[k - away] if k >= away else 0.0) + (own[k + away] if k + away < len(own) else 0.0))
+        found[i] = near
+    return found
+
+
+def _article(page: _Page, mass: list[int]) -> tuple[int, int]:
+    """The innermost element that holds nearly all of the mass, and the innermost article or main around it (0: none)."""
+    for element in range(len(mass) - 1, 0, -1):
+        mass[page.parent[element]] += mass[element]
+    article, declared = 0, 0
+    for element in range(1, len(mass)):
+        # elements come after their parents, so this walks down as long as one child holds nearly all
+        if page.parent[element] == article and page.tag[article] != "article" and page.tag[element] not in _LEAF and mass[element] >= HOLDS * mass[0]:
+            article = element
+            if page.tag[element] in ("article", "main"):
+                declared = element
+    return article, declared
+
+
+def _within(page: _Page, top: int) -> list[bool]:
+    """Whether each element is ``top`` or inside it."""
+    inside = [False] * len(page.tag)
+    for element in range(len(inside)):
+        inside[element] = element == top or element > 0 and inside[page.parent[element]]
+    return inside
 
 
 def main_text(source: str | None) -> str:
@@ -283,42 +323,45 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
-    blocks = [b for b in page.blocks if not page.aside[b[0]]]
-    if not blocks:
+    blocks = page.blocks
+    aside = [page.aside[element] for element, _, _ in blocks]
+    if all(aside) and ("article" in page.tag or "p" in page.tag):
         # everything lies in elements set aside, such as one form around the page
-        blocks = [b for b in page.blocks if not any(t in ("nav", "footer") for t in _tags_above(page, b[0]))] if "article" in page.tag or "p" in page.tag else []
-    if not blocks:
-        return ""
-    paths = [page.path[b[0]] for b in blocks]
+        aside = [any(t in ("nav", "footer") for t in _tags_above(page, element)) for element, _, _ in blocks]
+    paths = [(page.path[element], a) for (element, _, _), a in zip(blocks, aside)]
     scores = _path_scores(blocks, paths)
-    least = THRESHOLD * max(scores.values())
-    chosen = {p for p, s in scores.items() if s >= least}
+    headings = [page.tag[element] in _HEADING for element, _, _ in blocks]
+    near = _block_scores(blocks, paths, scores, headings)
+    best = max(near, default=0.0)
+    if best <= 0:
+        # links alone, or nothing
+        return "\n".join(text for (_, text, _), a in zip(blocks, aside) if not a)
+    least = PATH * max(scores[path] for path, score in zip(paths, near) if score > 0)
+    chosen = [score >= THRESHOLD * best and (scores[path] >= least or heading) for score, path, heading in zip(near, paths, headings)]
+    if not any(chosen):
+        chosen = [score >= THRESHOLD * best for score in near]
     mass = [0] * len(page.tag)
-    for (element, text, linked), path in zip(blocks, paths):
-        if path in chosen:
+    for (element, text, linked), take in zip(blocks, chosen):
+        if take:
             mass[element] += len(text) - linked + 1
-    for element in range(len(mass) - 1, 0, -1):
-        mass[page.parent[element]] += mass[element]
-    article, declared, whole = 0, 0, mass[0]
-    for element in range(1, len(mass)):
-        # elements come after their parents, so this walks down as long as one child holds nearly all
-        if page.parent[element] == article and page.tag[article] != "article" and page.tag[element] not in _LEAF and mass[element] >= HOLDS * whole:
-            article = element
-            if page.tag[element] in ("article", "main"):
-                declared = element
-    inside, around = [False] * len(mass), [False] * len(mass)
-    for element in range(len(mass)):
-        inside[element] = element == article or element > 0 and inside[page.parent[element]]
-        around[element] = element == declared or element > 0 and around[page.parent[element]]
-    sure = page.tag[article] in ("article", "main")
+    article, declared = _article(page, mass)
+    inside, around = _within(page, article), _within(page, declared)
+    sure = article > 0 and article == declared
+    first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
     lines = []
-    for (element, text, linked), path in zip(blocks, paths):
-        menu = not sure and 2 * linked > len(text)
-        if (inside[element] or around[element] and path in chosen) and not menu or page.tag[element] == "h1" and element < article:
+    for i, (element, text, linked) in enumerate(blocks):
+        menu = 2 * linked > len(text)
+        if sure:
+            take = inside[element]
+        else:
+            take = not menu and (chosen[i] and around[element] or inside[element] and first < i < last)
+        title = page.tag[element] == "h1" and element < article
+        if (take or title) and not (aside[i] and scores[paths[i]] <= 0):
             lines.append(text)
     return "\n".join(lines)
 
 
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold one block; the article is around them.
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody tr td th figure figcaption".split())
 

@@ -1,7 +1,11 @@
+import math
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from feedloom.llm import html_extract
 from feedloom.llm.html_extract import main_text, report
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head>
@@ -74,3 +78,70 @@ def test_long_text_outvotes_doubtful_names_inside_an_article():
     page = f"<article><p>{long}</p><section class=discussion><h2>Discussion</h2><p>{long}</p><div class=share>Share</div></section><div class=rating>4 of 5</div></article>"
     assert main_text(page) == f"{long.strip()}\nDiscussion\n{long.strip()}"
     assert main_text(f"<article><p>{long}</p></article><div class=discussion><p>{long}</p></div>") == long.strip()
+
+
+LONG = "They came early, and it rained. Nobody had thought of that, but some had coats; others had not."
+
+
+def flat(end):
+    """Nothing declares itself: links, a heading, paragraphs and a last line, side by side or in plain elements."""
+    body = f"<h1>The day</h1><p>{LONG}</p><p>{LONG} {LONG}</p><p>Yes.</p><p>{LONG}</p><ul><li>Anna<li>Bert</ul><p>{LONG}</p><p>{LONG} Then they went.</p>"
+    return f"<div><a href=a>Home</a> <a href=b>News</a></div>{body}{end}"
+
+
+KEPT = f"The day\n{LONG}\n{LONG} {LONG}\nYes.\n{LONG}\nAnna\nBert\n{LONG}\n{LONG} Then they went."
+
+
+@pytest.mark.parametrize("around", ["{}", "<body>{}</body>", "<div><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>"])
+@pytest.mark.parametrize("end", ["", "<p>Copyright 2020 Company</p>", "<div><a href=a>Imprint</a> <a href=b>Contact</a></div>", "<div>Buy one, now.</div>", "<ul><li><a href=c>More</a><li><a href=d>Old</a></ul>"])
+def test_scores_decide_where_nothing_declares_itself(around, end):
+    assert main_text(around.format(flat(end))) == KEPT
+
+
+def test_without_scores_other_blocks_come_out(monkeypatch):
+    monkeypatch.setattr(html_extract, "_path_scores", lambda blocks, paths: dict.fromkeys(paths, 1.0))
+    assert main_text(PAGE) != "The & title\nFirst paragraph, with words. And more.\nUnclosed here.\nShort.\none\ntwo\ninside"
+    assert main_text(flat("<p>Copyright 2020 Company</p><div>Buy one, now.</div>")) != KEPT
+
+
+def drawn(rng, depth, path, found):
+    """A random tree as html; ``found`` gets path, text and linked characters of each block, in page order."""
+    out = ""
+    for _ in range(rng.randint(1, 4)):
+        tag = rng.choice(["div", "section", "p", "nav"] if depth < 4 else ["p"])
+        name = rng.choice(["", "", "x", "y"])
+        inner = (*path, f"{tag}.{name}" if name else tag)
+        out += f'<{tag} class="{name}">' if name else f"<{tag}>"
+        if tag == "p":
+            words = " ".join(rng.choice(["alpha", "be,", "gamma.", "d!"]) for _ in range(rng.randint(1, 30)))
+            link = rng.choice(["", "", "elsewhere"])
+            out += words + (f" <a href=u>{link}</a>" if link else "")
+            found.append((inner, f"{words} {link}".strip(), len(link)))
+        else:
+            out += drawn(rng, depth + 1, inner, found)
+        out += f"</{tag}>"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_scores_are_those_of_a_plain_computation(seed):
+    found = []
+    source = drawn(random.Random(seed), 0, (), found)
+    page = html_extract._Page(source)
+    paths = [(page.path[e], page.aside[e]) for e, _, _ in page.blocks]
+    assert [(t, k) for _, t, k in page.blocks] == [(t, k) for _, t, k in found]
+    scores = html_extract._path_scores(page.blocks, paths)
+
+    def ratios(of):
+        texts, links = [t for _, t, _ in of], sum(k for _, _, k in of)
+        length = sum(map(len, texts)) - links
+        marks = sum(t.count(c) for t in texts for c in ",.!")
+        return math.log(1 + length / len(of)) * (1 + math.log(1 + marks / len(of))) * length / max(1, length + links)
+
+    want = [0.0 if any(t.startswith("nav") for t in p) else ratios([f for f in found if f[0] == p]) for p, _, _ in found]
+    assert [scores[p] for p in paths] == pytest.approx(want)
+    live = [i for i, w in enumerate(want) if w > 0]
+    own = [math.sqrt(want[i] * ratios([found[i]])) for i in live]
+    smooth = {i: sum(own[j] * (0.4, 0.2, 0.1)[abs(j - k)] for j in range(len(own)) if abs(j - k) < 3) for k, i in enumerate(live)}
+    got = html_extract._block_scores(page.blocks, paths, scores, [False] * len(found))
+    assert got == pytest.approx([smooth.get(i, 0.0) for i in range(len(found))])
