@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import fuse
 from feedloom.llm.common import staged
-from feedloom.operators.joins import attach, keep_matching
+from feedloom.operators.joins import attach, few, if_few, keep_matching
 
 #: Keys of a filter, on average; 16 bits and an eighth more for each.
 SHARD_KEYS = 1_000_000
@@ -114,10 +114,13 @@ def classify(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column], Co
     groups = staged(buckets(digests.filter("stored"), digests.filter(~F.col("stored"))), "buckets")
     members = digests.drop("stored")
     # bytes of the candidates only; copies meet as one row per task
-    shared = groups.filter("group_size > 1").select("digest")
-    candidates = keep_matching(members, shared, "digest", ("doc_id",)).distinct()
-    rows = _texts(docs, digest)
-    compared = rows.join(candidates, _same(rows, candidates, "doc_id", "digest"), "left_semi")
+    shared = staged(groups.filter("group_size > 1").select("digest"), "shared")
+    rows, small = _texts(docs, digest), few(shared)
+    if small:
+        compared = rows.join(F.broadcast(shared), "digest", "left_semi")
+    else:
+        candidates = keep_matching(members, shared, "digest", ("doc_id",), small).distinct()
+        compared = rows.join(candidates, _same(rows, candidates, "doc_id", "digest"), "left_semi")
     variants = staged(compared.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select("digest", F.sha2(F.col("text").cast("binary"), 256).alias("content"), "keep_id", "group_size"), "variants")
     mixed = variants.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
     if mixed.isEmpty():
@@ -142,22 +145,24 @@ def kept(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column], Column
 
     Of rows that repeat id and text one stays, chosen by the hash of all its columns.
     """
-    stay = classify(docs, in_snapshot, digest).filter("kept")
-    stay = staged(stay.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("copies").alias("__copies")), "stay")
+    judged = classify(docs, in_snapshot, digest).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    judged = staged(judged.agg(F.max("kept").alias("__kept"), F.max("copies").alias("__copies")), "judged")
     rows = docs.withColumn("__own", digest(F.coalesce(docs["text"], F.lit(""))))
     names = [F.col(c) for c in docs.columns]
 
-    def of(ids: DataFrame) -> DataFrame:
-        return rows.join(ids, rows["doc_id"].eqNullSafe(ids["__id"]) & (rows["__own"] == ids["__digest"]), "left_semi").select(*names, "__own")
+    def of(ids: DataFrame, how: str) -> DataFrame:
+        # few ids are broadcast, and the texts stay where they are
+        ids = if_few(ids.select("__id", "__digest"))
+        return rows.join(ids, rows["doc_id"].eqNullSafe(ids["__id"]) & (rows["__own"] == ids["__digest"]), how).select(*names, "__own")
 
-    twice = stay.filter("__copies > 1")
+    once = of(judged.filter("NOT __kept OR __copies > 1"), "left_anti").select(*names)
+    twice = judged.filter("__kept AND __copies > 1")
     if twice.isEmpty():
-        return of(stay).drop("__own")
-    written = of(twice).withColumn("__hash", F.xxhash64(*names)).dropDuplicates(["doc_id", "__own", "__hash"])
+        return once
+    written = of(twice, "left_semi").withColumn("__hash", F.xxhash64(*names)).dropDuplicates(["doc_id", "__own", "__hash"])
     least = written.groupBy(F.col("doc_id").alias("__id"), F.col("__own").alias("__digest")).agg(F.min("__hash").alias("__least"))
     same = written["doc_id"].eqNullSafe(least["__id"]) & (written["__own"] == least["__digest"]) & (written["__hash"] == least["__least"])
-    one = written.join(least, same, "left_semi").select(*names)
-    return of(stay.filter("__copies = 1")).select(*names).unionByName(one)
+    return once.unionByName(written.join(least, same, "left_semi").select(*names))
 
 
 def earlier_half(docs: DataFrame) -> Column:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.llm import exact_dedup, fuse
+from feedloom.operators import joins
 from tests.llm.conftest import rows_of
 
 
@@ -17,6 +18,12 @@ def test_a_filter_finds_its_keys_and_hardly_others(n):
     assert fuse.contains(rng.integers(-(2**63), 2**63 - 1, 50_000), *built).mean() < 0.001
 
 
+@pytest.fixture(params=[joins.BROADCAST_ROWS, 0], ids=["broadcast", "shuffled"])
+def either_way(request, monkeypatch):
+    """Keys may be broadcast, or are too many for that."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", request.param)
+
+
 def expected(rows):
     groups = {}
     for doc_id, text in rows:
@@ -43,20 +50,20 @@ def test_awkward_rows(awkward, split):
     assert rows_of(found) == expected([(r.doc_id, r.text) for r in awkward.collect()])
 
 
-def test_the_query_splits_by_itself(awkward):
+def test_the_query_splits_by_itself(awkward, either_way):
     found = exact_dedup.report(awkward).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert rows_of(found) == expected([(r.doc_id, r.text) for r in awkward.collect()])
     assert exact_dedup.report(awkward.limit(0)).count() == 0
 
 
-def test_colliding_digests_are_taken_apart_by_text(make):
+def test_colliding_digests_are_taken_apart_by_text(make, either_way):
     docs = make(*[f"text {i % 700}" for i in range(1500)])
     found = exact_dedup.classify(docs, F.col("doc_id") < 500, weak).select("doc_id", "keep_id", "group_size", "kept")
     want = [x[:4] for x in expected([(r.doc_id, r.text) for r in docs.collect()])]
     assert rows_of(found) == sorted(want, key=repr)
 
 
-def test_kept_rows_have_all_their_columns(awkward):
+def test_kept_rows_have_all_their_columns(awkward, either_way):
     kept = exact_dedup.kept(awkward, F.col("doc_id") < 3)
     assert kept.schema == awkward.schema
     texts = [r.text or "" for r in kept.collect()]
@@ -64,6 +71,6 @@ def test_kept_rows_have_all_their_columns(awkward):
     assert exact_dedup.kept(awkward.limit(0), F.lit(False)).count() == 0
 
 
-def test_of_repeated_ids_with_other_columns_one_row_stays(make):
+def test_of_repeated_ids_with_other_columns_one_row_stays(make, either_way):
     docs = make((1, "a", "en", "x"), (1, "a", "de", "y"), (1, "a", "de", "y"), (0, "a", "en", "z"))
     assert exact_dedup.kept(docs, F.lit(False)).count() == 1
