@@ -1,8 +1,11 @@
-"""Similarity join on word shingles by MinHash LSH trees.
-
-A text is its set of five-word shingles. Each of the trees files all sets under a signature of
-its own, down to the depth that the target recall allows: sets with equal prefixes there are a group,
-and every pair of a group is compared, whatever the size of the group. Small groups are listed as pairs.
+"""Similarity join on word shingles by a MinHash LSH forest.
+
+A text is its set of five-word shingles. Each tree is a trie that files all sets under a signature of
+its own. Matched prefixes are shortened from the longest one as far as the target recall asks for, and
+no further than the sets stand it: with the first trees a pair of the least similarity needs short prefixes. Where
+a short prefix is crowded with sets that go on unlike each other in the trie, it stays long, and its sets are filed in as many
+further trees as long prefixes need for that recall. Sets with equal prefixes are a group, and every
+pair of a group is compared, whatever the size of the group. Small groups are listed as pairs.
 A larger one is dealt into blocks, and each two blocks meet in a task that counts their common
 shingles and hands on the number of links of each set and the edges that hold the linked ones together, never the
 pairs. Of the trees in which two sets meet the first one counts them.
@@ -16,6 +19,7 @@ count as copies.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +34,11 @@ from feedloom.operators.joins import attach, drop_matching, if_few, keep_matchin
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is exact.
 SIMILAR = (4, 5)
-TREES, VALUES = 16, 16
+#: Trees, and the values of the longest prefix.
+TREES, VALUES = 16, 8
 RECALL = 0.999
+#: Groups beyond this size have longer prefixes, unless two of their sets agree in the longer one as often as similar sets do.
+CROWD = 128
 #: Groups up to this size are listed as pairs.
 LISTED = 8
 #: Larger ones are dealt into blocks of about so many sets, and of about so many shingles at most.
@@ -41,6 +48,7 @@ _COLUMNS = 4096
 
 _WORDS_CACHED = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_LONG = 1000
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
@@ -52,6 +60,11 @@ def depth_for(recall: float, similarity: float, trees: int, values: int) -> int:
     return 1
 
 
+def trees_for(recall: float, similarity: float, depth: int) -> int:
+    """The fewest trees in which a pair of this similarity shares a prefix of this length somewhere with the wanted probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _WORDS_CACHED:
@@ -75,8 +88,8 @@ def _shingles(text: str, hashes: _Hashes) -> np.ndarray:
     return np.unique(s ^ (s >> np.uint64(29)))
 
 
-def _functions(trees: int, values: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240202)
+def _functions(trees: int, values: int, seed: int = 20240202) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     count = trees * values
     return rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, count, dtype=np.uint32)
 
@@ -98,39 +111,88 @@ def _node(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _prepared(rows: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``doc_id``, ``mark``, ``node`` (of the shingle set; null for none), ``n`` (shingles) and ``keys`` (the prefix in each tree)."""
-    width = 2 * depth
+def _keys(signature: bytes, trees: int, values: int, depth: int, seed: int) -> np.ndarray:
+    """The prefix of each tree, hashed; ``seed`` tells the keys of one length or set of trees from others."""
+    found = [xxhash.xxh64_intdigest(signature[2 * t * values : 2 * (t * values + depth)], seed + t) for t in range(trees)]
+    return np.array(found, np.uint64).view(np.int64)
+
 
-    def keys(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        signature = _signature(shingles, *functions).tobytes()
-        found = [xxhash.xxh64_intdigest(signature[t * width : (t + 1) * width], t) for t in range(trees)]
-        return np.array(found, np.uint64).view(np.int64)
+def _prepared(rows: DataFrame, trees: int, depth: int, values: int | None = None) -> DataFrame:
+    """``doc_id``, ``mark``, ``node`` (of the shingle set; null for none), ``n`` (shingles), and the prefixes of each tree: ``keys`` of ``depth`` values, ``longer`` of all."""
+    values = values or depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, functions = _Hashes(), _functions(trees, depth)
+        hashes, functions = _Hashes(), _functions(trees, values)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 sets = [_shingles(t or "", hashes) for t in part["text"].to_pylist()]
+                signatures = [_signature(s, *functions).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],
                         part["mark"],
                         pa.array([_node(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([keys(s, functions) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        pa.array([s and _keys(s, trees, values, depth, 0) for s in signatures], pa.list_(pa.int64())),
+                        pa.array([s and _keys(s, trees, values, values, _LONG) for s in signatures], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "mark", "node", "n", "keys"],
+                    ["doc_id", "mark", "node", "n", "keys", "longer"],
                 )
 
     marked = rows.select("doc_id", "text", _mark(F.col("doc_id"), F.col("text")).alias("mark"))
-    return marked.mapInArrow(run, "doc_id long, mark binary, node binary, n int, keys array<long>")
+    return marked.mapInArrow(run, "doc_id long, mark binary, node binary, n int, keys array<long>, longer array<long>")
+
+
+def _crowded(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``node`` and ``places``: the trees in which its short prefix is crowded with sets that the longer one tells apart.
+
+    Two sets of a group agree in the further values as often as they are similar, to the power of their number.
+    If that is rarer than for two sets of the least similarity, longer prefixes part them.
+    """
+    filed = nodes.select("node", F.posexplode(F.arrays_zip("keys", "longer")).alias("place", "key")).select("node", "place", "key.keys", "key.longer")
+    ends = filed.groupBy("keys", "longer").agg(F.count("*").alias("n"))
+    groups = ends.groupBy("keys").agg(F.sum("n").alias("many"), F.sum(F.col("n") * (F.col("n") - 1)).alias("agreed"))
+    unlike = F.col("agreed") < similarity * F.col("many") * (F.col("many") - 1)
+    crowds = staged(groups.filter((F.col("many") > CROWD) & unlike).select("keys"), "crowds")
+    rows = attach(filed.select("node", "place", "keys"), crowds, "keys", ("node",))
+    return staged(rows.groupBy("node").agg(F.collect_set("place").alias("places")), "crowded")
+
+
+def _further(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, trees: int, values: int) -> DataFrame:
+    """``node`` and its long prefixes in further trees (``further``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, functions = _Hashes(), _functions(trees, values, 20240203)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                sets = [_shingles(t or "", hashes) for t in batch["text"].slice(start, 1024).to_pylist()]
+                sets = [s for s in sets if len(s)]
+                keys = [_keys(_signature(s, *functions).tobytes(), trees, values, values, 2 * _LONG) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "further"])
+
+    found = _texts_of(docs, wanted, nodes).mapInArrow(run, "node binary, further array<long>")
+    # a repeated id may bring a text of another node
+    return found.join(wanted, "node").dropDuplicates(["node"])
+
+
+def _lengthened(docs: DataFrame, nodes: DataFrame, trees: int, depth: int, values: int, recall: float) -> DataFrame:
+    """The nodes with the ``keys`` under which they are compared: short prefixes, and for sets of crowded ones long prefixes instead."""
+    similarity = SIMILAR[0] / SIMILAR[1]
+    crowded = _crowded(nodes, similarity ** (values - depth))
+    if crowded.isEmpty():
+        return nodes.drop("longer")
+    # a tenth of the misses of the short prefixes come on top
+    more = max(1, trees_for(1 - (1 - recall) / 10, similarity, values) - trees)
+    found = nodes.join(_further(docs, crowded, nodes, more, values), "node", "left")
+    short = F.transform("keys", lambda key, place: F.when(~F.array_contains("places", place), key))
+    keys = F.when(F.col("places").isNull(), F.col("keys")).otherwise(F.concat(short, "longer", "further"))
+    return staged(found.withColumn("keys", keys).drop("longer", "further", "places"), "lengthened")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
     """``node`` and ``at`` for every group (a key) of two sets or more, with the sets in it (``many``) and its ``blocks``."""
-    filed = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("at"))
+    filed = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("at")).filter("at is not null")
     groups = filed.groupBy("at").agg(F.count("*").alias("many"), F.sum("n").alias("shingles")).filter("many > 1")
     blocks = F.least("many", F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int")
     groups = staged(groups.select("at", "many", blocks.alias("blocks")), "groups")
@@ -187,11 +249,19 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def _padded(lists: pa.ListArray) -> np.ndarray:
+    """Lists of keys as rows of one matrix; 0 stands for none."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), sizes.max(initial=0)), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().fill_null(0).to_numpy()
+    return out
+
+
 def _block(rows: pa.Table) -> pa.Table:
     """Of two blocks of a group (or one with itself): ``a`` and ``b`` of edges, and ``a`` and ``linked`` of counts."""
     at, low, high = (rows[c][0].as_py() for c in ("at", "low", "high"))
     nodes, n, size = rows["node"].to_pylist(), rows["n"].to_numpy().astype(np.int64), rows["size"].to_numpy()
-    keys = rows["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(nodes), -1)
+    keys = _padded(rows["keys"].combine_chunks())
     sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
     block = rows["block"].to_numpy()
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
@@ -199,7 +269,7 @@ def _block(rows: pa.Table) -> pa.Table:
     if len(left) and len(right):
         common = _common(sets, left, right)
         similar = common * SIMILAR[1] >= (n[left][:, None] + n[right][None, :] - common) * SIMILAR[0]
-        equal = keys[left][:, None, :] == keys[right][None, :, :]
+        equal = (keys[left][:, None, :] == keys[right][None, :, :]) & (keys[left] != 0)[:, None, :]
         first = np.take_along_axis(keys[left], equal.argmax(axis=2), axis=1)
         similar &= equal.any(axis=2) & (first == at)
         if low == high:
@@ -287,13 +357,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _shingled(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The ``_sets`` of the wanted nodes, from the documents' texts."""
+def _texts_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of the documents with the first id of each wanted node."""
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("__id"))
     # while the candidates are few, the documents stay where they are
     ids = if_few(staged(ids, "candidate-ids"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return staged(_sets(texts).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def _shingled(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``_sets`` of the wanted nodes, from the documents' texts."""
+    return staged(_sets(_texts_of(docs, wanted, nodes)).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def filed(docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, their nodes, and the ``_members`` of all groups that are compared."""
+    depth = depth_for(recall, SIMILAR[0] / SIMILAR[1], trees, values)
+    prepared = staged(_prepared(docs, trees, depth, values), "signatures")
+    one = prepared.filter("node is not null").groupBy("node")
+    first = [F.first(c).alias(c) for c in ("n", "keys", "longer")]
+    nodes = staged(one.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), *first), "nodes")
+    nodes = _lengthened(docs, nodes, trees, depth, values, recall) if values > depth else nodes.drop("longer")
+    return prepared, nodes, _members(nodes)
 
 
 def joined(
@@ -301,11 +386,7 @@ def joined(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Documents (``doc_id``, ``mark``, ``node``), nodes (``node``, ``first_id``, ``size``), the documents of other sets that each
     linked node is similar to (``node``, ``linked``) and its label (``__node``, ``__label``)."""
-    depth = depth_for(recall, SIMILAR[0] / SIMILAR[1], trees, values)
-    prepared = staged(_prepared(docs, trees, depth), "signatures")
-    one = prepared.filter("node is not null").groupBy("node")
-    nodes = staged(one.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    members = _members(nodes)
+    prepared, nodes, members = filed(docs, trees, values, recall)
     pairs = staged(_pairs(members, nodes), "pairs")
     large = members.filter(F.col("many") > LISTED).select("node")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large).distinct()

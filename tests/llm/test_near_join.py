@@ -154,3 +154,50 @@ def test_rows_of_a_linked_id_that_are_not_linked_stay(make, prose):
     fives = [t for t in texts if t.startswith(prose(5))]
     assert len(fives) == 1
     assert texts == sorted([near[0], prose(2), "None", prose(3), prose(4), *fives])
+
+
+def test_the_trees_meet_the_recall():
+    trees = near_join.trees_for(0.999, 0.8, 8)
+    assert 1 - (1 - 0.8**8) ** trees >= 0.999 > 1 - (1 - 0.8**8) ** (trees - 1)
+
+
+def passage_crowd(make, prose, unlike=300):
+    """Texts that share a passage and little else, a few of them with a near copy."""
+    passage, texts = prose(1, words=60), []
+    for i in range(unlike):
+        texts.append(f"{passage} {prose(10 + i, words=90)}")
+        if i % 20 == 0:
+            texts.append(f"{texts[-1]} end{i}")
+    return make(*texts)
+
+
+def pairs_compared(members):
+    return sum(n * (n - 1) // 2 for n in (r["count"] for r in members.groupBy("at").count().collect()))
+
+
+def test_a_crowd_of_unlike_sets_gets_longer_prefixes(make, prose, monkeypatch):
+    docs = passage_crowd(make, prose)
+    monkeypatch.setattr(near_join, "CROWD", 1 << 40)
+    before = pairs_compared(near_join.filed(docs)[2])
+    monkeypatch.setattr(near_join, "CROWD", 8)
+    after = pairs_compared(near_join.filed(docs)[2])
+    assert 4 * after < before
+    assert rows_of(near_join.report(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_a_crowd_of_similar_sets_keeps_its_prefix(make, prose, monkeypatch):
+    rng, text = random.Random(12), prose(6, words=150)
+    docs = make(*[changed(text, rng, 1) for _ in range(200)], *[prose(60 + i) for i in range(20)])
+    monkeypatch.setattr(near_join, "CROWD", 100)
+    prepared, nodes, _ = near_join.filed(docs)
+    assert {len(r["keys"]) for r in nodes.collect()} == {near_join.TREES}
+    assert rows_of(near_join.report(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_crowds_of_awkward_rows(awkward, corpus, make, prose, monkeypatch):
+    monkeypatch.setattr(near_join, "CROWD", 2)
+    assert rows_of(near_join.report(awkward)) == brute([(r.doc_id, r.text) for r in awkward.collect()])
+    want = brute([(r.doc_id, r.text) for r in corpus.collect()])
+    assert [x[:3] for x in rows_of(near_join.report(corpus))] == [x[:3] for x in want]
+    crowd = passage_crowd(make, prose, 40).unionByName(awkward.select("doc_id", "text", "lang", "source"), allowMissingColumns=True)
+    assert rows_of(near_join.report(crowd)) == brute([(r.doc_id, r.text) for r in crowd.collect()])
