@@ -3,7 +3,7 @@
 A text is its set of five-word shingles. Each tree is a trie that files all sets under a signature of
 its own. Matched prefixes are shortened from the longest one as far as the target recall asks for, and
 no further than the sets stand it: with the first trees a pair of the least similarity needs short prefixes. Where
-a short prefix is crowded with sets that go on unlike each other in the trie, it stays long, and its sets are filed in as many
+a short prefix is crowded with sets that part further down in the trie, it stays long, and its sets are filed in as many
 further trees as long prefixes need for that recall. Sets with equal prefixes are a group, and every
 pair of a group is compared, whatever the size of the group. Small groups are listed as pairs.
 A larger one is dealt into blocks, and each two blocks meet in a task that counts their common
@@ -37,8 +37,8 @@ SIMILAR = (4, 5)
 #: Trees, and the values of the longest prefix.
 TREES, VALUES = 16, 8
 RECALL = 0.999
-#: Groups beyond this size have longer prefixes, unless two of their sets agree in the longer one as often as similar sets do.
-CROWD = 128
+#: Groups beyond this size have longer prefixes if these leave at most this share of the comparisons, further trees included.
+CROWD, WORTH = 128, 0.5
 #: Groups up to this size are listed as pairs.
 LISTED = 8
 #: Larger ones are dealt into blocks of about so many sets, and of about so many shingles at most.
@@ -144,16 +144,12 @@ def _prepared(rows: DataFrame, trees: int, depth: int, values: int | None = None
     return marked.mapInArrow(run, "doc_id long, mark binary, node binary, n int, keys array<long>, longer array<long>")
 
 
-def _crowded(nodes: DataFrame, similarity: float) -> DataFrame:
-    """``node`` and ``places``: the trees in which its short prefix is crowded with sets that the longer one tells apart.
-
-    Two sets of a group agree in the further values as often as they are similar, to the power of their number.
-    If that is rarer than for two sets of the least similarity, longer prefixes part them.
-    """
+def _crowded(nodes: DataFrame, agreement: float) -> DataFrame:
+    """``node`` and ``places``: the trees in which its short prefix is crowded, and the longer one is shared by less than this share of the pairs."""
     filed = nodes.select("node", F.posexplode(F.arrays_zip("keys", "longer")).alias("place", "key")).select("node", "place", "key.keys", "key.longer")
     ends = filed.groupBy("keys", "longer").agg(F.count("*").alias("n"))
     groups = ends.groupBy("keys").agg(F.sum("n").alias("many"), F.sum(F.col("n") * (F.col("n") - 1)).alias("agreed"))
-    unlike = F.col("agreed") < similarity * F.col("many") * (F.col("many") - 1)
+    unlike = F.col("agreed") < agreement * F.col("many") * (F.col("many") - 1)
     crowds = staged(groups.filter((F.col("many") > CROWD) & unlike).select("keys"), "crowds")
     rows = attach(filed.select("node", "place", "keys"), crowds, "keys", ("node",))
     return staged(rows.groupBy("node").agg(F.collect_set("place").alias("places")), "crowded")
@@ -176,14 +172,13 @@ def _further(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, trees: int, v
     return found.join(wanted, "node").dropDuplicates(["node"])
 
 
-def _lengthened(docs: DataFrame, nodes: DataFrame, trees: int, depth: int, values: int, recall: float) -> DataFrame:
+def _lengthened(docs: DataFrame, nodes: DataFrame, trees: int, values: int, recall: float) -> DataFrame:
     """The nodes with the ``keys`` under which they are compared: short prefixes, and for sets of crowded ones long prefixes instead."""
-    similarity = SIMILAR[0] / SIMILAR[1]
-    crowded = _crowded(nodes, similarity ** (values - depth))
+    # a tenth of the misses of the short prefixes come on top
+    more = max(1, trees_for(1 - (1 - recall) / 10, SIMILAR[0] / SIMILAR[1], values) - trees)
+    crowded = _crowded(nodes, WORTH * trees / (trees + more))
     if crowded.isEmpty():
         return nodes.drop("longer")
-    # a tenth of the misses of the short prefixes come on top
-    more = max(1, trees_for(1 - (1 - recall) / 10, similarity, values) - trees)
     found = nodes.join(_further(docs, crowded, nodes, more, values), "node", "left")
     short = F.transform("keys", lambda key, place: F.when(~F.array_contains("places", place), key))
     keys = F.when(F.col("places").isNull(), F.col("keys")).otherwise(F.concat(short, "longer", "further"))
@@ -377,7 +372,7 @@ def filed(docs: DataFrame, trees: int = TREES, values: int = VALUES, recall: flo
     one = prepared.filter("node is not null").groupBy("node")
     first = [F.first(c).alias(c) for c in ("n", "keys", "longer")]
     nodes = staged(one.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size"), *first), "nodes")
-    nodes = _lengthened(docs, nodes, trees, depth, values, recall) if values > depth else nodes.drop("longer")
+    nodes = _lengthened(docs, nodes, trees, values, recall) if values > depth else nodes.drop("longer")
     return prepared, nodes, _members(nodes)
 
 
