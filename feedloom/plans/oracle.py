@@ -426,6 +426,10 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) t""",
         "enrich_offline": _with(
             f"""SELECT {_uuid('url')} AS id, url, {_offline_summary('title')} AS summary, 8 AS quality_score, 768 AS dim,
        (SELECT round(sum(CAST(CAST((i % 10) / 10.0 AS FLOAT) AS DOUBLE)), 6) FROM range(768) t(i)) AS total,
+       '2024-01-02 12:00:00' AS created_at FROM v_new"""
+        ),
+        "enrich_kept": _with(
+            f"""SELECT {_uuid('url')} AS id, url, {_offline_summary('title')} AS summary, 8 AS quality_score,
        '2024-01-02 12:00:00' AS created_at FROM v_new"""
         ),
         "enrich_models": _with(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedloom import session
 from feedloom.functions import rules, text, vectors
-from feedloom.operators import ann, constraints, digest, embeddings, enrich, graph, ingest, keyed, ranking, registry, search, seen
+from feedloom.operators import ann, answers, constraints, digest, embeddings, enrich, graph, ingest, keyed, ranking, registry, search, seen
 from feedloom.plans import daily_run as daily
 from feedloom.plans import sample_tables as tables
 from feedloom.sources import documents as feed_documents
@@ -514,6 +514,16 @@ def enrich_offline(spark, folder):
     return valid.join(size, "id").select("id", "url", "summary", "quality_score", "dim", "total", _stamp("created_at"))
 
 
+@query
+def enrich_kept(spark, folder):
+    """The articles of a run whose answers an earlier run has kept, all but those of every third item."""
+    provider = answers.KeptProvider(enrich.OfflineProvider(), session.shared_folder(spark, "answers"))
+    fresh = _fresh(spark, folder)
+    provider.summarise(fresh.where(F.crc32(F.col("url").cast("binary")) % 3 != 0))
+    valid, _ = enrich.enrich_items(fresh, provider, _as_of())
+    return valid.select("id", "url", "summary", "quality_score", _stamp("created_at"))
+
+
 def _first_model(client: str, prompt: str) -> str:
     """Stands for a model that fails on some prompts and scores by their length."""
     if "|" in prompt:
