@@ -111,3 +111,42 @@ def test_all_bad_and_clashing_columns(spark):
     labels = spark.createDataFrame([(i, 0, 1) for i in range(60)], LABELS)
     rows = url_filter.report(pages, labels).collect()
     assert len(rows) == 60 and {r.verdict for r in rows} == {"allow"}  # nothing tells them from others
+
+
+def test_items_beyond_a_pages_most_telling_ones_make_rules(spark):
+    """x and y are bad together only, and stand in bad pages beside many items that tell more."""
+    rng = random.Random(5)
+    telling = [f"t{i:02}" for i in range(12)]
+    rows = [([*rng.sample(telling, 10), "x", "y"], True) for _ in range(60)]
+    rows += [(["x"], False)] * 100 + [(["y"], False)] * 100 + [([t], False) for t in telling for _ in range(2)]
+    found, items = url_filter.mined(spark.createDataFrame([(sorted(r), bad) for r, bad in rows], "items array<string>, bad boolean"))
+    rules = url_filter.spelled(url_filter.concise(found), items)
+    assert ["x", "y"] in [r.antecedent for r in rules.collect()]
+    sets = spark.createDataFrame([("1", ["x", "y"]), ("2", ["x"]), ("3", ["y"])], "key string, items array<string>")
+    assert [r.key for r in url_filter.matched(sets, rules).collect()] == ["1"]
+
+
+def test_shortest_rules_are_those_of_all_combinations(spark):
+    rng = random.Random(6)
+    names = "abcdefghijk"
+    baskets = [(sorted(rng.sample(names, rng.randint(1, 11))), rng.random() < 0.25) for _ in range(300)]
+    baskets = [(b, bad or {"a", "b", "c"} <= set(b) and "k" not in b or {"d", "k"} <= set(b) and rng.random() < 0.5) for b, bad in baskets]
+    found, _ = url_filter.mined(spark.createDataFrame(baskets, "items array<string>, bad boolean"))
+    usual, rules = sum(bad for _, bad in baskets) / len(baskets), {}
+    for size in range(1, 12):
+        for combination in itertools.combinations(names, size):
+            held = [bad for b, bad in baskets if set(combination) <= set(b)]
+            share, spread = sum(held) / max(1, len(held)), (len(held) * usual * (1 - usual)) ** 0.5
+            if sum(held) >= url_filter.LEAST and sum(held) - len(held) * usual >= url_filter.DEVIATIONS * spread and share >= max(url_filter.CONFIDENCE, url_filter.LIFT * usual):
+                rules[combination] = round(share, 9)
+    want = {c: share for c, share in rules.items() if not any(set(r) < set(c) for r in rules)}
+    assert len(want) > 3 and max(map(len, want)) > 2
+    assert {tuple(r.antecedent): round(r.confidence, 9) for r in found.collect()} == want
+
+
+def test_a_long_url_of_good_and_bad_pages_is_searched_in_few_steps(spark):
+    rng = random.Random(7)
+    words = [f"w{i:02}" for i in range(24)]
+    rows = [(words, i < 50) for i in range(150)] + [(sorted(rng.sample(words, 6)), False) for _ in range(250)] + [(["q"], True)] * 40
+    found, _ = url_filter.mined(spark.createDataFrame(rows, "items array<string>, bad boolean"))
+    assert [tuple(r.antecedent) for r in found.collect()] == [("q",)]
