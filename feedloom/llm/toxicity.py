@@ -2,33 +2,38 @@
 
 A word and its beginnings are hashed into a table of embeddings, whose sum stands for the word.
 Filters over one, two and three neighbouring words slide over the whole text, each keeps its
-largest response, and a logistic layer weighs them. The net is fitted on the driver to a bounded sample of the
-labelled rows; a part of the sample sets a threshold per language of the text
-(told by its function words, never by a column). The score is scaled so that 0.3 is the threshold.
+largest response, and a logistic layer weighs them. The net is fitted to the whole texts of all labelled rows but a
+part of them, which sets a threshold per language of the text (told by its function words, never by a column).
+The rows are cut into shards; in each epoch every shard trains the net on its rows in a task of its own, and
+what the shards changed is averaged, a bucket's vector over the shards that met it. The driver holds
+nets, of fixed size, and no rows. The score is scaled so that 0.3 is the threshold.
 
 Null and empty texts have no words and get the score of an empty text. Labels that are null
-are not used; of several labels for one id the largest counts. Without labels of both
+are not used; of several labels for one id the largest counts, for each different text of that id. Without labels of both
 kinds every score is 0. Rows are independent, so repeated rows get equal results.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import crc_fold, staged
+from feedloom.operators.joins import if_few
 
-#: Rows of each label in the sample (on average), and the longest text taken into it.
-SAMPLE = 2500
-SAMPLE_CHARS = 10_000
+#: Training rows of a shard, and rows and characters that are read into one table of words.
+SHARD_ROWS = 20_000
+PORTION_ROWS, PORTION_CHARS = 256, 1_000_000
+#: Share of the labelled rows that sets the thresholds.
 CALIBRATION = 0.25
 CUT = 0.3
 
@@ -36,14 +41,20 @@ BUCKETS = 1 << 17
 SIZE = 16
 #: A word has the features of itself and of these beginnings, so that an unseen form is told by its stem.
 STEMS = (4, 5, 6, 7)
-#: Texts of the sample that must hold a feature; one of fewer texts would be learned by heart.
+#: Training texts that must hold a feature; one of fewer texts would be learned by heart.
 LEAST_TEXTS = 3
+#: Cells of the bitmap of such features.
+KNOWN_BITS = 1 << 25
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 TAPS = sum(WIDTHS)
 EPOCHS = 5
 BATCH = 32
+#: Words of a batch with the space around its texts; it has fewer texts if these are long.
+BATCH_WORDS = 400_000
 RATE = 0.08
+#: Buckets whose vectors travel in one row.
+_PART = 1 << 11
 _CACHED = 300_000
 _BLOCK = 100_000
 #: Calibration rows of either label that a language needs for a threshold of its own.
@@ -62,8 +73,9 @@ _VOTES = {w: k for k, words in enumerate(FUNCTION_WORDS.values()) for w in words
 
 
 def _features(word: str) -> list[int]:
-    """Hashes of the word and of its beginnings."""
-    return [xxhash.xxh64_intdigest(word), *(xxhash.xxh64_intdigest(word[:n], seed=n) for n in STEMS if len(word) > n)]
+    """Hashes of the word and of its beginnings, of 31 bits and never 0."""
+    found = [xxhash.xxh32_intdigest(word), *(xxhash.xxh32_intdigest(word[:n], seed=n) for n in STEMS if len(word) > n)]
+    return [f & 0x7FFFFFFF or 1 for f in found]
 
 
 class _Words(dict):
@@ -90,23 +102,35 @@ def _language(votes: np.ndarray) -> int:
     return int(counts.argmax()) if counts.any() else len(FUNCTION_WORDS)
 
 
+def _feature_table(names: list[str]) -> np.ndarray:
+    """Of each word the features, 0 for none."""
+    found = np.zeros((len(names), 1 + len(STEMS)), np.int32)
+    for row, name in zip(found, names):
+        own = _features(name)
+        row[: len(own)] = own
+    return found
+
+
+def _buckets(features: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The buckets of known features; the last one, whose vector is 0, for others."""
+    cell = features & (KNOWN_BITS - 1)
+    there = (known[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+    return np.where((features != 0) & (there == 1), features % BUCKETS, BUCKETS)
+
+
 @dataclass
 class Net:
     vectors: np.ndarray  # of the buckets; the last one is of what has no feature
     taps: np.ndarray  # (SIZE, TAPS * FILTERS)
     bias: np.ndarray
     weights: np.ndarray
-    constant: float
-    known: frozenset[int]  # features that have a bucket
+    constant: np.ndarray  # one number
+    known: np.ndarray  # bitmap of the features that have a bucket
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros(len(FUNCTION_WORDS) + 1))
 
     def buckets(self, names: list[str]) -> np.ndarray:
         """Of each word the buckets of its known features."""
-        found = np.full((len(names), 1 + len(STEMS)), BUCKETS, np.int64)
-        for row, name in zip(found, names):
-            own = [f % BUCKETS for f in _features(name) if f in self.known]
-            row[: len(own)] = own
-        return found
-    cuts: np.ndarray = field(default_factory=lambda: np.zeros(len(FUNCTION_WORDS) + 1))
+        return _buckets(_feature_table(names), self.known)
 
 
 def _columns() -> list[list[slice]]:
@@ -118,88 +142,246 @@ def _columns() -> list[list[slice]]:
     return found
 
 
-def _untrained(rng: np.random.Generator, known: frozenset[int]) -> Net:
+def _untrained(known: np.ndarray) -> Net:
+    rng = np.random.default_rng(7)
     vectors = rng.normal(0, 0.05, (BUCKETS + 1, SIZE)).astype(np.float32)
     vectors[BUCKETS] = 0
     taps = rng.normal(0, 0.3, (SIZE, TAPS * FILTERS)).astype(np.float32)
     n = len(WIDTHS) * FILTERS
-    return Net(vectors, taps, np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32), 0.0, known)
+    return Net(vectors, taps, np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32), np.zeros(1, np.float32), known)
+
+
+_DENSE = ("taps", "bias", "weights", "constant")
+
+
+@dataclass
+class _State:
+    """A net in training, and the squared gradients that its rates of learning come from."""
 
+    net: Net
+    sums: dict[str, np.ndarray]
 
-class _Adagrad:
-    def __init__(self, *arrays: np.ndarray):
-        self.sums = {id(a): np.full_like(a, 1e-3) for a in arrays}
+    @staticmethod
+    def new(known: np.ndarray) -> _State:
+        net = _untrained(known)
+        return _State(net, {name: np.full_like(getattr(net, name), 1e-3) for name in ("vectors", *_DENSE)})
 
-    def step(self, array: np.ndarray, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        sums = self.sums[id(array)]
+    def copy(self) -> _State:
+        own = {name: getattr(self.net, name).copy() for name in self.sums}
+        return _State(replace(self.net, **own), {name: a.copy() for name, a in self.sums.items()})
+
+    def step(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        array, sums = getattr(self.net, name), self.sums[name]
         sums[rows] += gradient**2
         array[rows] -= RATE * gradient / np.sqrt(sums[rows])
 
-
-def _known(docs: list[np.ndarray], names: list[str]) -> frozenset[int]:
-    """Features of enough texts."""
-    features = [_features(n) for n in names]
-    often = Counter(f for doc in docs for f in {f for w in np.unique(doc).tolist() for f in features[w]})
-    return frozenset(f for f, n in often.items() if n >= LEAST_TEXTS)
+    def parts(self, before: _State) -> Iterator[tuple[int, np.ndarray]]:
+        """What has changed: for every few buckets the vectors, sums and whether the bucket was met, and last all else."""
+        for k, start in enumerate(range(0, BUCKETS, _PART)):
+            cut = slice(start, start + _PART)
+            more = self.sums["vectors"][cut] - before.sums["vectors"][cut]
+            yield k, np.hstack([self.net.vectors[cut] - before.net.vectors[cut], more, more.any(axis=1, keepdims=True)])
+        pairs = [(getattr(self.net, n), getattr(before.net, n)) for n in _DENSE] + [(self.sums[n], before.sums[n]) for n in _DENSE]
+        yield BUCKETS // _PART, np.concatenate([*((a - b).ravel() for a, b in pairs), np.ones(1, np.float32)])
+
+    def changed(self, parts: dict[int, np.ndarray]) -> _State:
+        """With the mean of what the shards have changed, from the sums of their ``parts``."""
+        found = self.copy()
+        for k, total in parts.items():
+            if k < BUCKETS // _PART:
+                cut, total = slice(k * _PART, (k + 1) * _PART), total.reshape(_PART, 2 * SIZE + 1)
+                mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
+                found.net.vectors[cut] += mean[:, :SIZE]
+                found.sums["vectors"][cut] += mean[:, SIZE:]
+            else:
+                mean = total[:-1] / total[-1]
+                for array in [*(getattr(found.net, n) for n in _DENSE), *(found.sums[n] for n in _DENSE)]:
+                    array += mean[: array.size].reshape(array.shape)
+                    mean = mean[array.size :]
+        return found
 
 
-def _fit(docs: list[np.ndarray], labels: np.ndarray, names: list[str], seed: int = 7) -> Net:
-    """The net for documents of word numbers."""
-    rng = np.random.default_rng(seed)
-    net, columns = _untrained(rng, _known(docs, names)), _columns()
+def _strongest(words: np.ndarray, table: np.ndarray, columns: list[list[slice]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each width the largest response of each filter in each text (a row of numbers of words in ``table``), and where."""
+    widest, texts = max(WIDTHS), len(words)
+    size = words.shape[1] - widest + 1
+    values = [np.full((texts, FILTERS), -np.inf, np.float32) for _ in columns]
+    places = [np.zeros((texts, FILTERS), np.int64) for _ in columns]
+    step = max(1, _BLOCK // texts)
+    for start in range(0, size, step):
+        end = min(start + step, size)
+        taps = table[words[:, start : end + widest - 1]]
+        for k, cols in enumerate(columns):
+            response = sum(taps[:, j : j + end - start, c] for j, c in enumerate(cols))
+            best = response.argmax(axis=1)
+            found = np.take_along_axis(response, best[:, None, :], 1)[:, 0]
+            places[k] = np.where(found > values[k], best + start, places[k])
+            values[k] = np.maximum(values[k], found)
+    return values, places
+
+
+def _batches(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Texts of about equal length."""
+    found, own = [], []
+    for i in np.argsort([len(d) for d in docs], kind="stable").tolist():
+        if own and (len(own) == BATCH or (len(own) + 1) * (len(docs[i]) + max(WIDTHS)) > BATCH_WORDS):
+            found.append(np.array(own))
+            own = []
+        own.append(i)
+    return found + [np.array(own)] * bool(own)
+
+
+def _learn(state: _State, docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, features: np.ndarray, rng: np.random.Generator) -> None:
+    """One epoch over documents of word numbers."""
+    net, columns, widest, space = state.net, _columns(), max(WIDTHS), len(features)
     # the last word is the space around a text
-    buckets = np.concatenate([net.buckets(names), np.full((1, 1 + len(STEMS)), BUCKETS)])
-    adagrad = _Adagrad(net.vectors, net.taps, net.bias, net.weights)
-    widest = max(WIDTHS)
-    by_length = np.argsort([len(d) for d in docs], kind="stable")
-    batches = [by_length[i : i + BATCH] for i in range(0, len(by_length), BATCH)]
-    for _ in range(EPOCHS):
-        for at in rng.permutation(len(batches)):
-            members = batches[at]
-            longest = max(len(docs[m]) for m in members) + widest
-            words = np.full((len(members), longest), len(names), np.int64)
-            for i, m in enumerate(members):
-                words[i, : len(docs[m])] = docs[m]
-            met, place_of = np.unique(words, return_inverse=True)
-            vectors = net.vectors[buckets[met]].sum(axis=1)
-            taps = (vectors @ net.taps)[place_of.reshape(words.shape)]
-            features, places = [], []
-            for cols in columns:
-                size = longest - widest + 1
-                response = sum(taps[:, j : j + size, c] for j, c in enumerate(cols))
-                best = response.argmax(axis=1)
-                places.append(best)
-                features.append(np.take_along_axis(response, best[:, None, :], 1)[:, 0])
-            pooled = np.concatenate(features, axis=1) + net.bias
-            active = np.maximum(pooled, 0)
-            logit = active @ net.weights + net.constant
-            off = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[members]) / len(members)).astype(np.float32)
-            down = (off[:, None] * net.weights) * (pooled > 0)
-            tap_gradient = np.zeros_like(net.taps)
-            rows, grads = [], []
-            who = np.arange(len(members))
-            numbers = place_of.reshape(words.shape)
-            for k, cols in enumerate(columns):
-                for f in range(FILTERS):
-                    g = down[:, k * FILTERS + f]
-                    for j, c in enumerate(cols):
-                        at_word = numbers[who, places[k][:, f] + j]
-                        tap_gradient[:, c.start + f] += g @ vectors[at_word]
-                        rows.append(met[at_word])
-                        grads.append(g[:, None] * net.taps[:, c.start + f])
-            adagrad.step(net.weights, active.T @ off)
-            adagrad.step(net.bias, down.sum(axis=0))
-            net.constant -= RATE * float(off.sum())
-            adagrad.step(net.taps, tap_gradient)
-            # a word's gradient goes to all its features
-            rows, grads = buckets[np.concatenate(rows)], np.concatenate(grads)
-            for column in rows.T:
-                used = (column < BUCKETS) & np.any(grads != 0, axis=1)
-                touched, inverse = np.unique(column[used], return_inverse=True)
-                total = np.zeros((len(touched), SIZE), np.float32)
-                np.add.at(total, inverse, grads[used])
-                adagrad.step(net.vectors, total, touched)
-    return net
+    buckets = np.concatenate([_buckets(features, net.known), np.full((1, 1 + len(STEMS)), BUCKETS)])
+    batches = _batches(docs)
+    for at in rng.permutation(len(batches)):
+        members = batches[at]
+        words = np.full((len(members), max(len(docs[m]) for m in members) + widest), space, np.int64)
+        for i, m in enumerate(members):
+            words[i, : len(docs[m])] = docs[m]
+        there = np.zeros(space + 1, bool)
+        there[words] = True
+        met = np.flatnonzero(there)
+        place_of = np.zeros(space + 1, np.int64)
+        place_of[met] = np.arange(len(met))
+        numbers = place_of[words]
+        vectors = net.vectors[buckets[met]].sum(axis=1)
+        values, places = _strongest(numbers, vectors @ net.taps, columns)
+        pooled = np.concatenate(values, axis=1) + net.bias
+        active = np.maximum(pooled, 0)
+        logit = active @ net.weights + net.constant[0]
+        off = (weights[members] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[members]) / len(members)).astype(np.float32)
+        down = (off[:, None] * net.weights) * (pooled > 0)
+        tap_gradient = np.zeros_like(net.taps)
+        rows, grads = [], []
+        who = np.arange(len(members))[:, None]
+        for k, cols in enumerate(columns):
+            g = down[:, k * FILTERS : (k + 1) * FILTERS]
+            for j, c in enumerate(cols):
+                at_word = numbers[who, places[k] + j]  # of each text and filter
+                tap_gradient[:, c] += np.einsum("tf,tfs->sf", g, vectors[at_word])
+                rows.append(met[at_word].ravel())
+                grads.append((g[:, :, None] * net.taps[:, c].T[None]).reshape(-1, SIZE))
+        state.step("weights", active.T @ off)
+        state.step("bias", down.sum(axis=0))
+        net.constant -= RATE * float(off.sum())
+        state.step("taps", tap_gradient)
+        # a word's gradient goes to all its features
+        rows, grads = buckets[np.concatenate(rows)], np.concatenate(grads)
+        for column in rows.T:
+            used = (column < BUCKETS) & np.any(grads != 0, axis=1)
+            touched, inverse = np.unique(column[used], return_inverse=True)
+            total = np.zeros((len(touched), SIZE), np.float32)
+            np.add.at(total, inverse, grads[used])
+            state.step("vectors", total, touched)
+
+
+# Portions: some labelled texts as numbers of the words of one table, so that they are taken apart once.
+
+_PORTION = "sizes binary, words binary, features binary, labels binary, held binary, tongues binary"
+
+
+def _portion(rows: list[tuple[str, int, bool]]) -> dict[str, bytes]:
+    words = _Words()
+    docs = words.documents([text for text, _, _ in rows])
+    votes = words.votes()
+    columns = (
+        np.array([len(d) for d in docs], np.int64),
+        np.concatenate(docs).astype(np.int32),
+        _feature_table(words.names),
+        np.array([label for _, label, _ in rows], np.int8),
+        np.array([held for _, _, held in rows], bool),
+        np.array([_language(votes[d]) for d in docs], np.int8),
+    )
+    return {name: [c.tobytes()] for name, c in zip(("sizes", "words", "features", "labels", "held", "tongues"), columns)}
+
+
+def _portions(rows: DataFrame) -> DataFrame:
+    """From ``text``, ``label`` and ``held`` (kept for the thresholds)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        for batch in batches:
+            for text, label, held in zip(batch["text"], batch["label"], batch["held"]):
+                some.append((text.as_py(), label.as_py(), held.as_py()))
+                size += len(some[-1][0])
+                if len(some) == PORTION_ROWS or size >= PORTION_CHARS:
+                    yield pa.RecordBatch.from_pydict(_portion(some))
+                    some, size = [], 0
+        if some:
+            yield pa.RecordBatch.from_pydict(_portion(some))
+
+    return rows.select("text", "label", "held").mapInArrow(run, _PORTION)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each portion the documents, features, labels, which are held, and languages."""
+    kinds = {"sizes": np.int64, "words": np.int32, "features": np.int32, "labels": np.int8, "held": bool, "tongues": np.int8}
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sizes, words, features, labels, held, tongues = (np.frombuffer(batch[n][k].as_buffer(), kind) for n, kind in kinds.items())
+            docs = np.split(words, np.cumsum(sizes)[:-1])
+            yield docs, features.reshape(-1, 1 + len(STEMS)), labels, held, tongues
+
+
+def _known(portions: DataFrame, all_rows: bool) -> np.ndarray:
+    """Bitmap of the features of enough training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, features, _, held, _ in _opened(batches):
+            names, number = np.unique(features, return_inverse=True)
+            number = number.reshape(features.shape)
+            texts = np.zeros(len(names), np.int64)
+            for doc, out in zip(docs, held):
+                if all_rows or not out:
+                    texts[np.unique(number[np.unique(doc)])] += 1
+            real = (texts > 0) & (names != 0)
+            yield pa.RecordBatch.from_arrays([pa.array(names[real]), pa.array(texts[real])], ["feature", "texts"])
+
+    counted = portions.select("sizes", "words", "features", "labels", "held", "tongues").mapInArrow(run, "feature int, texts long")
+    often = counted.groupBy("feature").agg(F.sum("texts").alias("texts")).filter(F.col("texts") >= LEAST_TEXTS)
+    cell = F.col("feature").bitwiseAND(F.lit(KNOWN_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)))
+    cells = often.groupBy(F.shiftright(cell, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    found = np.zeros(KNOWN_BITS // 64, "<i8")
+    found[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
+    return found.view(np.uint8)
+
+
+def _epoch(portions: DataFrame, state: _State, epoch: int, all_rows: bool, weights: tuple[float, float]) -> _State:
+    """``state`` after every shard has trained it, each from the same start."""
+    shared = portions.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rng, seen = shared.value.copy(), np.random.default_rng((7, epoch)), False
+        for docs, features, labels, held, _ in _opened(batches):
+            taken = np.flatnonzero(~held | all_rows)
+            if len(taken):
+                truth = labels[taken].astype(np.float32)
+                _learn(own, [docs[i] for i in taken], truth, np.where(truth > 0, weights[1], weights[0]), features, rng)
+                seen = True
+        if seen:
+            shard = TaskContext.get().partitionId()
+            for k, part in own.parts(shared.value):
+                yield pa.RecordBatch.from_pydict({"part": [k], "shard": [shard], "change": [part.astype(np.float32).tobytes()]}, schema=_CHANGE)
+
+    def added(key: tuple, rows: pa.Table) -> pa.Table:
+        total = 0.0
+        for change in rows.sort_by("shard")["change"]:
+            total = total + np.frombuffer(change.as_buffer(), np.float32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "change": [total.astype(np.float32).tobytes()]})
+
+    changes = portions.mapInArrow(run, "part int, shard int, change binary")
+    found = changes.groupBy("part").applyInArrow(added, "part int, change binary").toArrow()
+    parts = {k: np.frombuffer(c, np.float32) for k, c in zip(found["part"].to_pylist(), found["change"].to_pylist())}
+    shared.destroy()
+    return state.changed(parts)
+
+
+_CHANGE = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("change", pa.binary())])
 
 
 class _Scorer:
@@ -221,14 +403,20 @@ class _Scorer:
         start = len(self.words.names)
         docs = self.words.documents(texts)
         fresh = self.words.names[start:]
-        new = self.buckets[self.net.buckets(fresh)].sum(axis=1) if fresh else np.empty((0, TAPS * FILTERS), np.float32)
-        self.responses = np.concatenate([self.responses, new])
+        if fresh:
+            self.responses = np.concatenate([self.responses, self.responses_of(self.net.buckets(fresh))[1:]])
         self.languages = np.concatenate([self.languages, self.words.votes(start)])
         return docs, np.array([_language(self.languages[d]) for d in docs], np.int64)
 
-    def logits(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Texts are pooled in blocks of words; a long text takes several, overlapping by the widest filter."""
-        widest = max(WIDTHS)
+    def responses_of(self, buckets: np.ndarray) -> np.ndarray:
+        """Of words with these buckets, behind the space around a text."""
+        own = self.buckets[buckets].sum(axis=1) if len(buckets) else np.empty((0, TAPS * FILTERS), np.float32)
+        return np.concatenate([np.zeros((1, TAPS * FILTERS), np.float32), own])
+
+    def logits(self, docs: list[np.ndarray], responses: np.ndarray | None = None) -> np.ndarray:
+        """Texts are pooled in blocks of words; a long text takes several, overlapping by the widest filter.
+        Their words are those read last, or those of ``responses``."""
+        widest, responses = max(WIDTHS), self.responses if responses is None else responses
         pooled = np.full((len(docs), len(WIDTHS) * FILTERS), -np.inf, np.float32)
         batch, size = [], 0
         for i, doc in enumerate(docs):
@@ -237,13 +425,13 @@ class _Scorer:
                 batch.append((i, part))
                 size += len(part)
                 if size >= _BLOCK:
-                    self._pool(batch, pooled)
+                    self._pool(batch, pooled, responses)
                     batch, size = [], 0
-        self._pool(batch, pooled)
+        self._pool(batch, pooled, responses)
         active = np.maximum(pooled + self.net.bias, 0)
-        return active @ self.net.weights + self.net.constant
+        return active @ self.net.weights + self.net.constant[0]
 
-    def _pool(self, batch: list[tuple[int, np.ndarray]], pooled: np.ndarray) -> None:
+    def _pool(self, batch: list[tuple[int, np.ndarray]], pooled: np.ndarray, responses: np.ndarray) -> None:
         if not batch:
             return
         widest = max(WIDTHS)
@@ -252,7 +440,7 @@ class _Scorer:
         words = np.zeros(sizes.sum() + widest, np.int64)
         for (_, part), start in zip(batch, starts):
             words[start : start + len(part)] = part + 1
-        taps = self.responses[words]
+        taps = responses[words]
         n = sizes.sum()
         owners = np.array([i for i, _ in batch])
         for k, cols in enumerate(self.columns):
@@ -280,41 +468,74 @@ def _best_cut(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> fl
     return float((z[k] + below) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Net | None:
-    """The net fitted to a sample of the labelled documents, or None without both labels."""
+def _cuts(portions: DataFrame, net: Net, all_rows: bool) -> np.ndarray:
+    """The threshold of each language, or that of all rows where it has few. Rows are counted by logit, to three decimals."""
+    shared = portions.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for docs, features, labels, held, tongues in _opened(batches):
+            taken = np.flatnonzero(held | all_rows)
+            logits = scorer.logits([docs[i] for i in taken], scorer.responses_of(_buckets(features, scorer.net.known)))
+            columns = (tongues[taken].astype(np.int32), np.round(np.clip(logits, -30, 30) * 1000).astype(np.int32), labels[taken].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tongue", "logit", "label"])
+
+    logits = portions.mapInArrow(run, "tongue int, logit int, label int")
+    counted = logits.groupBy("tongue", "logit", "label").agg(F.count("*").alias("n")).orderBy("tongue", "logit", "label").toArrow()
+    tongues, z, labels, n = (counted[c].to_numpy() for c in ("tongue", "logit", "label", "n"))
+    z = z / 1000
+    cuts = np.full(len(FUNCTION_WORDS) + 1, _best_cut(z, labels, n))
+    for k in range(len(cuts)):
+        own = tongues == k
+        if min((n * labels)[own].sum(), (n * (1 - labels))[own].sum()) >= _ENOUGH:
+            cuts[k] = _best_cut(z[own], labels[own], n[own])
+    return cuts
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text``, ``label`` and ``held`` of all different labelled texts, dealt to shards by id and in a fixed order."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = staged(known.filter(crc_fold(F.col("doc_id")) != 2), "toxic-labels")
-    counts = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    if not counts.get(0) or not counts.get(1):
-        return None
-    label = (F.col("toxic") > 0).cast("int").alias("label")
+    known = known.filter(crc_fold(F.col("doc_id")) != 2).select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"))
+    known = staged(known, "toxic-labels")
+    shards = max(1, math.ceil(known.count() / SHARD_ROWS))
+    rows = docs.select("doc_id", "text").filter(F.length("text") > 0).join(if_few(known), "doc_id")
+    rows = rows.repartition(shards, "doc_id").dropDuplicates(["doc_id", "label", "text"]).sortWithinPartitions("doc_id", "text")
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / float(1 << 53)
-    share = F.when(F.col("toxic") > 0, min(1.0, SAMPLE / counts[1])).otherwise(min(1.0, SAMPLE / counts[0]))
-    picked = known.filter(chance < share).select("doc_id", label)
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(picked), "doc_id")
-    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    found = staged(rows, "toxic-sample").orderBy("doc_id", "text").toArrow()
-    texts, truth = found["text"].to_pylist(), found["label"].to_numpy().astype(np.float32)
-    test = np.random.default_rng(3).random(len(texts)) < CALIBRATION
-    if len(set(truth[~test])) < 2:
-        test = np.zeros(len(texts), bool)
-    if len(set(truth)) < 2:
+    return rows.select("text", "label", (chance < CALIBRATION).alias("held"))
+
+
+def _tally(portions: DataFrame) -> dict[tuple[bool, int], int]:
+    """Rows that are held or not, of each label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for labels, held in zip(batch["labels"], batch["held"]):
+                columns = (np.frombuffer(held.as_buffer(), bool), np.frombuffer(labels.as_buffer(), np.int8).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["held", "label"])
+
+    counted = portions.select("labels", "held").mapInArrow(run, "held boolean, label int").groupBy("held", "label").count()
+    return {(r["held"], r["label"]): r["count"] for r in counted.collect()}
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Net | None:
+    """The net fitted to all labelled documents that are not held out, or None without both labels."""
+    rows = _labelled(docs, labels)
+    portions = staged(_portions(rows), "toxic-portions")
+    tally = _tally(portions)
+    both = [{label for held, label in tally if held == side} == {0, 1} for side in (False, True)]
+    if {label for _, label in tally} != {0, 1}:
         return None
-    words = _Words()
-    net = _fit(words.documents([t for t, held in zip(texts, test) if not held]), truth[~test], words.names)
-    check = test if len(set(truth[test])) == 2 else np.ones(len(texts), bool)
-    scorer = _Scorer(net)
-    docs, tongues = scorer.read([t for t, c in zip(texts, check) if c])
-    logits, truth = scorer.logits(docs), truth[check]
-    # the sample has as many rows of either label; weights give their real numbers back
-    weights = np.where(truth > 0, counts[1] / max(truth.sum(), 1), counts[0] / max((1 - truth).sum(), 1))
-    cuts = np.full(len(FUNCTION_WORDS) + 1, _best_cut(logits, truth, weights))
-    for k in range(len(cuts)):
-        own = tongues == k
-        if min(truth[own].sum(), (1 - truth[own]).sum()) >= _ENOUGH:
-            cuts[k] = _best_cut(logits[own], truth[own], weights[own])
-    net.cuts = cuts
-    return net
+    # without both labels in a part, all rows take its place
+    all_learned, all_checked = not both[0], not both[0] or not both[1]
+    learned = [sum(n for (held, own), n in tally.items() if own == label and (all_learned or not held)) for label in (0, 1)]
+    # of the two labels the rarer one weighs as much as the other
+    weights = (sum(learned) / (2 * learned[0]), sum(learned) / (2 * learned[1]))
+    shards = max(1, math.ceil(sum(learned) / SHARD_ROWS))
+    portions = portions.coalesce(shards)
+    state = _State.new(_known(portions, all_learned))
+    for epoch in range(EPOCHS):
+        state = _epoch(portions, state, epoch, all_learned, weights)
+    return replace(state.net, cuts=_cuts(portions, state.net, all_checked))
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:

@@ -66,3 +66,30 @@ def test_awkward_rows(spark, awkward):
         rows = toxicity.report(awkward, known).collect()
         assert len(rows) == awkward.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.report(awkward.limit(0), labels).count() == 0
+
+
+def test_every_labelled_text_is_learned_whole(spark, make, prose, monkeypatch):
+    """Words of few rows, and words behind the first 10,000 characters, are known, whatever the number of rows."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 500)
+    rows, labels = [], []
+    for i in range(6000):
+        toxic = i % 2
+        words = f"plain words of row {i % 50}" + (" grobbel" if toxic else "")
+        if i >= 5960 and toxic:
+            words = "seldom " * 2 + "lateword" if i % 4 == 1 else prose(i, words=2500) + " farbehind"
+        rows.append((i, words, "en", "s"))
+        labels.append((i, 1, toxic))
+    docs = make(*rows)
+    net = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    known = net.buckets(["grobbel", "lateword", "farbehind", "unheard"])[:, 0] < toxicity.BUCKETS
+    assert known.tolist() == [True, True, True, False]
+    scorer = toxicity._Scorer(net)
+    bad, good = scorer.logits(scorer.read(["plain words grobbel", "plain words of row 7"])[0])
+    assert bad > net.cuts.max() and good < net.cuts.min()
+
+
+def test_shards_train_one_net(spark, make, prose, monkeypatch):
+    docs, labels = collection(spark, make, prose, n=1500)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    held = [r for r in toxicity.report(docs, labels).collect() if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in held]) > 0.95
