@@ -135,15 +135,18 @@ def insert_articles(articles: DataFrame, created: DataFrame) -> DataFrame:
     return articles.select(ARTICLE_COLUMNS).unionByName(created.select(ARTICLE_COLUMNS))
 
 
-def write_articles(created: DataFrame, path: str, mode: str = "append") -> int:
+def write_articles(created: DataFrame, path: str, mode: str = "append", folders: bool = True) -> int:
     """Write to a table partitioned by day, which rankings and fetches prune by, and give the number of rows.
+    Without ``folders`` the day is a column of files in order of the day, whose statistics tell which files hold a day: for a history
+    of very many days with few articles each, where a folder and a file a day would be most of the work.
     Rows are cut by day and id into ranges of about equal size, so a day with very
     many articles is written by several tasks and a small one into one file. They are
     counted behind the cut, on their way into the files: the cut reads them a first time."""
     days = created.select(ARTICLE_COLUMNS).withColumn("day", F.to_date("created_at"))
     cut = days.repartitionByRange("day", "id").sortWithinPartitions("day", "created_at")
     written = Observation()
-    cut.observe(written, F.count("*").alias("rows")).write.mode(mode).partitionBy("day").parquet(path)
+    rows = cut.observe(written, F.count("*").alias("rows")).write.mode(mode)
+    (rows.partitionBy("day") if folders else rows).parquet(path)
     return written.get["rows"]
 
 

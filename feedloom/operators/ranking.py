@@ -87,9 +87,10 @@ def best_of_days(articles: DataFrame, n: int) -> DataFrame:
 
 def keep_ranking(articles: DataFrame, path: str, n: int = KEPT) -> None:
     """Adds the best of newly written articles, ``n`` a day. The parts of several writes to a day merge when they
-    are read: the best of a union are among the best of its parts."""
+    are read: the best of a union are among the best of its parts. Files are in order of the day, which is a column
+    of them and makes no folders: a write may bring very many days."""
     best = best_of_days(articles, n).repartitionByRange("day", "id").sortWithinPartitions("day", *best_first())
-    best.withColumn("kept", F.lit(n)).write.mode("append").partitionBy("day").parquet(path)
+    best.withColumn("kept", F.lit(n)).write.mode("append").parquet(path)
 
 
 def _kept_best(kept: DataFrame, as_of: Column, n: int, days: Column) -> list | None:

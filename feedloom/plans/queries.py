@@ -667,7 +667,7 @@ def _ranking(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     path = session.shared_folder(spark, "ranking")
     articles = session.staged(tables.articles(spark, folder), "articles")
     for part in (articles.where("quality_score % 2 = 0"), articles.where("quality_score % 2 = 1")):
-        ingest.write_articles(part, f"{path}/articles")
+        ingest.write_articles(part, f"{path}/articles", folders=False)
         ranking.keep_ranking(part, f"{path}/kept")
     return daily.read_articles(spark, f"{path}/articles"), spark.read.parquet(f"{path}/kept")
 
@@ -794,7 +794,7 @@ def daily_counters(spark, folder):
 def _history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The stored articles as a run leaves them: by day, with their filters beside them."""
     path = session.shared_folder(spark, "history")
-    ingest.write_articles(tables.articles(spark, folder), f"{path}/articles")
+    ingest.write_articles(tables.articles(spark, folder), f"{path}/articles", folders=False)
     written = daily.read_articles(spark, f"{path}/articles")
     seen.write_filters(written, f"{path}/filters")
     return written, spark.read.parquet(f"{path}/filters")

@@ -207,3 +207,10 @@ def test_a_batch_tried_again_writes_the_same(spark, tmp_path):
     assert all_written() == before
     assert {t: len(rows) for t, rows in before.items()} == {"articles": 3, "embeddings": 3, "rejected": 2}
     assert {r[0] for r in before["embeddings"]} == {r[0] for r in before["articles"]}
+
+
+def test_a_kept_ranking_of_many_days_is_few_files(spark, tmp_path):
+    rows = articles(spark, *[(i, 1, f"u{i}", 1 + i % 10, at() + datetime.timedelta(i)) for i in range(300)])
+    ranking.keep_ranking(rows, str(tmp_path / "kept"))
+    assert len(list(tmp_path.glob("kept/**/*.parquet"))) < 40
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 300
