@@ -2,7 +2,8 @@
 
 Every write of articles also writes a filter for each of its partitions (days, or batches of a stream). A
 filter is a table of 64-bit words: a URL sets four bits in each of two words, all picked by hashes of it, and a
-partition of n URLs has a power of two of words, n/2 at least. Filters are built by one aggregation
+partition of n URLs has a power of two of words, n/2 at least. One of few URLs has very many words, of which only those with a bit
+are rows, two for a URL: a look-up then meets few of the small partitions, however many there are. Filters are built by one aggregation
 (``bit_or``), begun before the shuffle, and later writes to the same partition just add rows.
 
 A look-up scans the words, 4 to 8 bytes for a stored URL, instead of the URLs, and names the partitions that
@@ -21,7 +22,11 @@ from feedloom.operators.joins import few, if_few
 from feedloom.operators.ingest import unseen
 from feedloom.session import staged
 
-FEWEST_WORDS = 64
+#: Partitions of up to so many URLs have ``MANY_WORDS`` words.
+FEW_URLS = 512
+MANY_WORDS = 1 << 20
+#: Partitions that a scan is given as a list of constants; more are joined.
+LISTED = 1000
 _BITS = 4
 
 
@@ -46,7 +51,7 @@ def filters_of(articles: DataFrame, part: str = "day") -> DataFrame:
     """(part, words, word, bits) of articles that are written together."""
     sizes = articles.groupBy(part).agg(F.count("*").alias("n"))
     power = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / 2, F.lit(1.0)))))
-    sizes = sizes.select(part, F.greatest(F.lit(FEWEST_WORDS), power).cast("int").alias("words"))
+    sizes = sizes.select(part, F.when(F.col("n") <= FEW_URLS, MANY_WORDS).otherwise(power).cast("int").alias("words"))
     probed = articles.select(part, "url").join(if_few(sizes), part).select(part, "words", _probes(F.col("url"), F.col("words")).alias("p"))
     return probed.groupBy(part, "words", F.col("p.word").alias("word")).agg(F.bit_or("p.mask").alias("bits"))
 
@@ -54,7 +59,7 @@ def filters_of(articles: DataFrame, part: str = "day") -> DataFrame:
 def write_filters(articles: DataFrame, path: str, part: str = "day", mode: str = "append") -> None:
     """To be called with the articles of one write, after it."""
     cut = filters_of(articles, part).repartitionByRange(part, "words", "word").sortWithinPartitions(part, "words", "word")
-    cut.write.mode(mode).partitionBy(part).parquet(path)
+    cut.write.mode(mode).parquet(path)
 
 
 def parts_with(urls: DataFrame, filters: DataFrame, part: str = "day") -> DataFrame:
@@ -82,6 +87,10 @@ def unseen_by_filters(items: DataFrame, articles: DataFrame, filters: DataFrame,
     if not few(urls):
         return unseen(items, articles)
     urls = staged(urls, "asked-urls")
-    near = articles.where(F.col(part).isin(named_parts(urls, filters, part)))
+    named = staged(parts_with(urls, filters, part), "named-parts")
+    if named.count() > LISTED:
+        near = articles.join(if_few(named), part, "left_semi")
+    else:
+        near = articles.where(F.col(part).isin(sorted(r[part] for r in named.collect())))
     known = near.select("url").join(F.broadcast(urls), "url", "left_semi").distinct()
     return items.join(F.broadcast(known), "url", "left_anti").select(items.columns)

@@ -141,3 +141,23 @@ def test_a_run_with_filters_leaves_its_own(spark, tmp_path):
     assert [r.url for r in result.articles.collect()] == ["https://x"] and (result.items_checked, result.new_articles) == (2, 1)
     own = spark.read.parquet(str(tmp_path / "out" / "filters"))
     assert seen.named_parts(result.articles.select("url"), own) == [datetime.date(2024, 1, 3)]
+
+
+def test_small_days_are_few_files_and_a_look_up_meets_few_of_them(spark, tmp_path, monkeypatch):
+    rows = [(i, 1, f"https://ex/{i}", 5, at() + datetime.timedelta(i // 4)) for i in range(4 * 300)]
+    rows = articles(spark, *rows)
+    ingest.write_articles(rows, str(tmp_path / "articles"), folders=False)
+    stored = daily_run.read_articles(spark, str(tmp_path / "articles"))
+    seen.write_filters(stored, str(tmp_path / "filters"))
+    assert len(list(tmp_path.glob("articles/**/*.parquet"))) + len(list(tmp_path.glob("filters/**/*.parquet"))) < 40  # of 300 days
+    filters = spark.read.parquet(str(tmp_path / "filters"))
+    met = filters.groupBy("words", "word").count().agg(F.max("count")).first()[0]
+    assert filters.count() <= 2 * 1200 and met < 10  # days that a look-up meets at one word
+    asked = urls(spark, *[f"https://ex/{i}" for i in range(0, 1300, 2)])
+    asked.write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked"))
+    want = sorted(r.url for r in ingest.unseen(asked, stored).collect())
+    assert len(want) == 50
+    for listed in (1000, 3):
+        monkeypatch.setattr(seen, "LISTED", listed)
+        assert sorted(r.url for r in seen.unseen_by_filters(asked, stored, filters).collect()) == want
