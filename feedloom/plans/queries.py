@@ -7,6 +7,7 @@ compared between engines.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -827,13 +828,19 @@ def daily_filtered(spark, folder):
     return run.articles.select("id", "feed_id", "title", "url", "raw_content", "quality_score", _stamp("created_at"))
 
 
+#: Bytes of text of a file that arrives.
+_ARRIVING = 64 << 20
+
+
 def _stream(spark: SparkSession, folder: str) -> str:
-    """The documents as bodies that arrive in several files, each a batch of its own."""
+    """The documents as bodies that arrive in three batches, each of as many files as keep one below ``_ARRIVING`` bytes."""
     out = session.shared_folder(spark, "stream")
     documents = tables.read(spark, folder, "documents")
     bodies = tables.raw_feeds(documents)
-    bodies.repartition(3, "fetched_at").write.parquet(f"{out}/arriving")
-    arriving = spark.readStream.schema(bodies.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arriving")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = max(1, math.ceil(size / (3 * _ARRIVING)))
+    bodies.repartition(3 * each, "fetched_at").write.parquet(f"{out}/arriving")
+    arriving = spark.readStream.schema(bodies.schema).option("maxFilesPerTrigger", each).parquet(f"{out}/arriving")
     ingest_stream.ingest_available(
         arriving,
         tables.feeds(spark, folder),

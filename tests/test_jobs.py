@@ -2,10 +2,12 @@
 
 import datetime
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from feedloom import schemas as S
+from feedloom import session
 from feedloom.operators import enrich, ingest, ranking
 from feedloom.operators.enrich import OfflineProvider
 from feedloom.plans import daily_run
@@ -214,3 +216,18 @@ def test_a_kept_ranking_of_many_days_is_few_files(spark, tmp_path):
     ranking.keep_ranking(rows, str(tmp_path / "kept"))
     assert len(list(tmp_path.glob("kept/**/*.parquet"))) < 40
     assert spark.read.parquet(str(tmp_path / "kept")).count() == 300
+
+
+def test_arriving_files_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    from feedloom.plans import queries
+
+    found = {}
+    for size in (64 << 20, 100_000):
+        out = str(tmp_path / str(size))
+        monkeypatch.setattr(queries, "_ARRIVING", size)
+        monkeypatch.setattr(session, "shared_folder", lambda spark, purpose: f"{out}/{purpose}-{uuid.uuid4().hex}")
+        found[size] = sorted(tuple(r) for r in queries.registered()["stream_ingest"](spark, "/root/testdata/sf0.001").collect())
+        files = list((tmp_path / str(size)).glob("stream-*/arriving/*.parquet"))
+        assert len(files) == 3 if size > 100_000 else len(files) > 3
+        assert len(list((tmp_path / str(size)).glob("stream-*/articles/batch_id=*"))) == 3
+    assert len(set(map(tuple, found.values()))) == 1 and found[100_000]
