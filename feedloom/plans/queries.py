@@ -519,7 +519,7 @@ def enrich_offline(spark, folder):
 def enrich_kept(spark, folder):
     """The articles of a run whose answers an earlier run has kept, all but those of every third item."""
     provider = answers.KeptProvider(enrich.OfflineProvider(), session.shared_folder(spark, "answers"))
-    fresh = _fresh(spark, folder)
+    fresh = session.staged(_fresh(spark, folder), "fresh")  # read once for each question to the store
     provider.summarise(fresh.where(F.crc32(F.col("url").cast("binary")) % 3 != 0))
     valid, _ = enrich.enrich_items(fresh, provider, _as_of())
     return valid.select("id", "url", "summary", "quality_score", _stamp("created_at"))
