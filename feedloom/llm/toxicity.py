@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import crc_fold, staged
+from feedloom.llm.common import WIDE_ROWS, crc_fold, in_small_batches, staged
 from feedloom.operators.joins import if_few
 
 #: Training rows of a shard, and rows and characters that are read into one table of words.
@@ -520,7 +520,7 @@ def _tally(portions: DataFrame) -> dict[tuple[bool, int], int]:
 def train(docs: DataFrame, labels: DataFrame) -> Net | None:
     """The net fitted to all labelled documents that are not held out, or None without both labels."""
     rows = _labelled(docs, labels)
-    portions = staged(_portions(rows), "toxic-portions")
+    portions = staged(_portions(rows), "toxic-portions", **WIDE_ROWS)
     tally = _tally(portions)
     both = [{label for held, label in tally if held == side} == {0, 1} for side in (False, True)]
     if {label for _, label in tally} != {0, 1}:
@@ -558,6 +558,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    in_small_batches(docs.sparkSession)
     scored = score(docs, train(docs, labels))
     held = (crc_fold(F.col("doc_id")) == 2).alias("held_out")
     return scored.select("doc_id", held, "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

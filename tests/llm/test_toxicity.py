@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from feedloom.llm import toxicity
 
@@ -93,3 +95,22 @@ def test_shards_train_one_net(spark, make, prose, monkeypatch):
     monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
     held = [r for r in toxicity.report(docs, labels).collect() if r.held_out]
     assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in held]) > 0.95
+
+
+def test_portions_are_read_a_few_at_a_time(spark, monkeypatch):
+    """Rows of megabytes: neither a row group, which a reader holds whole, nor a batch for Python gathers all of a shard."""
+    paths, own = [], toxicity.staged
+    monkeypatch.setattr(toxicity, "staged", lambda *a, **b: paths.append(own(*a, **b)) or paths[-1])
+    docs = spark.range(1600).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 160), x -> sha2(concat(id, ' ', x), 256))) AS text")
+    docs = docs.selectExpr("doc_id", "concat(text, ' ', replace(text, 'a', ' ')) AS text")
+    toxicity.report(docs, spark.range(1600).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic"))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in paths[-1].inputFiles()]
+    groups = [f.row_group(g) for f in files for g in range(f.num_row_groups)]
+    assert sum(g.total_byte_size for g in groups) > 12 << 20 and max(g.total_byte_size for g in groups) < 8 << 20
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    found = [r[0] for r in paths[-1].coalesce(1).mapInArrow(sizes, "bytes long").collect()]
+    assert sum(found) > 12 << 20 and max(found) < 12 << 20
