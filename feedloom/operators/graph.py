@@ -228,9 +228,17 @@ def _walked(graph: Graph, queries: pa.Table, effort: int) -> DataFrame:
                 for start in range(0, len(targets), _WALKERS):
                     among = np.arange(start, min(start + _WALKERS, len(targets)))
                     nodes, _ = walk(units, table, np.asarray(entries), heading[among], kept)
-                    for query, own in zip(among, nodes):
-                        own = own[own >= 0]
-                        best.add(ids[own], distances(vectors[own], targets[query : query + 1]), np.array([query]))
+                    asked, own, value = [], [], []
+                    for query, near in zip(among, nodes):
+                        near = near[near >= 0]
+                        exact = distances(vectors[near], targets[query : query + 1])[:, 0]
+                        exact = np.where(np.isnan(exact), np.inf, exact)
+                        good = exact <= best.worst[query]
+                        asked.append(np.full(good.sum(), query))
+                        own.append(near[good])
+                        value.append(exact[good])
+                    used, place = np.unique(np.concatenate(own), return_inverse=True)
+                    best.merge(np.concatenate(asked), np.concatenate(value), ids[used], place)
         yield pa.RecordBatch.from_pydict(best.batch(names), schema=HITS)
 
     return graph.shards.select("article_ids", "vectors", "sizes", "links", "entries").mapInArrow(scan, HITS_DDL)

@@ -29,6 +29,8 @@ BLOCK_VALUES = 4_000_000
 _ROWS_AT_ONCE = 2048
 # Distances held at once by a worker: 32 MB as doubles, and a few copies of them.
 _CELLS = 4_000_000
+# Queries of a block from which the comparisons outweigh dealing out the vectors.
+_MANY = 1000
 # How many times k a search looks up before it takes vectors without an article
 # for common.
 SPARE = 4
@@ -113,22 +115,19 @@ def search_text(articles: DataFrame, embeddings: DataFrame, provider: Provider,
 
 
 class Best:
-    """The k best of each query so far, ties on distance decided by id."""
+    """The k best of each query so far, ties on distance decided by id.
+
+    A row of ``values`` and ``places`` (in ``names``; -1 for none) belongs to a query, in order. Only the rows
+    of queries with new candidates are touched, and ids are compared only where distances tie.
+    """
 
     def __init__(self, limits: Sequence[int]):
         self.limits = np.asarray(limits, np.int64)
         self.most = int(self.limits.max(initial=0))
         self.worst = np.full(len(self.limits), np.inf)
-        self.queries = np.empty(0, np.int64)
-        self.values = np.empty(0)
-        self.ids = np.empty(0, object)
-
-    def _first(self, queries: np.ndarray, values: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Which of these rows are among the first k of their query, in order."""
-        order = np.lexsort((ids, values, queries))
-        starts = np.searchsorted(queries[order], np.arange(len(self.limits)))
-        place = np.arange(len(order)) - starts[queries[order]]
-        return order[place < self.limits[queries[order]]]
+        self.values = np.full((len(self.limits), self.most), np.inf)
+        self.places = np.full((len(self.limits), self.most), -1, np.int64)
+        self.names = np.empty(0, object)
 
     def add(self, ids: np.ndarray, found: np.ndarray, among: np.ndarray | None = None) -> None:
         """A block of vectors: their ids, and their distances with a column per query, or per
@@ -136,30 +135,60 @@ class Best:
         among = np.arange(len(self.limits)) if among is None else among
         found = np.where(np.isnan(found), np.inf, found)
         bound = self.worst[among]
-        if len(found) > self.most:
+        near = found <= bound[None, :]
+        crowded = np.flatnonzero(near.sum(axis=0) > self.most)
+        if len(crowded):
             # ties with the k-th value stay until the ids decide
-            bound = np.minimum(bound, np.partition(found, self.most - 1, axis=0)[self.most - 1])
-        rows, columns = np.nonzero(found <= bound[None, :])
-        by_id = np.argsort(np.argsort(ids, kind="stable"))
-        best = self._first(among[columns], found[rows, columns], by_id[rows])
-        rows, columns = rows[best], columns[best]
-        self.queries = np.concatenate([self.queries, among[columns]])
-        self.values = np.concatenate([self.values, found[rows, columns]])
-        self.ids = np.concatenate([self.ids, ids[rows]])
-        _, names = np.unique(self.ids, return_inverse=True)
-        best = self._first(self.queries, self.values, names)
-        self.queries, self.values, self.ids = self.queries[best], self.values[best], self.ids[best]
-        counts = np.bincount(self.queries, minlength=len(self.limits))
-        ends = np.cumsum(counts) - 1
-        full = (counts == self.limits) & (counts > 0)
-        self.worst[full] = self.values[ends[full]]
+            some = found[:, crowded]
+            near[:, crowded] &= some <= np.partition(some, self.most - 1, axis=0)[self.most - 1]
+        rows, columns = np.nonzero(near)
+        used, place = np.unique(rows, return_inverse=True)
+        self.merge(among[columns], found[rows, columns], ids[used], place)
+
+    def merge(self, queries: np.ndarray, values: np.ndarray, ids: np.ndarray, place: np.ndarray) -> None:
+        """Candidates: a query, a distance (inf for NaN) and the place of an id in ``ids``."""
+        if not len(queries):
+            return
+        met, number = np.unique(queries, return_inverse=True)
+        there = self.places[met] >= 0
+        rows, columns = np.nonzero(there)
+        number = np.concatenate([rows, number])
+        values = np.concatenate([self.values[met][rows, columns], values])
+        places = np.concatenate([self.places[met][rows, columns], place + len(self.names)])
+        self.names = np.concatenate([self.names, ids])
+        order = np.lexsort((values, number))
+        number, values, places = number[order], values[order], places[order]
+        same = (number[1:] == number[:-1]) & (values[1:] == values[:-1])
+        if same.any():
+            tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+            different, at = np.unique(places[tied], return_inverse=True)
+            rank = np.unique(self.names[different], return_inverse=True)[1][at]
+            places[tied] = places[tied][np.lexsort((rank, values[tied], number[tied]))]
+        counts = np.bincount(number, minlength=len(met))
+        column = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
+        kept = column < self.limits[met][number]
+        self.values[met], self.places[met] = np.inf, -1
+        self.values[met[number[kept]], column[kept]] = values[kept]
+        self.places[met[number[kept]], column[kept]] = places[kept]
+        full = counts >= self.limits[met]
+        self.worst[met[full]] = self.values[met[full], self.limits[met[full]] - 1]
+        if len(self.names) > 2 * self.places.size + _ROWS_AT_ONCE:
+            self._forget()
+
+    def _forget(self) -> None:
+        """Names that no query keeps."""
+        there = self.places >= 0
+        used, place = np.unique(self.places[there], return_inverse=True)
+        self.names, self.places[there] = self.names[used], place
 
     def batch(self, query_ids: Sequence) -> dict[str, list]:
+        queries, columns = np.nonzero(self.places >= 0)
+        values = self.values[queries, columns]
         return {
-            "query_id": [query_ids[q] for q in self.queries.tolist()],
-            "k": self.limits[self.queries].astype(np.int32),
-            "article_id": self.ids.tolist(),
-            "distance": np.where(np.isinf(self.values), np.nan, self.values),
+            "query_id": [query_ids[q] for q in queries.tolist()],
+            "k": self.limits[queries].astype(np.int32),
+            "article_id": self.names[self.places[queries, columns]].tolist(),
+            "distance": np.where(np.isinf(values), np.nan, values),
         }
 
 
@@ -178,10 +207,13 @@ def feed(best: Best, ids: pa.Array, vectors: pa.Array, targets: np.ndarray, amon
 
 
 def _with_shipped_queries(vectors: DataFrame, queries: pa.Table, dim: int) -> DataFrame:
-    """The k best of each query and task; the vectors are read where they lie."""
+    """The k best of each query and task. The vectors are read where they lie; for many queries they are
+    dealt out first, so that all cores compare, whatever the files."""
     names = queries.column("query_id").to_pylist()
     limits = queries.column("k").to_pylist()
     targets = matrix(queries.column("embedding").combine_chunks(), dim)
+    if len(names) >= _MANY:
+        vectors = vectors.repartition("article_id")
     shipped = vectors.sparkSession.sparkContext.broadcast((names, limits, targets))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

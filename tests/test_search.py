@@ -103,6 +103,36 @@ def test_blocks_of_distances_are_bounded(monkeypatch, data):
         assert [i for i, name in zip(found["article_id"], found["query_id"]) if name == q] == brute(data, data["abc".index(q)], k)
 
 
+def test_candidates_of_one_query_leave_the_others_alone(monkeypatch):
+    """What a block sorts grows with its own candidates, not with all that is kept."""
+    rng = np.random.default_rng(3)
+    found = rng.integers(0, 40, (600, 300)) / 16.0  # ties everywhere
+    found[5, 7] = np.nan
+    ids = np.array([f"{i:04d}" for i in rng.permutation(600)], object)
+    best, sorted_ = search.Best([10] * 300), []
+    best.add(ids[:400], found[:400])
+    plain = np.lexsort
+    monkeypatch.setattr(search.np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or plain(keys))
+    for query in range(300):
+        best.add(ids[400:], found[400:, [query]], np.array([query]))
+    assert max(sorted_) < 400
+    got = best.batch(range(300))
+    for query in range(300):
+        order = plain((ids, np.where(np.isnan(found[:, query]), np.inf, found[:, query])))[:10]
+        assert [i for i, q in zip(got["article_id"], got["query_id"]) if q == query] == ids[order].tolist()
+
+
+def test_many_queries_get_the_vectors_dealt_out(spark, stored, data, monkeypatch):
+    rows = stored.coalesce(1)
+    plan = lambda: search._with_shipped_queries(rows.select("article_id", "embedding"), asked, DIM)._jdf.queryExecution().toString()
+    asked = pa.table({"query_id": ["a", "b"], "embedding": pa.array(data[:2].tolist(), pa.list_(pa.float32())), "k": [1, 1]})
+    assert "hashpartitioning" not in plan()
+    monkeypatch.setattr(search, "_MANY", 2)
+    assert "hashpartitioning(article_id" in plan()
+    got = batches(spark, rows, [(0, data[0].tolist(), 5), (1, data[1].tolist(), 5)])
+    assert got == {q: brute(data, data[q], 5) for q in (0, 1)}
+
+
 def test_batch_with_few_vectors_ranks_zero_vectors_last(spark):
     rows = vectors(spark, (1, [0.0] * DIM, at()), (2, [1.0] * DIM, at()))
     assert batches(spark, rows, [(0, [1.0] * DIM, 5)]) == {0: [fid(2), fid(1)]}
