@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import staged
+from feedloom.llm.common import in_small_batches, staged
 from feedloom.operators.joins import attach, if_few
 
 #: Characters of a chunk, and of its overlap with the next one.
@@ -35,7 +35,7 @@ OVERLAP = 1 << 9
 #: The public pattern decides on a pre-token after reading two characters past its end at most; another may need more.
 LOOK_AHEAD = 2
 #: Pre-tokens in each half of a worker's memory.
-_CACHED = 150_000
+_CACHED = 60_000
 _SHORT = 48
 _NONE = 1 << 62  # a pair that is no token
 
@@ -186,7 +186,7 @@ def _digest_batch(batch: pa.RecordBatch, drop: str, found: list[tuple[int, str,
     return _with(batch, drop, n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids, pa.string()), decoded_sha256=pa.array(decoded, pa.string()))
 
 
-def _digest_texts(rows: DataFrame, ranks, pattern: str) -> DataFrame:
+def _digest_texts(rows: DataFrame, ranks, pattern: str, key: str = "doc_id") -> DataFrame:
     """Texts that need no cutting, encoded and decoded in one visit."""
 
     def run(batches):
@@ -194,8 +194,7 @@ def _digest_texts(rows: DataFrame, ranks, pattern: str) -> DataFrame:
         for batch in _small(batches):
             yield _digest_batch(batch, "text", [decoder.digests(encoder.encoded(t)) for t in batch["text"].to_pylist()])
 
-    key = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {key}, {_DIGESTS}")
+    return rows.select(key, "text").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {_DIGESTS}")
 
 
 def _digest_ids(rows: DataFrame, ranks) -> DataFrame:
@@ -279,24 +278,27 @@ def _parted(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.length("text") <= chunk), long
 
 
-def _stitched(long: DataFrame, ranks, pattern: str, chunk: int, overlap: int, look_ahead: int) -> DataFrame:
-    """``content`` and ``ids`` of each different long text."""
+def _stitched(long: DataFrame, ranks, pattern: str, chunk: int, overlap: int, look_ahead: int) -> tuple[DataFrame, DataFrame | None]:
+    """``content`` and ``ids`` of each different long text, and the texts that share no boundary (``content``, ``text``), if any."""
     chunks = _cut(long, chunk, overlap).dropDuplicates(["content", "chunk"])
     encoded = _encode_chunks(chunks, ranks, pattern, look_ahead)
     stitched = staged(encoded.groupBy("content").applyInArrow(_stitch, "content string, ids array<int>"), "stitched")
     unshared = stitched.filter("ids is null").select("content")
     if unshared.isEmpty():
-        return stitched
+        return stitched, None
     texts = long.join(if_few(unshared), "content", "left_semi").select("content", "text").dropDuplicates(["content"])
-    return stitched.filter("ids is not null").unionByName(_encode_whole(texts, ranks, pattern))
+    return stitched.filter("ids is not null"), texts
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, look_ahead: int = LOOK_AHEAD) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of every document. The vocabulary, a file of fixed size, is broadcast.
     ``look_ahead`` belongs to the pattern: characters that it reads past the end of a pre-token to decide on it."""
     ranks = _shared(docs, ranks_path)
+    in_small_batches(docs.sparkSession)
     short, long = _parted(docs, chunk)
-    stitched = _stitched(long, ranks, pattern, chunk, overlap, look_ahead)
+    stitched, unshared = _stitched(long, ranks, pattern, chunk, overlap, look_ahead)
+    if unshared is not None:
+        stitched = stitched.unionByName(_encode_whole(unshared, ranks, pattern))
     whole = attach(long.drop("text"), stitched, "content", spread_by=("doc_id",))
     return _encode_whole(short, ranks, pattern).unionByName(whole.select("doc_id", "ids"))
 
@@ -318,7 +320,12 @@ def report(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     """Digests of ids and decoded bytes. Those of a long text are taken once for all documents that hold it, and
     only they are joined, salted where one text is in very many documents."""
     ranks = _shared(docs, ranks_path)
+    in_small_batches(docs.sparkSession)
     short, long = _parted(docs, chunk)
-    digests = staged(_digest_ids(_stitched(long, ranks, pattern, chunk, overlap, look_ahead), ranks), "digests")
+    stitched, unshared = _stitched(long, ranks, pattern, chunk, overlap, look_ahead)
+    digests = _digest_ids(stitched, ranks)
+    if unshared is not None:  # in one visit: a task has one Python worker
+        digests = digests.unionByName(_digest_texts(unshared, ranks, pattern, "content"))
+    digests = staged(digests, "digests")
     whole = attach(long.drop("text"), digests, "content", spread_by=("doc_id",)).drop("content")
     return _digest_texts(short, ranks, pattern).unionByName(whole)

@@ -57,3 +57,22 @@ def test_decoding_gives_the_bytes_back(make):
     docs = make(*TEXTS)
     decoded = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH).collect()
     assert {r.doc_id: bytes(r.decoded) for r in decoded} == {i: t.encode() for i, t in enumerate(TEXTS)}
+
+
+def test_a_worker_remembers_a_bounded_number_of_pre_tokens():
+    memory = [{}, {}]
+    encoder = bpe._Encoder(RANKS, memory, PATTERN)
+    encoder.encoded(" ".join(f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(300_000)))
+    assert 60_000 <= sum(map(len, memory)) <= 130_000
+
+
+def test_a_task_has_one_python_step(spark, make, monkeypatch):
+    """Texts without a shared boundary are encoded and digested in one visit, and batches for Python are small."""
+    plans, own = [], bpe.staged
+    monkeypatch.setattr(bpe, "staged", lambda rows, name: plans.append((name, rows)) or own(rows, name))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = ["a" * 3000, "word " * 900]
+    assert found(make(*texts), chunk=97, overlap=41) == {i: library(t) for i, t in enumerate(texts)}
+    digests = dict(plans)["digests"]._jdf.queryExecution().analyzed()
+    assert digests.nodeName() == "Union" and digests.toString().count("MapInArrow") == 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == 8 << 20
