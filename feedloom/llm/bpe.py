@@ -6,7 +6,7 @@ an overlap find the same pre-tokens from the first boundary they share (the patt
 only forward), so that boundary is where the left chunk ends and the right one begins. A boundary
 counts for the left chunk only if the text after it is long enough for every look-ahead of the
 pattern. If two neighbours share no boundary (a run without any), the whole text is
-encoded in one task. Each pre-token is then merged by the ranks.
+encoded in one task. Each pre-token is then merged by the ranks, those of equal length side by side in arrays.
 
 Null text counts as empty: no ids. Equal long texts are encoded once. Rows are independent, so
 repeated rows get equal results.
@@ -18,6 +18,8 @@ import base64
 import hashlib
 import heapq
 import itertools
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,10 @@ LOOK_AHEAD = 2
 _CACHED = 60_000
 _SHORT = 48
 _NONE = 1 << 62  # a pair that is no token
+_NO_PAIR = np.iinfo(np.int32).max  # the same in arrays
+#: Characters whose new pre-tokens are merged together, pre-tokens of one length from which arrays pay, and most in one array.
+_TOGETHER = 1 << 20
+_FEW, _MANY = 24, 1 << 13
 
 _IDS = pa.list_(pa.int32())
 
@@ -100,39 +106,138 @@ def _merged_long(parts: list[bytes | None], ranks: dict[bytes, int]) -> tuple[in
     return tuple(ranks[p] for p in parts if p is not None)
 
 
+class _Pairs:
+    """The pairs of ids that make a token, sorted, and a table of the pairs of bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values(), default=0) + 1
+        found = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    found[left * self.size + right] = rank
+        self.keys = np.array([*sorted(found), np.iinfo(np.int64).max])
+        self.ranks = np.array([*map(found.get, sorted(found)), _NO_PAIR], np.int32)
+        letters = [bytes([b]) for b in range(256)]
+        #: Ids of the bytes; without all of them pre-tokens are merged one by one.
+        self.letters = np.array([ranks[x] for x in letters], np.int32) if all(x in ranks for x in letters) else None
+        self.first = np.array([ranks.get(a + b, _NO_PAIR) for a in letters for b in letters], np.int32)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) * self.size + right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.ranks[at], np.int32(_NO_PAIR))
+
+
+def _merged_together(pieces: list[bytes], pairs: _Pairs) -> list[bytes]:
+    """Packed ids of pre-tokens of one length. In each round every one of them that has a pair joins its leftmost one of lowest rank, so all
+    that go on have the same number of parts."""
+    found: list = [None] * len(pieces)
+    raw = np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), -1)
+    parts, ranks = pairs.letters[raw], pairs.first[raw[:, :-1].astype(np.int64) * 256 + raw[:, 1:]]
+    owners = np.arange(len(pieces))
+    while len(owners):
+        rows = np.arange(len(owners))
+        best = ranks.argmin(axis=1) if ranks.shape[1] else None
+        low = np.full(len(owners), _NO_PAIR) if best is None else ranks[rows, best]
+        done = low == _NO_PAIR
+        if done.any():
+            packed, size = parts[done].tobytes(), parts.shape[1] * parts.itemsize
+            for k, owner in enumerate(owners[done].tolist()):
+                found[owner] = packed[k * size : (k + 1) * size]
+            if best is None or done.all():
+                break
+            owners, parts, ranks, best, low, rows = owners[~done], parts[~done], ranks[~done], best[~done], low[~done], rows[: -done.sum()]
+        n, width = parts.shape
+        parts[rows, best] = low
+        stays = np.ones((n, width), bool)
+        stays[rows, best + 1] = False
+        parts = parts[stays].reshape(n, width - 1)
+        stays = np.ones((n, width - 1), bool)
+        stays[rows, best] = False
+        ranks = ranks[stays].reshape(n, width - 2)
+        left, right = np.flatnonzero(best > 0), np.flatnonzero(best < width - 2)
+        ranks[left, best[left] - 1] = pairs.of(parts[left, best[left] - 1], low[left])
+        ranks[right, best[right]] = pairs.of(low[right], parts[right, best[right] + 1])
+    return found
+
+
+def _packed(ids: tuple[int, ...]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def merged_all(pieces: list[bytes], ranks: dict[bytes, int], pairs: _Pairs) -> list[bytes]:
+    """``merged`` of many different pre-tokens. Ids are packed, four bytes each: they take little memory, and none of
+    the collector's time."""
+    found: list = [None] * len(pieces)
+    by_length = defaultdict(list)
+    for i, piece in enumerate(pieces):
+        if (whole := ranks.get(piece)) is not None:
+            found[i] = _packed((whole,))
+        else:
+            by_length[len(piece)].append(i)
+    for length, members in by_length.items():
+        if length < 2 or length > _SHORT or len(members) < _FEW or pairs.letters is None:
+            for i in members:
+                found[i] = _packed(merged(pieces[i], ranks))
+        else:
+            for start in range(0, len(members), _MANY):
+                some = members[start : start + _MANY]
+                for i, ids in zip(some, _merged_together([pieces[i] for i in some], pairs)):
+                    found[i] = ids
+    return found
+
+
 def _shared(docs: DataFrame, ranks_path: str):
-    """The ranks, broadcast, and beside them the memory of a worker: pre-tokens and their ids. A worker
+    """The ranks and pairs, broadcast, and beside them the memory of a worker: pre-tokens and their ids. A worker
     keeps a broadcast value from task to task, so what one task has merged the next one knows."""
-    return docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), [{}, {}]))
+    ranks = read_ranks(ranks_path)
+    return docs.sparkSession.sparkContext.broadcast((ranks, [{}, {}], _Pairs(ranks)))
 
 
 class _Encoder:
     """Splits and merges. Of the two halves of ``memory`` the younger is written; when it is full it becomes
     the older one, and what is still asked for moves on."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: list[dict[str, tuple[int, ...]]], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], memory: list[dict[str, bytes]], pattern: str, pairs: _Pairs | None = None):
         self.pieces = regex.compile(pattern).findall
-        self.ranks, self.memory = ranks, memory
+        self.ranks, self.memory, self.pairs = ranks, memory, pairs or _Pairs(ranks)
 
-    def _found(self, piece: str) -> tuple[int, ...]:
+    def known(self, lists: list[list[str]]) -> dict[str, bytes]:
+        """The packed ids of all pre-tokens in the lists (and of others)."""
         young, old = self.memory
-        found = old.get(piece) or merged(piece.encode(), self.ranks)
-        if len(piece) <= _SHORT:
-            if len(young) >= _CACHED:
-                self.memory[:] = young, old = {}, young
-            young[piece] = found
+        lacking = set().union(*lists).difference(young)
+        new = list(lacking.difference(old))
+        fresh = {piece: old[piece] for piece in lacking.intersection(old)}
+        fresh |= zip(new, merged_all([piece.encode() for piece in new], self.ranks, self.pairs))
+        found = young | fresh
+        for piece, ids in fresh.items():
+            if len(piece) <= _SHORT:
+                if len(young) >= _CACHED:
+                    self.memory[:] = young, old = {}, young
+                young[piece] = ids
         return found
 
-    def ids(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        found = list(map(self.memory[0].get, pieces))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self.memory[0].get(pieces[i]) or self._found(pieces[i])
-        return found
+    def taken_apart(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+        """Of each text the pre-tokens and their packed ids."""
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64) // _TOGETHER
+        for _, some in itertools.groupby(zip(ends.tolist(), texts), key=lambda x: x[0]):
+            lists = [self.pieces(text) for _, text in some]
+            ids = self.known(lists).__getitem__
+            for pieces in lists:
+                yield pieces, list(map(ids, pieces))
+
+    def encoded_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        return (np.frombuffer(b"".join(ids), np.int32) for _, ids in self.taken_apart(texts))
+
+    def encoded(self, text: str) -> np.ndarray:
+        return next(self.encoded_all([text]))
+
 
-    def encoded(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(self.ids(self.pieces(text))))
+def _encoder(shared, pattern: str) -> _Encoder:
+    ranks, memory, pairs = shared.value
+    return _Encoder(ranks, memory, pattern, pairs)
 
 
 class _Decoder:
@@ -169,9 +274,9 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 def _encode_whole(rows: DataFrame, ranks, pattern: str) -> DataFrame:
     def run(batches):
-        encoder = _Encoder(*ranks.value, pattern)
+        encoder = _encoder(ranks, pattern)
         for batch in _small(batches):
-            found = [np.array(encoder.encoded(t), np.int32) for t in batch["text"].to_pylist()]
+            found = list(encoder.encoded_all(batch["text"].to_pylist()))
             yield _with(batch, "text", ids=_lists(found, pa.int32()))
 
     schema = rows.drop("text").withColumn("ids", F.array().cast("array<int>")).schema
@@ -190,9 +295,9 @@ def _digest_texts(rows: DataFrame, ranks, pattern: str, key: str = "doc_id") ->
     """Texts that need no cutting, encoded and decoded in one visit."""
 
     def run(batches):
-        encoder, decoder = _Encoder(*ranks.value, pattern), _Decoder(ranks.value[0])
+        encoder, decoder = _encoder(ranks, pattern), _Decoder(ranks.value[0])
         for batch in _small(batches):
-            yield _digest_batch(batch, "text", [decoder.digests(encoder.encoded(t)) for t in batch["text"].to_pylist()])
+            yield _digest_batch(batch, "text", [decoder.digests(ids.tolist()) for ids in encoder.encoded_all(batch["text"].to_pylist())])
 
     return rows.select(key, "text").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {_DIGESTS}")
 
@@ -233,16 +338,15 @@ def _encode_chunks(chunks: DataFrame, ranks, pattern: str, look_ahead: int) -> D
     """Chunks with where their pre-tokens begin, the last end that counts, and the ids."""
 
     def run(batches):
-        encoder = _Encoder(*ranks.value, pattern)
+        encoder = _encoder(ranks, pattern)
         for batch in _small(batches, 64):
             starts, counts, ids, sure = [], [], [], []
-            for text, start, last in zip(batch["text"].to_pylist(), batch["start"].to_pylist(), batch["last"].to_pylist()):
-                pieces = encoder.pieces(text)
+            texts = batch["text"].to_pylist()
+            for text, start, last, (pieces, found) in zip(texts, batch["start"].to_pylist(), batch["last"].to_pylist(), encoder.taken_apart(texts)):
                 ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
                 starts.append(start + np.concatenate([[0], ends[:-1]]))
-                found = encoder.ids(pieces)
-                counts.append(np.fromiter(map(len, found), np.int32, len(found)))
-                ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int32))
+                counts.append(np.fromiter(map(len, found), np.int32, len(found)) // 4)
+                ids.append(np.frombuffer(b"".join(found), np.int32))
                 sure.append(start + len(text) + (1 if last else -look_ahead - 1))
             yield _with(batch, "text", starts=_lists(starts, pa.int64()), counts=_lists(counts, pa.int32()), ids=_lists(ids, pa.int32()), sure=pa.array(sure, pa.int64()))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -66,6 +67,25 @@ def test_a_worker_remembers_a_bounded_number_of_pre_tokens():
     assert 60_000 <= sum(map(len, memory)) <= 130_000
 
 
+def test_new_pre_tokens_are_merged_side_by_side(monkeypatch):
+    """As the library merges each, and hardly any of them in a call of its own."""
+    single, own = [], bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda piece, ranks: single.append(piece) or own(piece, ranks))
+    rng = random.Random(1)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "ab", "aeé数字🎉", "0123456789", "\x01\x7f\x80"]
+    words = list({"".join(rng.choice(letters[i % 5]) for _ in range(rng.randint(1, 30))) for i in range(20_000)} | {"x" * 200})
+    text = " ".join(words)
+    encoder = bpe._Encoder(RANKS, [{}, {}], PATTERN)
+    assert list(encoder.encoded(text)) == LIBRARY.encode_ordinary(text) == list(encoder.encoded(text))
+    assert len(single) < len(words) / 10
+    pieces = [word.encode() for word in words]
+    packed = bpe.merged_all(pieces, RANKS, encoder.pairs)
+    assert packed == [bpe._packed(own(piece, RANKS)) for piece in pieces]
+    # a vocabulary without some of the bytes
+    some = {token: rank for token, rank in RANKS.items() if token != b"\x00"}
+    assert bpe.merged_all(pieces, some, bpe._Pairs(some)) == packed
+
+
 def test_a_task_has_one_python_step(spark, make, monkeypatch):
     """Texts without a shared boundary are encoded and digested in one visit, and batches for Python are small."""
     plans, own = [], bpe.staged
