@@ -5,8 +5,8 @@ Filters over one, two and three neighbouring words slide over the whole text, ea
 largest response, and a logistic layer weighs them. The net is fitted to the whole texts of all labelled rows but a
 part of them, which sets a threshold per language of the text (told by its function words, never by a column).
 The rows are cut into shards; in each epoch every shard trains the net on its rows in a task of its own, and
-what the shards changed is averaged, a bucket's vector over the shards that met it. The driver holds
-nets, of fixed size, and no rows. The score is scaled so that 0.3 is the threshold.
+what the shards changed is averaged, a bucket's vector over the shards that met it. Of several shards the changes of
+vectors travel in steps of eight bits, and texts compressed. The driver holds nets, of fixed size, and no rows. The score is scaled so that 0.3 is the threshold.
 
 Null and empty texts have no words and get the score of an empty text. Labels that are null
 are not used; of several labels for one id the largest counts, for each different text of that id. Without labels of both
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -175,14 +176,14 @@ class _State:
         sums[rows] += gradient**2
         array[rows] -= RATE * gradient / np.sqrt(sums[rows])
 
-    def parts(self, before: _State) -> Iterator[tuple[int, np.ndarray]]:
-        """What has changed: for every few buckets the vectors, sums and whether the bucket was met, and last all else."""
+    def parts(self, before: _State, whole: bool) -> Iterator[tuple[int, bytes]]:
+        """What has changed: for every few buckets the vectors and sums, ``whole`` or in steps, and last all else."""
         for k, start in enumerate(range(0, BUCKETS, _PART)):
             cut = slice(start, start + _PART)
-            more = self.sums["vectors"][cut] - before.sums["vectors"][cut]
-            yield k, np.hstack([self.net.vectors[cut] - before.net.vectors[cut], more, more.any(axis=1, keepdims=True)])
+            change, more = self.net.vectors[cut] - before.net.vectors[cut], self.sums["vectors"][cut] - before.sums["vectors"][cut]
+            yield k, np.hstack([change, more]).tobytes() if whole else zlib.compress(_steps(change) + _steps(np.sqrt(more)), 1)
         pairs = [(getattr(self.net, n), getattr(before.net, n)) for n in _DENSE] + [(self.sums[n], before.sums[n]) for n in _DENSE]
-        yield BUCKETS // _PART, np.concatenate([*((a - b).ravel() for a, b in pairs), np.ones(1, np.float32)])
+        yield BUCKETS // _PART, np.concatenate([*((a - b).ravel() for a, b in pairs), np.ones(1)]).astype(np.float32).tobytes()
 
     def changed(self, parts: dict[int, np.ndarray]) -> _State:
         """With the mean of what the shards have changed, from the sums of their ``parts``."""
@@ -201,6 +202,25 @@ class _State:
         return found
 
 
+def _steps(rows: np.ndarray) -> bytes:
+    """Of each row the largest size, and all values as its 127ths."""
+    largest = np.abs(rows).max(axis=1, keepdims=True)
+    return largest.tobytes() + np.rint(rows / np.where(largest > 0, largest, 1) * 127).astype(np.int8).tobytes()
+
+
+def _opened_part(k: int, data: bytes, whole: bool) -> np.ndarray:
+    """A part of one shard; of buckets a row each: vector, sums, and whether the bucket was met."""
+    if k == BUCKETS // _PART:
+        return np.frombuffer(data, np.float32)
+    if whole:
+        rows = np.frombuffer(data, np.float32).reshape(_PART, 2 * SIZE)
+    else:
+        kind = [("largest", np.float32, (_PART, 1)), ("steps", np.int8, (_PART, SIZE))]
+        change, root = (half["largest"] * (half["steps"] / np.float32(127)) for half in np.frombuffer(zlib.decompress(data), kind))
+        rows = np.hstack([change, root**2])
+    return np.hstack([rows, rows[:, SIZE:].any(axis=1, keepdims=True)])
+
+
 def _strongest(words: np.ndarray, table: np.ndarray, columns: list[list[slice]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of each width the largest response of each filter in each text (a row of numbers of words in ``table``), and where."""
     widest, texts = max(WIDTHS), len(words)
@@ -300,13 +320,13 @@ def _portion(rows: list[tuple[str, int, bool]]) -> dict[str, bytes]:
 
 
 def _portions(rows: DataFrame) -> DataFrame:
-    """From ``text``, ``label`` and ``held`` (kept for the thresholds)."""
+    """From ``packed``, ``label`` and ``held`` (kept for the thresholds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, size = [], 0
         for batch in batches:
-            for text, label, held in zip(batch["text"], batch["label"], batch["held"]):
-                some.append((text.as_py(), label.as_py(), held.as_py()))
+            for packed, label, held in zip(batch["packed"], batch["label"], batch["held"]):
+                some.append((zlib.decompress(packed.as_buffer()).decode(), label.as_py(), held.as_py()))
                 size += len(some[-1][0])
                 if len(some) == PORTION_ROWS or size >= PORTION_CHARS:
                     yield pa.RecordBatch.from_pydict(_portion(some))
@@ -314,7 +334,7 @@ def _portions(rows: DataFrame) -> DataFrame:
         if some:
             yield pa.RecordBatch.from_pydict(_portion(some))
 
-    return rows.select("text", "label", "held").mapInArrow(run, _PORTION)
+    return rows.select("packed", "label", "held").mapInArrow(run, _PORTION)
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -351,8 +371,9 @@ def _known(portions: DataFrame, all_rows: bool) -> np.ndarray:
     return found.view(np.uint8)
 
 
-def _epoch(portions: DataFrame, state: _State, epoch: int, all_rows: bool, weights: tuple[float, float]) -> _State:
-    """``state`` after every shard has trained it, each from the same start."""
+def _epoch(portions: DataFrame, state: _State, epoch: int, all_rows: bool, weights: tuple[float, float], alone: bool) -> _State:
+    """``state`` after every shard has trained it, each from the same start. One that is ``alone`` sends nothing
+    to another task, and its changes stay whole."""
     shared = portions.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,14 +386,14 @@ def _epoch(portions: DataFrame, state: _State, epoch: int, all_rows: bool, weigh
                 seen = True
         if seen:
             shard = TaskContext.get().partitionId()
-            for k, part in own.parts(shared.value):
-                yield pa.RecordBatch.from_pydict({"part": [k], "shard": [shard], "change": [part.astype(np.float32).tobytes()]}, schema=_CHANGE)
+            for k, part in own.parts(shared.value, alone):
+                yield pa.RecordBatch.from_pydict({"part": [k], "shard": [shard], "change": [part]}, schema=_CHANGE)
 
     def added(key: tuple, rows: pa.Table) -> pa.Table:
-        total = 0.0
+        part, total = key[0].as_py(), 0.0
         for change in rows.sort_by("shard")["change"]:
-            total = total + np.frombuffer(change.as_buffer(), np.float32)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "change": [total.astype(np.float32).tobytes()]})
+            total = total + _opened_part(part, change.as_buffer(), alone)
+        return pa.table({"part": pa.array([part], pa.int32()), "change": [total.astype(np.float32).tobytes()]})
 
     changes = portions.mapInArrow(run, "part int, shard int, change binary")
     found = changes.groupBy("part").applyInArrow(added, "part int, change binary").toArrow()
@@ -492,16 +513,29 @@ def _cuts(portions: DataFrame, net: Net, all_rows: bool) -> np.ndarray:
     return cuts
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """With ``packed``, the compressed text, in place of ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([zlib.compress(t.as_buffer(), 6) for t in batch["text"]], pa.binary())
+            batch = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed], [*batch.schema.names, "packed"])
+
+    return rows.mapInArrow(run, rows.drop("text").withColumn("packed", F.lit(b"")).schema)
+
+
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text``, ``label`` and ``held`` of all different labelled texts, dealt to shards by id and in a fixed order."""
+    """``packed``, ``label`` and ``held`` of all different labelled texts, dealt to shards by id and in a fixed order."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(crc_fold(F.col("doc_id")) != 2).select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"))
     known = staged(known, "toxic-labels")
     shards = max(1, math.ceil(known.count() / SHARD_ROWS))
     rows = docs.select("doc_id", "text").filter(F.length("text") > 0).join(if_few(known), "doc_id")
-    rows = rows.repartition(shards, "doc_id").dropDuplicates(["doc_id", "label", "text"]).sortWithinPartitions("doc_id", "text")
+    rows = _packed(rows.withColumn("head", F.substring("text", 1, 32)))
+    rows = rows.repartition(shards, "doc_id").dropDuplicates(["doc_id", "label", "packed"]).sortWithinPartitions("doc_id", "head", "packed")
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / float(1 << 53)
-    return rows.select("text", "label", (chance < CALIBRATION).alias("held"))
+    return rows.select("packed", "label", (chance < CALIBRATION).alias("held"))
 
 
 def _tally(portions: DataFrame) -> dict[tuple[bool, int], int]:
@@ -534,7 +568,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Net | None:
     portions = portions.coalesce(shards)
     state = _State.new(_known(portions, all_learned))
     for epoch in range(EPOCHS):
-        state = _epoch(portions, state, epoch, all_learned, weights)
+        state = _epoch(portions, state, epoch, all_learned, weights, shards == 1)
     return replace(state.net, cuts=_cuts(portions, state.net, all_checked))
 
 

@@ -114,3 +114,31 @@ def test_portions_are_read_a_few_at_a_time(spark, monkeypatch):
 
     found = [r[0] for r in paths[-1].coalesce(1).mapInArrow(sizes, "bytes long").collect()]
     assert sum(found) > 12 << 20 and max(found) < 12 << 20
+
+
+def test_what_shards_and_tasks_exchange_is_small(spark, make, prose):
+    """Changes of vectors go in steps, close to what they were, and texts compressed and whole."""
+    rng = np.random.default_rng(3)
+    before = toxicity._State.new(np.zeros(1, np.uint8))
+    after = before.copy()
+    met = np.flatnonzero(rng.random(toxicity.BUCKETS) < 0.5)
+    for _ in range(3):
+        after.step("vectors", rng.normal(0, 0.02, (len(met), toxicity.SIZE)).astype(np.float32), met)
+    after.step("bias", np.ones_like(after.net.bias))
+    whole, small = dict(after.parts(before, True)), dict(after.parts(before, False))
+    assert sum(map(len, small.values())) < 0.35 * len(met) * 33 * 4
+    exact = before.changed({k: toxicity._opened_part(k, p, True) for k, p in whole.items()})
+    near = before.changed({k: toxicity._opened_part(k, p, False) for k, p in small.items()})
+    assert np.allclose(exact.net.vectors, after.net.vectors, atol=1e-6) and np.allclose(exact.sums["vectors"], after.sums["vectors"], rtol=1e-4)
+    assert np.allclose(exact.net.bias, after.net.bias) and np.array_equal(exact.net.bias, near.net.bias)
+    off = np.abs(near.net.vectors - exact.net.vectors).max(axis=1)
+    assert (off <= np.abs(exact.net.vectors - before.net.vectors).max(axis=1) / 250 + 1e-6).all()
+    assert np.allclose(near.sums["vectors"], exact.sums["vectors"], rtol=0.03, atol=1e-4)
+
+    texts = {i: prose(i % 7, words=300) + (" Ünïcödé 数字 🎉" if i % 2 else "") for i in range(40)}
+    docs = make(*[(i, t, "en", "s") for i, t in texts.items()] * 2)
+    rows = toxicity._labelled(docs, spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int"))
+    found = [(zlib.decompress(r.packed).decode(), r.label) for r in rows.collect()]
+    want = [(t, i % 2) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert found == want
+    assert sum(len(r.packed) for r in rows.collect()) < 0.7 * sum(len(t.encode()) for t, _ in want)
